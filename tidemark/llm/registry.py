@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import bpe, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_simhash": simhash.op4,
         "op8_mix_sources": mixing.op8,
         "op9_shard": sharding.op9,
+        "op10_bpe": bpe.op10,
     }
 
 
