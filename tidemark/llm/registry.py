@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, sharding, simhash
+from tidemark.llm import bpe, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op4_simhash": simhash.op4,
+        "op7_quality": quality.op7,
         "op8_mix_sources": mixing.op8,
         "op9_shard": sharding.op9,
         "op10_bpe": bpe.op10,
