@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, quality, sharding, simhash
+from tidemark.llm import bpe, gif, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_gif": gif.op1,
         "op4_simhash": simhash.op4,
         "op7_quality": quality.op7,
         "op8_mix_sources": mixing.op8,
