@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, gif, mixing, quality, sharding, simhash
+from tidemark.llm import bpe, gif, licenses, mixing, quality, sharding, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_gif": gif.op1,
+        "op2_topk": topk.op2,
         "op4_simhash": simhash.op4,
+        "op5_licenses": licenses.op5,
         "op7_quality": quality.op7,
         "op8_mix_sources": mixing.op8,
         "op9_shard": sharding.op9,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.OP8_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op5_licenses": licenses.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL}
