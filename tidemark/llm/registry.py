@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, gif, licenses, mixing, quality, sharding, simhash, topk
+from tidemark.llm import bpe, gif, licenses, mixing, ppm, quality, sharding, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_gif": gif.op1,
         "op2_topk": topk.op2,
+        "op3_ppm": ppm.op3,
         "op4_simhash": simhash.op4,
         "op5_licenses": licenses.op5,
         "op7_quality": quality.op7,
