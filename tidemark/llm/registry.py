@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, gif, licenses, mixing, ppm, quality, sharding, simhash, topk
+from tidemark.llm import bpe, gif, licenses, mixing, ppm, quality, sharding, simhash, suffix, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ppm": ppm.op3,
         "op4_simhash": simhash.op4,
         "op5_licenses": licenses.op5,
+        "op6_suffix_dedup": suffix.op6,
         "op7_quality": quality.op7,
         "op8_mix_sources": mixing.op8,
         "op9_shard": sharding.op9,
