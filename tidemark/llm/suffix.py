@@ -328,9 +328,24 @@ def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without the bytes of characters that they hold in part."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, characters: bool = False) -> DataFrame:
     """All columns of ``docs``, and kept binary, removed array<struct<start, stop>>: the bytes that stay, and the maximal ranges that went.
 
+    ``characters``: characters of which some bytes would stay, stay whole.
+
     A document is earlier if its doc_id is smaller; null ids are last; of equal ids the text decides.
     Rows that repeat both id and text are one document.  Null texts are empty and keep nothing.
     """
@@ -346,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 kept, removed = [], []
                 for text, own in zip(utf8(batch, "text"), batch.column(len(names)).to_pylist(), strict=True):
-                    ranges = merge(own)
+                    ranges = whole_characters(text, merge(own)) if characters else merge(own)
                     places = [0, *(x for r in ranges for x in r), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True)))
                     removed.append([{"start": a, "stop": b} for a, b in ranges])
