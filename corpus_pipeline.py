@@ -1,10 +1,74 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Columns doc_id, text, lang, source and n_chars go through all stages but the last, which returns the
+token ids.  Repeated ids come from the mix, which takes documents of small sources several times.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, mixing, quality, simhash, suffix
+from tidemark.llm.shared import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives a score of 0.7 or more; learned from labels of three quarters of the ids."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), trainable=quality.remainder(4) != 2)
+    return quality.score(docs.select(*COLUMNS), model).filter("quality_score >= 0.7").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8 by the fingerprint).
+
+    256 bits differ in 39 places on average at that similarity.  Keys of two equal 8-bit segments of the
+    ring find such a pair with a chance of 0.9, and closer ones nearly always.  Rows that repeat the
+    smallest id all stay.
+    """
+    found = simhash.near_duplicates(docs, shingle=5, lanes=4, distance=39, segments=32, run=2)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    return docs.select(*COLUMNS).join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that occur earlier; documents of which nothing stays go."""
+    done = suffix.remove_repeats(docs.select(*COLUMNS), characters=True)
+    text = F.when(F.size("removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    cut = done.withColumn("text", text).filter((F.size("removed") == 0) | (F.octet_length("kept") > 0))
+    return cut.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; at the end of a budget a document is taken whole or not at all."""
+    mixed = mixing.mix(docs, split_last=False)
+    times = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    return docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids of every text."""
+    path, pattern = bpe.multilingual()
+    encoded = bpe.encode(docs, path, pattern, ("doc_id", "lang", "source"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokens),
+]
+
+#: SQL can't express the learned, the hashed and the tokenised stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
