@@ -1,11 +1,680 @@
-"""Queries of the knowledge engine itself, with SQL for each."""
+"""Queries of the knowledge engine itself, with SQL for each that runs on another engine."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import values as V
+from tidemark.operators import aggregate as A
+from tidemark.operators import events as E
+from tidemark.operators import evidence as I
+from tidemark.operators import filters as C
+from tidemark.operators import graph as G
+from tidemark.operators import masks as M
+from tidemark.operators import movement as N
+from tidemark.operators import resolve as R
+from tidemark.operators import scan as S
+from tidemark.operators import search as K
+from tidemark.operators import security as L
+from tidemark.plans.context import Context, precedence
+from tidemark.sources.derived import Store, ansi_views
+
+AS_OF, WORLD_DAY, SPACE = 6000, 10200, 4
+CTX = Context(as_of=AS_OF, space=SPACE, world_time=WORLD_DAY)
+FROM_US, TO_US = 1_710_000_000_000_000, 1_712_000_000_000_000
+BELIEVER = CTX.at(perspective=1, mode="believes")
+POLICY = L.Policy(
+    rules=(L.Rule("allow", "read"), L.Rule("deny", "read", layer=2), L.Rule("deny", "read", space=1), L.Rule("deny", "read", record=13), L.Rule("allow", "resolve")),
+    roles=(("ann", "reader"), ("bob", "reader")),
+    inactive=("bob",),
+)
+COLUMNS = {"space": "space_id", "layer": "layer_id", "predicate": "predicate_id", "record": "assertion_id"}
+
+#: Name -> (query, SQL after the common table expressions, or None).
+REGISTRY: dict = {}
+
+#: What the context above sees, for the oracle.
+SEEN = f"""
+vis(space_id, distance, cutoff) AS (
+  SELECT {SPACE}, 0, {AS_OF} UNION ALL
+  SELECT s.parent_id, v.distance + 1, least(v.cutoff, s.base_revision) FROM vis v JOIN history_spaces s ON s.space_id = v.space_id WHERE s.parent_id IS NOT NULL),
+prec AS (SELECT v.space_id, v.cutoff, l.layer_id, -v.distance * 1000 + l.layer_rank AS prec, v.distance, l.layer_rank FROM vis v CROSS JOIN layers l),
+hidden AS (SELECT target_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1 AND action = 'archive'),
+timeless AS (
+  SELECT a.*, p.prec, p.cutoff FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id
+  WHERE a.revision <= p.cutoff AND a.perspective_id = 0 AND a.mode = 'world_state' AND a.assertion_id NOT IN (SELECT target_id FROM hidden)
+    AND NOT EXISTS (SELECT 1 FROM assertion_retractions r WHERE r.assertion_id = a.assertion_id AND r.revision <= p.cutoff)),
+cand AS (
+  SELECT * FROM timeless a WHERE valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})
+    AND NOT EXISTS (SELECT 1 FROM assertion_closures c WHERE c.assertion_id = a.assertion_id AND c.revision <= a.cutoff AND c.close_at <= {WORLD_DAY})),
+amask AS (
+  SELECT m.*, p.prec FROM masks m JOIN prec p ON p.space_id = m.space_id AND p.layer_id = m.layer_id
+  WHERE m.revision <= {AS_OF} AND m.perspective_id = 0 AND m.mode = 'world_state'
+    AND NOT EXISTS (SELECT 1 FROM mask_retractions r WHERE r.mask_id = m.mask_id AND r.revision <= {AS_OF})),
+hits AS (
+  SELECT c.assertion_id, m.mask_id FROM timeless c JOIN amask m ON m.prec > c.prec AND (
+    (m.selector = 'exact' AND m.assertion_id = c.assertion_id) OR
+    (m.selector = 'proposition' AND m.subject_id = c.subject_id AND m.predicate_id = c.predicate_id AND m.value_canon = c.value_canon AND m.polarity = c.polarity) OR
+    (m.selector = 'slot' AND m.subject_id = c.subject_id AND m.predicate_id = c.predicate_id))),
+surv AS (SELECT * FROM cand WHERE assertion_id NOT IN (SELECT assertion_id FROM hits)),
+bnd AS (
+  SELECT b.subject_id, b.predicate_id, max(p.prec) AS prec FROM boundaries b JOIN prec p ON p.space_id = b.space_id AND p.layer_id = b.layer_id
+  WHERE b.revision <= {AS_OF} AND b.perspective_id = 0 AND b.mode = 'world_state' GROUP BY 1, 2),
+ev AS (
+  SELECT e.*, p.prec, p.distance, CASE WHEN e.is_span AND e.end_us IS NULL THEN (SELECT min(c.close_at) FROM event_span_closures c WHERE c.event_id = e.event_id AND c.revision <= {AS_OF}) ELSE e.end_us END AS effective_end
+  FROM world_events e JOIN prec p ON p.space_id = e.space_id AND p.layer_id = e.layer_id
+  WHERE e.revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_retractions r WHERE r.event_id = e.event_id AND r.revision <= {AS_OF})
+    AND NOT EXISTS (SELECT 1 FROM event_masks m JOIN prec q ON q.space_id = m.space_id AND q.layer_id = m.layer_id WHERE m.event_id = e.event_id AND m.revision <= {AS_OF} AND q.prec > p.prec)),
+rel AS (SELECT * FROM event_relations r WHERE revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_relation_retractions x WHERE x.relation_id = r.relation_id AND x.revision <= {AS_OF})),
+vrel AS (SELECT * FROM rel WHERE from_id IN (SELECT event_id FROM ev) AND to_id IN (SELECT event_id FROM ev)),
+prov AS (SELECT * FROM provenance e WHERE revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM provenance_retractions x WHERE x.edge_id = e.edge_id AND x.revision <= {AS_OF}))
+"""
+
+
+def register(name: str, sql: str | None = None):
+    def take(query):
+        REGISTRY[name] = (lambda spark, sf_dir: query(Store(spark, sf_dir)), sql)
+        return query
+
+    return take
+
+
+IDS = "coalesce(string_agg(CAST(assertion_id AS VARCHAR), ',' ORDER BY assertion_id), '')"
+
+
+def _single_sql(source: str, predicate: int = 0, slots: str = "assertions") -> str:
+    return f""", best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY subject_id, predicate_id ORDER BY prec DESC) AS r FROM ({source}) WHERE predicate_id = {predicate}) WHERE r = 1),
+res AS (SELECT subject_id, predicate_id, count(DISTINCT value_canon || '|' || polarity) AS kinds, min(value_canon) AS v, min(polarity) AS p, {IDS} AS contributors FROM best GROUP BY 1, 2)
+SELECT s.subject_id, s.predicate_id, CASE WHEN kinds IS NULL THEN 'unknown' WHEN kinds = 1 THEN 'known' ELSE 'conflict' END AS outcome,
+  CASE WHEN kinds = 1 THEN v END AS value, CASE WHEN kinds = 1 THEN p END AS polarity, contributors
+FROM (SELECT DISTINCT subject_id, predicate_id FROM {slots} WHERE predicate_id = {predicate}) s LEFT JOIN res USING (subject_id, predicate_id)"""
+
+
+# scans
+
+@register("asof_scan", "SELECT a.assertion_id, a.space_id, a.revision, v.distance FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff")
+def _(s):
+    return S.as_of(s.assertions, CTX).select("assertion_id", "space_id", "revision", "distance")
+
+
+@register("ancestry_cutoffs", "SELECT CAST(space_id AS BIGINT) AS space_id, CAST(distance AS INTEGER) AS distance, CAST(cutoff AS BIGINT) AS cutoff FROM vis")
+def _(s):
+    return CTX.visible_spaces(s.spark)
+
+
+@register("raw_log", f"SELECT assertion_id, revision FROM assertions WHERE revision <= {AS_OF}")
+def _(s):
+    return S.raw_log(s.assertions, AS_OF).select("assertion_id", "revision")
+
+
+RAW_SQL = " UNION ALL ".join(f"SELECT {k} AS tag, '{f}' AS family, {key} AS id, revision FROM {t} WHERE revision <= {AS_OF}" for k, (f, t, key) in enumerate(S.RAW_FAMILIES))
+
+
+@register("raw_history", RAW_SQL)
+def _(s):
+    return S.raw_history(s, AS_OF)
+
+
+@register("raw_history_authorized", f"SELECT family, count(*) AS n FROM ({RAW_SQL}) WHERE NOT (family = 'assertion' AND id IN (SELECT assertion_id FROM assertions WHERE layer_id = 2)) GROUP BY family")
+def _(s):
+    allowed = s.assertions.filter(F.col("layer_id") != 2).select(F.col("assertion_id").alias("id"))
+    rows = S.raw_history(s, AS_OF)
+    own = rows.filter(F.col("family") == "assertion").join(allowed, "id", "left_semi").select(rows.columns)
+    return own.unionByName(rows.filter(F.col("family") != "assertion")).groupBy("family").agg(F.count("*").alias("n"))
+
+
+@register("candidates", "SELECT c.assertion_id, c.subject_id, c.predicate_id, p.distance, CAST(p.layer_rank AS BIGINT) AS layer_rank FROM cand c JOIN prec p ON p.space_id = c.space_id AND p.layer_id = c.layer_id")
+def _(s):
+    return S.candidates(s, CTX).select("assertion_id", "subject_id", "predicate_id", "distance", F.col("prec.layer_rank").alias("layer_rank"))
+
+
+@register("candidates_point", "SELECT assertion_id, value_canon, polarity FROM cand WHERE subject_id = 7 AND predicate_id = 1")
+def _(s):
+    return S.candidates(s, CTX, subject=7, predicate=1).select("assertion_id", "value_canon", "polarity")
+
+
+@register("candidates_believed", f"""SELECT a.assertion_id FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id WHERE a.revision <= p.cutoff AND a.perspective_id = 1 AND a.mode = 'believes'
+ AND a.assertion_id NOT IN (SELECT target_id FROM hidden) AND NOT EXISTS (SELECT 1 FROM assertion_retractions r WHERE r.assertion_id = a.assertion_id AND r.revision <= p.cutoff)
+ AND valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY}) AND NOT EXISTS (SELECT 1 FROM assertion_closures c WHERE c.assertion_id = a.assertion_id AND c.revision <= p.cutoff AND c.close_at <= {WORLD_DAY})""")
+def _(s):
+    return S.candidates(s, BELIEVER).select("assertion_id")
+
+
+@register("candidates_authorized", "SELECT assertion_id FROM cand WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13")
+def _(s):
+    return S.candidates(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS)).select("assertion_id")
+
+
+@register("base_layer_candidates", "SELECT assertion_id FROM cand WHERE layer_id = 0")
+def _(s):
+    return S.candidates(s, CTX.at(layers="base")).select("assertion_id")
+
+
+@register("entity_history", "SELECT a.assertion_id, a.predicate_id, a.revision FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff AND perspective_id = 0 AND mode = 'world_state' AND subject_id = 7")
+def _(s):
+    return S.history(s, CTX, subject=7).select("assertion_id", "predicate_id", "revision")
+
+
+@register("predicate_history", "SELECT a.assertion_id, a.subject_id, a.revision FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff AND perspective_id = 0 AND mode = 'world_state' AND predicate_id = 2")
+def _(s):
+    return S.history(s, CTX, predicate=2).select("assertion_id", "subject_id", "revision")
+
+
+@register("point_history", "SELECT a.assertion_id, a.revision, a.value_canon FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff AND perspective_id = 0 AND mode = 'world_state' AND subject_id = 7 AND predicate_id = 1")
+def _(s):
+    return S.history(s, CTX, subject=7, predicate=1).select("assertion_id", "revision", "value_canon")
+
+
+@register("lifecycle_through", f"SELECT 'retraction' AS kind, assertion_id, revision FROM assertion_retractions WHERE revision <= {AS_OF} UNION ALL SELECT 'closure', assertion_id, revision FROM assertion_closures WHERE revision <= {AS_OF}")
+def _(s):
+    parts = [S.raw_log(t, AS_OF).select(F.lit(k).alias("kind"), "assertion_id", "revision") for k, t in (("retraction", s.assertion_retractions), ("closure", s.assertion_closures))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("record_lookup", "SELECT * FROM assertions WHERE assertion_id = 1234")
+def _(s):
+    return s.assertions.filter(F.col("assertion_id") == 1234)
+
+
+@register("schema_at", f"SELECT predicate_id, policy, lifecycle, revision FROM (SELECT *, row_number() OVER (PARTITION BY predicate_id ORDER BY revision DESC) AS r FROM schema_predicates WHERE revision <= {AS_OF}) WHERE r = 1")
+def _(s):
+    return S.latest(s.schema_predicates, "predicate_id", AS_OF).select("predicate_id", "policy", "lifecycle", "revision")
+
+
+@register("schema_history", "SELECT predicate_id, revision, policy FROM schema_predicates WHERE predicate_id = 1")
+def _(s):
+    return s.schema_predicates.filter(F.col("predicate_id") == 1).select("predicate_id", "revision", "policy").orderBy("revision")
+
+
+@register("validity_stabbing", f"SELECT assertion_id FROM assertions WHERE valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})")
+def _(s):
+    return s.assertions.filter(S.contains("valid_start", "valid_end", F.lit(WORLD_DAY))).select("assertion_id")
+
+
+@register("archive_state", f"SELECT target_id, action, revision FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1")
+def _(s):
+    return S.latest(s.archive_transitions, "target_id", AS_OF).select("target_id", "action", "revision")
+
+
+@register("ordinary_targets", f"SELECT assertion_id FROM assertions WHERE revision <= {AS_OF} AND assertion_id NOT IN (SELECT target_id FROM hidden)")
+def _(s):
+    hidden = S.archived(s.archive_transitions, AS_OF).withColumnRenamed("target_id", "assertion_id")
+    return S.raw_log(s.assertions, AS_OF).join(hidden, "assertion_id", "left_anti").select("assertion_id")
+
+
+# masks and resolution
+
+for _selector in M.SELECTORS:
+    def _masked(s, selector=_selector):
+        masks = M.active_masks(s, CTX).filter(F.col("selector") == selector)
+        return M.applied_masks(S.candidates(s, CTX), masks).select("assertion_id")
+
+    register(f"mask_{_selector}", f"SELECT DISTINCT h.assertion_id FROM hits h JOIN masks m USING (mask_id) WHERE m.selector = '{_selector}' AND h.assertion_id IN (SELECT assertion_id FROM cand)")(_masked)
+
+
+@register("mask_trace", "SELECT assertion_id, min(mask_id) AS mask_id FROM hits WHERE assertion_id IN (SELECT assertion_id FROM cand) GROUP BY assertion_id")
+def _(s):
+    return M.applied_masks(S.candidates(s, CTX), M.active_masks(s, CTX))
+
+
+@register("mask_survivors", "SELECT assertion_id FROM surv")
+def _(s):
+    return M.apply_masks(S.candidates(s, CTX), M.active_masks(s, CTX)).select("assertion_id")
+
+
+@register("masks_for_slot", "SELECT mask_id, selector FROM amask WHERE subject_id = 7")
+def _(s):
+    return M.active_masks(s, CTX).filter(F.col("subject_id") == 7).select("mask_id", "selector")
+
+
+@register("boundary_cutoffs", "SELECT subject_id, predicate_id, CAST(prec AS BIGINT) AS prec FROM bnd")
+def _(s):
+    return R.boundary_cutoffs(s, CTX).select("subject_id", "predicate_id", (F.col("boundary_prec.nearness") * 1000 + F.col("boundary_prec.layer_rank")).cast("long").alias("prec"))
+
+
+@register("resolve_single_point", _single_sql("SELECT * FROM surv"))
+def _(s):
+    return R.resolve_single(s, CTX)
+
+
+@register("secure_resolve", _single_sql("SELECT * FROM surv WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13"))
+def _(s):
+    return R.resolve_single(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS))
+
+
+@register("secure_resolve_inactive", _single_sql("SELECT * FROM surv WHERE false"))
+def _(s):
+    return R.resolve_single(s, CTX, allowed=L.authorized(POLICY, "bob", "read", COLUMNS))
+
+
+MULTI_SQL = """SELECT subject_id, predicate_id, value_canon AS value,
+  coalesce(string_agg(CAST(assertion_id AS VARCHAR), ',' ORDER BY assertion_id) FILTER (polarity = 'positive'), '') AS positive,
+  coalesce(string_agg(CAST(assertion_id AS VARCHAR), ',' ORDER BY assertion_id) FILTER (polarity = 'negative'), '') AS negative,
+  CASE WHEN count(DISTINCT polarity) = 2 THEN 'conflict' ELSE min(polarity) END AS state FROM {0} WHERE predicate_id = {1} GROUP BY 1, 2, 3"""
+
+
+@register("overlay_values", MULTI_SQL.format("surv", 1))
+def _(s):
+    return R.multi_value(R.surviving(s, CTX, 1))
+
+
+@register("resolve_overlay", f""", v AS ({MULTI_SQL.format('surv', 1)}), o AS (SELECT subject_id, predicate_id, count(*) AS n_values, count(*) FILTER (state = 'conflict') AS n_conflicts FROM v GROUP BY 1, 2)
+SELECT s.*, CASE WHEN n_values IS NULL THEN 'unknown' WHEN n_conflicts > 0 THEN 'conflict' ELSE 'known' END AS outcome, n_values, n_conflicts FROM (SELECT DISTINCT subject_id, predicate_id FROM assertions WHERE predicate_id = 1) s LEFT JOIN o USING (subject_id, predicate_id)""")
+def _(s):
+    return R.resolve_overlay(s, CTX)
+
+
+AFTER_BOUNDARY = "SELECT c.* FROM surv c LEFT JOIN bnd b ON b.subject_id = c.subject_id AND b.predicate_id = c.predicate_id WHERE b.prec IS NULL OR c.prec >= b.prec"
+
+
+@register("resolve_replace", f""", kept AS ({AFTER_BOUNDARY}), v AS ({MULTI_SQL.format('kept', 2)}), o AS (SELECT subject_id, predicate_id, count(*) AS nv, count(*) FILTER (state = 'conflict') AS nc FROM v GROUP BY 1, 2)
+SELECT s.subject_id, s.predicate_id, CASE WHEN nc > 0 THEN 'conflict' WHEN nv > 0 THEN 'known' WHEN b.prec IS NOT NULL THEN 'known_empty' ELSE 'unknown' END AS outcome, coalesce(nv, 0) AS n_values, coalesce(nc, 0) AS n_conflicts
+FROM (SELECT DISTINCT subject_id, predicate_id FROM assertions WHERE predicate_id = 2) s LEFT JOIN o USING (subject_id, predicate_id) LEFT JOIN bnd b USING (subject_id, predicate_id)""")
+def _(s):
+    return R.resolve_replace(s, CTX)
+
+
+@register("explain_stages", f""", kept AS ({AFTER_BOUNDARY}), n AS (SELECT subject_id, predicate_id, count(*) AS n0, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM surv)) AS n1, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM kept)) AS n2 FROM cand WHERE predicate_id = 2 GROUP BY 1, 2)
+SELECT subject_id, predicate_id, 1 AS stage_no, 'candidate_scan' AS stage, n0 AS n_in, n0 AS n_out FROM n UNION ALL SELECT subject_id, predicate_id, 2, 'mask_projection', n0, n1 FROM n UNION ALL SELECT subject_id, predicate_id, 3, 'replacement_boundary', n1, n2 FROM n""")
+def _(s):
+    return R.explain(s, CTX)
+
+
+CELLS_SQL = f""", kept AS (SELECT a.*, p.cutoff FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id WHERE a.revision <= p.cutoff AND perspective_id = 0 AND mode = 'world_state' AND predicate_id = 0 AND assertion_id NOT IN (SELECT target_id FROM hidden)),
+edges AS (SELECT subject_id, predicate_id, valid_start AS edge FROM kept UNION SELECT subject_id, predicate_id, valid_end FROM kept WHERE valid_end IS NOT NULL UNION SELECT k.subject_id, k.predicate_id, c.close_at FROM kept k JOIN assertion_closures c ON c.assertion_id = k.assertion_id AND c.revision <= k.cutoff),
+grid AS (SELECT subject_id, predicate_id, edge AS cell_start, lead(edge) OVER (PARTITION BY subject_id, predicate_id ORDER BY edge) AS cell_end FROM edges UNION ALL SELECT subject_id, predicate_id, NULL, min(edge) FROM edges GROUP BY 1, 2)"""
+
+
+@register("all_times_cells", CELLS_SQL + " SELECT * FROM grid")
+def _(s):
+    return R.cells(s, CTX, 0)
+
+
+@register("all_times_single", CELLS_SQL + f""",
+live AS (SELECT t.*, least(coalesce(valid_end, 1e15), coalesce((SELECT min(close_at) FROM assertion_closures c WHERE c.assertion_id = t.assertion_id AND c.revision <= t.cutoff), 1e15)) AS until FROM timeless t WHERE assertion_id NOT IN (SELECT assertion_id FROM hits)),
+inside AS (SELECT g.subject_id, g.predicate_id, g.cell_start, l.assertion_id, l.value_canon, l.polarity, rank() OVER (PARTITION BY g.subject_id, g.predicate_id, g.cell_start ORDER BY l.prec DESC) AS r FROM grid g JOIN live l ON l.subject_id = g.subject_id AND l.predicate_id = g.predicate_id AND l.valid_start <= g.cell_start AND g.cell_start < l.until),
+res AS (SELECT subject_id, predicate_id, cell_start, count(DISTINCT value_canon || '|' || polarity) AS kinds, min(value_canon) AS v, min(polarity) AS p, {IDS} AS contributors FROM inside WHERE r = 1 GROUP BY 1, 2, 3)
+SELECT g.*, CASE WHEN kinds IS NULL THEN 'unknown' WHEN kinds = 1 THEN 'known' ELSE 'conflict' END AS outcome, CASE WHEN kinds = 1 THEN v END AS value, CASE WHEN kinds = 1 THEN p END AS polarity, contributors FROM grid g LEFT JOIN res r ON r.subject_id = g.subject_id AND r.predicate_id = g.predicate_id AND r.cell_start = g.cell_start""")
+def _(s):
+    return R.all_times_single(s, CTX)
+
+
+@register("context_precedence", "SELECT space_id, layer_id, CAST(prec AS BIGINT) AS prec FROM prec")
+def _(s):
+    pairs = [(sp, la) for sp in CTX.space_ids() for la, _ in CTX.selected_layers()]
+    rows = s.spark.createDataFrame(pairs, "space_id int, layer_id int").withColumn("p", precedence(CTX))
+    return rows.select("space_id", "layer_id", (F.col("p.nearness") * 1000 + F.col("p.layer_rank")).cast("long").alias("prec"))
+
+
+# events
+
+@register("events_visible", "SELECT event_id, kind, CAST(distance AS BIGINT) AS distance, start_us, end_us FROM ev")
+def _(s):
+    return E.visible_events(s, CTX).select("event_id", "kind", (-F.col("prec.nearness")).cast("long").alias("distance"), "start_us", "end_us")
+
+
+WITHIN = "(is_span AND start_us < {b} AND (effective_end IS NULL OR effective_end > {a}) OR NOT is_span AND start_us >= {a} AND start_us < {b})"
+
+
+@register("event_overlap", f"SELECT event_id, start_us, end_us FROM ev WHERE {WITHIN.format(a=FROM_US, b=TO_US)}")
+def _(s):
+    return E.visible_events(s, CTX, within=(FROM_US, TO_US)).select("event_id", "start_us", "end_us")
+
+
+@register("event_at", f"SELECT event_id FROM ev WHERE (is_span AND start_us <= {FROM_US} AND (effective_end IS NULL OR effective_end > {FROM_US})) OR (NOT is_span AND start_us = {FROM_US})")
+def _(s):
+    return E.visible_events(s, CTX, at=FROM_US).select("event_id")
+
+
+@register("event_effective_end", "SELECT event_id, effective_end FROM ev WHERE is_span")
+def _(s):
+    return E.visible_events(s, CTX).filter("is_span").select("event_id", "effective_end")
+
+
+@register("event_by_kind_role", "SELECT kind, role, count(*) AS n, count(DISTINCT participant_id) AS participants FROM ev GROUP BY 1, 2")
+def _(s):
+    return E.visible_events(s, CTX).groupBy("kind", "role").agg(F.count("*").alias("n"), F.countDistinct("participant_id").alias("participants"))
+
+
+@register("event_by_participant", "SELECT event_id, kind FROM ev WHERE participant_id = 42")
+def _(s):
+    return E.visible_events(s, CTX).filter(F.col("participant_id") == 42).select("event_id", "kind")
+
+
+@register("event_masked", f"SELECT DISTINCT m.event_id FROM event_masks m JOIN prec q ON q.space_id = m.space_id AND q.layer_id = m.layer_id WHERE m.revision <= {AS_OF}")
+def _(s):
+    masks = E.in_layers(S.raw_log(s.event_masks, AS_OF), CTX).withColumn("prec", precedence(CTX))
+    return masks.filter(F.col("prec").isNotNull()).select("event_id").distinct()
+
+
+@register("events_authorized", "SELECT event_id FROM ev WHERE layer_id <> 2")
+def _(s):
+    return E.visible_events(s, CTX, allowed=F.col("layer_id") != 2).select("event_id")
+
+
+@register("event_relations_active", "SELECT relation_id, kind, from_id, to_id FROM rel")
+def _(s):
+    return E.active_relations(s, AS_OF).select("relation_id", "kind", "from_id", "to_id")
+
+
+@register("event_relations_visible", "SELECT relation_id, kind, from_id, to_id FROM vrel")
+def _(s):
+    return E.visible_relations(s, CTX).select("relation_id", "kind", "from_id", "to_id")
+
+
+@register("event_relation_neighbours", "SELECT relation_id, kind FROM rel WHERE from_id = 40 OR to_id = 40")
+def _(s):
+    return E.active_relations(s, AS_OF).filter((F.col("from_id") == 40) | (F.col("to_id") == 40)).select("relation_id", "kind")
+
+
+@register("same_time_components", """, RECURSIVE_MARK reach(a, b) AS (SELECT from_id, to_id FROM rel WHERE kind = 'same_time' UNION SELECT to_id, from_id FROM rel WHERE kind = 'same_time' UNION SELECT r.a, e.to_id FROM reach r JOIN rel e ON e.kind = 'same_time' AND e.from_id = r.b)
+SELECT a AS event_id, least(a, min(b)) AS representative FROM reach GROUP BY a""".replace("RECURSIVE_MARK ", ""))
+def _(s):
+    return E.same_time_components(E.active_relations(s, AS_OF))
+
+
+@register("before_cycle_residue", "SELECT event_id AS node FROM world_events WHERE false")
+def _(s):
+    return E.before_residue(E.active_relations(s, AS_OF))
+
+
+@register("participant_counts", "SELECT event_id, role, count(*) AS n FROM world_events GROUP BY 1, 2")
+def _(s):
+    return E.participant_counts(s.world_events)
+
+
+# evidence and provenance
+
+@register("evidence_history", f"""SELECT e.evidence_id, e.source_id, s.locator, e.target_id, e.relation, r.retracted_at, CASE WHEN r.retracted_at IS NULL THEN 'active' ELSE 'retracted' END AS state
+FROM evidence e JOIN sources s ON s.source_id = e.source_id AND s.revision <= {AS_OF} JOIN vis v ON v.space_id = e.target_space_id AND e.target_revision <= v.cutoff
+LEFT JOIN (SELECT evidence_id, min(revision) AS retracted_at FROM evidence_retractions WHERE revision <= {AS_OF} GROUP BY 1) r USING (evidence_id) WHERE e.revision <= {AS_OF}""")
+def _(s):
+    return I.evidence_history(s, CTX)
+
+
+@register("evidence_neighbours", "SELECT source_id, relation, count(*) AS n FROM evidence GROUP BY 1, 2")
+def _(s):
+    return s.evidence.groupBy("source_id", "relation").agg(F.count("*").alias("n"))
+
+
+@register("provenance_active", "SELECT edge_id, from_id, to_id, relation FROM prov")
+def _(s):
+    return I.active_provenance(s, AS_OF).select("edge_id", "from_id", "to_id", "relation")
+
+
+@register("provenance_duplicates", "SELECT from_id, to_id, relation, count(*) AS n FROM prov GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def _(s):
+    return I.duplicates(I.active_provenance(s, AS_OF))
+
+
+@register("provenance_dependencies", "SELECT CASE relation WHEN 'derived_from' THEN to_id ELSE from_id END AS a, CASE relation WHEN 'derived_from' THEN from_id ELSE to_id END AS b FROM prov")
+def _(s):
+    return I.dependencies(I.active_provenance(s, AS_OF))
+
+
+@register("provenance_neighbours", "SELECT edge_id, relation FROM prov WHERE from_id = 10 OR to_id = 10")
+def _(s):
+    return I.neighbours(I.active_provenance(s, AS_OF), 10).select("edge_id", "relation")
+
+
+@register("provenance_cycle", "SELECT edge_id AS node FROM prov WHERE false")
+def _(s):
+    return E.cycle_residue(I.dependencies(I.active_provenance(s, AS_OF)))
+
+
+# graph
+
+def _bfs_sql(direction: str, depth: int) -> str:
+    ahead = "SELECT from_id AS a, to_id AS b FROM vrel WHERE kind IN ('before', 'same_time')"
+    back = "SELECT to_id AS a, from_id AS b FROM vrel WHERE kind IN ('before', 'same_time')"
+    same = "SELECT to_id AS a, from_id AS b FROM vrel WHERE kind = 'same_time'"
+    links = f"{ahead} UNION {back}" if direction == "both" else f"{ahead} UNION {same}"
+    return f""", links AS ({links}), roots AS (SELECT DISTINCT event_id FROM ev WHERE event_id % 500 = 0),
+walk(node, depth) AS (SELECT event_id, 0 FROM roots UNION SELECT l.b, w.depth + 1 FROM walk w JOIN links l ON l.a = w.node WHERE w.depth < {depth})
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"""
+
+
+def _bfs(s, direction: str, depth: int) -> DataFrame:
+    nodes = E.visible_events(s, CTX).select("event_id")
+    roots = tuple(r.event_id for r in nodes.filter("event_id % 500 = 0").orderBy("event_id").limit(10_000).collect()) or (0,)
+    return G.traverse(nodes, E.visible_relations(s, CTX), G.GraphSpec(roots, ("before", "same_time"), direction, depth))[0]
+
+
+@register("bfs_out", _bfs_sql("out", 4))
+def _(s):
+    return _bfs(s, "outgoing", 4)
+
+
+@register("bfs_both", _bfs_sql("both", 3))
+def _(s):
+    return _bfs(s, "both", 3)
+
+
+# search
+
+@register("token_all", r"SELECT result_key, 'text' AS matched_fields FROM search_documents WHERE len(list_intersect(regexp_split_to_array(text, '[\t\n\f\r ]+'), ['the', 'and'])) = 2")
+def _(s):
+    return K.search(s.search_documents, ["the", "and"])
+
+
+@register("token_any", r"SELECT result_key, 'text' AS matched_fields FROM search_documents WHERE len(list_intersect(regexp_split_to_array(text, '[\t\n\f\r ]+'), ['der', 'las'])) > 0")
+def _(s):
+    return K.search(s.search_documents, ["der", "las", "der"], every=False)
+
+
+@register("fulltext_bool", r"SELECT result_key FROM (SELECT result_key, regexp_split_to_array(text, '[\t\n\f\r ]+') AS t FROM search_documents) WHERE (list_contains(t, 'the') OR list_contains(t, 'der')) AND NOT list_contains(t, 'and')")
+def _(s):
+    return K.full_text(s.search_documents, ("all", ("any", "the", "der"), ("not", "and")))
+
+
+# aggregates
+
+@register("agg_count", "SELECT count(*) AS n FROM surv")
+def _(s):
+    return A.count(M.apply_masks(S.candidates(s, CTX), M.active_masks(s, CTX)))
+
+
+@register("agg_exists", "SELECT count(*) > 0 AS found FROM surv WHERE predicate_id = 1")
+def _(s):
+    return A.exists(R.surviving(s, CTX, 1))
+
+
+@register("agg_grouped_missing", "SELECT valid_end, polarity, count(*) AS n FROM surv GROUP BY 1, 2")
+def _(s):
+    return A.grouped_count(M.apply_masks(S.candidates(s, CTX), M.active_masks(s, CTX)), ["valid_end", "polarity"])
+
+
+@register("agg_by_polarity", "SELECT polarity, count(*) AS n FROM surv GROUP BY 1")
+def _(s):
+    return A.grouped_count(M.apply_masks(S.candidates(s, CTX), M.active_masks(s, CTX)), ["polarity"])
+
+
+@register("agg_contributors", """, best AS (SELECT *, rank() OVER (PARTITION BY subject_id ORDER BY prec DESC) AS r FROM surv WHERE predicate_id = 0)
+SELECT polarity, count(*) AS n FROM best WHERE r = 1 GROUP BY 1""")
+def _(s):
+    used = A.contributors(R.resolve_single(s, CTX))
+    return A.grouped_count(s.assertions.join(used, "assertion_id", "left_semi"), ["polarity"])
+
+
+@register("secure_counts", "SELECT polarity, count(*) AS n FROM surv WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13 GROUP BY 1")
+def _(s):
+    rows = S.candidates(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS))
+    return A.grouped_count(M.apply_masks(rows, M.active_masks(s, CTX)), ["polarity"])
+
+
+# filters, sorting, pages
+
+@register("filter_tree", f"SELECT assertion_id FROM assertions WHERE NOT (subject_id = 7 OR coalesce(valid_end < {WORLD_DAY}, false)) AND revision > 100 AND revision <= 3000 AND predicate_id IN (0, 2)")
+def _(s):
+    tree = ("all", ("not", ("any", ("is", "subject_id", 7), ("range", "valid_end", None, WORLD_DAY, False, True))), ("range", "revision", 100, 3000, True, False), ("in", "predicate_id", (0, 2)))
+    return s.assertions.filter(C.compile_filter(tree)).select("assertion_id")
+
+
+@register("filter_not_missing", "SELECT assertion_id FROM assertions WHERE valid_end IS NULL")
+def _(s):
+    return s.assertions.filter(C.compile_filter(("not", ("exists", "valid_end")))).select("assertion_id")
+
+
+@register("filter_overlaps", f"SELECT assertion_id FROM assertions WHERE valid_start < {WORLD_DAY + 30} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})")
+def _(s):
+    return s.assertions.filter(C.compile_filter(("overlaps", "valid_start", "valid_end", WORLD_DAY, WORLD_DAY + 30))).select("assertion_id")
+
+
+@register("project_redacted", "SELECT assertion_id, false AS assertion_id_redacted, CASE WHEN layer_id <> 2 THEN value_canon END AS value_canon, layer_id = 2 AS value_canon_redacted FROM assertions")
+def _(s):
+    return C.project(s.assertions, ["assertion_id", "value_canon"], {"value_canon": F.col("layer_id") != 2})
+
+
+@register("sort_missing_last", "SELECT assertion_id, valid_end FROM assertions ORDER BY valid_end DESC NULLS LAST, assertion_id LIMIT 500")
+def _(s):
+    return C.sort(s.assertions, [("valid_end", "desc", "last")], "assertion_id").limit(500).select("assertion_id", "valid_end")
+
+
+@register("page_keyset", "SELECT assertion_id FROM surv WHERE assertion_id > 5000 ORDER BY assertion_id LIMIT 65")
+def _(s):
+    return C.page(M.apply_masks(S.candidates(s, CTX), M.active_masks(s, CTX)), "assertion_id", 64, 5000).select("assertion_id")
+
+
+# movement
+
+@register("verify_store", """SELECT 'repeated_assertions' AS "check", count(*) AS n FROM (SELECT assertion_id FROM assertions GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'repeated_events', count(*) FROM (SELECT event_id FROM world_events GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'retractions_without_assertion', count(*) FROM assertion_retractions WHERE assertion_id NOT IN (SELECT assertion_id FROM assertions)
+UNION ALL SELECT 'closures_without_assertion', count(*) FROM assertion_closures WHERE assertion_id NOT IN (SELECT assertion_id FROM assertions)
+UNION ALL SELECT 'mask_retractions_without_mask', count(*) FROM mask_retractions WHERE mask_id NOT IN (SELECT mask_id FROM masks)
+UNION ALL SELECT 'evidence_without_source', count(*) FROM evidence WHERE source_id NOT IN (SELECT source_id FROM sources)
+UNION ALL SELECT 'relations_without_event', count(*) FROM event_relations WHERE to_id NOT IN (SELECT event_id FROM world_events)
+UNION ALL SELECT 'provenance_without_record', count(*) FROM provenance WHERE to_id NOT IN (SELECT assertion_id FROM assertions)""")
+def _(s):
+    return N.verify(s)
+
+
+@register("validate_batch", """SELECT assertion_id, CASE WHEN value_canon NOT IN ('O', 'F') THEN 'value_not_allowed' ELSE 'revision' END AS reason FROM assertions WHERE value_canon NOT IN ('O', 'F') OR revision > 7000""")
+def _(s):
+    predicates = S.latest(s.schema_predicates, "predicate_id", 100_000)
+    return N.validate_assertions(s.assertions, predicates, ("O", "F"), 7000)
+
+
+@register("correction_batch", "SELECT assertion_id + 1000000000 AS from_id, assertion_id AS to_id, 'corrects' AS relation, CAST(9000 AS BIGINT) AS revision FROM assertions WHERE assertion_id % 97 = 0")
+def _(s):
+    changes = s.assertions.filter("assertion_id % 97 = 0").select("assertion_id", F.lit("X").alias("value_canon"))
+    return N.correct(s.assertions, changes, 9000, 1_000_000_000)[2]
+
+
+@register("remap_import", "SELECT assertion_id, CASE WHEN subject_id % 2 = 0 THEN subject_id + 100000 ELSE subject_id END AS subject_id FROM assertions")
+def _(s):
+    mapping = s.assertions.select(F.col("subject_id").alias("source_id")).distinct().filter("source_id % 2 = 0").withColumn("target_id", F.col("source_id") + 100000)
+    return N.remap(s.assertions, ["subject_id"], mapping).select("assertion_id", "subject_id")
+
+
+@register("import_collisions", "SELECT assertion_id, 'exists' AS reason FROM assertions WHERE assertion_id % 10 = 3")
+def _(s):
+    return N.import_collisions(s.assertions.filter("assertion_id % 10 = 3"), s.assertions, "assertion_id")
+
+
+VISIBLE = f"SELECT a.*, v.cutoff FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff"
+
+
+@register("transfer_preview", f""", rows AS ({VISIBLE}), copied AS (SELECT * FROM rows WHERE assertion_id NOT IN (SELECT target_id FROM hidden))
+SELECT 'assertion' AS kind, count(*) AS n FROM copied UNION ALL SELECT 'archived_omitted', count(*) FROM rows WHERE assertion_id IN (SELECT target_id FROM hidden)
+UNION ALL SELECT 'retraction', count(*) FROM assertion_retractions r JOIN copied c ON c.assertion_id = r.assertion_id AND r.revision <= c.cutoff
+UNION ALL SELECT 'closure', count(*) FROM assertion_closures r JOIN copied c ON c.assertion_id = r.assertion_id AND r.revision <= c.cutoff""")
+def _(s):
+    return N.transfer_preview(s, CTX, 9)
+
+
+@register("transfer_copy", f"SELECT assertion_id + 1000000000 AS assertion_id, CAST(9 AS BIGINT) AS space_id, CAST(9001 AS BIGINT) AS revision, subject_id FROM ({VISIBLE})")
+def _(s):
+    return N.transfer(s, CTX, 9, 9001, 1_000_000_000)[0].select("assertion_id", "space_id", "revision", "subject_id")
+
+
+@register("purge_closure", """, dep AS (SELECT CASE relation WHEN 'derived_from' THEN to_id ELSE from_id END AS a, CASE relation WHEN 'derived_from' THEN from_id ELSE to_id END AS b FROM prov),
+gone(node) AS (SELECT assertion_id FROM assertions WHERE assertion_id % 50 = 0 UNION SELECT d.b FROM gone g JOIN dep d ON d.a = g.node) SELECT node FROM gone""")
+def _(s):
+    seeds = s.assertions.filter("assertion_id % 50 = 0").select(F.col("assertion_id").alias("node"))
+    return N.purge_closure(I.dependencies(I.active_provenance(s, AS_OF)), seeds)
+
+
+@register("purge_rewrite", "SELECT assertion_id FROM assertions WHERE assertion_id % 50 <> 0")
+def _(s):
+    gone = s.assertions.filter("assertion_id % 50 = 0").select(F.col("assertion_id").alias("node"))
+    return N.purge(s.assertions, "assertion_id", gone).select("assertion_id")
+
+
+@register("calendar_shift", "SELECT assertion_id, date_diff('day', DATE '1970-01-01', CAST(((DATE '1970-01-01' + CAST(valid_start AS INTEGER)) + INTERVAL 1 YEAR) + INTERVAL 1 MONTH + INTERVAL 3 DAY AS DATE)) AS valid_start FROM assertions")
+def _(s):
+    return N.migrate_validity(s.assertions, 1, 1, 3).select("assertion_id", "valid_start")
+
+
+@register("migration_estimate", "SELECT count(*) AS n, CAST(sum(strlen(CAST(assertion_id AS VARCHAR)) + strlen(value_canon)) AS BIGINT) AS n_bytes FROM assertions")
+def _(s):
+    return N.estimate(s.assertions, ["assertion_id", "value_canon"])
+
+
+@register("logical_export", f"SELECT assertion_id, space_id, revision FROM ({VISIBLE}) WHERE revision BETWEEN 500 AND 3000")
+def _(s):
+    return N.export_rows(s, CTX, 500, 3000).select("assertion_id", "space_id", "revision")
+
+
+@register("sharing_export", f""", rows AS (SELECT * FROM ({VISIBLE}) WHERE revision BETWEEN 500 AND 3000 AND layer_id <> 2)
+SELECT assertion_id FROM rows WHERE assertion_id NOT IN (SELECT from_id FROM provenance WHERE relation = 'derived_from' AND to_id NOT IN (SELECT assertion_id FROM rows))""")
+def _(s):
+    return N.sharing_rows(s, CTX, 500, 3000, F.col("layer_id") != 2).select("assertion_id")
+
+
+@register("class_summary", " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n FROM {t} WHERE revision <= {AS_OF}" for f, t, _ in S.RAW_FAMILIES))
+def _(s):
+    return N.class_summary(s, AS_OF)
+
+
+@register("archive_alternation", "SELECT target_id, action, revision FROM archive_transitions WHERE false")
+def _(s):
+    return N.alternation_errors(s.archive_transitions)
+
+
+# scalars
+
+@register("scalar_decimal", """SELECT k AS id, CASE WHEN k % 2 = 0 THEN '-' ELSE '' END || CAST(k AS VARCHAR) || CASE WHEN k % 10 = 0 THEN '' ELSE '.' || CAST(k % 10 AS VARCHAR) END AS canonical FROM (SELECT o_orderkey AS k FROM orders) WHERE k > 0""")
+def _(s):
+    k = F.col("assertion_id")
+    text = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.lit("00"), k.cast("string"), F.lit("."), (k % 10).cast("string"), F.lit("00"))
+    return s.assertions.filter(k > 0).select(k.alias("id"), V.decimal_canonical(text).alias("canonical"))
+
+
+@register("scalar_symbol", "SELECT value_canon, regexp_full_match(lower(value_canon), '[a-z][a-z0-9_]*') AS is_symbol, count(*) AS n FROM assertions GROUP BY 1")
+def _(s):
+    return s.assertions.groupBy("value_canon").agg(F.count("*").alias("n")).select("value_canon", V.is_symbol(F.lower("value_canon")).alias("is_symbol"), "n")
+
+
+@register("scalar_days_in_month", "SELECT valid_start, CAST(day(last_day(DATE '1970-01-01' + CAST(valid_start AS INTEGER))) AS INTEGER) AS days FROM assertions")
+def _(s):
+    return s.assertions.select("valid_start", V.days_in_month(F.date_add(F.lit("1970-01-01").cast("date"), F.col("valid_start").cast("int"))).alias("days"))
+
+
+@register("scalar_world_time", "SELECT assertion_id, valid_start * 86400000000000 AS ns FROM assertions")
+def _(s):
+    return s.assertions.select("assertion_id", V.world_nanoseconds(F.col("valid_start"), F.lit(V.NANOSECONDS_PER_DAY)).alias("ns"))
+
+
+@register("scalar_utf8_length", "SELECT result_key, CAST(strlen(text) AS INTEGER) AS n_bytes FROM search_documents")
+def _(s):
+    return s.search_documents.select("result_key", V.utf8_length(F.col("text")).alias("n_bytes"))
+
+
+@register("scalar_fingerprint", "SELECT assertion_id, sha256(CAST(strlen(CAST(assertion_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(assertion_id AS VARCHAR) || '|' || CAST(strlen(value_canon) AS VARCHAR) || ':' || value_canon) AS fingerprint FROM assertions")
+def _(s):
+    return s.assertions.select("assertion_id", V.fingerprint(F.col("assertion_id"), F.col("value_canon")).alias("fingerprint"))
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {}
+    for name, (_, sql) in REGISTRY.items():
+        if sql is not None:
+            joint = "" if sql.lstrip().startswith(",") else "\n"
+            out[name] = f"WITH RECURSIVE {ansi_views()},\n{SEEN.strip()}{joint}{sql}"
+    return out
