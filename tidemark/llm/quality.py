@@ -25,56 +25,91 @@ BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 10, (2, 3, 4)
 #: At most so many labelled rows are learned from: those of the least CRC-32 of their id.
 TRAIN_ROWS = 4000
 EPOCHS, RATE = 6, 0.5
-#: Features of so many distinct words are remembered by a worker; then it starts anew.
-MEMORY = 300_000
+#: Sums of so many distinct words are remembered by a worker; then it starts anew.
+MEMORY = 400_000
+#: Bytes of texts scored at once.
+CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """Word -> its number; for each number a hash of the word and what ``features`` gives for its buckets."""
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of words, all words at once, and the index of the word of each: the word itself, and its character n-grams with its ends marked."""
+    framed = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    buckets, owners = [np.fromiter((zlib.crc32(w, 7) for w in words), np.int64, len(words)) % BUCKETS], [np.arange(len(words))]
+    for n in NGRAMS:
+        if len(framed) < n:
+            continue
+        code = np.full(len(framed) - n + 1, n, np.uint64)
+        for k in range(n):
+            code = code << np.uint64(8) | framed[k : len(framed) - n + 1 + k]
+        whole = np.flatnonzero(np.arange(len(code)) + n <= ends[: len(code)])
+        buckets.append((code[whole] * _MIX >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        owners.append(owner[whole])
+    return np.concatenate(buckets), np.concatenate(owners)
 
-    def __init__(self, features):
-        super().__init__()
-        self.features = features
+
+def pairs(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of neighbouring words within a text, from the words' hashes and the index of their text; and that index."""
+    together = np.flatnonzero(texts[:-1] == texts[1:])
+    a, b = hashes[together], hashes[together + 1]
+    mixed = (a * _MIX + b) * _MIX >> np.uint64(40)
+    return np.where(a == b, np.uint64(0), mixed).astype(np.int64) % BUCKETS, texts[together]
+
+
+def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts, and the index of the text of each."""
+    lists = [t.split() for t in texts]
+    return [w for own in lists for w in own], np.repeat(np.arange(len(texts)), [len(own) for own in lists])
+
+
+def word_hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w, 11) for w in words), np.uint64, len(words))
+
+
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text, and how often it has each."""
+    words, texts = split([text])
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    kinds = list(dict.fromkeys(words))
+    place = dict(zip(kinds, range(len(kinds)), strict=True))
+    uses = np.bincount([place[w] for w in words], minlength=len(kinds))
+    buckets, owners = subwords(kinds)
+    counts = np.bincount(buckets, uses[owners], BUCKETS) + np.bincount(pairs(word_hash(words), texts)[0], minlength=BUCKETS)
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), counts[found].astype(np.int32)
+
+
+class Scorer:
+    """Log odds of texts under a trained model.  Sums over the features of a word are remembered."""
+
+    def __init__(self, model: tuple[np.ndarray, float]):
+        self.values, self.bias = model
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.values, self.hashes = [], np.zeros(1024, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        crc, framed = zlib.crc32, b"<" + word + b">"
-        grams = {framed[i : i + n] for n in NGRAMS for i in range(len(framed) - n + 1)}
-        buckets = [crc(word, 7) % BUCKETS, *(crc(g) % BUCKETS for g in grams)]
-        self[word] = number = len(self.values)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = crc(word, 11)
-        self.values.append(self.features(buckets))
-        return number
-
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and hashes of the words of a text."""
-        if len(self.values) > MEMORY:
-            self.forget()
-        words = text.split()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return numbers, self.hashes[numbers]
-
-    @staticmethod
-    def pairs(hashes: np.ndarray) -> np.ndarray:
-        a, b = hashes[:-1], hashes[1:]
-        mixed = (a * _MIX + b) * _MIX >> np.uint64(47)
-        return np.where(a == b, np.uint64(0), mixed).astype(np.int64) % BUCKETS
-
-
-def counted(text: bytes, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text, and how often it has each."""
-    numbers, hashes = words.of(text)
-    parts = [np.array(words.values[i], np.int64) for i in numbers.tolist()]
-    every = np.concatenate([*parts, Words.pairs(hashes)]) if len(numbers) else np.zeros(0, np.int64)
-    buckets, counts = np.unique(every, return_counts=True)
-    return buckets.astype(np.int32), counts.astype(np.int32)
+        self.numbers: dict[bytes, int] = {}
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
+
+    def odds(self, texts: list[bytes]) -> np.ndarray:
+        words, owner = split(texts)
+        if new := list(set(words).difference(self.numbers)):
+            if len(self.numbers) + len(new) > MEMORY:
+                self.forget()
+                new = list(set(words))
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            buckets, owners = subwords(new)
+            self.sums = np.concatenate([self.sums, np.bincount(owners, self.values[buckets], len(new))])
+            self.counts = np.concatenate([self.counts, np.bincount(owners, minlength=len(new))])
+            self.hashes = np.concatenate([self.hashes, word_hash(new)])
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        buckets, pair_owner = pairs(self.hashes[at], owner)
+        n = len(texts)
+        total = np.bincount(owner, self.sums[at], n) + np.bincount(pair_owner, self.values[buckets], n)
+        return self.bias + total / np.maximum(1, np.bincount(owner, self.counts[at], n) + np.bincount(pair_owner, minlength=n))
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -112,9 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", trainable
     wanted = wanted.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lambda buckets: buckets)
         for batch in batches:
-            found = [pickle.dumps(counted(x, words)) for x in utf8(batch, "text")]
+            found = [pickle.dumps(counted(x)) for x in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "features"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("id", "y", "text")
@@ -129,20 +163,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, bias = shared.value
-        words = Words(lambda buckets: (float(values[buckets].sum()), len(buckets)))
-
-        def one(text: bytes) -> float:
-            numbers, hashes = words.of(text)
-            if not len(numbers):
-                return bias
-            pairs = Words.pairs(hashes)
-            own = [words.values[i] for i in numbers.tolist()]
-            total = sum(x for x, _ in own) + values[pairs].sum()
-            return bias + total / (sum(n for _, n in own) + len(pairs))
-
+        scorer = Scorer(shared.value)
         for batch in batches:
-            odds = np.array([one(x) for x in utf8(batch, "text")], np.float64)
+            texts = utf8(batch, "text")
+            sizes = np.cumsum([len(t) for t in texts])
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1).tolist(), len(texts)]
+            odds = np.concatenate([scorer.odds(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             scores = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "quality_score"])
 
