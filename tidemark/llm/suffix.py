@@ -7,8 +7,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier in th
    of gram hashes finds these.  Consecutive windows with one gram in common form a stretch.
 2. Stretches of such grams are cut from the texts.  Of equal stretches within a task only the earliest
    goes on, the others are repeats as a whole; so no stretch is sent more often than there are tasks.
-3. Stretches meet by their gram and the bytes beside it.  Groups are concatenated into texts of bounded
-   size; for each a run-compressed Burrows-Wheeler transform is built, with suffix-array samples at run
+3. Stretches meet by their gram; equal ones are entered once, for the earliest, and the others are
+   repeats.  Groups of different stretches are concatenated into texts of bounded size; for each a run-compressed Burrows-Wheeler transform is built, with suffix-array samples at run
    ends and the earliest occurrence for each interval of rows that agree in LENGTH bytes.  All stretches
    are then streamed backwards through the index by LF steps: the row of a position tells its interval,
    that is whether its matching statistic reaches LENGTH at an earlier position.
@@ -17,11 +17,12 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier in th
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ SEPARATOR = 0xFF  # not in UTF-8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Texts are joined up to about so many bytes; places within a piece take the low PLACE_BITS bits.
+PIECE_BYTES, PLACE_BITS = 1 << 20, 24
+
+
 def gram_hashes(text: bytes) -> np.ndarray:
     """A hash of the 32 bytes at each place."""
     n = len(text) - GRAM + 1
@@ -48,34 +53,50 @@ def gram_hashes(text: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows led to the same gram: the gram's hash and place, the first window, the number of windows."""
-    empty = np.zeros(0, np.int64)
-    if len(text) < length:
-        return np.zeros(0, np.uint64), empty, empty, empty
-    h = gram_hashes(text)
-    width, have, least = length - GRAM + 1, 1, h
-    while have * 2 <= width:  # least hash of the next have places
-        least = np.minimum(least[: len(least) - have], least[have:])
+def _piece(joined: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a piece the hash of its gram, without the low bits, and the gram's place."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    key = gram_hashes(joined)
+    key &= ~low
+    key |= np.arange(len(key), dtype=np.uint64)  # so the least key is the leftmost of least hashes
+    width, have = length - GRAM + 1, 1
+    while have * 2 <= width:
+        key = np.minimum(key[:-have], key[have:])
         have *= 2
     if have < width:
-        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-    place = _leftmost(h, least)
-    windows = len(least)
-    firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    counts = np.diff(np.append(firsts, windows))
-    return least[firsts], place[firsts], firsts, counts
-
-
-def _leftmost(h: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each window the first place at or after its start that has its least hash."""
-    # places in order of hash, then place: the first at or after (least, start) is the one
-    chosen = np.unique(np.flatnonzero(np.isin(h, np.unique(least))))
-    order = chosen[np.argsort(h[chosen], kind="stable")]
-    n = np.uint64(len(h))
-    values, number = np.unique(h[order], return_inverse=True)
-    wanted = np.searchsorted(values, least).astype(np.uint64) * n + np.arange(len(least), dtype=np.uint64)
-    return order[np.searchsorted(number.astype(np.uint64) * n + order.astype(np.uint64), wanted)]
+        key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+    return key & ~low, (key & low).astype(np.int64)
+
+
+def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows led to the same gram: the text's index, the gram's hash and place, the first window, the number of windows."""
+    found: list[tuple] = []
+    # long texts are cut into pieces that share the bytes of a window but one
+    span = PIECE_BYTES * 8
+    parts = [(k, at, t[at : at + span + length - 1] if len(t) > span else t) for k, t in enumerate(texts) if len(t) >= length for at in range(0, max(1, len(t) - length + 1), span)]
+    first = 0
+    while first < len(parts):
+        last, size = first, 0
+        while last < len(parts) and (size == 0 or size + len(parts[last][2]) <= PIECE_BYTES):
+            size += len(parts[last][2])
+            last += 1
+        own = parts[first:last]
+        first = last
+        sizes = np.array([len(t) for _, _, t in own])
+        starts = np.cumsum(sizes) - sizes
+        h, place = _piece(own[0][2] if len(own) == 1 else b"".join(t for _, _, t in own), length)
+        part = np.repeat(np.arange(len(own)), sizes)[: len(h)]
+        inside = np.arange(len(h)) + length <= (starts + sizes)[part]
+        new = inside & np.concatenate([[True], (place[1:] != place[:-1]) | (part[1:] != part[:-1])])
+        at = np.flatnonzero(new)
+        # a run ends where the next begins, or where its text does
+        ends = np.minimum(np.append(at[1:], len(h)), (starts + sizes)[part[at]] - length + 1)
+        shift = np.array([a for _, a, _ in own])[part[at]] - starts[part[at]]
+        found.append((np.array([k for k, _, _ in own])[part[at]], h[at], place[at] + shift, at + shift, ends - at))
+    if not found:
+        empty = np.zeros(0, np.int64)
+        return empty, np.zeros(0, np.uint64), empty, empty, empty
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,19 +105,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, places): the grams of each document that lead stretches and occur more than once as such."""
+    """(doc, places): the grams of each document that lead stretches and occur more than once as such.
+
+    Texts of one id share their places, so some may name grams that aren't repeated; these do no harm.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, counts = [], []
-            for text in utf8(batch, "text"):
-                h, place, _, _ = stretches(text, length)
-                own.append((h.view(np.int64), place.astype(np.int32)))
-                counts.append(len(h))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            if not len(rows):
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in own])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([p for _, p in own]))], names=["h", "doc", "th", "place"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                text, h, place, _, _ = stretches(utf8(batch, "text"), length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["h", "doc", "place"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, and whether it is known to be repeated
@@ -110,77 +129,73 @@ def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             keep = same.copy()
             keep[:-1] |= same[1:]
             last, keep[-1] = bool(same[-1]), False
-            names = ["doc", "th", "place"]
+            names = ["doc", "place"]
             held = (h[-1], last, pa.RecordBatch.from_arrays([c.slice(batch.num_rows - 1, 1) for c in batch.columns[1:]], names=names))
             rows = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[1:]], names=names)
         if held is not None and held[1]:
             yield held[2]
 
-    all_ = keyed.mapInArrow(emit, "h long, doc long, th long, place int")
-    found = all_.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "doc long, th long, place int")
-    return found.groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
+    all_ = keyed.select("doc", "text").mapInArrow(emit, "h long, doc long, place int")
+    found = all_.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "doc long, place int")
+    return found.groupBy("doc").agg(F.collect_set("place").alias("places"))
 
 
 STRETCH = "doc long, th long, start int, stop int, key long, bytes binary, windows int"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+_NAMES = ["doc", "th", "start", "stop", "key", "bytes", "windows"]
 
 
 def cut_out(keyed: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame:
     """Stretches of repeated grams (key, bytes, windows; from ``start``), and, with null bytes, ranges that repeat an earlier stretch of the same task."""
-    side = (length - GRAM + 1) // 2  # windows with more than this before the gram have so many bytes before it, others after it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+        held: dict[bytes, tuple[int, int, int, int, int]] = {}
         marks: list[tuple[int, int, int, int]] = []
         size = 0
 
         def flush(everything: bool) -> Iterator[pa.RecordBatch]:
             nonlocal size
-            rows = [(d, t, a, b, None, None, None) for d, t, a, b in marks]
+            rows = [(d, t, a, b, d ^ t, None, None) for d, t, a, b in marks]
             marks.clear()
             if everything:
-                rows += [(d, t, a, None, key, content, n) for (key, content), (d, t, a, n) in held.items()]
+                rows += [(d, t, a, None, key, content, n) for content, (d, t, a, n, key) in held.items()]
                 held.clear()
                 size = 0
             for at in range(0, len(rows), 20000):
                 columns = zip(*rows[at : at + 20000], strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "th", "start", "stop", "key", "bytes", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
-        for batch in batches:
-            docs, hashes, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            for k, text in enumerate(utf8(batch, "text")):
-                h, place, first, count = stretches(text, length)
-                chosen = np.isin(place, places[k].values.to_numpy())
-                doc, th = docs[k], hashes[k]
-                for key, at, begin, n in zip(h[chosen].view(np.int64).tolist(), place[chosen].tolist(), first[chosen].tolist(), count[chosen].tolist(), strict=True):
-                    # windows from begin to begin + n - 1; those up to split have more than side bytes before the gram
-                    split = max(begin, min(begin + n, at - side))
-                    for a, b, beside in ((begin, split, text[at - side : at]), (split, begin + n, text[at + GRAM : at + GRAM + side])):
-                        if a == b:
-                            continue
-                        content = text[a : b - 1 + length]
-                        group = int.from_bytes(hashlib.blake2b(beside, digest_size=7, key=bytes([a < split])).digest()) ^ key
-                        before = held.get((group, content))
-                        now = (doc, th, a, b - a)
-                        if before is None:
-                            held[group, content] = now
-                            size += len(content) + 200
-                        elif now[:3] == before[:3]:
-                            continue
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                docs, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")
+                own, h, place, begin, count = stretches(texts, length)
+                places = batch.column(3)
+                listed = (np.repeat(np.arange(len(texts)), places.value_lengths().to_numpy()) << 32) + places.flatten().to_numpy()
+                chosen = np.isin((own << 32) + place, listed)
+                columns = (x[chosen].tolist() for x in (own, h.view(np.int64), begin, count))
+                for k, key, at, n in zip(*columns, strict=True):
+                    content = texts[k][at : at + n - 1 + length]
+                    now = (docs[k], hashes[k], at, n, key)
+                    before = held.setdefault(content, now)
+                    if before is now:
+                        size += len(content) + 250
+                    elif now[:3] != before[:3]:
+                        if now < before:
+                            held[content], now = now, before
+                        last = marks[-1] if marks else None
+                        if last and last[0] == now[0] and last[1] == now[1] and last[2] <= now[2] <= last[3]:
+                            marks[-1] = (*last[:3], max(last[3], now[2] + len(content)))
                         else:
-                            if now < before:
-                                held[group, content], now = now, before
-                            if marks and marks[-1][:2] == now[:2] and marks[-1][2] <= now[2] <= marks[-1][3]:
-                                marks[-1] = (*marks[-1][:3], max(marks[-1][3], now[2] + len(content)))
-                            else:
-                                marks.append((now[0], now[1], now[2], now[2] + len(content)))
+                            marks.append((now[0], now[1], now[2], now[2] + len(content)))
                 if size > HELD_BYTES:
                     yield from flush(True)
-            yield from flush(False)
+                elif len(marks) > 20000:
+                    yield from flush(False)
         yield from flush(True)
 
-    return keyed.join(grams, ["doc", "th"]).select("doc", "th", "text", "places").mapInArrow(run, STRETCH)
+    return keyed.join(grams, "doc").select("doc", "th", "text", "places").mapInArrow(run, STRETCH)
 
 
 class RunIndex:
@@ -191,25 +206,35 @@ class RunIndex:
 
     def __init__(self, joined: np.ndarray, order: np.ndarray, length: int):
         n = len(joined)
-        depth, rank = 8, None
         padded = np.concatenate([joined, np.zeros(8, np.uint8)])
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = key << np.uint64(8) | padded[k : k + n]
-        agree = None
-        while True:
-            rows = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], np.cumsum(key[rows][1:] != key[rows][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[rows] = new
-            if depth >= 2 * length or new[-1] == n - 1:
-                break
+        rows = np.argsort(key)
+        ordered = key[rows]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])  # rows that open a group of equals, and the end
+        # prefix doubling; the rank of a group is its first row, and only groups of several are sorted on
+        place = np.maximum.accumulate(np.where(first[:-1], np.arange(n), 0))
+        rank = np.empty(n, np.int64)
+        rank[rows] = place
+        depth, agree = 8, None
+        while depth < 2 * length:
             if agree is None and depth * 2 >= length:  # rows that agree in ``length`` bytes
-                agree = self._paired(rank, length - depth)
-            key = self._paired(rank, depth)
+                agree = self._paired(rank, np.arange(n), length - depth)
+            tied = np.flatnonzero(~(first[:-1] & first[1:]))
+            if not len(tied):
+                break
+            key = self._paired(rank, rows[tied], depth)
+            by = np.argsort(key)
+            rows[tied] = rows[tied][by]
+            ordered = key[by]
+            first[tied] = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            place[tied] = np.maximum.accumulate(np.where(first[tied], tied, 0))
+            rank[rows[tied]] = place[tied]
             depth *= 2
-        if agree is None:
-            agree = self._paired(rank, max(0, length - depth)) if depth < length else rank
+        tied = np.flatnonzero(~(first[:-1] & first[1:]))
+        if len(tied):  # equal to the separator and beyond: by place, as if separators rose
+            rows[tied] = rows[tied][np.argsort(place[tied].astype(np.uint64) << np.uint64(32) | rows[tied].astype(np.uint64))]
         self.row_of = np.empty(n, np.int64)
         self.row_of[rows] = np.arange(n)
         before = joined[rows - 1]
@@ -220,24 +245,33 @@ class RunIndex:
         self.heads = np.empty(len(symbols), np.int64)
         self.heads[by_symbol] = np.cumsum(sizes[by_symbol]) - sizes[by_symbol]
         self.samples = rows[np.append(self.starts[1:], n) - 1]  # suffix-array samples at run ends
+        self.run_of = self._ranks(self.starts, n)
         same = agree[rows]
         self.intervals = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        self.interval_of = self._ranks(self.intervals, n)
         self.earliest = np.minimum.reduceat(order[rows], self.intervals)
 
     @staticmethod
-    def _paired(rank: np.ndarray, shift: int) -> np.ndarray:
-        other = np.zeros(len(rank), np.uint64)
-        other[: len(rank) - shift] = rank[shift:].astype(np.uint64) + np.uint64(1)
-        return rank.astype(np.uint64) << np.uint64(32) | other
+    def _ranks(starts: np.ndarray, n: int) -> np.ndarray:
+        """Rank directory of the bit vector with the given ones: for each row the number of its run."""
+        bits = np.zeros(n, np.int32)
+        bits[starts] = 1
+        return np.cumsum(bits, dtype=np.int32) - 1
+
+    @staticmethod
+    def _paired(rank: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+        ahead = at + shift
+        other = np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
+        return rank[at].astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: the rows of the places one before those of ``rows``."""
-        run = np.searchsorted(self.starts, rows, "right") - 1
+        run = self.run_of[rows]
         return self.heads[run] + rows - self.starts[run]
 
     def earliest_match(self, rows: np.ndarray) -> np.ndarray:
         """How early the first place is that agrees with each row in ``length`` bytes."""
-        return self.earliest[np.searchsorted(self.intervals, rows, "right") - 1]
+        return self.earliest[self.interval_of[rows]]
 
 
 def marked(contents: list[bytes], windows: np.ndarray, orders: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -262,26 +296,37 @@ def marked(contents: list[bytes], windows: np.ndarray, orders: np.ndarray, lengt
 
 
 def find_repeats(cuts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Stretches -> (doc, th, start, stop): ranges whose windows occur earlier."""
+    """What cut_out gives -> (doc, th, start, stop): ranges whose windows occur earlier."""
 
     def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
+        ready = t.filter(pc.is_null(t.column("bytes")))
+        out = list(zip(*(ready.column(c).to_pylist() for c in ("doc", "th", "start", "stop")), strict=True))
+        t = t.filter(pc.is_valid(t.column("bytes")))
         keys = t.column("key").to_numpy()
-        alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
-        t = t.filter(pa.array(~alone))
-        if not t.num_rows:
-            return
-        docs, hashes, starts = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "th", "start"))
-        by = np.lexsort((hashes, docs))
-        number = np.empty(len(by), np.int64)
-        number[by] = np.cumsum(np.concatenate([[0], (docs[by][1:] != docs[by][:-1]) | (hashes[by][1:] != hashes[by][:-1])]))
-        found = marked(t.column("bytes").to_pylist(), t.column("windows").to_numpy().astype(np.int64), (number << 32) + starts, length)
-        out = []
-        for k, hits in enumerate(found):
-            if len(hits):
-                firsts = np.flatnonzero(np.concatenate([[True], np.diff(hits) > length]))
-                lasts = np.append(firsts[1:], len(hits)) - 1
-                out += [(docs[k], hashes[k], starts[k] + hits[a], starts[k] + hits[b] + length) for a, b in zip(firsts, lasts, strict=True)]
+        alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])[: len(keys)] if len(keys) else np.zeros(0, bool)
+        t = t.filter(pa.array(~alone[: len(keys)]))
+        earliest: dict[bytes, tuple[int, int, int, int, int]] = {}  # equal stretches are entered once, for the first of them
+        for doc, th, start, key, content, n in zip(*(t.column(c).to_pylist() for c in ("doc", "th", "start", "key", "bytes", "windows")), strict=True):
+            now = (doc, th, start, n, key)
+            before = earliest.setdefault(content, now)
+            if before is not now and now[:3] != before[:3]:
+                if now < before:
+                    earliest[content], now = now, before
+                out.append((*now[:3], now[2] + len(content)))
+        members = Counter(x[4] for x in earliest.values())
+        kept = [(c, x) for c, x in earliest.items() if members[x[4]] > 1]
+        if kept:
+            docs, hashes, starts, windows = (np.array([x[k] for _, x in kept], np.int64) for k in range(4))
+            by = np.lexsort((hashes, docs))
+            number = np.empty(len(by), np.int64)
+            number[by] = np.cumsum(np.concatenate([[0], (docs[by][1:] != docs[by][:-1]) | (hashes[by][1:] != hashes[by][:-1])]))
+            found = marked([c for c, _ in kept], windows, (number << 32) + starts, length)
+            for k, hits in enumerate(found):
+                if len(hits):
+                    firsts = np.flatnonzero(np.concatenate([[True], np.diff(hits) > length]))
+                    lasts = np.append(firsts[1:], len(hits)) - 1
+                    out += [(docs[k], hashes[k], starts[k] + hits[a], starts[k] + hits[b] + length) for a, b in zip(firsts, lasts, strict=True)]
         if out:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "th", "start", "stop"])
@@ -305,16 +350,14 @@ def find_repeats(cuts: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield from settle(held)
 
-    rows = cuts.filter("bytes IS NOT NULL").select("doc", "th", "start", F.lit(0).alias("stop"), "key", "bytes", "windows")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, th long, start int, stop int")
+    return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, th long, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and text -> (doc, th, spans): ranges (start, stop) of repeated bytes, not merged yet.  Documents without any are left out."""
     keyed = _keyed(docs)
-    cuts = stored(cut_out(keyed, repeated_grams(keyed, length), length))
-    direct = cuts.filter("bytes IS NULL").select("doc", "th", "start", "stop")
-    spans = direct.unionByName(find_repeats(cuts, length))
+    grams = stored(repeated_grams(keyed, length))
+    spans = find_repeats(cut_out(keyed, grams, length), length)
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
