@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, table, utf8
+from tidemark.llm.shared import release, stored, table, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of stretches that are indexed together, unless one group is larger.
@@ -115,7 +115,14 @@ def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 text, h, place, _, _ = stretches(utf8(batch, "text"), length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["h", "doc", "place"])
+                doc = batch.column(0).to_numpy()[text].astype(np.int64)
+                # what is repeated here already needs no company: it travels by its own place, one of it stands for the rest
+                _, first, owner, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = count[owner] > 1
+                sent = np.concatenate([np.flatnonzero(~known), first[count > 1], np.flatnonzero(known)])
+                flag = np.arange(len(sent)) >= len(sent) - int(known.sum())
+                key = np.where(flag, (doc[sent].astype(np.uint64) * _MIX[0] + place[sent].astype(np.uint64)) * _MIX[1], h[sent])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[sent]), pa.array(place[sent].astype(np.int32)), pa.array(flag)], names=["h", "doc", "place", "known"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, and whether it is known to be repeated
@@ -126,17 +133,17 @@ def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             same = np.concatenate([[held is not None and held[0] == h[0]], h[1:] == h[:-1]])
             if held is not None and (held[1] or same[0]):
                 yield held[2]
-            keep = same.copy()
+            keep = same | batch.column(3).to_numpy(zero_copy_only=False)
             keep[:-1] |= same[1:]
-            last, keep[-1] = bool(same[-1]), False
+            last, keep[-1] = bool(keep[-1]), False
             names = ["doc", "place"]
-            held = (h[-1], last, pa.RecordBatch.from_arrays([c.slice(batch.num_rows - 1, 1) for c in batch.columns[1:]], names=names))
+            held = (h[-1], last, pa.RecordBatch.from_arrays([c.slice(batch.num_rows - 1, 1) for c in batch.columns[1:3]], names=names))
             rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[1:]], names=names)
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[1:3]], names=names)
         if held is not None and held[1]:
             yield held[2]
 
-    all_ = keyed.select("doc", "text").mapInArrow(emit, "h long, doc long, place int")
+    all_ = keyed.select("doc", "text").mapInArrow(emit, "h long, doc long, place int, known boolean")
     found = all_.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "doc long, place int")
     return found.groupBy("doc").agg(F.collect_set("place").alias("places"))
 
@@ -201,15 +208,18 @@ def cut_out(keyed: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFra
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts joined by separators.
 
-    ``order`` tells for each place of the joined text how early it is in the corpus.
+    ``order`` tells for each place of the joined text how early it is in the corpus, ``last`` where the
+    separator behind it is.  Separators rise, so texts that end alike are in the order of their places.
     """
 
-    def __init__(self, joined: np.ndarray, order: np.ndarray, length: int):
+    def __init__(self, joined: np.ndarray, order: np.ndarray, last: np.ndarray, length: int):
         n = len(joined)
         padded = np.concatenate([joined, np.zeros(8, np.uint8)])
         key = np.zeros(n, np.uint64)
         for k in range(8):
             key = key << np.uint64(8) | padded[k : k + n]
+        beyond = (8 * np.maximum(0, 7 - (last - np.arange(n)))).astype(np.uint64)  # bits behind the separator don't count
+        key = key >> beyond << beyond
         rows = np.argsort(key)
         ordered = key[rows]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])  # rows that open a group of equals, and the end
@@ -220,11 +230,11 @@ class RunIndex:
         depth, agree = 8, None
         while depth < 2 * length:
             if agree is None and depth * 2 >= length:  # rows that agree in ``length`` bytes
-                agree = self._paired(rank, np.arange(n), length - depth)
+                agree = self._paired(rank, np.arange(n), length - depth, last)
             tied = np.flatnonzero(~(first[:-1] & first[1:]))
             if not len(tied):
                 break
-            key = self._paired(rank, rows[tied], depth)
+            key = self._paired(rank, rows[tied], depth, last)
             by = np.argsort(key)
             rows[tied] = rows[tied][by]
             ordered = key[by]
@@ -233,7 +243,7 @@ class RunIndex:
             rank[rows[tied]] = place[tied]
             depth *= 2
         tied = np.flatnonzero(~(first[:-1] & first[1:]))
-        if len(tied):  # equal to the separator and beyond: by place, as if separators rose
+        if len(tied):  # equal to the separator
             rows[tied] = rows[tied][np.argsort(place[tied].astype(np.uint64) << np.uint64(32) | rows[tied].astype(np.uint64))]
         self.row_of = np.empty(n, np.int64)
         self.row_of[rows] = np.arange(n)
@@ -259,9 +269,9 @@ class RunIndex:
         return np.cumsum(bits, dtype=np.int32) - 1
 
     @staticmethod
-    def _paired(rank: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+    def _paired(rank: np.ndarray, at: np.ndarray, shift: int, last: np.ndarray) -> np.ndarray:
         ahead = at + shift
-        other = np.where(ahead < len(rank), rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
+        other = np.where(ahead <= last[at], rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
         return rank[at].astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)
 
     def step(self, rows: np.ndarray) -> np.ndarray:
@@ -280,7 +290,7 @@ def marked(contents: list[bytes], windows: np.ndarray, orders: np.ndarray, lengt
     joined = np.frombuffer(b"".join(x for c in contents for x in (c, b"\xff")), np.uint8)
     ends = np.cumsum(sizes + 1) - 1  # places of the separators
     order = np.repeat(orders - (ends - sizes), sizes + 1) + np.arange(len(joined))
-    index = RunIndex(joined, order, length)
+    index = RunIndex(joined, order, np.repeat(ends, sizes + 1), length)
     hits: list[list[int]] = [[] for _ in contents]
     rows, own = index.row_of[ends], np.arange(len(contents))
     for back in range(1, int(sizes.max()) + 1):
@@ -357,6 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and text -> (doc, th, spans): ranges (start, stop) of repeated bytes, not merged yet.  Documents without any are left out."""
     keyed = _keyed(docs)
     grams = stored(repeated_grams(keyed, length))
+    release(docs.sparkSession)
     spans = find_repeats(cut_out(keyed, grams, length), length)
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
