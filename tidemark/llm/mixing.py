@@ -28,7 +28,7 @@ def uniform(*parts: Column) -> Column:
 
 def plain_quality(text: Column, size: Column) -> Column:
     """A quality weight from the text alone: 1 where the mean word has 3 to 12 bytes, else 0.25."""
-    mean = F.octet_length(text) / size
+    mean = F.try_divide(F.octet_length(text), size)  # null without words
     return F.when((mean >= 3) & (mean <= 13), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: int =
     drawn = drawn.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
     cells = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, epochs)
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(0).cast("long")
     targets = targets.withColumn("rounds", F.least(rounds, F.lit(epochs)))
     targets = targets.withColumn("budget", F.round(F.col("target") - F.col("rounds") * F.col("source_size")).cast("long"))
 

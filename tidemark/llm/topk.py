@@ -56,8 +56,10 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _partials(q: np.ndarray, v: np.ndarray, slices: int) -> list[np.ndarray]:
     """Integer inner products by slice of the components."""
     cuts = [q.shape[1] * i // slices for i in range(slices + 1)]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1] < 2**52
-    kind = np.float64 if exact else np.int64  # floats hold every sum below 2^53 exactly, and multiply faster
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    if bound >= 2**62:
+        raise ValueError("inner products may exceed 64 bits")
+    kind = np.float64 if bound < 2**52 else np.int64  # floats hold every sum below 2^53 exactly, and multiply faster
     q, v = q.astype(kind), v.astype(kind)
     return [(q[:, a:b] @ v[:, a:b].T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -90,7 +92,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Rows with the query's own vec_id are no candidates; ties go to the smaller vec_id; queries with
     fewer candidates return all.  Vectors of another length than the query's, and rows without an
-    id, take no part.  Several rows of one vec_id are one query and separate candidates.
+    id, take no part.  Scores that may not fit 64 bits fail the query.  Several rows of one vec_id are one query and separate candidates.
     """
     blocks = stored(_packed(rows))
     asked = stored(queries.filter(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"]))
