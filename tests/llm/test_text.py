@@ -50,9 +50,23 @@ def test_encode_and_decode_tables(spark, coder):
 
 # prediction by partial matching
 
+def last_time(raw, k):
+    """What followed the last bytes when they were there before."""
+    context = raw[k - ppm.RECALL : k]
+    at = raw.rfind(context, 0, k - 1) if k >= ppm.RECALL else -1
+    return raw[at + ppm.RECALL] if at >= 0 else None
+
+
 def plain_ppm(train, text, order):
     """The same model, symbol by symbol."""
     counts = Counter()
+    guessed = right = 0
+    for t in train:
+        raw = t.encode() + b"\xff"
+        for k in range(len(raw)):
+            if (guess := last_time(raw, k)) is not None:
+                guessed, right = guessed + 1, right + (guess == raw[k])
+    miss = (guessed - right + 1) / (guessed + 2)
     pad = [255] * order
     sequence = lambda t: [*pad, *t.encode(), 255]
     for t in train:
@@ -68,9 +82,10 @@ def plain_ppm(train, text, order):
         own = [c for c in below if len(c) == o]
         total, kinds = np.array([sum(below[c].values()) for c in own]), np.array([len(below[c]) for c in own])
         escape.append(ppm.left_out(total, kinds, np.array([sum(n == 1 for n in below[c].values()) for c in own])))
-    out, s = 0.0, sequence(text)
-    for k in range(order, len(s)):
-        excluded = set()
+    s = sequence(text)
+
+    def coded(k, symbol):
+        out, excluded = 0.0, set()
         for o in range(order, -1, -1):
             own = below.get(tuple(s[k - o : k]))
             if own is None:
@@ -78,13 +93,21 @@ def plain_ppm(train, text, order):
             left = {x: n for x, n in own.items() if x not in excluded}
             if left:
                 chance = escape[o][ppm.class_of(np.array([sum(left.values())]), np.array([len(left)]))[0]]
-                if s[k] in left:
-                    out += math.log10(left[s[k]] / sum(left.values()) * (1 - chance))
-                    break
+                if symbol in left:
+                    return out + math.log10(left[symbol] / sum(left.values()) * (1 - chance))
                 out += math.log10(chance)
             excluded = set(own)
+        return out - math.log10(256 - len(excluded))
+
+    out = 0.0
+    for k in range(order, len(s)):
+        guess = last_time(bytes(s[order:]), k - order)
+        if guess == s[k]:
+            out += math.log10(1 - miss)
+        elif guess is not None:
+            out += math.log10(miss) + coded(k, s[k]) - math.log10(1 - 10 ** coded(k, guess))
         else:
-            out -= math.log10(256 - len(excluded))
+            out += coded(k, s[k])
     return out
 
 
@@ -93,7 +116,7 @@ def test_scores(spark):
     train = ["".join(rng.choices("abc d", k=60)) for _ in range(30)]
     docs = frame(spark, train)
     model = ppm.Model(docs)
-    test = frame(spark, [*(t for t in EDGE if t is None or len(t) < 100), "abc dab c zz", "abc dab c zz"], 100)
+    test = frame(spark, [*(t for t in EDGE if t is None or len(t) < 100), "abc dab c zz", "abc dab c zz", "abcd dcba abcd dabc " * 3 + "a", "d" * 60 + "b"], 100)
     texts = {r.doc_id: (r.text or "").lower() for r in test.collect()}
     small = {r.doc_id: r for r in ppm.score(test, model).collect()}
     joined = {r.doc_id: r for r in ppm.score(test, model, leaves_limit=0).collect()}

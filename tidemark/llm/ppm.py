@@ -8,6 +8,10 @@ counts themselves, by leaving out one occurrence after the other: those that occ
 exclude are just those of the context one byte longer; so each context needs only its total, its number
 of symbols, and the mass that these have one level below.
 
+Above the trained trie stands one adaptive level: a context of RECALL bytes that the document has had
+before predicts the symbol that followed it last time.  Its escape probability is learned from the
+training texts; after an escape that symbol is excluded from the trie's prediction.
+
 Byte 0xFF, which UTF-8 never has, stands for the start (as context) and for the end of a text.
 
 A word unigram model with add-half smoothing is scored beside it.  Its counts are kept as a table: the
@@ -29,6 +33,8 @@ from tidemark.llm.quality import remainder
 from tidemark.llm.shared import stored, table, utf8
 
 ORDER = 5
+#: Bytes of the document's own contexts (8 to 16).
+RECALL = 16
 #: A trie of up to so many leaves (16 bytes each) is broadcast; a larger one is joined level by level.
 BROADCAST_LEAVES = 4_000_000
 #: So many of the most frequent words are broadcast; all others are joined.
@@ -52,6 +58,33 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[places], firsts
 
 
+def recalled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol, end symbols included, the one that followed the last RECALL bytes when the text had them before, or -1; and the symbol itself."""
+    raw = b"".join(x for t in texts for x in (t, END))
+    symbols = np.frombuffer(raw, np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    found = np.full(len(symbols), -1, np.int64)
+    late = np.flatnonzero(np.arange(len(symbols)) - (np.cumsum(sizes) - sizes)[owner] >= RECALL)
+    if not len(late):
+        return found, symbols
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).astype(np.uint64)
+    h = words[late - 8] * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ h >> np.uint64(29)) + words[late - RECALL]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = ((h ^ h >> np.uint64(32)) + owner[late].astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
+    bits = np.uint64(int(len(late)).bit_length())
+    key = h >> bits << bits | np.arange(len(late), dtype=np.uint64)
+    key.sort()
+    at = late[(key & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)]
+    key >>= bits
+    again = np.flatnonzero(key[1:] == key[:-1])
+    now, before = at[again + 1], at[again]
+    equal = words[now - 8] == words[before - 8]
+    equal &= (words[now - RECALL] == words[before - RECALL]) & (owner[now] == owner[before])
+    found[now[equal]] = symbols[before[equal]]
+    return found, symbols
+
+
 class Table:
     """Unsigned 64-bit keys -> index, by open addressing; looked up for many keys at once."""
 
@@ -178,11 +211,16 @@ class Trie:
         return out
 
 
+#: In place of codes: how often a document's own context predicted, and how often it was right.
+GUESSED, RIGHT = -1, -2
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """text -> (gram, word, n): counts of trie leaves (word null) and of words (gram null), summed within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Counter(), []
+        guessed = right = 0
 
         def rows(gram, word, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["gram", "word", "n"])
@@ -208,6 +246,9 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 own = texts[first:at]
                 codes, _ = grams(own)
                 held.append(np.unique(codes, return_counts=True))
+                guess, symbols = recalled(own)
+                guessed += int((guess >= 0).sum())
+                right += int((guess == symbols).sum())
                 for t in own:
                     words.update(t.split())
                 words[END_TOKEN] += len(own)
@@ -222,6 +263,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield leaf_rows()
         if words:
             yield word_rows()
+        yield rows([GUESSED, RIGHT], [None, None], [guessed, right])
 
     return docs.select("text").mapInArrow(run, "gram long, word binary, n long")
 
@@ -231,8 +273,10 @@ class Model:
 
     def __init__(self, docs: DataFrame):
         raw = stored(corpus_counts(docs))
-        self.leaves = stored(raw.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+        self.leaves = stored(raw.filter("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")))
         self.words = stored(raw.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
+        own = {r.gram: r.n for r in raw.filter("gram < 0").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        self.miss = (own.get(GUESSED, 0) - own.get(RIGHT, 0) + 1) / (own.get(GUESSED, 0) + 2)
         row = self.words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
         self.kinds, self.tokens = row.v, row.n or 0
         self.denominator = self.tokens + 0.5 * (self.kinds + 1)
@@ -258,10 +302,10 @@ def _joined_escapes(contexts: DataFrame) -> np.ndarray:
 
 
 def _joined_score(model: Model, uses: DataFrame) -> DataFrame:
-    """(key, gram, uses) -> (key, score) where the trie is too large to broadcast: its levels are joined one after the other."""
+    """(key, gram, uses, item, role) -> (key, trie_score) where the trie is too large to broadcast: its levels are joined one after the other."""
     leaves, rest, parts = model.leaves, uses, []
     once = F.sum((F.col("n") == 1).cast("long"))
-    rest = rest.select("key", "gram", "uses", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("mass"), F.lit(0).cast("long").alias("kinds"))
+    rest = rest.select("key", "gram", "uses", "item", "role", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("mass"), F.lit(0).cast("long").alias("kinds"))
     for k in range(ORDER, -1, -1):
         mask = F.lit((1 << 8 * (k + 1)) - 1).cast("long")
         below = leaves.groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n")) if k else None
@@ -276,15 +320,17 @@ def _joined_score(model: Model, uses: DataFrame) -> DataFrame:
         left, other = F.col("total") - F.col("mass"), F.col("distinct") - F.col("kinds")
         now = now.withColumns({"left": left, "other": other})
         now = now.withColumn("chance", F.element_at(escape, (class_column(F.col("left"), F.col("other")) + 1).cast("int")))
-        parts.append(now.filter("hits IS NOT NULL").select("key", (F.col("uses") * (F.col("log") + F.log10(F.col("hits") / F.col("left") * (1 - F.col("chance"))))).alias("s")))
+        parts.append(now.filter("hits IS NOT NULL").select("key", "item", "role", (F.col("uses") * (F.col("log") + F.log10(F.col("hits") / F.col("left") * (1 - F.col("chance"))))).alias("s")))
         escape = F.when(F.col("other") > 0, F.log10("chance")).otherwise(0.0)
-        rest = stored(now.filter("hits IS NULL").select("key", "gram", "uses", (F.col("log") + escape).alias("log"), F.coalesce("below", "mass").alias("mass"), F.coalesce("distinct", "kinds").alias("kinds")))
+        rest = stored(now.filter("hits IS NULL").select("key", "gram", "uses", "item", "role", (F.col("log") + escape).alias("log"), F.coalesce("below", "mass").alias("mass"), F.coalesce("distinct", "kinds").alias("kinds")))
         leaves = stored(below) if k else None
-    parts.append(rest.select("key", (F.col("uses") * (F.col("log") - F.log10(256 - F.col("kinds")))).alias("s")))
+    parts.append(rest.select("key", "item", "role", (F.col("uses") * (F.col("log") - F.log10(256 - F.col("kinds")))).alias("s")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy("key").agg(F.sum("s").alias("score"))
+    whole = whole.groupBy("key", "item").agg(F.sum(F.when(F.col("role") == 0, F.col("s"))).alias("own"), F.sum(F.when(F.col("role") == 1, F.col("s"))).alias("other"))
+    left = F.when(F.col("item") >= 0, F.log10(1 - F.pow(F.lit(10.0), F.col("other")))).otherwise(0.0)
+    return whole.groupBy("key").agg(F.sum(F.col("own") - left).alias("trie_score"))
 
 
 _TRIES: dict[int, Trie | None] = {}
@@ -308,7 +354,7 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
     small = model.leaves.count() <= leaves_limit
     shared = spark.sparkContext.broadcast((model.trie() if small else None, model.head()))
 
-    number = shared._jbroadcast.id()
+    number, miss = shared._jbroadcast.id(), model.miss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, head = shared.value
@@ -324,11 +370,27 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
                 if not texts:
                     continue
                 codes, firsts = grams(texts)
-                scores = np.add.reduceat(trie.log10(codes), firsts) if trie else np.zeros(len(texts))
+                guess, symbols = recalled(texts)
+                wrong = np.flatnonzero((guess >= 0) & (guess != symbols))
+                other = codes[wrong] & ~np.uint64(255) | guess[wrong].astype(np.uint64)
+                logs = np.where(guess == symbols, np.log10(1 - miss), 0.0)
+                logs[wrong] = np.log10(miss)
+                open_ = guess != symbols
                 uses = [None] * len(texts)
-                if not trie:
-                    own = [np.unique(c, return_counts=True) for c in np.split(codes, firsts[1:])]
-                    uses = [[{"gram": int(g), "uses": int(n)} for g, n in zip(*x, strict=True)] for x in own]
+                if trie:
+                    logs[open_] += trie.log10(codes[open_])
+                    logs[wrong] -= np.log10(1 - 10 ** trie.log10(other))
+                else:
+                    # symbols after an escape are looked up one by one, with the excluded symbol; the others by kind
+                    item = np.full(len(codes), -1, np.int64)
+                    item[wrong] = wrong
+                    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(firsts, len(codes))))
+                    uses = [[] for _ in texts]
+                    table_ = Counter(zip(owner[open_].tolist(), codes[open_].tolist(), item[open_].tolist(), [0] * int(open_.sum()), strict=True))
+                    table_.update(zip(owner[wrong].tolist(), other.tolist(), wrong.tolist(), [1] * len(wrong), strict=True))
+                    for (k, g, i, role), n in table_.items():
+                        uses[k].append({"gram": g, "uses": n, "item": i, "role": role})
+                scores = np.add.reduceat(logs, firsts)
                 tokens, known, base, tails, counts = [], [], [], [], []
                 for t in texts:
                     words = [*t.split(), END_TOKEN]
@@ -342,11 +404,11 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
                     counts.append(list(tail.values()))
                 keys = np.arange(row, row + len(texts))
                 row += len(texts)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("gram", pa.int64()), ("uses", pa.int64())])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("gram", pa.int64()), ("uses", pa.int64()), ("item", pa.int64()), ("role", pa.int64())])))
                 columns = (keys, tokens, known, base, scores, tails, counts, uses)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "key", "n_tokens", "known", "base", "score", "tail", "counts", "grams"])
 
-    kinds = "key long, n_tokens long, known long, base double, score double, tail array<binary>, counts array<long>, grams array<struct<gram: long, uses: long>>"
+    kinds = "key long, n_tokens long, known long, base double, score double, tail array<binary>, counts array<long>, grams array<struct<gram: long, uses: long, item: long, role: long>>"
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}"))
     tail = scored.select("key", F.explode(F.arrays_zip("tail", "counts")).alias("t")).select("key", F.col("t.tail").alias("word"), F.col("t.counts").alias("uses"))
     tail = tail.join(model.words, "word", "left")
@@ -354,8 +416,8 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
     tail = tail.groupBy("key").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("uses")).otherwise(0)).alias("tail_known"), F.sum(F.col("uses") * log).alias("tail_base"))
     out = scored.drop("tail", "counts").join(tail, "key", "left")
     if not small:
-        uses = scored.select("key", F.explode("grams").alias("g")).select("key", F.col("g.gram").alias("gram"), F.col("g.uses").alias("uses"))
-        out = out.drop("score").join(_joined_score(model, uses), "key")
+        uses = scored.select("key", F.explode("grams").alias("g")).select("key", "g.gram", "g.uses", "g.item", "g.role")
+        out = out.join(_joined_score(model, uses), "key", "left").withColumn("score", F.col("score") + F.coalesce("trie_score", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score")
 
 
