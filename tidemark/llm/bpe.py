@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import table, tidy
 
 #: A word of the lower bitmap has 2^8 bits.
 WORD_BITS, WORD_MASK = 8, 255
@@ -166,6 +166,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                     columns = [batch.column(k).slice(start, len(out)) for k in range(len(keep))]
                     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), ids)], names=[*keep, "ids"])
                     start, size, out = i + 1, 0, []
+        encoder.clear()
+        tidy()
 
     return narrow.mapInArrow(run, schema)
 

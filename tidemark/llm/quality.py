@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table, utf8
+from tidemark.llm.shared import table, tidy, utf8
 
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 10, (2, 3, 4)
 #: At most so many labelled rows are learned from: those of the least CRC-32 of their id.
@@ -171,6 +171,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             odds = np.concatenate([scorer.odds(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             scores = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "quality_score"])
+        scorer.forget()
+        tidy()
 
     return docs.mapInArrow(run, docs.withColumn("quality_score", F.lit(0.0)).schema)
 

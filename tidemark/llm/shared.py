@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.components import shared_folder, stored
 
-__all__ = ["WORD", "release", "shared_folder", "stored", "table", "utf8", "words"]
+__all__ = ["WORD", "release", "shared_folder", "stored", "table", "tidy", "utf8", "words"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Gives memory back at the end of a task: an idle Python worker still counts against its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

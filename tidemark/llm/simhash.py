@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, table, utf8
+from tidemark.llm.shared import stored, table, tidy, utf8
 from tidemark.operators.components import connected_components
 
 SEED = 42
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
         for batch in batches:
             found = [fingerprint(shingle_hashes(x, shingle), lanes) for x in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", F.lit(b"").alias("fp")).schema)
 
@@ -189,6 +190,8 @@ def links(fps: DataFrame, *, bits: int = 64, distance: int = 2, segments: int =
                     held = [(keys[done:], fps_[done:])]
         if held:
             yield settle(np.concatenate([k for k, _ in held]), [x for _, f in held for x in f])
+        held.clear()
+        tidy()
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a binary, b binary")
 

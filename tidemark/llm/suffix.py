@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import release, stored, table, utf8
+from tidemark.llm.shared import release, stored, table, tidy, utf8
 
 LENGTH, GRAM = 100, 32
 #: Bytes of stretches that are indexed together, unless one group is larger.
@@ -123,6 +123,7 @@ def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 flag = np.arange(len(sent)) >= len(sent) - int(known.sum())
                 key = np.where(flag, (doc[sent].astype(np.uint64) * _MIX[0] + place[sent].astype(np.uint64)) * _MIX[1], h[sent])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[sent]), pa.array(place[sent].astype(np.int32)), pa.array(flag)], names=["h", "doc", "place", "known"])
+        tidy()
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, and whether it is known to be repeated
@@ -201,6 +202,7 @@ def cut_out(keyed: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFra
                 elif len(marks) > 20000:
                     yield from flush(False)
         yield from flush(True)
+        tidy()
 
     return keyed.join(grams, "doc").select("doc", "th", "text", "places").mapInArrow(run, STRETCH)
 
@@ -359,6 +361,8 @@ def find_repeats(cuts: DataFrame, length: int = LENGTH) -> DataFrame:
                     size = sum(b.column(5).nbytes for b in held)
         if held:
             yield from settle(held)
+        held.clear()
+        tidy()
 
     return cuts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, th long, start int, stop int")
 
@@ -420,6 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, characters: bool =
                     kept.append(b"".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True)))
                     removed.append([{"start": a, "stop": b} for a, b in ranges])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*names, "kept", "removed"])
+        tidy()
 
     schema = docs.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<start: int, stop: int>>")}).schema
     return joined.mapInArrow(run, schema)
