@@ -116,37 +116,47 @@ def repeated_grams(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 text, h, place, _, _ = stretches(utf8(batch, "text"), length)
                 doc = batch.column(0).to_numpy()[text].astype(np.int64)
-                # what is repeated here already needs no company: it travels by its own place, one of it stands for the rest
+                # what is repeated here already goes on as a list by document; one of it stands for the rest
                 _, first, owner, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 known = count[owner] > 1
-                sent = np.concatenate([np.flatnonzero(~known), first[count > 1], np.flatnonzero(known)])
-                flag = np.arange(len(sent)) >= len(sent) - int(known.sum())
-                key = np.where(flag, (doc[sent].astype(np.uint64) * _MIX[0] + place[sent].astype(np.uint64)) * _MIX[1], h[sent])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[sent]), pa.array(place[sent].astype(np.int32)), pa.array(flag)], names=["h", "doc", "place", "known"])
+                sent = np.concatenate([np.flatnonzero(~known), first[count > 1]])
+                lists = np.split(place[known].astype(np.int32), np.flatnonzero(np.diff(text[known])) + 1) if known.any() else []
+                heads = doc[known][np.cumsum([0, *map(len, lists[:-1])])] if lists else doc[:0]
+                keys = np.concatenate([h[sent], heads.astype(np.uint64) * _MIX[0]]).view(np.int64)
+                columns = [pa.array(keys), pa.array(np.concatenate([doc[sent], heads])), pa.array([*place[sent].tolist(), *[None] * len(lists)], pa.int32()), pa.array([*[None] * len(sent), *(x.tobytes() for x in lists)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "place", "known"])
         tidy()
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, and whether it is known to be repeated
-        for batch in batches:
+        held = None  # the last row: its hash, whether it is repeated, document and place
+
+        def rows(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1, dtype=np.int32)), pa.array(place.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(doc), lists], names=["doc", "places"])
+
+        for whole in batches:
+            lists = whole.filter(pc.is_valid(whole.column(3)))
+            if lists.num_rows:
+                known = [np.frombuffer(x, np.int32) for x in lists.column(3).to_pylist()]
+                offsets = pa.array(np.cumsum([0, *map(len, known)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([lists.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(known)))], names=["doc", "places"])
+            batch = whole.filter(pc.is_null(whole.column(3)))
             if not batch.num_rows:
                 continue
-            h = batch.column(0).to_numpy()
+            h, doc, place = (batch.column(k).to_numpy() for k in range(3))
             same = np.concatenate([[held is not None and held[0] == h[0]], h[1:] == h[:-1]])
             if held is not None and (held[1] or same[0]):
-                yield held[2]
-            keep = same | batch.column(3).to_numpy(zero_copy_only=False)
+                yield rows(*held[2:])
+            keep = same.copy()
             keep[:-1] |= same[1:]
-            last, keep[-1] = bool(keep[-1]), False
-            names = ["doc", "place"]
-            held = (h[-1], last, pa.RecordBatch.from_arrays([c.slice(batch.num_rows - 1, 1) for c in batch.columns[1:3]], names=names))
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[1:3]], names=names)
+            held, keep[-1] = (h[-1], bool(keep[-1]), doc[-1:], place[-1:]), False
+            yield rows(doc[keep], place[keep])
         if held is not None and held[1]:
-            yield held[2]
+            yield rows(*held[2:])
 
-    all_ = keyed.select("doc", "text").mapInArrow(emit, "h long, doc long, place int, known boolean")
-    found = all_.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "doc long, place int")
-    return found.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    all_ = keyed.select("doc", "text").mapInArrow(emit, "h long, doc long, place int, known binary")
+    found = all_.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "doc long, places array<int>")
+    return found.groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 STRETCH = "doc long, th long, start int, stop int, key long, bytes binary, windows int"
