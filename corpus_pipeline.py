@@ -22,13 +22,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8 by the fingerprint).
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8).
 
-    256 bits differ in 39 places on average at that similarity.  Keys of two equal 8-bit segments of the
-    ring find such a pair with a chance of 0.9, and closer ones nearly always.  Rows that repeat the
-    smallest id all stay.
+    MinHash keys find the pairs, their fingerprints may differ in 90 of 256 bits (39 on average at that
+    similarity).  Rows that repeat the smallest id all stay.
     """
-    found = simhash.near_duplicates(docs, shingle=5, lanes=4, distance=39, segments=32, run=2)
+    found = simhash.near_copies(docs, shingle=5)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
     return docs.select(*COLUMNS).join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 

@@ -212,6 +212,58 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).isEmpty()
 
 
+def near_texts():
+    """Families of texts of 5 to 300 words, edited so that pairs lie on both sides of a similarity of 0.8, and texts that repeat their lines."""
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(5000)
+    out = list(EDGE)
+    for n in [5, 8, 9, 13, 14, 20, 40, 40, 80, 80, 150, 150, 300, 300] * 3:
+        base = [word() for _ in range(n)]
+        out.append(" ".join(base))
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randrange(1 + max(1, n // 40))):
+                own[rng.randrange(n)] = word()
+            out.append(" ".join(own + [word() for _ in range(rng.choice([0, 1, n // 10, n // 5]))]))
+        if n == 40:
+            out.append("\n".join([" ".join(base)] * 30 + [word()]))
+    rng.shuffle(out)
+    return out
+
+
+def near_groups(texts, shingle=5):
+    """For every text the first that links of similarity 0.8 or more reach, by comparing all."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("whole", [4096, 3])
+def test_pipeline_loses_no_near_copy(spark, monkeypatch, whole):
+    """Also where large components are compared key by key."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "WHOLE", whole)
+    texts = near_texts()
+    docs = frame(spark, texts).selectExpr("doc_id", "text", "'en' AS lang", "source", "0L AS n_chars")
+    stay = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert stay <= set(near_groups(texts))
+
+
 # repeats
 
 def plain_repeats(texts, length):
