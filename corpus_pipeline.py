@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8).
 
     MinHash keys find the pairs, their fingerprints may differ in 90 of 256 bits (39 on average at that
-    similarity).  Rows that repeat the smallest id all stay.
+    similarity), and the sets of shingles decide.  Rows that repeat the smallest id all stay.
     """
     found = simhash.near_copies(docs, shingle=5)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))

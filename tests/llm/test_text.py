@@ -264,6 +264,18 @@ def test_pipeline_loses_no_near_copy(spark, monkeypatch, whole):
     assert stay <= set(near_groups(texts))
 
 
+def test_near_copies_are_those_of_the_shingles(spark):
+    """Nothing below 0.8 is linked; ids that repeat or are null don't matter."""
+    texts = near_texts()
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == near_groups(texts)
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, base), (1, "quite another text of seven words"), (None, base + " end"), (None, "words that stand alone here"), (2, base + " tail")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
+    assert simhash.near_copies(frame(spark, texts).limit(0)).isEmpty()
+
+
 # repeats
 
 def plain_repeats(texts, length):

@@ -251,10 +251,10 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and text of ``docs`` -> doc_id, component_id: the smallest doc_id that links can reach.
 
     Nodes are the distinct sets of shingles.  Sets that share a MinHash key are candidates (at a
-    similarity of 0.8 all but 5 in 100 million do), and the fingerprints of their shingles,
-    each counted once, may differ in APART bits of 256.  Candidates are joined into
-    components first; one of up to WHOLE sets is compared throughout, a larger one key by key.  Texts
-    without words are copies of each other.
+    similarity of 0.8 all but 5 in 100 million do).  They are linked if the fingerprints of their
+    shingles, each counted once, differ in at most APART bits of 256 and the sets have a Jaccard
+    similarity of 0.8 or more.  Candidates are joined into components first; one of up to WHOLE sets is
+    compared throughout, a larger one key by key.  Texts without words are copies of each other.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +275,33 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     whole = placed.filter(F.col("n") <= WHOLE).select(F.explode(_blocks(F.col("root"), F.col("n"), 256)).alias("group"), "node")
     large = keyed.join(placed.filter(F.col("n") > WHOLE).select("node"), "node", "left_semi").join(shared.select("key", "n"), "key")
     groups = whole.unionByName(large.select(F.explode(_blocks(F.col("key"), F.col("n"), 2048)).alias("group"), "node"))
-    rows = groups.join(nodes.select("node", "fp"), "node").select("group", "node", "fp")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
+        tidy()
+
+    # one text a node; other rows with its id are told from it by the digest
+    wanted = nodes.join(candidates, "node", "left_semi").select(F.col("first").alias("wanted")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    sets = stored(texts.mapInArrow(lay, "node binary, grams binary").join(candidates.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    rows = groups.join(nodes.select("node", "fp").join(sets, "node"), "node").select("group", "node", "fp", "grams")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(held: pa.Table) -> pa.RecordBatch:
             words = np.frombuffer(b"".join(held["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, 4)
 
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in held["grams"]]
+            sizes = np.array([len(x) for x in sets])
+
             def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= APART
+                out = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= APART
+                out &= 5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b])
+                for k in np.flatnonzero(out):
+                    common = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
+                    out[k] = 9 * common >= 4 * (sizes[a[k]] + sizes[b[k]])  # 0.8 of the union
+                return out
 
             parent = _forest(held["group"].to_numpy(), near)
             found = np.flatnonzero(parent != np.arange(len(parent)))
