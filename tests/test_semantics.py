@@ -201,6 +201,17 @@ def test_traversal(spark):
         G.GraphSpec((), ("before",))
 
 
+def test_traversal_takes_all_roots(spark, monkeypatch):
+    from tidemark import registry
+
+    n = 10_050
+    monkeypatch.setattr(E, "visible_events", lambda s, ctx: spark.range(n).selectExpr("id * 500 AS event_id").unionByName(spark.range(1).selectExpr("1L AS event_id")))
+    monkeypatch.setattr(E, "visible_relations", lambda s, ctx: relations(spark, [(1, "before", (n - 1) * 500, 1)]))
+    got = registry._bfs(None, "outgoing", 1)
+    assert got.filter("depth = 0").count() == n
+    assert [r.node for r in got.filter("depth = 1").collect()] == [1]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "a b", "c"), (2, "a\x0bb", None), (3, "A b", ""), (4, None, "b")], "result_key long, text string, title string")
     assert ids(K.search(docs, ["a", "b"]), "result_key") == [1]

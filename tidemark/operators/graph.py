@@ -13,7 +13,7 @@ from tidemark.plans.context import QueryError
 
 @dataclass(frozen=True)
 class GraphSpec:
-    roots: tuple[int, ...]
+    roots: tuple[int, ...] | DataFrame  # a DataFrame: its ids in column ``node``, in ascending order
     kinds: tuple[str, ...]
     direction: str = "outgoing"  # incoming, both
     max_depth: int = 3
@@ -22,7 +22,8 @@ class GraphSpec:
     emit_repeated: bool = True  # else edges to nodes that were reached before are left out
 
     def __post_init__(self):
-        if not self.roots or len(set(self.roots)) < len(self.roots) or not self.kinds or len(set(self.kinds)) < len(self.kinds):
+        listed = not isinstance(self.roots, DataFrame)
+        if listed and (not self.roots or len(set(self.roots)) < len(self.roots)) or not self.kinds or len(set(self.kinds)) < len(self.kinds):
             raise QueryError("roots and kinds: at least one, each once")
         if self.max_nodes <= 0 or self.max_edges <= 0 or self.max_depth < 0 or self.direction not in ("outgoing", "incoming", "both"):
             raise QueryError("caps are positive, depth isn't negative")
@@ -53,8 +54,11 @@ def traverse(nodes: DataFrame, edges: DataFrame, spec: GraphSpec) -> tuple[DataF
     ids = nodes.select(F.col("event_id").alias("node"))
     links = adjacency(edges, spec).join(ids, "node", "left_semi").join(ids.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi")
     links = stored(links)
-    order = {r: k for k, r in enumerate(spec.roots)}
-    roots = spark.createDataFrame([(r, k) for r, k in order.items()], "node long, place long").join(ids, "node", "left_semi")
+    if isinstance(spec.roots, DataFrame):  # an id is its own place
+        roots = spec.roots.select(F.col("node").cast("long").alias("node")).distinct().withColumn("place", F.col("node"))
+    else:
+        roots = spark.createDataFrame([(r, k) for k, r in enumerate(spec.roots)], "node long, place long")
+    roots = roots.join(ids, "node", "left_semi")
     reached = frontier = stored(roots.select("node", F.lit(0).alias("depth"), "place"))
     walked = None
     for depth in range(1, spec.max_depth + 1):

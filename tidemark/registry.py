@@ -437,7 +437,7 @@ SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"""
 
 def _bfs(s, direction: str, depth: int) -> DataFrame:
     nodes = E.visible_events(s, CTX).select("event_id")
-    roots = tuple(r.event_id for r in nodes.filter("event_id % 500 = 0").orderBy("event_id").limit(10_000).collect()) or (0,)
+    roots = nodes.filter("event_id % 500 = 0").select(F.col("event_id").alias("node"))
     return G.traverse(nodes, E.visible_relations(s, CTX), G.GraphSpec(roots, ("before", "same_time"), direction, depth))[0]
 
 
