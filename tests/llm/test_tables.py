@@ -79,6 +79,16 @@ def test_licences(spark):
     assert licenses.scan(rows.limit(0)).isEmpty()
 
 
+def test_licences_of_wrapped_and_unwrapped_notices(spark):
+    known = licenses.SENTENCES
+    wrap = lambda name: known[name].replace(" ", "\n", 3)
+    mit = f"{wrap('MIT_GRANT')}:\n\n{wrap('MIT_NOTICE')}.\n\n{wrap('MIT_WARRANTY')}."
+    texts = [f"{known['CC_BY']}\nanother line\n\n{mit}", f"{known['CC_BY']}\nanother line\n\n{wrap('ISC_GRANT')}."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.sentence_ids, r.licences) for r in licenses.scan(rows).collect()]
+    assert got == [(["CC_BY", "MIT_GRANT", "MIT_NOTICE", "MIT_WARRANTY"], ["CC-BY-4.0", "MIT"]), (["CC_BY", "ISC_GRANT"], ["CC-BY-4.0", "ISC"])]
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     vectors = [(k, [rng.choice([-1.0, 0.25, 0.5]) for _ in range(6)]) for k in range(60)]

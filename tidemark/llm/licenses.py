@@ -4,8 +4,8 @@ A text is cut into sentences, the sentences are normalised and mapped to identif
 sentences, and the sequence of identifiers is matched against ordered rules; a rule that matches takes
 its sentences out of the sequence, so more specific rules stand first.
 
-Sentences end at a stop with white space behind it.  Lines may be wrapped or not: once every line break
-ends a sentence, once only an empty line does; the reading that knows more sentences counts.
+Sentences end at a stop with white space behind it, or at an empty line.  Lines may be wrapped or not:
+what isn't a known sentence as a whole is cut at its line breaks.
 """
 
 from __future__ import annotations
@@ -101,10 +101,12 @@ def hinted(text: Column) -> Column:
     return text.rlike("(?i)" + "|".join(h.replace(" ", r"\s+") for h in HINTS))
 
 
-def _sequence(text: Column, boundary: str, known: dict[str, str]) -> Column:
+def _sequence(text: Column, known: dict[str, str]) -> Column:
     lookup = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     normal = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    return F.filter(F.transform(F.split(text, boundary), lambda s: lookup[normal(s)]), lambda x: x.isNotNull())
+    names = lambda pieces: F.filter(F.transform(pieces, lambda s: lookup[normal(s)]), lambda x: x.isNotNull())
+    whole = lambda piece: names(F.array(piece))
+    return F.flatten(F.transform(F.split(text, PARAGRAPHS), lambda p: F.when(F.size(whole(p)) > 0, whole(p)).otherwise(names(F.split(p, LINES)))))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
@@ -117,9 +119,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     known = _pieces(sentences or SENTENCES)
     text = F.coalesce(F.col("text"), F.lit(""))
     nothing = F.array().cast("array<string>")
-    by_line, by_paragraph = (F.when(hinted(text), _sequence(text, b, known)).otherwise(nothing) for b in (LINES, PARAGRAPHS))
-    found = docs.withColumns({"_a": by_line, "_b": by_paragraph})
-    found = found.withColumn("sentence_ids", F.when(F.size("_b") > F.size("_a"), F.col("_b")).otherwise(F.col("_a"))).drop("_a", "_b")
+    found = docs.withColumn("sentence_ids", F.when(hinted(text), _sequence(text, known)).otherwise(nothing))
     found = found.withColumn("_left", F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">")))
     hits = []
     for k, (name, ids) in enumerate(rules or RULES):
