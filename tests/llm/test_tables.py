@@ -89,6 +89,15 @@ def test_licences_of_wrapped_and_unwrapped_notices(spark):
     assert got == [(["CC_BY", "MIT_GRANT", "MIT_NOTICE", "MIT_WARRANTY"], ["CC-BY-4.0", "MIT"]), (["CC_BY", "ISC_GRANT"], ["CC-BY-4.0", "ISC"])]
 
 
+def test_mix_of_a_target_just_below_the_source(spark):
+    """Target 99.6 of 100 words: rounding takes them all."""
+    texts = [("a", "w " * 10)] * 10 + [("b", "w " * 149)]
+    docs = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    for split in (True, False):
+        got = mixing.mix(docs, weights=(2, 3), split_last=split).filter("source = 'a'").collect()
+        assert {(r.target, r.taken) for r in got} == {(99.6, 10)}
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     vectors = [(k, [rng.choice([-1.0, 0.25, 0.5]) for _ in range(6)]) for k in range(60)]

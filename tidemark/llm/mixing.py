@@ -73,6 +73,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: int =
     rounds = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(0).cast("long")
     targets = targets.withColumn("rounds", F.least(rounds, F.lit(epochs)))
     targets = targets.withColumn("budget", F.round(F.col("target") - F.col("rounds") * F.col("source_size")).cast("long"))
+    # rounding can fill the fractional pass: then it is one more round
+    filled = (F.col("source_size") > 0) & (F.col("budget") >= F.col("source_size"))
+    targets = targets.withColumns({"rounds": F.col("rounds") + filled.cast("long"), "budget": F.when(filled, F.lit(0)).otherwise(F.col("budget")).cast("long")})
 
     same = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(same), F.lit(0)))
