@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.components import shared_folder, stored
 
-__all__ = ["WORD", "release", "shared_folder", "stored", "table", "tidy", "utf8", "words"]
+__all__ = ["WORD", "replacing", "shared_folder", "slices", "stored", "table", "tidy", "utf8", "words"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,12 @@ def tidy() -> None:
         trim(0)
 
 
+def replacing(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns that results of these names take the place of, whatever their case."""
+    taken = {n.lower() for n in names}
+    return docs.select(*(docs[f"`{c}`"] for c in docs.columns if c.lower() not in taken))
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -51,3 +57,20 @@ def utf8(batch, name: str) -> list[bytes]:
 
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def slices(batch, name: str, size: int = 4 << 20):
+    """An Arrow batch by runs of rows of about ``size`` bytes of a string or binary column, with its values as bytes; null is empty.
+
+    A run is longer only by its last value, so tasks hold memory by bytes and not by rows.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = batch.slice(a, b - a)
+        yield part, utf8(part, name)
