@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, ppm, quality, simhash, suffix
 
@@ -34,18 +35,32 @@ def test_ids_are_those_of_the_library(coder):
     rng = random.Random(1)
     letters = "ab  \n\t\x1c\x85\xa0éß'sre12٣一“!?ａ​　ll’ABC\x0b\x0c\x00²"
     for text in [*(t or "" for t in EDGE), *("".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(3000)), "ab" * 4000, "<|endoftext|>"]:
-        assert np.frombuffer(own.encode(text), np.int32).tolist() == library.encode_ordinary(text), text[:60]
+        assert np.frombuffer(own.encode([text])[0], np.int32).tolist() == library.encode_ordinary(text), text[:60]
 
 
 def test_encode_and_decode_tables(spark, coder):
     path, pattern = bpe.multilingual()
-    docs = frame(spark, EDGE).union(frame(spark, ["again"], 3))
-    rows = bpe.decode(bpe.encode(docs, path, pattern, ("doc_id", "score")), path).collect()
+    docs = frame(spark, EDGE).union(frame(spark, ["again"], 3)).withColumn("Decoded", F.lit(1)).withColumn("ids", F.lit("own"))
+    rows = bpe.decode(bpe.encode(docs, path, pattern, ("doc_id", "score", "Decoded", "ids")), path).collect()
     assert len(rows) == len(EDGE) + 1
     for r in rows:
         text = "again" if len(r.ids) and bytes(r.decoded) == b"again" else EDGE[r.doc_id] or ""
         assert bytes(r.decoded) == text.encode() and list(r.ids) == coder[1].encode_ordinary(text) and r.score == "clash"
-    assert bpe.digests(bpe.encode(docs.limit(0), path, pattern), path).isEmpty()
+    assert bpe.digests(docs.limit(0), path, pattern).isEmpty() and bpe.encode(docs.limit(0), path, pattern).isEmpty()
+    for r in bpe.digests(docs.filter("text IS NULL OR text <> 'again'"), path, pattern).collect():
+        ids = coder[1].encode_ordinary(EDGE[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((EDGE[r.doc_id] or "").encode()).hexdigest())
+
+
+def test_remembered_merges_stay_right(coder, monkeypatch):
+    """Generations that are given up, queues of one pre-token, and pre-tokens longer than a queue."""
+    monkeypatch.setattr(bpe, "MEMORY", 3000)
+    monkeypatch.setattr(bpe, "QUEUE", 64)
+    own, library = bpe.Encoder(coder[0].ranks, bpe.multilingual()[1]), coder[1]
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [" ".join("".join(rng.choices("abcé", k=rng.randrange(1, 90))) for _ in range(5)) for _ in range(4)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 # prediction by partial matching
@@ -133,8 +148,20 @@ def test_scores(spark):
     assert ppm.score(test, empty).count() == test.count()
 
 
+def test_blocks_hold_whole_texts(monkeypatch):
+    """Codes don't depend on where texts are cut."""
+    texts = [b"", b"abcdefgh" * 9, b"x", b"0123456789" * 5]
+    whole = np.concatenate([ppm.grams(own) for own in ppm.blocks(texts)])
+    for size in (1, 7, 8, 50):
+        monkeypatch.setattr(ppm, "BLOCK", size)
+        monkeypatch.setattr(ppm, "CHUNK", 20)
+        parts = list(ppm.blocks(texts))
+        assert (np.concatenate([ppm.grams(own) for own in parts]) == whole).all()
+        assert b"".join(body for own in parts for _, _, body in own) == b"".join(t + b"\xff" for t in texts)
+
+
 def test_probabilities_sum_to_one():
-    codes, _ = ppm.grams([b"the theory of the thing", b"then that"])
+    codes = ppm.grams(next(ppm.blocks([b"the theory of the thing", b"then that"])))
     trie = ppm.Trie(*np.unique(codes, return_counts=True))
     for context in (b"e the", b"\xff" * 5, b"zzzzz", b"xx th"):
         every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)

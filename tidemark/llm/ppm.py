@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import remainder
-from tidemark.llm.shared import stored, table, utf8
+from tidemark.llm.shared import slices, stored, table, tidy
 
 ORDER = 5
 #: Bytes of the document's own contexts (8 to 16).
@@ -41,29 +41,44 @@ BROADCAST_LEAVES = 4_000_000
 HEAD_WORDS = 100_000
 PAD, END = b"\xff" * ORDER, b"\xff"
 END_TOKEN = b"\n"  # no word has white space
-CHUNK = 2 << 20
-HELD_WORDS = 300_000
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all contexts with their symbol (the lowest byte), end symbol included, and the first index of each text."""
-    raw = np.frombuffer(b"".join(x for t in texts for x in (PAD, t, END)), np.uint8).astype(np.uint64)
+#: Texts are read in blocks of up to so many bytes, and so many bytes of blocks at once.  A block knows
+#: the context before it; what a document's own contexts predict is remembered within a block.
+BLOCK = CHUNK = 1 << 19
+HELD_WORDS, HELD_LEAVES = 100_000, 1_000_000
+
+
+def blocks(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Whole texts as blocks, about CHUNK bytes of them together: the text's index, the ORDER bytes before, the block; the end symbol is in a text's last block."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) + 1, BLOCK):
+            body = t[at : at + BLOCK] + (END if at + BLOCK > len(t) else b"")
+            held.append((k, (PAD + t[max(0, at - ORDER) : at])[-ORDER:], body))
+            size += len(body)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def grams(own: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+    """Codes of all contexts of blocks with their symbol (the lowest byte)."""
+    raw = np.frombuffer(b"".join(x for _, before, body in own for x in (before, body)), np.uint8).astype(np.uint64)
     code = raw[ORDER:].copy()
     for k in range(1, ORDER + 1):
         code |= raw[ORDER - k : len(raw) - k] << np.uint64(8 * k)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    firsts = np.cumsum(sizes) - sizes
-    # between two texts lie ORDER codes that have padding as their symbol
-    places = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(texts)) * ORDER, sizes)
-    return code[places], firsts
+    sizes = np.fromiter((len(body) for _, _, body in own), np.int64, len(own))
+    # between two blocks lie ORDER codes that have the next block's context as their symbol
+    return code[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(own)) * ORDER, sizes)]
 
 
-def recalled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol, end symbols included, the one that followed the last RECALL bytes when the text had them before, or -1; and the symbol itself."""
-    raw = b"".join(x for t in texts for x in (t, END))
+def recalled(own: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of blocks the one that followed the last RECALL bytes when the block had them before, or -1; and the symbol itself."""
+    raw = b"".join(body for _, _, body in own)
     symbols = np.frombuffer(raw, np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    sizes = np.fromiter((len(body) for _, _, body in own), np.int64, len(own))
+    owner = np.repeat(np.arange(len(own)), sizes)
     found = np.full(len(symbols), -1, np.int64)
     late = np.flatnonzero(np.arange(len(symbols)) - (np.cumsum(sizes) - sizes)[owner] >= RECALL)
     if not len(late):
@@ -236,34 +251,28 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             return rows(keys.astype(np.int64), [None] * len(keys), n)
 
         for batch in batches:
-            texts = [t.lower() for t in utf8(batch, "text")]
-            at = 0
-            while at < len(texts):
-                size, first = 0, at
-                while at < len(texts) and size < CHUNK:
-                    size += len(texts[at])
-                    at += 1
-                own = texts[first:at]
-                codes, _ = grams(own)
-                held.append(np.unique(codes, return_counts=True))
-                guess, symbols = recalled(own)
-                guessed += int((guess >= 0).sum())
-                right += int((guess == symbols).sum())
-                for t in own:
+            for _, texts in slices(batch, "text"):
+                texts = [t.lower() for t in texts]
+                for own in blocks(texts):
+                    held.append(np.unique(grams(own), return_counts=True))
+                    guess, symbols = recalled(own)
+                    guessed += int((guess >= 0).sum())
+                    right += int((guess == symbols).sum())
+                    if sum(len(k) for k, _ in held) > 2 * HELD_LEAVES:
+                        held[:] = [_grouped(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))]
+                        if len(held[0][0]) > HELD_LEAVES:
+                            yield leaf_rows()
+                for t in texts:
                     words.update(t.split())
-                words[END_TOKEN] += len(own)
-                if len(words) > HELD_WORDS:
-                    yield word_rows()
-                if sum(len(k) for k, _ in held) > 2_000_000:
-                    keys, n = _grouped(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
-                    held[:] = [(keys, n)]
-                    if len(keys) > 1_000_000:
-                        yield leaf_rows()
+                    if len(words) > HELD_WORDS:
+                        yield word_rows()
+                words[END_TOKEN] += len(texts)
         if held:
             yield leaf_rows()
         if words:
             yield word_rows()
         yield rows([GUESSED, RIGHT], [None, None], [guessed, right])
+        tidy()
 
     return docs.select("text").mapInArrow(run, "gram long, word binary, n long")
 
@@ -316,6 +325,8 @@ def _joined_score(model: Model, uses: DataFrame) -> DataFrame:
         contexts = stored(contexts)
         escape = F.array(*(F.lit(float(x)) for x in _joined_escapes(contexts)))
         own = leaves.select(F.col("gram").alias("own"), F.col("n").alias("hits"))
+        # few keys, so hot ones: 256 at most to the power of a context's length, or one more for its symbols
+        contexts, own = F.broadcast(contexts) if k <= 2 else contexts, F.broadcast(own) if k <= 1 else own
         now = rest.withColumn("own", F.col("gram").bitwiseAND(mask)).join(own, "own", "left").withColumn("context", F.shiftright("own", 8)).join(contexts, "context", "left")
         left, other = F.col("total") - F.col("mass"), F.col("distinct") - F.col("kinds")
         now = now.withColumns({"left": left, "other": other})
@@ -348,7 +359,9 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
     """doc_id and text of ``docs`` -> doc_id, n_tokens, n_known, base_score, score (log10 probabilities of the lower-cased text).
 
     Null texts are empty; an empty text has one token, its end.  Rows are told apart by their place,
-    so null and repeated ids are fine.  Without training texts the model is uniform.
+    so null and repeated ids, and repeated rows and ties, give a row each.  Without training texts the
+    model is uniform; an empty table gives an empty table.  Texts of any length are read whole, block by
+    block.  Other columns of ``docs`` are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     small = model.leaves.count() <= leaves_limit
@@ -361,36 +374,34 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
         trie = _trie(number, leaves)
         get = head.get
         row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            sizes = np.cumsum(np.array([len(t) for t in utf8(whole, "text")]))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1).tolist(), whole.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                batch = whole.slice(a, b - a)
-                texts = [t.lower() for t in utf8(batch, "text")]
-                if not texts:
-                    continue
-                codes, firsts = grams(texts)
-                guess, symbols = recalled(texts)
-                wrong = np.flatnonzero((guess >= 0) & (guess != symbols))
-                other = codes[wrong] & ~np.uint64(255) | guess[wrong].astype(np.uint64)
-                logs = np.where(guess == symbols, np.log10(1 - miss), 0.0)
-                logs[wrong] = np.log10(miss)
-                open_ = guess != symbols
-                uses = [None] * len(texts)
-                if trie:
-                    logs[open_] += trie.log10(codes[open_])
-                    logs[wrong] -= np.log10(1 - 10 ** trie.log10(other))
-                else:
-                    # symbols after an escape are looked up one by one, with the excluded symbol; the others by kind
-                    item = np.full(len(codes), -1, np.int64)
-                    item[wrong] = wrong
-                    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(firsts, len(codes))))
-                    uses = [[] for _ in texts]
-                    table_ = Counter(zip(owner[open_].tolist(), codes[open_].tolist(), item[open_].tolist(), [0] * int(open_.sum()), strict=True))
-                    table_.update(zip(owner[wrong].tolist(), other.tolist(), wrong.tolist(), [1] * len(wrong), strict=True))
-                    for (k, g, i, role), n in table_.items():
-                        uses[k].append({"gram": g, "uses": n, "item": i, "role": role})
-                scores = np.add.reduceat(logs, firsts)
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                texts = [t.lower() for t in texts]
+                scores = np.zeros(len(texts))
+                uses: list = [None if trie else [] for _ in texts]
+                first = 0  # symbols of the blocks before
+                for own in blocks(texts):
+                    codes = grams(own)
+                    guess, symbols = recalled(own)
+                    wrong = np.flatnonzero((guess >= 0) & (guess != symbols))
+                    other = codes[wrong] & ~np.uint64(255) | guess[wrong].astype(np.uint64)
+                    logs = np.where(guess == symbols, np.log10(1 - miss), 0.0)
+                    logs[wrong] = np.log10(miss)
+                    open_ = guess != symbols
+                    owner = np.repeat([k for k, _, _ in own], [len(body) for _, _, body in own])
+                    if trie:
+                        logs[open_] += trie.log10(codes[open_])
+                        logs[wrong] -= np.log10(1 - 10 ** trie.log10(other))
+                    else:
+                        # symbols after an escape are looked up one by one, with the excluded symbol; the others by kind
+                        item = np.full(len(codes), -1, np.int64)
+                        item[wrong] = first + wrong
+                        table_ = Counter(zip(owner[open_].tolist(), codes[open_].tolist(), item[open_].tolist(), [0] * int(open_.sum()), strict=True))
+                        table_.update(zip(owner[wrong].tolist(), other.tolist(), item[wrong].tolist(), [1] * len(wrong), strict=True))
+                        for (k, g, i, role), n in table_.items():
+                            uses[k].append({"gram": g, "uses": n, "item": i, "role": role})
+                    scores += np.bincount(owner, logs, len(texts))
+                    first += len(codes)
                 tokens, known, base, tails, counts = [], [], [], [], []
                 for t in texts:
                     words = [*t.split(), END_TOKEN]
@@ -406,7 +417,8 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
                 row += len(texts)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("gram", pa.int64()), ("uses", pa.int64()), ("item", pa.int64()), ("role", pa.int64())])))
                 columns = (keys, tokens, known, base, scores, tails, counts, uses)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "key", "n_tokens", "known", "base", "score", "tail", "counts", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "key", "n_tokens", "known", "base", "score", "tail", "counts", "grams"])
+        tidy()
 
     kinds = "key long, n_tokens long, known long, base double, score double, tail array<binary>, counts array<long>, grams array<struct<gram: long, uses: long, item: long, role: long>>"
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}"))
