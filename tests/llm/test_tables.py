@@ -89,6 +89,41 @@ def test_licences_of_wrapped_and_unwrapped_notices(spark):
     assert got == [(["CC_BY", "MIT_GRANT", "MIT_NOTICE", "MIT_WARRANTY"], ["CC-BY-4.0", "MIT"]), (["CC_BY", "ISC_GRANT"], ["CC-BY-4.0", "ISC"])]
 
 
+GPL = "free software{}you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} version {} of the License{}\n"
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+HEADERS = [
+    (APACHE, "Apache-2.0", 6),
+    ("\n".join("# " + x if x else "#" for x in APACHE.split("\n")) + "\nimport os", "Apache-2.0", 6),
+    ("/*\n" + "\n".join(" * " + x for x in APACHE.split("\n")) + "\n */\nclass A {}", "Apache-2.0", 6),
+    (" ".join(APACHE.split()), "Apache-2.0", 4),
+    ("This program is " + GPL.format("; ", ";", "2", ".") + "more", "GPL-2.0-only", 3),
+    ("This program is " + GPL.format("; ", "; either", "2", ", or\n(at your option) any later version."), "GPL-2.0-or-later", 3),
+    ("// This program is " + GPL.format("; ", "; either", "3", ", or (at\nyour option) any later version.").replace("\n", "\n// "), "GPL-3.0-or-later", 3),
+    ("This program is " + GPL.format(": ", ", either", "3", ", or\n(at your option) any later version."), "GPL-3.0-or-later", 2),
+    ("This program is free-software.", "", 1),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this file", "MPL-2.0", 1),
+]
+
+
+def test_real_headers(spark, tmp_path):
+    rows = spark.createDataFrame([(k, text, "own", [k], "z") for k, (text, _, _) in enumerate(HEADERS)], "doc_id long, text string, Licences string, sentence_ids array<int>, _left string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    for k, (_, licence, n) in enumerate(HEADERS):
+        assert (",".join(got[k].licences), len(got[k].sentence_ids), got[k]["_left"]) == (licence, n, "z"), HEADERS[k]
+    rows.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    same(licenses.op5(spark, str(tmp_path)).toPandas(), rows_of(licenses.OP5_SQL, str(tmp_path)))
+
+
 def test_mix_of_a_target_just_below_the_source(spark):
     """Target 99.6 of 100 words: rounding takes them all."""
     texts = [("a", "w " * 10)] * 10 + [("b", "w " * 149)]
