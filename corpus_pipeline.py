@@ -42,9 +42,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; at the end of a budget a document is taken whole or not at all."""
-    mixed = mixing.mix(docs, split_last=False)
-    times = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    return docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    mixed = mixing.mix(docs, split_last=False, keep=COLUMNS).filter("taken > 0")
+    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return mixed.select(*COLUMNS, F.explode(times)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

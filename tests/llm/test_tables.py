@@ -30,6 +30,43 @@ def test_mix_laws(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+@pytest.mark.parametrize("sources", [100_000, 0])
+def test_mix_agrees_in_any_order(spark, monkeypatch, sources):
+    """Null and repeated ids, one text under several ids, repeated rows; with few and with many sources."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    rows = [(None, "w " * (1 + k % 9) + str(k), "ab"[k % 2], None) for k in range(39)] + [(k % 3, "same text", "a", None) for k in range(9)] + [(1, "x " * k, "b", None) for k in range(20)]
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3 + seed), weights=(1, 5, 2), keep=("text", "target", "Size")).collect()
+        assert set(got[0].asDict()) == {"text", "doc_id", "source", "size", "source_size", "target", "taken"}
+        seen.add(tuple(sorted((r.doc_id or -1, r.text, r.source, r.taken) for r in got)))
+    assert len(seen) == 1
+
+
+def plain_targets(sizes, weights, epochs):
+    """Shares by weight; what is above goes to the others, until none is."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {n: weights[k % len(weights)] for k, n in enumerate(names)}
+    full = set()
+    while True:
+        left, open_ = sum(sizes.values()) - sum(epochs * sizes[n] for n in full), sum(weight[n] for n in names if n not in full)
+        above = {n for n in names if n not in full and epochs * sizes[n] * open_ <= left * weight[n]}
+        if not above:
+            return {n: float(epochs * sizes[n]) if n in full else left * weight[n] / open_ for n in names}
+        full |= above
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 50, 400):
+        sizes = {f"s{k:04d}é" if k else None: int(10 ** rng.uniform(0, 6)) for k in range(n)} | {"none": 0}
+        frame_ = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        for epochs in (1, 3):
+            got = {r.source: r.target for r in mixing.source_targets(frame_, (5, 2, 1), epochs).collect()}
+            assert got == pytest.approx(plain_targets(sizes, (5, 2, 1), epochs))
+
+
 def test_mix_does_not_depend_on_buckets(spark):
     rows = spark.createDataFrame([(k, "w " * (k % 7), "ab"[k % 2], None) for k in range(200)], DOCS)
     a, b = (sorted(map(tuple, mixing.mix(rows, buckets=n).collect())) for n in (1, 1000))
