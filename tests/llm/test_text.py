@@ -339,6 +339,27 @@ def test_repeats_go(spark):
     assert suffix.remove_repeats(rows.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeats_of_null_and_repeated_ids(spark, monkeypatch, hot):
+    """One line in many surroundings, as stretches and as windows; clashing names; small held sets."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HELD_BYTES", 2000)
+    monkeypatch.setattr(suffix, "INDEX_BYTES", 3000)
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, long = say(90), say(250)
+    rows = [(None if k % 3 == 0 else k // 2, say(rng.randrange(80)) + rng.choice([line, line[:60], long, long[100:], ""]) + say(rng.randrange(80))) for k in range(150)]
+    rows += rows[:6] + [(None, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 1, "k", "r", [0]) for i, t in rows], "doc_id long, text string, doc int, kept string, Removed string, spans array<int>").repartition(4)
+    got = suffix.remove_repeats(docs)
+    assert got.columns == ["doc_id", "text", "doc", "spans", "kept", "removed"]
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    want = dict(zip(order, plain_repeats([t for _, t in order], 100), strict=True))
+    found = [((r.doc_id, r.text), bytes(r.kept)) for r in got.collect()]
+    assert len(found) == len(rows) and all(want[k] == kept for k, kept in found)
+
+
 def test_small_held_sets_and_chunks_change_nothing(monkeypatch):
     """The index finds what a set of windows finds, however the stretches are dealt."""
     rng = random.Random(8)

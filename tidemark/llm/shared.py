@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import gc
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import shared_folder, stored
 
-__all__ = ["WORD", "replacing", "shared_folder", "slices", "stored", "table", "tidy", "utf8", "words"]
+__all__ = ["WORD", "packed", "replacing", "shared_folder", "slices", "stored", "table", "tidy", "unpacked", "utf8", "words"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what was stored; it does so once the driver's heap has been collected."""
-    for _ in range(2):  # what the first round finds is deleted in the background
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def tidy() -> None:
     """Gives memory back at the end of a task: an idle Python worker still counts against its executor."""
     import ctypes
@@ -51,6 +42,32 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with its text column compressed (zstd), for shuffles of whole texts; null stays null."""
+    schema = df.withColumn("text", F.lit(None).cast("binary")).select(df.columns).schema
+    at = df.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                known = part.column(at).is_valid().to_pylist()
+                small = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) if k else None for t, k in zip(texts, known, strict=True)]
+                columns = [pa.array(small, pa.binary()) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unpacked(small: bytes) -> bytes:
+    """A text as ``packed`` left it; null is empty."""
+    import pyarrow as pa
+
+    size = int.from_bytes(small[:8], "little") if small else 0
+    return pa.decompress(small[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def utf8(batch, name: str) -> list[bytes]:
     """A string column of an Arrow batch as bytes; null is empty."""
     import pyarrow as pa
