@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table, tidy, utf8
+from tidemark.llm.shared import replacing, slices, table, tidy
 
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 10, (2, 3, 4)
 #: At most so many labelled rows are learned from: those of the least CRC-32 of their id.
@@ -139,38 +139,50 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> t
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", trainable: Column | None = None, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Learns ``label`` (0 or 1) of documents from at most ``rows`` labelled rows whose doc_id holds ``trainable``.
 
-    Rows with a null id, label or text give nothing to learn.  Without any sample the model is constant.
+    Rows with a null id, label or text give nothing to learn; repeated ids and labels give a sample
+    each, ties of the choice go by id.  Without any sample the model is constant.  The chosen sample,
+    whose size ``rows`` bounds, is learned from in one task; only the model comes to the driver (1 MB).
     """
     wanted = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if trainable is not None:
         wanted = wanted.filter(trainable)
     wanted = wanted.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pickle.dumps(counted(x)) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "features"])
+            for part, texts in slices(batch, "text", CHUNK):
+                found = [pickle.dumps(counted(x)) for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["id", "y", "features"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True))
+        values, bias = train([(*pickle.loads(f), y) for _, f, y in found])
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([bias])], names=["values", "bias"])
+        del found
+        tidy()
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("id", "y", "text")
-    found = chosen.filter(F.col("text").isNotNull()).mapInArrow(run, "id long, y int, features binary").collect()
-    samples = [(*pickle.loads(r.features), r.y) for r in sorted(found, key=lambda r: (r.id, r.features))]
-    return train(samples)
+    samples = chosen.filter(F.col("text").isNotNull()).mapInArrow(count, "id long, y int, features binary")
+    model = samples.repartition(1).mapInArrow(learn, "values binary, bias double").first()
+    return (np.frombuffer(model["values"], np.float64), model["bias"]) if model else train([])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of ``docs``, and quality_score from 0 to 1.  Empty and null texts get the score of no features."""
+    """All columns of ``docs``, and quality_score from 0 to 1, which takes the place of a column of that name.
+
+    Empty and null texts get the score of no features; rows are independent, so null and repeated ids,
+    ties and repeated rows need no care; texts are read whole; an empty table gives an empty table.
+    """
+    docs = replacing(docs, "quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = utf8(batch, "text")
-            sizes = np.cumsum([len(t) for t in texts])
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1).tolist(), len(texts)]
-            odds = np.concatenate([scorer.odds(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            scores = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "quality_score"])
+            for part, texts in slices(batch, "text", CHUNK):
+                scores = 1 / (1 + np.exp(-np.clip(scorer.odds(texts), -50, 50)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*names, "quality_score"])
         scorer.forget()
         tidy()
 
@@ -187,5 +199,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """One row per document: its score, learned from labels outside the held-out quarter, and the class at 0.7."""
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
