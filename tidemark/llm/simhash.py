@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, table, tidy, utf8
+from tidemark.llm.shared import slices, stored, table, tidy
 from tidemark.operators.components import connected_components
 
 SEED = 42
@@ -35,6 +35,8 @@ SALTS, ODDS = (np.frombuffer(b"".join(xxhash.xxh64_digest(name + bytes([k]), SEE
 ODDS = ODDS | np.uint64(1)
 #: Bits of 256 in which near copies may differ.  At a Jaccard similarity of 0.8 39 do on average, 48 in sets of a few shingles, with a deviation of 6.
 APART = 90
+#: They form a ring of so many segments, and a chain of so many must hold its budgets before all bits are counted.
+SEGMENTS, CHAIN = 16, 6
 #: Candidate components up to this size are compared throughout.
 WHOLE = 4096
 
@@ -73,9 +75,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
     """doc_id and text -> doc_id, fp binary.  Null and empty texts have the zero fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(shingle_hashes(x, shingle), lanes) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
+        for whole in batches:
+            for batch, texts in slices(whole, "text"):
+                found = [fingerprint(shingle_hashes(x, shingle), lanes) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
         tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", F.lit(b"").alias("fp")).schema)
@@ -89,8 +92,6 @@ class Ring:
         self.segments, self.distance, self.cuts = segments, distance, cuts
         self.budget = [(l * distance) // segments for l in range(1, segments + 1)]
         self.run = run or sum(b == 0 for b in self.budget)
-        if not self.run:
-            raise ValueError("no chain of equal segments: take more segments, or set run")
         self.masks = np.zeros((segments, bits // 64), np.uint64)
         for i in range(segments):
             for bit in range(cuts[i], cuts[i + 1]):
@@ -98,6 +99,8 @@ class Ring:
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
         """One key for each start of a chain: the start and a hash of the equal segments."""
+        if not self.run:
+            raise ValueError("no chain of equal segments: take more segments, or set run")
         out = np.empty((len(fps), self.segments), np.int64)
         for i in range(self.segments):
             mask = np.bitwise_or.reduce(self.masks[[(i + k) % self.segments for k in range(self.run)]], axis=0)
@@ -124,6 +127,16 @@ class Ring:
         return out
 
 
+    def chained(self, x: np.ndarray, length: int) -> np.ndarray:
+        """x: exclusive ors of candidates; which of them have a chain of ``length`` consecutive segments that holds its budgets.  All within the distance have one."""
+        counts = np.stack([np.bitwise_count(x & mask).sum(axis=1, dtype=np.int16) for mask in self.masks], axis=1)
+        total, alive = np.zeros_like(counts), np.ones(counts.shape, bool)  # of the chains by their start
+        for l in range(length):
+            total += np.roll(counts, -l, axis=1)
+            alive &= total <= self.budget[l]
+        return alive.any(axis=1)
+
+
 def _forest(group: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Rows sorted by group -> for each row the first row that it is linked to, over any number of links that pass the test."""
     n = len(group)
@@ -207,9 +220,10 @@ def links(fps: DataFrame, *, bits: int = 64, distance: int = 2, segments: int =
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, lanes: int = 1, distance: int = 2, segments: int = 6, run: int | None = None) -> DataFrame:
     """doc_id and text of ``docs`` -> doc_id, fp, component_id: the smallest doc_id that links can reach.
 
-    Texts without words have the zero fingerprint and link like any other.  Equal fingerprints are
-    one node, so copies are never compared with each other.  Null doc_ids stay as rows and are
-    ignored in the minimum; an empty table gives an empty table.
+    Null and empty texts, and those without words, have the zero fingerprint and link like any other;
+    long texts are read whole.  Equal fingerprints are one node, so copies and repeated rows are never
+    compared with each other.  Null doc_ids stay as rows and are ignored in the minimum (a component of
+    null ids alone has a null one); an empty table gives an empty table.  Other columns aren't looked at.
     """
     own = stored(fingerprints(docs, shingle, lanes))
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -222,7 +236,8 @@ def _named(own: DataFrame, nodes: DataFrame, joined: DataFrame, by: str) -> Data
     groups = joined.join(nodes, joined.node == nodes[by]).select(nodes[by].alias("class"), "root", "first")
     lowest = groups.groupBy("root").agg(F.min("first").alias("low"))
     named = groups.select("class", "root").join(lowest, "root").select("class", "low")
-    classes = nodes.select(F.col(by).alias("class"), "first").join(named, "class", "left").select("class", F.coalesce("low", "first").alias("component_id"))
+    # stored, so that the engine can split the rows of a hot class in this join
+    classes = stored(nodes.select(F.col(by).alias("class"), "first").join(named, "class", "left").select("class", F.coalesce("low", "first").alias("component_id")))
     return own.join(classes, F.col(by) == F.col("class"))
 
 
@@ -251,19 +266,26 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and text of ``docs`` -> doc_id, component_id: the smallest doc_id that links can reach.
 
     Nodes are the distinct sets of shingles.  Sets that share a MinHash key are candidates (at a
-    similarity of 0.8 all but 5 in 100 million do).  They are linked if the fingerprints of their
-    shingles, each counted once, differ in at most APART bits of 256 and the sets have a Jaccard
-    similarity of 0.8 or more.  Candidates are joined into components first; one of up to WHOLE sets is
-    compared throughout, a larger one key by key.  Texts without words are copies of each other.
+    similarity of 0.8 all but 5 in 100 million do): a distance of APART leaves no segment of the ring
+    that must be equal, so the ring prunes candidates here but can't find them.  Those are linked whose
+    fingerprints of shingles, each counted once, have a chain of CHAIN segments within its budgets and
+    differ in at most APART bits of 256, and whose sets have a Jaccard similarity of 0.8 or more.
+    Candidates are joined into components first; one of up to WHOLE sets is compared throughout, a larger
+    one key by key.  Texts without words are copies of each other, null ones too; null ids are rows like
+    any other but never the smallest; repeated rows are one node; an empty table gives an empty table.
     """
+    ring = Ring(256, SEGMENTS, APART, None)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch, "text")]
-            columns = [pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array([fingerprint(g, 4) for g in sets], pa.binary()), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp", "keys"])
+        for whole in batches:
+            for batch, texts in slices(whole, "text"):
+                yield described(batch, [np.unique(shingle_hashes(x, shingle)) for x in texts])
         tidy()
 
+    def described(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array([fingerprint(g, 4) for g in sets], pa.binary()), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp", "keys"])
+
     schema = docs.select("doc_id", F.lit(b"").alias("node"), F.lit(b"").alias("fp"), F.array().cast("array<long>").alias("keys")).schema
     own = stored(docs.select("doc_id", "text").mapInArrow(describe, schema))
     nodes = stored(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
@@ -277,9 +299,10 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     groups = whole.unionByName(large.select(F.explode(_blocks(F.col("key"), F.col("n"), 2048)).alias("group"), "node"))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
+        for whole in batches:
+            for _, texts in slices(whole, "text"):
+                sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
         tidy()
 
     # one text a node; other rows with its id are told from it by the digest
@@ -296,7 +319,9 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
             sizes = np.array([len(x) for x in sets])
 
             def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                out = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= APART
+                out = ring.chained(words[a] ^ words[b], CHAIN)
+                held_ = np.flatnonzero(out)
+                out[held_] = np.bitwise_count(words[a[held_]] ^ words[b[held_]]).sum(axis=1, dtype=np.int64) <= APART
                 out &= 5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b])
                 for k in np.flatnonzero(out):
                     common = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
@@ -330,5 +355,6 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the smallest id of its component."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
