@@ -220,6 +220,23 @@ def test_few_candidates_and_large_values(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 65536 * (3 * 10**12 - 2 * 10**12)), (2, 65536 * 3 * 10**6)]
 
 
+def test_products_beyond_64_bits(spark):
+    """One huge component ends nothing while the answers fit; an answer that doesn't fit fails."""
+    rng = random.Random(4)
+    vectors = [(k, [float(rng.randrange(-9, 9)) for _ in range(4)]) for k in range(30)] + [(30, [1e9, -1e9, 1.0, 0.0]), (31, [1e12, 1e12, 0.0, 1.0]), (33, [-1e12, 2.0, 0.0, 1.0])]
+    rows = topk.scaled(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    whole = {i: [int(256 * x) for x in v] for i, v in vectors}
+    got = {}
+    for r in topk.top_k(rows, rows.filter("vec_id IN (0, 1, 30)"), 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 1, 30):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    both = rows.unionByName(topk.scaled(spark.createDataFrame([(40, [1e12, 1e12, 0.0, 1.0])], "vec_id long, embedding array<double>")))
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(both, both.filter("vec_id = 40"), 1).collect()
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 

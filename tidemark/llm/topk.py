@@ -30,10 +30,12 @@ SALTS = 16
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, embedding -> vec_id, v array<long>: floor(scale * x).
 
-    Null and empty vectors, and those that hold a null or a non-finite component, are left out.
+    Null and empty vectors, and those that hold a null or a non-finite component, are left out; a
+    component whose multiple has more than 64 bits fails the query.  Repeated rows and null ids are kept.
     """
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.filter(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    whole = lambda x: F.when(F.abs(x.cast("double") * scale) < 2.0**62, F.floor(x.cast("double") * scale).cast("long")).otherwise(F.raise_error(F.lit("a component has more than 64 bits")).cast("long"))
+    return vectors.filter(good).select("vec_id", F.transform("embedding", whole).alias("v"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -53,15 +55,27 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "v").filter(F.col("vec_id").isNotNull()).mapInArrow(run, "dim int, ids binary, data binary")
 
 
-def _partials(q: np.ndarray, v: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Integer inner products by slice of the components."""
+#: Scores from here on can't be returned as 64 bits.
+WIDE = 1 << 62
+
+
+def _partials(q: np.ndarray, v: np.ndarray, slices: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Inner products by slice of the components; the rows where these may exceed 64 bits; for those rows the whole products, exact, at most WIDE.
+
+    Wide rows have no slices of their own (zero).
+    """
     cuts = [q.shape[1] * i // slices for i in range(slices + 1)]
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
-    if bound >= 2**62:
-        raise ValueError("inner products may exceed 64 bits")
-    kind = np.float64 if bound < 2**52 else np.int64  # floats hold every sum below 2^53 exactly, and multiply faster
+    high = np.abs(v).max(axis=1, initial=0).astype(float) * float(np.abs(q).max(initial=0)) * q.shape[1]
+    wide = high >= 2.0**61
+    whole = np.zeros((len(q), len(v)), np.int64)
+    if wide.any():
+        rows = np.flatnonzero(wide)
+        exact = q.astype(object) @ v[rows].T.astype(object)  # Python integers
+        whole[:, rows] = np.minimum(np.maximum(exact, -WIDE), WIDE).astype(np.int64)
+        v = np.where(wide[:, None], 0, v)
+    kind = np.float64 if high[~wide].max(initial=0) < 2**52 else np.int64  # floats hold every sum below 2^53 exactly, and multiply faster
     q, v = q.astype(kind), v.astype(kind)
-    return [(q[:, a:b] @ v[:, a:b].T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(q[:, a:b] @ v[:, a:b].T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], wide, whole
 
 
 def _meet(blocks: DataFrame, queries: DataFrame, count: int, scan, schema: str) -> DataFrame:
@@ -79,7 +93,7 @@ def _meet(blocks: DataFrame, queries: DataFrame, count: int, scan, schema: str)
                 cutoffs = np.array(row["cutoffs"], np.int64)
                 for at in range(0, len(qids), 64):
                     own = slice(at, at + 64)
-                    yield scan(qids[own], ids, _partials(q[own], v, SLICES), cutoffs[own])
+                    yield scan(qids[own], ids, *_partials(q[own], v, SLICES), cutoffs[own])
 
     return pairs.mapInArrow(run, schema)
 
@@ -92,7 +106,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Rows with the query's own vec_id are no candidates; ties go to the smaller vec_id; queries with
     fewer candidates return all.  Vectors of another length than the query's, and rows without an
-    id, take no part.  Scores that may not fit 64 bits fail the query.  Several rows of one vec_id are one query and separate candidates.
+    id, take no part.  Products are exact whatever the components; only an answer that doesn't fit 62 bits
+    fails the query.  Several rows of one vec_id are one query and separate candidates; empty tables give
+    an empty table; other columns are not looked at.
     """
     blocks = stored(_packed(rows))
     asked = stored(queries.filter(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"]))
@@ -105,10 +121,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         blocks_ = with_cutoff.groupBy(F.size("v").alias("dim"), part.alias("part")).agg(items.alias("items"))
         return blocks_.select("dim", "part", F.col("items.vec_id").alias("qids"), F.flatten(F.col("items.v")).alias("qdata"), F.col("items.cutoff").alias("cutoffs"))
 
-    def first(qids, ids, partials, cutoffs) -> pa.RecordBatch:
+    def first(qids, ids, partials, wide, whole, cutoffs) -> pa.RecordBatch:
         out = []
-        total = sum(partials)
-        for p in partials:
+        total = np.where(wide, whole, sum(partials))
+        for p in [*partials, whole] if wide.any() else partials:
             p = np.where(qids[:, None] == ids[None, :], NO_CUTOFF, p)
             best = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
             out.append(best)
@@ -124,7 +140,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     cutoffs = cutoffs.select("query_id", F.when(F.col("n") == k, F.col("low")).otherwise(F.lit(NO_CUTOFF)).alias("cutoff"))
     told = stored(asked.join(cutoffs, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("cutoff", F.lit(NO_CUTOFF)).alias("cutoff")))
 
-    def second(qids, ids, partials, cutoffs) -> pa.RecordBatch:
+    def second(qids, ids, partials, wide, whole, cutoffs) -> pa.RecordBatch:
         known = np.zeros(partials[0].shape, np.int64)
         missing = np.zeros(partials[0].shape, np.int64)
         low = cutoffs[:, None]
@@ -132,6 +148,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             high = p * SLICES >= low
             known += np.where(high, p, 0)
             missing += ~high
+        known, missing = np.where(wide, whole, known), np.where(wide, 0, missing)
         enough = (missing < SLICES) & (known + missing * ((low - 1) // SLICES) >= low) & (qids[:, None] != ids[None, :])
         q, v = np.nonzero(enough)
         return pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[v]), pa.array(known[q, v]), pa.array(missing[q, v])], names=["query_id", "vec_id", "known", "missing"])
@@ -143,7 +160,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
     scores = whole.unionByName(open_.select("query_id", "vec_id", product.alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.abs("score") < WIDE, F.col("score")).otherwise(F.raise_error(F.lit("a score has more than 62 bits")).cast("long"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
