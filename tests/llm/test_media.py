@@ -92,3 +92,74 @@ def test_stored_texts(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert got[2].media_sha256 == got[5].media_sha256 and got[4].feature.startswith("frames=4;")
     assert X.read_back(X.store_texts(docs.limit(0))).isEmpty()
+
+
+def plain_gif(data):
+    """Grey samples of all frames, and the delays, read byte by byte and code by code."""
+    assert data[:6] == b"GIF89a"
+    at, palette = 13, None
+    if data[10] & 0x80:
+        palette = data[13 : 13 + 3 * (2 << (data[10] & 7))]
+        at += len(palette)
+    samples, delays = b"", []
+    while data[at] != 0x3B:
+        kind, at = data[at], at + 1
+        own = palette
+        if kind == 0x2C:
+            flags, at = data[at + 8], at + 9
+            if flags & 0x80:
+                own = data[at : at + 3 * (2 << (flags & 7))]
+                at += len(own)
+            size, at = data[at], at + 1
+        else:
+            label, at = data[at], at + 1
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if kind == 0x21:
+            if label == 0xF9:
+                delays.append(10 * int.from_bytes(body[1:3], "little"))
+            continue
+        bits, count, width, table, last = int.from_bytes(body, "little"), 0, size + 1, {}, None
+        out = bytearray()
+        while True:
+            code = bits >> count & (1 << width) - 1
+            count += width
+            if code == 1 << size:
+                table, last, width = {k: bytes([k]) for k in range(1 << size)} | {1 << size: b"", (1 << size) + 1: b""}, None, size + 1
+                continue
+            if code == (1 << size) + 1:
+                break
+            said = table[code] if code in table else last + last[:1]
+            out += said
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + said[:1]
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = said
+        samples += bytes(own[3 * x] for x in out)
+    return samples, delays
+
+
+def test_stored_files_hold_for_a_plain_reader(spark):
+    """Samples, sizes, digests, delays and histograms of what is stored, read another way."""
+    texts = [None, "abc", "é ñ 中文 " * 300, "x" * 70_000, "".join(random.Random(2).choices("abcdefgh \n", k=9000))]
+    stored = X.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for r in X.read_back(stored).collect():
+        samples, delays = plain_gif(files[r.doc_id])
+        raw = (texts[r.doc_id] or "").encode()
+        assert samples.rstrip(b"\0") == raw and len(samples) == r.payload_bytes
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        assert [f.delay_ms for f in r.frames] == delays and [f.frame for f in r.frames] == list(range(len(delays)))
+        counts = np.bincount(np.frombuffer(samples, np.uint8) >> 5, minlength=8).tolist()
+        assert np.sum([f.histogram for f in r.frames], axis=0).tolist() == counts * 3
+        assert r.feature == f"frames={len(delays)};ms={sum(delays)};rgb={','.join(map(str, counts * 3))}"
+
+
+def test_clashing_frame_columns(spark):
+    good = X.write_gif(X.Gif(2, 2, [X.Frame(np.ones((2, 2), np.uint8), RGB)]))
+    got = X.frames(spark.createDataFrame([(good, "own", 5)], "media binary, Frame string, rgba int")).collect()
+    assert got[0].asDict().keys() == {x.split()[0] for x in X.FRAME_COLUMNS.split(", ")} and got[0].frame == 0

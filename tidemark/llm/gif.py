@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, table
+from tidemark.llm.shared import replacing, slices, stored, table, tidy
 
 #: A payload is stored 64 samples to a row, up to 1024 rows to a frame.
 ROW, ROWS = 64, 1024
@@ -288,7 +288,10 @@ def frames(media: DataFrame, column: str = "media") -> DataFrame:
     """A GIF column -> one row for each frame: the other columns, its timing, the composed canvas, its colour histogram.
 
     Null, empty and broken files have one row with null frame columns; a GIF without images has none.
+    Rows are independent: null ids, ties and repeated rows need no care; an empty table gives an empty
+    table; other columns named as a frame column give way to it.
     """
+    media = replacing(media, *(x.split()[0] for x in FRAME_COLUMNS.split(", ") if x.split()[0] != column))
     keep = [c for c in media.columns if c != column]
     schema = ", ".join([*(f"`{n}` {t}" for n, t in media.select(*keep).dtypes), FRAME_COLUMNS])
     kinds = media.sparkSession.createDataFrame([], schema).schema
@@ -329,47 +332,55 @@ def unpack(gif: Gif) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text -> doc_id, n_bytes, payload_bytes, media: the UTF-8 text, zero-padded to a positive multiple of 64, as a GIF.  Null is the empty text."""
+    """doc_id and text -> doc_id, n_bytes, payload_bytes, media: the UTF-8 text, zero-padded to a positive multiple of 64, as a GIF.
+
+    Null is the empty text; a long text has as many frames as it needs; rows are independent, so null
+    and repeated ids, ties and repeated rows give a row each; an empty table gives an empty table; other
+    columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            start, size, rows = 0, 0, []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or b""
-                padded = text + bytes(-len(text) % ROW if text else ROW)
-                rows.append((len(text), len(padded), pack(padded)))
-                size += len(padded)
-                if size >= FLUSH or i + 1 == batch.num_rows:
-                    n, m, media = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "payload_bytes", "media"])
-                    start, size, rows = i + 1, 0, []
+            for part, texts in slices(batch, "text", FLUSH):
+                padded = [t + bytes(-len(t) % ROW if t else ROW) for t in texts]
+                columns = (pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(len, padded)), pa.int64()), pa.array(list(map(pack, padded)), pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_bytes", "payload_bytes", "media"])
+        tidy()
 
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("payload_bytes"), F.lit(b"").alias("media")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+TIMED = "array<struct<frame: int, delay_ms: int, disposal: int, transparent: int, histogram: array<bigint>>>"
+
+
 def read_back(media: DataFrame) -> DataFrame:
-    """What store_texts wrote -> digests of the payload that the stored files hold, and a feature string from their composed frames."""
+    """What store_texts wrote -> digests of the payload that the stored files hold, their timed frames with colour histograms, and a feature string of these.
+
+    Files are read by bytes, not by rows; nulls, ties and repeated rows as in ``store_texts``.
+    """
+    shape = pa.list_(pa.struct([("frame", pa.int32()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), shape)
         for whole in batches:
-            for first in range(0, max(1, whole.num_rows), 200):
-                batch = whole.slice(first, 200)
-                files = batch.column(3).to_pylist()
+            for batch, files in slices(whole, "media", FLUSH // 4):
                 out = []
                 for data, gif in zip(files, read_gifs(files), strict=True):
                     payload = unpack(gif)
-                    colours = sum((histogram(c) for c in compose(gif)), np.zeros(3 * BINS, np.int64))
-                    feature = f"frames={len(gif.frames)};ms={sum(f.delay_ms for f in gif.frames)};rgb={','.join(map(str, colours.tolist()))}"
-                    out.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-                columns = [list(x) for x in zip(*out, strict=True)] if out else [[], [], [], [], []]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    timed = [{"frame": k, "delay_ms": f.delay_ms, "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(canvas)} for k, (f, canvas) in enumerate(zip(gif.frames, compose(gif), strict=True))]
+                    colours = sum((t["histogram"] for t in timed), np.zeros(3 * BINS, np.int64))
+                    feature = f"frames={len(timed)};ms={sum(t['delay_ms'] for t in timed)};rgb={','.join(map(str, colours.tolist()))}"
+                    out.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, timed))
+                columns = (pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
+        tidy()
 
-    kinds = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, {kinds}")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    kinds = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {TIMED}"
+    return media.select("doc_id", "n_bytes", "payload_bytes", "media").mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, {kinds}")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """One row per document: its text stored as a GIF and read back, digests, and its timed frames."""
     return read_back(stored(store_texts(table(spark, sf_dir, "documents"))))
