@@ -29,7 +29,7 @@ from tidemark.llm.shared import replacing, slices, table, tidy
 #: A word of the lower bitmap has 2^8 bits.
 WORD_BITS, WORD_MASK = 8, 255
 #: Bytes of merged pre-tokens in one of the two generations that a worker remembers.
-MEMORY = 40 << 20
+MEMORY = 80 << 20
 #: Bytes of pre-tokens that share a queue, unless one is longer.
 QUEUE = 1 << 17
 #: UTF-8 bytes of text encoded before rows go back to Spark.
