@@ -154,8 +154,13 @@ def test_stored_files_hold_for_a_plain_reader(spark):
         assert samples.rstrip(b"\0") == raw and len(samples) == r.payload_bytes
         assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
         assert [f.delay_ms for f in r.frames] == delays and [f.frame for f in r.frames] == list(range(len(delays)))
-        counts = np.bincount(np.frombuffer(samples, np.uint8) >> 5, minlength=8).tolist()
-        assert np.sum([f.histogram for f in r.frames], axis=0).tolist() == counts * 3
+        canvas, total = np.frombuffer(samples[:65536], np.uint8).copy(), np.zeros(8, int)
+        for k, f in enumerate(r.frames):  # a later frame is laid over the earlier ones
+            own = samples[65536 * k :][:65536]
+            canvas[: len(own)] = np.frombuffer(own, np.uint8)
+            assert list(f.histogram) == np.bincount(canvas >> 5, minlength=8).tolist() * 3
+            total += np.bincount(canvas >> 5, minlength=8)
+        counts = total.tolist()
         assert r.feature == f"frames={len(delays)};ms={sum(delays)};rgb={','.join(map(str, counts * 3))}"
 
 
