@@ -45,8 +45,8 @@ SEPARATOR = 0xFF  # not in UTF-8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
-#: Texts are joined up to about so many bytes.
-PIECE_BYTES = 1 << 20
+#: Texts are joined up to about so many bytes; places within a piece take PLACE_BITS bits.
+PIECE_BYTES, PLACE_BITS = 1 << 20, 24
 
 
 def gram_hashes(text: bytes) -> np.ndarray:
@@ -61,21 +61,22 @@ def gram_hashes(text: bytes) -> np.ndarray:
 
 
 def _piece(joined: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a piece the hash of its gram, the least in it, and the gram's place, the leftmost of equals."""
-    key = gram_hashes(joined)
-    place = np.arange(len(key), dtype=np.int32)
-
-    def least(ahead: int) -> tuple[np.ndarray, np.ndarray]:
-        left = key[: len(key) - ahead] <= key[ahead:]
-        return np.where(left, key[: len(key) - ahead], key[ahead:]), np.where(left, place[: len(key) - ahead], place[ahead:])
+    """For each window of a piece the hash of its gram and the gram's place.
 
+    The least of the upper bits decides, and the leftmost of equals: equal windows choose alike.  The whole hash is the key.
+    """
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    h = gram_hashes(joined)
+    key = h & ~low
+    key |= np.arange(len(key), dtype=np.uint64)
     width, have = length - GRAM + 1, 1
     while have * 2 <= width:
-        key, place = least(have)
+        key = np.minimum(key[:-have], key[have:])
         have *= 2
     if have < width:
-        key, place = least(width - have)
-    return key, place.astype(np.int64)
+        key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+    place = (key & low).astype(np.int64)
+    return h[place], place
 
 
 def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
