@@ -1,6 +1,7 @@
 """Rules that are easy to get wrong, on small stores."""
 
 import itertools
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -11,38 +12,48 @@ from tidemark.operators import aggregate as A
 from tidemark.operators import events as E
 from tidemark.operators import filters as C
 from tidemark.operators import graph as G
+from tidemark.operators import jobs as J
 from tidemark.operators import masks as M
 from tidemark.operators import movement as N
 from tidemark.operators import resolve as R
 from tidemark.operators import scan as S
 from tidemark.operators import search as K
 from tidemark.operators import security as L
-from tidemark.plans.context import Context, QueryError
-from tidemark.sources.tables import Database
+from tidemark.operators import times as T
+from tidemark.operators import transactions as X
+from tidemark.plans.context import Context, QueryError, catalog
+from tidemark.sources.tables import Database, DatabaseStore, write_store
 
 ASSERTION = "assertion_id long, subject_id long, predicate_id long, space_id long, layer_id long, perspective_id int, mode string, value_canon string, polarity string, valid_start long, valid_end long, revision long"
-MASK = "mask_id long, space_id long, layer_id long, perspective_id int, mode string, selector string, assertion_id long, subject_id long, predicate_id long, value_canon string, polarity string, revision long"
+MASK = "mask_id long, space_id long, layer_id long, perspective_id int, mode string, selector string, assertion_id long, subject_id long, predicate_id long, value_canon string, polarity string, valid_start long, valid_end long, revision long"
 
 
 def assertion(i, space=1, layer=0, value="a", polarity="positive", start=0, end=None, revision=1, subject=1, predicate=0):
     return (i, subject, predicate, space, layer, 0, "world_state", value, polarity, start, end, revision)
 
 
-def mask(i, selector, target, space=1, layer=0, revision=1, value="a", polarity="positive"):
-    return (i, space, layer, 0, "world_state", selector, target, 1, 0, value, polarity, revision)
+def mask(i, selector, target, space=1, layer=0, revision=1, value="a", polarity="positive", start=None, end=None, predicate=0):
+    return (i, space, layer, 0, "world_state", selector, target, 1, predicate, value, polarity, start, end, revision)
 
 
-def store(spark, assertions=(), masks=(), retractions=(), closures=(), transitions=(), boundaries=(), mask_retractions=()):
+def boundary(i, space=2, layer=0, predicate=2, revision=1, start=None, end=None, subject=1):
+    return (i, space, layer, 0, "world_state", subject, predicate, start, end, revision)
+
+
+def store(spark, assertions=(), masks=(), retractions=(), closures=(), transitions=(), boundaries=(), mask_retractions=(), mask_closures=(), boundary_retractions=(), boundary_closures=()):
     make = spark.createDataFrame
     return SimpleNamespace(
         spark=spark,
         assertions=make(list(assertions), ASSERTION),
         masks=make(list(masks), MASK),
         mask_retractions=make(list(mask_retractions), "mask_id long, revision long"),
+        mask_closures=make(list(mask_closures), "mask_id long, revision long, close_at long"),
         assertion_retractions=make(list(retractions), "assertion_id long, revision long"),
         assertion_closures=make(list(closures), "assertion_id long, revision long, close_at long"),
-        archive_transitions=make(list(transitions), "target_id long, action string, revision long"),
-        boundaries=make(list(boundaries), "boundary_id long, space_id long, layer_id long, perspective_id int, mode string, subject_id long, predicate_id long, revision long"),
+        archive_transitions=make([t if len(t) == 4 else ("assertion", *t) for t in transitions], "target_kind string, target_id long, action string, revision long"),
+        boundaries=make(list(boundaries), "boundary_id long, space_id long, layer_id long, perspective_id int, mode string, subject_id long, predicate_id long, valid_start long, valid_end long, revision long"),
+        boundary_retractions=make(list(boundary_retractions), "boundary_id long, revision long"),
+        boundary_closures=make(list(boundary_closures), "boundary_id long, revision long, close_at long"),
     )
 
 
@@ -115,10 +126,9 @@ def test_polarity_is_part_of_the_value(spark):
 
 
 def test_a_boundary_cuts_lower_precedence_and_empties_a_slot(spark):
-    boundary = [(1, 2, 0, 0, "world_state", 1, 2, 1)]
-    low = store(spark, [assertion(1, revision=5, predicate=2)], boundaries=boundary)
+    low = store(spark, [assertion(1, revision=5, predicate=2)], boundaries=[boundary(1)])
     assert R.resolve_replace(low, CTX).first().outcome == "known_empty"
-    equal = store(spark, [assertion(1, revision=5, predicate=2, space=2)], boundaries=boundary)
+    equal = store(spark, [assertion(1, revision=5, predicate=2, space=2)], boundaries=[boundary(1)])
     assert R.resolve_replace(equal, CTX).first().outcome == "known"
     none = store(spark, [assertion(1, revision=500, predicate=2)])
     assert R.resolve_replace(none, CTX).first().outcome == "unknown"
@@ -133,34 +143,123 @@ def test_overlay_conflicts_per_value(spark):
 def test_a_point_agrees_with_its_cell(spark):
     rows = [assertion(1, start=0, end=40, revision=5), assertion(2, start=20, value="b", revision=6), assertion(3, start=30, end=60, value="c", space=2)]
     s = store(spark, rows, closures=[(2, 7, 80)])
-    cells = R.all_times_single(s, CTX).collect()
+    cells = T.all_times_single(s, CTX).collect()
     for t in (-5, 0, 10, 20, 25, 30, 45, 60, 79, 80, 500):
         point = R.resolve_single(s, CTX.at(world_time=t)).first()
         own = [c for c in cells if (c.cell_start is None or c.cell_start <= t) and (c.cell_end is None or t < c.cell_end)]
         assert len(own) == 1 and (own[0].outcome, own[0].value) == (point.outcome, point.value), t
 
 
+MASKING = [mask(7, "exact", 1, layer=1, start=20, end=60), mask(8, "slot", 1, layer=1, start=None, end=10)]
+
+
+@pytest.mark.parametrize("t,hidden", [(5, True), (10, False), (19, False), (20, True), (44, True), (45, False), (60, False)])
+def test_masks_act_while_they_are_valid(spark, t, hidden):
+    s = store(spark, [assertion(1, revision=5)], masks=MASKING, mask_closures=[(7, 6, 45), (8, 500, 0)])
+    ctx = CTX.at(world_time=t)
+    assert (ids(M.apply_masks(S.candidates(s, ctx), M.active_masks(s, ctx))) == []) == hidden
+
+
+def test_archived_masks_and_boundaries_do_nothing(spark):
+    s = store(spark, [assertion(1, revision=5, predicate=2)], masks=[mask(7, "exact", 1, layer=1)], boundaries=[boundary(7)], transitions=[("mask", 7, "archive", 9), ("boundary", 7, "archive", 9)])
+    assert R.resolve_replace(s, CTX).first().outcome == "known"
+    assert R.resolve_replace(s, CTX.at(as_of=8)).first().outcome == "known_empty"
+
+
+@pytest.mark.parametrize("made,outcome", [({}, "known_empty"), ({"boundary_closures": [(1, 5, 50)]}, "known"), ({"boundary_closures": [(1, 5, 51)]}, "known_empty"), ({"boundary_retractions": [(1, 99)]}, "known")])
+def test_boundaries_end(spark, made, outcome):
+    s = store(spark, [assertion(1, revision=5, predicate=2)], boundaries=[boundary(1, start=10)], **made)
+    assert R.resolve_replace(s, CTX).first().outcome == outcome
+    assert R.resolve_replace(s, CTX.at(world_time=9)).first().outcome == "known"
+
+
+def test_slots_without_endpoints_are_one_cell(spark):
+    s = store(spark, [assertion(1, start=None, revision=5)], boundaries=[boundary(1, subject=8), boundary(2, subject=9, start=3)])
+    assert [(c.cell_start, c.cell_end, c.outcome, c.contributors) for c in T.all_times_single(s, CTX).collect()] == [(None, None, "known", "1")]
+    assert sorted((c.subject_id, c.cell_start or 0, c.outcome) for c in T.all_times_replace(s, CTX).collect()) == [(9, 0, "unknown"), (9, 3, "known_empty")]
+    every = spark.createDataFrame([(8, 2), (9, 2)], "subject_id long, predicate_id long")
+    assert ids(T.complete_empty(every, T.cells(s, CTX, 2)), "subject_id") == [8]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_points_agree_with_their_cells(spark, seed):
+    """Random stores with masks, boundaries and lifecycle, for all three policies."""
+    rng = random.Random(seed)
+    when = lambda: rng.choice([None, *range(0, 100, 10)])
+
+    def span():
+        a, b = when(), when()
+        return {"start": a, "end": None if a is not None and b is not None and b <= a else b}
+
+    rows = [assertion(k, space=rng.choice([1, 2]), layer=rng.choice([0, 1]), value=rng.choice("ab"), polarity=rng.choice(["positive", "negative"]), revision=rng.randrange(1, 12), subject=rng.choice([1, 1, 2]), predicate=rng.randrange(3), **span()) for k in range(1, 25)]
+    masks = [mask(k, rng.choice(["exact", "proposition", "slot"]), rng.randrange(1, 25), space=rng.choice([1, 2]), layer=rng.choice([0, 1]), value=rng.choice("ab"), predicate=rng.randrange(3), **span()) for k in range(8)]
+    s = store(spark, rows, masks, retractions=[(k, 7) for k in (2, 9)], closures=[(k, 9, 10 * rng.randrange(9)) for k in (3, 4, 5)], transitions=[(6, "archive", 8)], boundaries=[boundary(k, space=rng.choice([1, 2]), layer=rng.choice([0, 1]), **span()) for k in range(3)], mask_closures=[(1, 9, 40)], mask_retractions=[(2, 9)], boundary_closures=[(1, 9, 60)])
+    whole = [T.all_times_single(s, CTX).collect(), T.all_times_overlay(s, CTX).collect(), T.all_times_replace(s, CTX).collect()]
+    for t in (-5, 15, 40, 200):
+        ctx = CTX.at(world_time=t)
+        for cells, points, show in zip(whole, (R.resolve_single(s, ctx), R.resolve_overlay(s, ctx), R.resolve_replace(s, ctx)), (lambda r: (r.outcome, r.value, r.contributors or ""), lambda r: (r.outcome, r.n_values or 0, r.n_conflicts or 0), lambda r: (r.outcome, r.n_values, r.n_conflicts)), strict=True):
+            now = {(c.subject_id, c.predicate_id): show(c) for c in cells if (c.cell_start is None or c.cell_start <= t) and (c.cell_end is None or t < c.cell_end)}
+            for p in points.collect():
+                slot = (p.subject_id, p.predicate_id)
+                assert slot not in now or now[slot] == show(p), (t, slot)
+
+
+READ = tuple((c, "allow") for c in ("history_space_read", "layer_read", "assertion_read", "mask_read", "replacement_boundary_read", "field_read", "query_resolve"))
+
+
+def policy(*rules):
+    return L.Policy((("ann", "active"), ("bob", "disabled")), (L.Role("reader", READ),), (L.Assignment("ann", "reader"), L.Assignment("bob", "reader")), rules)
+
+
 def test_hidden_rows_change_nothing(spark):
-    """Two worlds that differ only in what may not be read give the same answers."""
-    policy = L.Policy((L.Rule("allow", "read"), L.Rule("deny", "read", layer=1)), (("ann", "reader"),))
-    right = L.authorized(policy, "ann", "read", {"layer": "layer_id"})
-    seen = [assertion(1, revision=5)]
-    hidden = [assertion(2, layer=1, value="secret", revision=5)]
-    a, b = (R.resolve_single(store(spark, rows), CTX, allowed=right).first() for rows in (seen, seen + hidden))
-    assert a == b
+    """Two worlds that differ only in what may not be read give the same answers: records, masks, boundaries and slots."""
+    rights = L.Rights(policy(L.Rule("deny", "layer_read", scope=L.Scope(layer=1))), "ann")
+    seen = [assertion(1, revision=5), assertion(3, predicate=2, revision=5)]
+    one = store(spark, seen)
+    other = store(spark, [*seen, assertion(2, layer=1, value="secret", revision=5), assertion(9, layer=1, subject=77)], masks=[mask(7, "slot", 1, layer=1)], boundaries=[boundary(1, layer=1)], mask_closures=[(7, 5, 99)])
+    observe = lambda s: {"single": R.resolve_single(s, CTX, rights=rights), "replace": R.resolve_replace(s, CTX, rights=rights), "cells": T.all_times_single(s, CTX, rights=rights), "facts": S.candidates(s, CTX, allowed=rights.assertions())}
+    assert L.paired_worlds(observe, one, other) == []
+    assert [k for k, _, _ in L.paired_worlds(lambda s: {"open": R.resolve_single(s, CTX)}, one, other)] == ["open"]
+
+
+@pytest.mark.parametrize("field", ["mask.selector", "mask.validity"])
+def test_masks_need_rights_to_their_fields(spark, field):
+    s = store(spark, [assertion(1, revision=5)], masks=[mask(7, "exact", 1, layer=1)])
+    assert ids(R.surviving(s, CTX, rights=L.Rights(policy(), "ann"))) == []
+    assert ids(R.surviving(s, CTX, rights=L.Rights(policy(L.Rule("deny", "field_read", scope=L.Scope(field=field))), "ann"))) == [1]
 
 
 def test_policy(spark):
-    rules = (L.Rule("allow", "read"), L.Rule("deny", "read", space=3), L.Rule("allow", "search", role="other"))
-    p = L.Policy(rules, (("ann", "reader"), ("bob", "reader")), inactive=("bob",))
-    rows = spark.createDataFrame([(1, 1), (2, 3), (3, None)], "i int, space_id int")
-    read = L.authorized(p, "ann", "read", {"space": "space_id"})
-    assert ids(rows.filter(read), "i") == [1, 3]
-    assert rows.filter(L.authorized(p, "bob", "read", {"space": "space_id"})).isEmpty()
-    assert rows.filter(L.authorized(p, "ann", "search", {"space": "space_id"})).isEmpty()
-    assert p.allows("ann", "read") and not p.allows("ann", "search")
-    assert L.at_revision([p, L.Policy((), (), revision=5)], 4) is p
-    assert p.fingerprint("ann") != p.fingerprint("bob")
+    p = policy(L.Rule("deny", "assertion_read", scope=L.Scope(record=("assertion", 2))), L.Rule("deny", "field_read", ("principal", "ann"), L.Scope(space=3, field="assertion.value/5")), L.Rule("allow", "query_search", scope=L.Scope(layer=1)))
+    rows = spark.createDataFrame([(1, 1, 0, 5), (2, 1, 0, 5), (3, 3, 0, 5), (4, 3, 0, 6), (5, None, 0, 6)], "assertion_id long, space_id long, layer_id long, predicate_id long")
+    assert ids(rows.filter(L.Rights(p, "ann").assertions())) == [1, 4, 5]
+    assert rows.filter(L.Rights(p, "bob").assertions()).isEmpty() and rows.filter(L.Rights(p, "nobody").assertions()).isEmpty()
+    assert rows.filter(L.Rights(L.Policy(p.principals, p.roles, (L.Assignment("ann", "reader", L.Scope(space=1)),)), "ann").endpoints("assertion", "assertion_id")).count() == 2  # the role is held in one branch
+    # a scoped right is no right to an operation without a target
+    assert p.allows("ann", "query_resolve") and not p.allows("ann", "query_search")
+    for bad in (lambda: L.Policy((("a", "active"), ("a", "active"))), lambda: L.Policy((), (), (L.Assignment("x", "y"),)), lambda: policy(L.Rule("allow", "fly")), lambda: L.Rights(p, "ann").demand("query_search")):
+        with pytest.raises(QueryError):
+            bad()
+    assert len(L.CAPABILITIES) == len(set(L.CAPABILITIES)) == 78
+
+
+def test_policy_changes(spark):
+    p = policy()
+    q = p.with_rule(L.Rule("deny", "query_resolve"))
+    assert (p.revision, q.revision) == (0, 1) and p.allows("ann", "query_resolve") and not q.allows("ann", "query_resolve")
+    assert q.without_rule(q.rules[0]).allows("ann", "query_resolve") and q.fingerprint("ann") != p.fingerprint("ann")
+    assert not p.revoked(L.Assignment("ann", "reader")).allows("ann", "query_resolve")
+    assert not p.with_principal("ann", "disabled").allows("ann", "query_resolve")
+    assert p.with_principal("eve").assigned(L.Assignment("eve", "reader")).allows("eve", "query_resolve")
+    with pytest.raises(QueryError):
+        p.with_principal("bob", "active")
+    assert L.select_policy([p, q], "ann", 5) is q
+    with pytest.raises(QueryError):
+        L.select_policy([p, q], "ann", 5, 0)  # no right to earlier permissions now
+    r = L.Policy(q.principals, q.roles, q.assignments, (L.Rule("allow", "security_permission_history_read"),), 2)
+    assert L.select_policy([p, q, r], "ann", 5, 1) is q
+    with pytest.raises(QueryError):
+        L.select_policy([p, q, r], "ann", 5, 6)
 
 
 def relations(spark, rows):
@@ -195,8 +294,10 @@ def test_traversal(spark):
     assert ids(n, "node") == [0, 2]
     n, _ = G.traverse(nodes, edges, G.GraphSpec((0, 77), ("before",), max_depth=0))
     assert ids(n, "node") == [0]
-    with pytest.raises(QueryError):
-        G.traverse(nodes, edges, G.GraphSpec((0,), ("before",), max_nodes=1))
+    # caps hold at the roots, at every level, and at the last
+    for spec in (G.GraphSpec((0,), ("before",), max_nodes=1), G.GraphSpec((0,), ("before",), max_nodes=1, max_depth=1), G.GraphSpec((0, 1), ("before",), max_nodes=1, max_depth=0), G.GraphSpec((0, 1, 2), ("before",), max_edges=2), G.GraphSpec((0,), ("before",), max_depth=3, max_edges=2)):
+        with pytest.raises(QueryError):
+            G.traverse(nodes, edges, spec)
     with pytest.raises(QueryError):
         G.GraphSpec((), ("before",))
 
@@ -322,7 +423,8 @@ def test_database(spark, tmp_path):
     assert db.read("t", 1).count() == 3 and db.read("t").count() == 5
     assert db.compact("t", ["id"], 2) == 3 and db.read("t").count() == 5
     assert db.compact("t", ["id"], 3) == 3  # nothing to gain
-    assert db.reclaim([1]) == 1 and db.read("t", 1).count() == 3 and db.read("t").count() == 5
+    assert db.reclaim([1]) == 0  # a writer may still be about to publish it
+    assert db.reclaim([1], grace=0) == 1 and db.read("t", 1).count() == 3 and db.read("t").count() == 5
 
 
 def test_stream_of_appends(spark, tmp_path):
@@ -337,3 +439,178 @@ def test_stream_of_appends(spark, tmp_path):
     query = live_counts(read_log(spark, source, rows.schema), ["subject_id"]).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.subject_id, r.n, r.revision) for r in spark.table("live").collect()} == {(1, 2, 6), (2, 1, 7)}
+
+
+def test_operations_run_once(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    assert db.once("op", "x", {"t": spark.range(3)}, 0) == 1 and db.once("op", "x", {"t": spark.range(3)}, 0) == 1
+    assert db.read("t").count() == 3
+    with pytest.raises(QueryError):
+        db.once("op", "y", {"t": spark.range(3)}, 1)
+
+
+def test_a_store_over_a_database(spark, tmp_path):
+    made = store(spark, [assertion(1, revision=5), assertion(2, space=2, value="b", revision=6)], masks=[mask(7, "exact", 1, layer=1)])
+    made.history_spaces = spark.createDataFrame([(1, None, 0), (2, 1, 10)], "space_id long, parent_id long, base_revision long")
+    made.layers = spark.createDataFrame([(0, 0), (1, 10)], "layer_id long, layer_rank long")
+    db = Database(spark, f"file://{tmp_path}/db")
+    write_store(made, [n for n in vars(made) if n != "spark"], db)
+    own = DatabaseStore(db)
+    ctx = Context(as_of=100, space=2, world_time=50, **catalog(own))
+    assert ctx.spaces == CTX.spaces and ctx.layer_ranks == CTX.layer_ranks
+    assert sorted(map(tuple, R.resolve_single(own, ctx).collect())) == sorted(map(tuple, R.resolve_single(made, CTX).collect()))
+    db.append({"assertions": spark.createDataFrame([assertion(3, space=2, layer=1, value="c")], ASSERTION)}, 1)
+    assert R.resolve_single(DatabaseStore(db), ctx).first().value == "c" and R.resolve_single(own, ctx).first().value == "b"  # the version is pinned
+    summary = DatabaseStore(db, 1).database.summary(1).collect()
+    kept = spark.createDataFrame(summary)
+    assert db.differences(kept, 1).isEmpty() and db.differences(kept, 2).count() == 1
+    with pytest.raises(AttributeError):
+        own.nothing
+
+
+def test_exports_are_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/export"
+    N.write_export(spark.range(10), path)
+    assert N.read_export(spark, path).count() == 10
+    spark.range(1).write.mode("append").parquet(f"{path}/rows")
+    with pytest.raises(QueryError):
+        N.read_export(spark, path)
+
+
+def test_raw_reads_are_recorded_first(spark, tmp_path):
+    from tidemark.sources.derived import Store
+
+    s = Store(spark, "/root/testdata/sf0.001")
+    db = Database(spark, f"file://{tmp_path}/db")
+    with pytest.raises(QueryError):
+        N.admin_raw_read(s, L.Rights(policy(), "ann"), db, 100, "why not")
+    allowed = L.Rights(policy(L.Rule("allow", "admin_raw_read")), "ann")
+    assert N.admin_raw_read(s, allowed, db, 100, "inspection").count() > 0
+    assert [(r.principal, r.allowed) for r in db.read("audit").orderBy("allowed").collect()] == [("ann", False), ("ann", True)]
+
+
+def test_migrations_go_on_where_they_stopped(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    db.append({"t": spark.range(4).withColumn("v", F.lit(1))}, 0)
+    more = lambda rows: rows.withColumn("v", F.col("v") + 1)
+    fail = lambda rows: rows.withColumn("v", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        J.migrate(db, [J.Step("one", "rewrite", "t", more), J.Step("two", "rewrite", "t", fail)], 1, "m")
+    steps = [J.Step("one", "rewrite", "t", more), J.Step("two", "rewrite", "t", more)]
+    assert J.migrate(db, steps, 1, "m") == 3 and J.migrate(db, steps, 1, "m") == 3
+    assert {r.v for r in db.read("t").collect()} == {3}
+    own = SimpleNamespace(t=db.read("t"))
+    assert [tuple(r) for r in J.dry_run(own, steps).collect()] == [(0, 4, 4, 4), (1, 4, 4, 4)]
+    assert J.impact(own, steps).count() == 2
+    with pytest.raises(QueryError):
+        J.Step("x", "magic", "t", more)
+
+
+def test_jobs_retries_and_cancellation(spark):
+    boss = J.Supervisor(spark, cpu=1, io=1, waiting=2)
+    assert boss.submit("count", lambda token: spark.range(100).count()).future.result() == 100
+    token = J.Token(spark)
+    token.cancel()
+    with pytest.raises(QueryError):
+        token.check()
+    slow = boss.submit("slow", lambda t: spark.range(1 << 20).select(F.sum(F.expr("aggregate(sequence(1, 5000), 0L, (a, x) -> a + x * id)"))).collect(), "io")
+    while not slow.progress()[1] and not slow.future.done():
+        pass
+    slow.token.cancel()
+    with pytest.raises(Exception):
+        slow.future.result()
+    boss.close()
+    tries = []
+
+    def work():
+        tries.append(1)
+        if len(tries) < 3:
+            raise QueryError("conflict")
+        return "done"
+
+    assert J.retried(work) == "done"
+    with pytest.raises(QueryError):
+        J.retried(lambda: N.commit(1, 1, {"a": 0}, {"a": 1}), 2)
+
+
+def test_transactions_are_checked(spark):
+    from tidemark.sources.derived import Store
+
+    s, ctx = Store(spark, "/root/testdata/sf0.001"), Context(as_of=6000, space=4)
+    errors = {r.check: r.n for r in X.transaction_errors(s, ctx, assertions=s.assertions.limit(3).unionByName(s.assertions.limit(1).withColumns({"space_id": F.lit(99).cast("long"), "assertion_id": F.lit(-1).cast("long")})), relations=s.planted_relations.filter("kind = 'before'").withColumn("relation_id", F.col("relation_id") + 10**6)).collect()}
+    assert errors["repeated_assertions"] == 3 and errors["assertions_without_branch"] == 1 and errors["assertions_without_layer"] == 0
+    assert errors["before_cycle"] > 0 and errors["causes_cycle"] == 0 and errors["dependency_cycle"] == 0
+
+
+def test_catalog_and_schema_changes(spark):
+    spaces = ((1, None, 0),)
+    assert X.with_branch(spaces, 2, 1, 5, 9) == ((1, None, 0), (2, 1, 5))
+    assert X.with_layer(((0, 0),), 1, 10) == ((0, 0), (1, 10))
+    defined = spark.createDataFrame([(1, 5, "p", "deprecated")], "predicate_id long, revision long, policy string, lifecycle string")
+    draft = lambda life: spark.createDataFrame([(1, "p", life)], "predicate_id long, policy string, lifecycle string")
+    assert X.publish_schema(defined, draft("retired"), 6).first().revision == 6
+    known = spark.createDataFrame([(1, "a", 1)], "perspective_id long, label string, revision long")
+    none, gone = spark.createDataFrame([], "perspective_id long, revision long"), spark.createDataFrame([(1, 2)], "perspective_id long, revision long")
+    new = known.select("perspective_id", F.lit("b").alias("label"))
+    assert X.perspective_change(known, none, new, 3).first().label == "b"
+    moves = spark.createDataFrame([(1, "archive", 2)], "target_id long, action string, revision long")
+    assert X.archive(moves, known.select(F.col("perspective_id").alias("target_id")), "unarchive", 3).first().action == "unarchive"
+    assert X.retract(known, "perspective_id", known, 9).first().revision == 9
+    for bad in (lambda: X.with_branch(spaces, 1, None, 0, 9), lambda: X.with_branch(spaces, 2, 1, 10, 9), lambda: X.with_layer(((0, 0),), 1, 0)):
+        with pytest.raises(QueryError):
+            bad()
+    for lazy in (X.publish_schema(defined, draft("active"), 6), X.publish_schema(defined, draft("retired"), 5), X.perspective_change(known, gone, new, 3), X.archive(moves, moves, "archive", 3), X.retract(known, "perspective_id", spark.createDataFrame([(8,)], "perspective_id long"), 9)):
+        with pytest.raises(Exception):
+            lazy.collect()
+
+
+def test_windows_and_sorting(spark):
+    assert C.calendar_window("1970-01-31", months=1) == (30, 58) and C.calendar_window("1970-03-01", days=-2) == (57, 59)
+    with pytest.raises(QueryError):
+        C.calendar_window("1970-01-31")
+    with pytest.raises(QueryError):
+        C.check_sort("search", [("kind", "asc", "first")])
+    rows = spark.createDataFrame([(1, "int", "5", 3), (2, "text", "5", 9), (3, None, None, None)], "k int, kind string, v string, t int")
+    assert ids(rows.filter(C.compile_filter(("equals", "kind", "v", "int", "5"))), "k") == [1]
+    assert ids(rows.filter(C.compile_filter(("instant_within", "t", 3, 9))), "k") == [1]
+
+
+def test_search_sessions(spark):
+    docs = spark.createDataFrame([(k, "a b", 1, k % 2) for k in range(7)], "result_key long, text string, space_id long, layer_id long")
+    now = [policy(L.Rule("allow", "query_search"))]
+    session = K.SearchSession(docs, ["a"], lambda: L.Rights(now[0], "ann"), C.Cursors(), 3)
+    hits, cursor = session.page()
+    assert [h.result_key for h in hits] == [0, 1, 2]
+    now[0] = now[0].with_rule(L.Rule("deny", "assertion_read", scope=L.Scope(record=("assertion", 4))))
+    hits, cursor = session.page(cursor)  # rights are looked at again
+    assert [h.result_key for h in hits] == [3, 5, 6] and cursor is None
+    assert K.search_records(docs, ["a"], L.Rights(now[0], "ann"), "event", ("locator",)).isEmpty()
+    with pytest.raises(QueryError):
+        K.search_records(docs, ["a"], L.Rights(policy(), "ann"))
+    with pytest.raises(QueryError):
+        K.SearchSession(docs, ["a"], None, C.Cursors(), 501)
+
+
+def test_explanations_are_checked():
+    good = [{"stage": "candidate_scan", "in": [], "out": [1, 2], "applied": []}, {"stage": "mask_projection", "in": [1, 2], "out": [2], "applied": [7]}, {"stage": "resolution", "in": [2], "out": [2], "applied": []}]
+    R.check_stages(good)
+    for change in ({"out": [3]}, {"in": [1]}, {"applied": [7, 7]}, {"stage": "candidate_scan"}):
+        with pytest.raises(QueryError):
+            R.check_stages([good[0], good[1] | change, good[2]])
+
+
+def test_raw_history_refuses_repeated_records(spark):
+    rows = spark.createDataFrame([(0, "assertion", 1, 5), (0, "assertion", 1, 5)], "tag int, family string, id long, revision long")
+    with pytest.raises(Exception, match="twice"):
+        S.canonical(rows).collect()
+    assert S.canonical(rows.distinct()).count() == 1
+
+
+def test_one_slot_within_its_budget(spark):
+    s = store(spark, [assertion(1, revision=5), assertion(2, space=2, revision=6), assertion(3, predicate=2, revision=5), assertion(4, predicate=1, polarity="negative", revision=5)], boundaries=[boundary(1)])
+    s.schema_predicates = spark.createDataFrame([(k, 1, p) for k, p in enumerate(R.POLICIES)], "predicate_id long, revision long, policy string")
+    assert [R.resolve_point(s, CTX, 1, k).first().outcome for k in range(3)] == ["known", "known", "known_empty"]
+    with pytest.raises(QueryError):
+        R.resolve_point(s, CTX.at(max_candidates=1), 1, 0)
+    with pytest.raises(QueryError):
+        R.resolve_point(s, CTX, 1, 9)

@@ -25,10 +25,10 @@ def grouped_count(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.groupBy(*fields).agg(F.count("*").alias("n"))
 
 
-def within(rows: DataFrame, limit: int) -> DataFrame:
+def within(rows: DataFrame, limit: int, what: str = "results") -> DataFrame:
     """rows, or an error if there are more than ``limit``: results are never cut."""
     if rows.limit(limit + 1).count() > limit:
-        raise QueryError(f"more than {limit} results")
+        raise QueryError(f"more than {limit} {what}")
     return rows
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset a temporary one, if all run in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -7,11 +7,14 @@ import hmac
 import json
 import secrets
 import time
+from calendar import monthrange
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import overlaps
 from tidemark.plans.context import QueryError
 
 MAX_DEPTH, MAX_TESTS = 32, 256
@@ -21,7 +24,8 @@ def compile_filter(tree) -> Column:
     """("all" | "any", ...), ("not", x), ("match_all",) or a test -> a column that is never null: what is absent satisfies nothing.
 
     Tests: ("is", field, value), ("in", field, values), ("range", field, low, high, low_open, high_open),
-    ("exists", field), ("overlaps", start, end, window_start, window_end).
+    ("exists", field), ("overlaps", start, end, window_start, window_end), ("instant_within", field, window_start, window_end),
+    ("equals", kind field, field, kind, value).  A span that has no start or end is open there.
     """
     tests = 0
 
@@ -63,7 +67,13 @@ def compile_filter(tree) -> Column:
                 leaf = leaf & (F.col(field) < high if high_open else F.col(field) <= high)
         elif kind == "overlaps":
             start, end, a, b = rest
-            leaf = (F.col(start) < b) & (F.col(end).isNull() | (F.col(end) > a))
+            leaf = overlaps(start, end, a, b)
+        elif kind == "instant_within":  # an instant overlaps a window that holds it
+            field, a, b = rest
+            leaf = (F.col(field) >= a) & (F.col(field) < b)
+        elif kind == "equals":  # of the same kind, and the same canonical form
+            kind_field, field, value_kind, value = rest
+            leaf = (F.col(kind_field) == value_kind) & (F.col(field) == value)
         else:
             raise QueryError(f"unknown test {kind}")
         return F.coalesce(leaf, F.lit(False))
@@ -71,6 +81,37 @@ def compile_filter(tree) -> Column:
     return walk(tree, 1)
 
 
+def calendar_window(anchor: str, years: int = 0, months: int = 0, days: int = 0) -> tuple[int, int]:
+    """Days since 1970 of the window between an explicit anchor date and its calendar shift, in order; never "now"."""
+    day = date.fromisoformat(anchor)
+
+    def moved(d: date, n: int) -> date:
+        y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
+        return date(y, m + 1, min(d.day, monthrange(y, m + 1)[1]))
+
+    other = moved(moved(day, 12 * years), months) + timedelta(days=days)
+    if other == day:
+        raise QueryError("the window is empty")
+    first, last = sorted(((d - date(1970, 1, 1)).days for d in (day, other)))
+    return first, last
+
+
+#: Fields that results of an operation can be sorted by.
+SORTABLE = {
+    "raw_history": ("tag", "id", "revision"),
+    "resolution": ("subject_id", "predicate_id", "outcome"),
+    "candidates": ("assertion_id", "subject_id", "predicate_id", "revision", "valid_start", "valid_end"),
+    "events": ("event_id", "kind", "start_us", "end_us", "revision"),
+    "search": ("result_key",),
+}
+
+
+def check_sort(operation: str, terms: list[tuple[str, str, str]]) -> None:
+    """Refuses sort terms that the results of an operation don't have."""
+    if operation not in SORTABLE or any(f not in SORTABLE[operation] for f, _, _ in terms):
+        raise QueryError(f"{operation} can't be sorted by that")
+
+
 def project(rows: DataFrame, fields: list[str], readable: dict[str, Column]) -> DataFrame:
     """Fields, each null with a redacted flag where it may not be read; rows stay."""
     out = []

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import partition, raw_log
-from tidemark.plans.context import Context, precedence
+from tidemark.operators.scan import contains, partition, raw_log, unarchived
+from tidemark.plans.context import Context, level, precedence
 
 #: Selector -> the columns that tie a mask to assertions.
 SELECTORS = {
@@ -16,31 +16,66 @@ SELECTORS = {
 }
 
 
-def active_masks(store, ctx: Context) -> DataFrame:
-    """Masks recorded and not retracted at the revision, inside the ancestry.  Branch cutoffs don't apply to masks."""
-    gone = raw_log(store.mask_retractions, ctx.as_of).select("mask_id").distinct()
-    rows = partition(raw_log(store.masks, ctx.as_of), ctx).join(gone, "mask_id", "left_anti")
-    return rows.withColumn("prec", precedence(ctx)).filter(F.col("prec").isNotNull())
+def known(store, ctx: Context, family: str, rights=None) -> DataFrame:
+    """Masks or boundaries recorded, unarchived and readable at the revision, inside the ancestry, with ``closed_at``.
 
+    Branch cutoffs don't apply to them.  Rights come first, so a hidden one takes its lifecycle with it.
+    """
+    name, table = {"mask": ("mask", "masks"), "boundary": ("boundary", "boundaries")}[family]
+    key = f"{name}_id"
+    rows = partition(raw_log(getattr(store, table), ctx.as_of), ctx)
+    if rights is not None:
+        rows = rows.filter(getattr(rights, table)())
+    rows = unarchived(rows, key, store.archive_transitions, ctx.as_of, name)
+    closed = raw_log(getattr(store, f"{name}_closures"), ctx.as_of).groupBy(key).agg(F.min("close_at").alias("closed_at"))
+    rows = rows.join(closed, key, "left").withColumns({"prec": precedence(ctx), "level": level(ctx)})
+    return rows.filter(F.col("prec").isNotNull())
+
+
+def active(store, ctx: Context, family: str, rights=None) -> DataFrame:
+    """The known ones that aren't retracted, and that hold the context's world time if it has one."""
+    rows = known(store, ctx, family, rights)
+    gone = raw_log(getattr(store, f"{family}_retractions"), ctx.as_of).select(f"{family}_id").distinct()
+    rows = rows.join(gone, f"{family}_id", "left_anti")
+    if ctx.world_time is not None:
+        t = F.lit(ctx.world_time)
+        rows = rows.filter(contains("valid_start", "valid_end", t) & (F.col("closed_at").isNull() | (t < F.col("closed_at"))))
+    return rows
 
-def apply_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
-    """Candidates that no mask hides.
+
+def active_masks(store, ctx: Context, rights=None) -> DataFrame:
+    return active(store, ctx, "mask", rights)
+
+
+def flag_masked(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """Candidates with ``masked``: whether a mask hides them.
 
     For each kind of selector the highest precedence of a key decides, so each is one partial
     aggregate and one equi join, whatever the number of masks on a key.
     """
-    rows = candidates
+    rows, hidden = candidates, F.lit(False)
     for selector, keys in SELECTORS.items():
-        top = masks.filter(F.col("selector") == selector).groupBy(*keys).agg(F.max("prec").alias("mask_prec"))
-        rows = rows.join(top, keys, "left").filter(F.col("mask_prec").isNull() | (F.col("mask_prec") <= F.col("prec"))).drop("mask_prec")
-    return rows
+        top = masks.filter(F.col("selector") == selector).groupBy(*keys).agg(F.max("prec").alias(f"_{selector}"))
+        rows = rows.join(top, keys, "left")
+        hidden = hidden | F.coalesce(F.col(f"_{selector}") > F.col("prec"), F.lit(False))
+    return rows.withColumn("masked", hidden).drop(*(f"_{x}" for x in SELECTORS))
 
 
-def applied_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
-    """(assertion_id, mask_id): for each hidden candidate the mask of least id that hides it."""
+def apply_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """Candidates that no mask hides."""
+    return flag_masked(candidates, masks).filter(~F.col("masked")).drop("masked")
+
+
+def matching_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """(assertion_id, mask_id, wins): all masks that match each candidate, and whether they hide it."""
     out = None
     for selector, keys in SELECTORS.items():
         m = masks.filter(F.col("selector") == selector).select(*keys, "mask_id", F.col("prec").alias("mask_prec"))
-        hits = candidates.join(m, keys).filter(F.col("mask_prec") > F.col("prec")).select("assertion_id", "mask_id")
+        hits = candidates.join(m, keys).select("assertion_id", "mask_id", (F.col("mask_prec") > F.col("prec")).alias("wins"))
         out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("assertion_id").agg(F.min("mask_id").alias("mask_id"))
+    return out
+
+
+def applied_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """(assertion_id, mask_id): for each hidden candidate the mask of least id that hides it."""
+    return matching_masks(candidates, masks).filter("wins").groupBy("assertion_id").agg(F.min("mask_id").alias("mask_id"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import calendar_shift, is_symbol
 from tidemark.operators.components import stored
-from tidemark.operators.scan import as_of
+from tidemark.operators.scan import RAW_FAMILIES, archived, as_of, raw_history, raw_log
 from tidemark.plans.context import Context, QueryError
+from tidemark.sources.tables import digest_of
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:
@@ -60,6 +61,9 @@ def verify(store) -> DataFrame:
         "retractions_without_assertion": dangling(store.assertion_retractions, "assertion_id", store.assertions, "assertion_id"),
         "closures_without_assertion": dangling(store.assertion_closures, "assertion_id", store.assertions, "assertion_id"),
         "mask_retractions_without_mask": dangling(store.mask_retractions, "mask_id", store.masks, "mask_id"),
+        "mask_closures_without_mask": dangling(store.mask_closures, "mask_id", store.masks, "mask_id"),
+        "boundary_closures_without_boundary": dangling(store.boundary_closures, "boundary_id", store.boundaries, "boundary_id"),
+        "boundary_retractions_without_boundary": dangling(store.boundary_retractions, "boundary_id", store.boundaries, "boundary_id"),
         "evidence_without_source": dangling(store.evidence, "source_id", store.sources, "source_id"),
         "relations_without_event": dangling(store.event_relations, "to_id", store.world_events, "event_id"),
         "provenance_without_record": dangling(store.provenance, "to_id", store.assertions, "assertion_id"),
@@ -101,8 +105,6 @@ def import_collisions(incoming: DataFrame, existing: DataFrame, key: str) -> Dat
 
 def transfer_preview(store, ctx: Context, target_space: int) -> DataFrame:
     """(kind, n) of what a copy of the branch's content would take: assertions, lifecycle records that go with them, and archived ones left out."""
-    from tidemark.operators.scan import archived
-
     rows = as_of(store.assertions, ctx)
     hidden = archived(store.archive_transitions, ctx.as_of).withColumnRenamed("target_id", "assertion_id")
     copied = stored(rows.join(hidden, "assertion_id", "left_anti").select("assertion_id", "cutoff"))
@@ -113,6 +115,15 @@ def transfer_preview(store, ctx: Context, target_space: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Families whose records stand in a branch, and their keys: what a copy or an export takes.
+CONTENT = (("assertion", "assertions", "assertion_id"), ("mask", "masks", "mask_id"), ("boundary", "boundaries", "boundary_id"), ("event", "world_events", "event_id"))
+
+
+def visible_content(store, ctx: Context) -> DataFrame:
+    """(family, id, revision) of everything in the branch that can be copied."""
+    return reduce(DataFrame.unionByName, [as_of(getattr(store, t), ctx).select(F.lit(f).alias("family"), F.col(k).alias("id"), "revision") for f, t, k in CONTENT])
+
+
 def transfer(store, ctx: Context, target_space: int, revision: int, id_offset: int) -> tuple[DataFrame, DataFrame]:
     """Copies of the branch's assertions in another space at one revision, and their lineage."""
     rows = as_of(store.assertions, ctx).drop("distance", "cutoff")
@@ -121,6 +132,28 @@ def transfer(store, ctx: Context, target_space: int, revision: int, id_offset: i
     return copies, lineage
 
 
+def transfer_content(store, ctx: Context, target_space: int, revision: int, id_offset: int) -> dict[str, DataFrame]:
+    """Copies of all content of the branch, family by family, and their lineage; exact masks follow the assertions that they hide."""
+    out, lineage = {}, []
+    for family, table, key in CONTENT:
+        rows = as_of(getattr(store, table), ctx).drop("distance", "cutoff")
+        moved = {key: F.col(key) + id_offset, "space_id": F.lit(target_space).cast("long"), "revision": F.lit(revision).cast("long")}
+        if family == "mask":
+            moved["assertion_id"] = F.col("assertion_id") + id_offset
+        out[table] = rows.withColumns(moved).select(*getattr(store, table).columns)
+        lineage.append(rows.select(F.lit(family).alias("family"), F.col(key).alias("source_id"), (F.col(key) + id_offset).alias("copy_id"), F.lit(revision).cast("long").alias("revision")))
+    return out | {"transfer_lineage": reduce(DataFrame.unionByName, lineage)}
+
+
+def prepare_import(incoming: DataFrame, existing: DataFrame, key: str, mapping: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(reason, n) of what keeps an import from being written: ids that two records get, ids that exist, mapped ids that meet, references that lead nowhere."""
+    mapped = remap(incoming, [key], mapping)
+    checks = {"repeated": repeated(incoming, key), "exists": mapped.join(existing.select(key), key, "left_semi"), "mapped_together": repeated(mapped, key).join(repeated(incoming, key).select(key), key, "left_anti")}
+    for column, (targets, target_key) in references.items():
+        checks[f"dangling_{column}"] = dangling(incoming, column, targets, target_key)
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("reason"), F.count("*").alias("n")) for name, rows in checks.items()])
+
+
 def purge_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """All nodes that depend on the seeds over (a, b), where b depends on a; the seeds included."""
     reached = frontier = stored(seeds.select("node").distinct())
@@ -137,6 +170,15 @@ def purge(records: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return records.join(gone.select(F.col("node").alias(key)), key, "left_anti")
 
 
+def purge_report(store, gone: DataFrame) -> DataFrame:
+    """(family, n) of what a purge of assertions would take with it: the assertions, their lifecycle, evidence for them, provenance at them."""
+    node = gone.select(F.col("node").alias("assertion_id"))
+    parts = {"assertion": store.assertions.join(node, "assertion_id", "left_semi"), "assertion_retraction": store.assertion_retractions.join(node, "assertion_id", "left_semi"), "assertion_closure": store.assertion_closures.join(node, "assertion_id", "left_semi"), "evidence": store.evidence.join(gone.select(F.col("node").alias("target_id")), "target_id", "left_semi")}
+    ends = store.provenance.select("edge_id", F.explode(F.array("from_id", "to_id")).alias("node")).join(gone.select("node"), "node", "left_semi").select("edge_id").distinct()
+    parts["provenance"] = ends
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(f).alias("family"), F.count("*").alias("n")) for f, rows in parts.items()])
+
+
 def migrate_validity(assertions: DataFrame, years: int, months: int, days: int) -> DataFrame:
     """World time of assertions, in days, shifted by the calendar."""
     epoch = F.lit("1970-01-01").cast("date")
@@ -168,18 +210,46 @@ def sharing_rows(store, ctx: Context, first: int, last: int, allowed: Column) ->
 
 def class_summary(store, revision: int) -> DataFrame:
     """(family, n) for every family, empty ones included."""
-    from tidemark.operators.scan import RAW_FAMILIES, raw_log
-
-    return reduce(DataFrame.unionByName, [raw_log(getattr(store, t), revision).agg(F.lit(f).alias("family"), F.count("*").alias("n")) for f, t, _ in RAW_FAMILIES])
+    return reduce(DataFrame.unionByName, [raw_log(getattr(store, t), revision).agg(F.lit(f).alias("family"), F.count("*").alias("n")) for f, t, _, _ in RAW_FAMILIES])
 
 
 def alternation_errors(transitions: DataFrame) -> DataFrame:
-    """Archive transitions that repeat the one before them."""
-    from pyspark.sql import Window
-
-    before = F.lag("action").over(Window.partitionBy("target_id").orderBy("revision"))
+    """Archive transitions that repeat the one before them; the first one archives."""
+    keys = [c for c in ("target_kind", "target_id") if c in transitions.columns]
+    before = F.lag("action").over(Window.partitionBy(*keys).orderBy("revision"))
     return transitions.withColumn("before", before).filter(F.coalesce(F.col("action") == F.col("before"), F.col("action") == "unarchive")).select("target_id", "action", "revision")
 
 
+def write_export(rows: DataFrame, path: str) -> None:
+    """An export: the rows, and a summary that tells whether they are whole."""
+    rows.write.parquet(f"{path}/rows")
+    kept = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    kept.agg(F.count("*").alias("n"), digest_of(kept).alias("digest")).write.json(f"{path}/summary")
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows of an export, or an error if their number or digest isn't that of its summary."""
+    rows = spark.read.parquet(f"{path}/rows")
+    want = spark.read.schema("n long, digest string").json(f"{path}/summary").first()
+    got = rows.agg(F.count("*").alias("n"), digest_of(rows).alias("digest")).first()
+    if want is None or (got.n, got.digest) != (want.n, want.digest):
+        raise QueryError("the export is not whole")
+    return rows
+
+
+def admin_raw_read(store, rights, database, revision: int, reason: str) -> DataFrame:
+    """The raw history for an administrator; the attempt is recorded durably before anything is given out."""
+    head = database.head()
+    row = store.spark.createDataFrame([(rights.principal, revision, reason, rights.may("admin_raw_read"))], "principal string, revision long, reason string, allowed boolean")
+    database.append({"audit": row}, head)
+    rights.demand("admin_raw_read")
+    return raw_history(store, revision)
+
+
+def corpus(spark: SparkSession, n: int) -> DataFrame:
+    """Assertions of a benchmark, from their number alone: four fifths on 128 entities, three quarters on 16 predicates."""
+    mixed = (F.col("id") * F.lit(2654435761)) % F.lit(1 << 32)
+    part = lambda k: F.floor(mixed / F.lit(k)).cast("long")
+    entity = F.when(part(1) % 5 < 4, 1 + part(7) % 128).otherwise(129 + part(11) % 100_000)
+    predicate = F.when(part(13) % 4 < 3, 1 + part(17) % 16).otherwise(17 + part(19) % 500)
+    return spark.range(n).select(F.col("id").alias("assertion_id"), entity.alias("subject_id"), predicate.alias("predicate_id"), (1 + part(23) % 100).alias("space_id"), (part(29) % 3).alias("layer_id"), (part(31) % 5 == 0).alias("masked"))

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import masks as M
-from tidemark.operators.scan import archived, as_of, candidates, contains, partition, raw_log, unretracted
-from tidemark.plans.context import Context, joined_ids, precedence
+from tidemark.operators.aggregate import within
+from tidemark.operators.scan import candidates, latest
+from tidemark.plans.context import Context, QueryError, joined_ids
 
 SLOT = ["subject_id", "predicate_id"]
+POLICIES = ("single_value_replace", "multi_value_overlay", "multi_value_replace")
 
 
-def slots(store, predicate: int | None = None) -> DataFrame:
+def slots(store, predicate: int | None = None, rights=None) -> DataFrame:
+    """The slots that readable assertions name."""
     rows = store.assertions if predicate is None else store.assertions.filter(F.col("predicate_id") == predicate)
-    return rows.select(*SLOT).distinct()
+    return (rows if rights is None else rows.filter(rights.assertions())).select(*SLOT).distinct()
 
 
 def single_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
-    """The records of highest precedence decide; value and polarity must agree, ids and revisions never break a tie."""
-    top = F.rank().over(Window.partitionBy(*keys).orderBy(F.col("prec").desc()))
-    best = rows.withColumn("place", top).filter(F.col("place") == 1)
+    """The records of highest precedence decide; value and polarity must agree, ids and revisions never break a tie.
+
+    Records are put together by precedence first, so a slot with very many is aggregated partially
+    wherever they lie; only one row for each precedence of a slot meets the others.
+    """
     said = F.struct("value_canon", "polarity")
-    out = best.groupBy(*keys).agg(F.min(said).alias("low"), F.max(said).alias("high"), joined_ids(F.col("assertion_id")).alias("contributors"))
+    by_level = rows.groupBy(*keys, "prec").agg(F.min(said).alias("low"), F.max(said).alias("high"), F.collect_list("assertion_id").alias("ids"))
+    out = by_level.groupBy(*keys).agg(F.max_by(F.struct("low", "high", "ids"), "prec").alias("top")).select(*keys, "top.*")
     known = F.col("low") == F.col("high")
-    return out.select(*keys, F.when(known, "known").otherwise("conflict").alias("outcome"), F.when(known, F.col("low.value_canon")).alias("value"), F.when(known, F.col("low.polarity")).alias("polarity"), "contributors")
+    ids = F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",")
+    return out.select(*keys, F.when(known, "known").otherwise("conflict").alias("outcome"), F.when(known, F.col("low.value_canon")).alias("value"), F.when(known, F.col("low.polarity")).alias("polarity"), ids.alias("contributors"))
+
+
+def single_contributors(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
+    """(slot, assertion_id): the records that decide, as rows; no slot is gathered."""
+    top = rows.groupBy(*keys).agg(F.max("prec").alias("top"))
+    return rows.join(top, keys).filter(F.col("prec") == F.col("top")).select(*keys, "assertion_id")
 
 
 def multi_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
@@ -37,6 +50,12 @@ def multi_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     return out.withColumn("state", state)
 
 
+def value_states(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
+    """(slot, value, state), without the ids."""
+    low, high = F.min("polarity"), F.max("polarity")
+    return rows.groupBy(*keys, F.col("value_canon").alias("value")).agg(F.when(low == high, low).otherwise("conflict").alias("state"))
+
+
 def multi_outcome(values: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     """One row a slot: conflict if any value has both polarities."""
     conflicts = F.sum((F.col("state") == "conflict").cast("long"))
@@ -47,88 +66,137 @@ def with_unknown(all_slots: DataFrame, resolved: DataFrame, keys: list[str] = SL
     return all_slots.join(resolved, keys, "left").withColumn("outcome", F.coalesce("outcome", F.lit("unknown")))
 
 
-def boundary_cutoffs(store, ctx: Context, allowed: Column | None = None) -> DataFrame:
-    """Highest precedence of active boundaries by slot.  Branch cutoffs don't apply to boundaries."""
-    rows = partition(raw_log(store.boundaries, ctx.as_of), ctx)
-    if allowed is not None:
-        rows = rows.filter(allowed)
-    rows = rows.withColumn("prec", precedence(ctx)).filter(F.col("prec").isNotNull())
-    return rows.groupBy(*SLOT).agg(F.max("prec").alias("boundary_prec"))
+def boundary_cutoffs(store, ctx: Context, rights=None) -> DataFrame:
+    """Highest precedence of the boundaries of each slot that are active at the context's time."""
+    return M.active(store, ctx, "boundary", rights).groupBy(*SLOT).agg(F.max("prec").alias("boundary_prec"))
+
+
+def flag_cut(rows: DataFrame, cutoffs: DataFrame, keys: list[str] = SLOT) -> DataFrame:
+    """Candidates with ``cut``: whether a boundary has a higher precedence."""
+    return rows.join(cutoffs, keys, "left").withColumn("cut", F.coalesce(F.col("prec") < F.col("boundary_prec"), F.lit(False))).drop("boundary_prec")
 
 
 def apply_boundaries(rows: DataFrame, cutoffs: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     """Candidates of at least the boundary's precedence."""
-    return rows.join(cutoffs, keys, "left").filter(F.col("boundary_prec").isNull() | (F.col("prec") >= F.col("boundary_prec"))).drop("boundary_prec")
+    return flag_cut(rows, cutoffs, keys).filter(~F.col("cut")).drop("cut")
 
 
-def surviving(store, ctx: Context, predicate: int, allowed: Column | None = None) -> DataFrame:
-    """Candidates of a predicate after masks."""
-    return M.apply_masks(candidates(store, ctx, predicate=predicate, allowed=allowed), M.active_masks(store, ctx))
+def surviving(store, ctx: Context, predicate: int | None = None, rights=None, subject: int | None = None) -> DataFrame:
+    """Candidates after masks, of a predicate or of all; rights hold for both."""
+    allowed = rights.assertions() if rights else None
+    return M.apply_masks(candidates(store, ctx, subject=subject, predicate=predicate, allowed=allowed), M.active_masks(store, ctx, rights))
 
 
-def resolve_single(store, ctx: Context, predicate: int = 0, allowed: Column | None = None) -> DataFrame:
-    return with_unknown(slots(store, predicate), single_value(surviving(store, ctx, predicate, allowed)))
+def resolve_single(store, ctx: Context, predicate: int = 0, rights=None) -> DataFrame:
+    return with_unknown(slots(store, predicate, rights), single_value(surviving(store, ctx, predicate, rights)))
 
 
-def resolve_overlay(store, ctx: Context, predicate: int = 1) -> DataFrame:
-    return with_unknown(slots(store, predicate), multi_outcome(multi_value(surviving(store, ctx, predicate))))
+def resolve_overlay(store, ctx: Context, predicate: int = 1, rights=None) -> DataFrame:
+    return with_unknown(slots(store, predicate, rights), multi_outcome(value_states(surviving(store, ctx, predicate, rights))))
 
 
-def resolve_replace(store, ctx: Context, predicate: int = 2) -> DataFrame:
+def resolve_replace(store, ctx: Context, predicate: int = 2, rights=None) -> DataFrame:
     """A boundary without survivors makes the slot known and empty."""
-    cutoffs = boundary_cutoffs(store, ctx)
-    left = apply_boundaries(surviving(store, ctx, predicate), cutoffs)
-    out = slots(store, predicate).join(multi_outcome(multi_value(left)), SLOT, "left").join(cutoffs, SLOT, "left")
+    cutoffs = boundary_cutoffs(store, ctx, rights)
+    left = apply_boundaries(surviving(store, ctx, predicate, rights), cutoffs)
+    out = slots(store, predicate, rights).join(multi_outcome(value_states(left)), SLOT, "left").join(cutoffs, SLOT, "left")
     outcome = F.coalesce("outcome", F.when(F.col("boundary_prec").isNotNull(), F.lit("known_empty")), F.lit("unknown"))
     return out.select(*SLOT, outcome.alias("outcome"), F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
-def explain(store, ctx: Context, predicate: int = 2) -> DataFrame:
-    """(slot, stage_no, stage, n_in, n_out): what each stage of the resolution let through."""
-    first = candidates(store, ctx, predicate=predicate)
-    second = M.apply_masks(first, M.active_masks(store, ctx))
-    third = apply_boundaries(second, boundary_cutoffs(store, ctx))
-    counted = None
-    for k, rows in enumerate((first, second, third)):
-        part = rows.select(*SLOT, *(F.lit(int(i == k)).cast("long").alias(f"n{i}") for i in range(3)))
-        counted = part if counted is None else counted.unionByName(part)
-    totals = counted.groupBy(*SLOT).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(3)))
-    stages = [(1, "candidate_scan", "n0", "n0"), (2, "mask_projection", "n0", "n1"), (3, "replacement_boundary", "n1", "n2")]
-    return totals.select(*SLOT, F.inline(F.array(*(F.struct(F.lit(n).alias("stage_no"), F.lit(s).alias("stage"), F.col(a).alias("n_in"), F.col(b).alias("n_out")) for n, s, a, b in stages))))
-
+def resolve_by_schema(store, ctx: Context, rights=None) -> DataFrame:
+    """(slot, policy, outcome) of every slot, by the policy that the schema gives its predicate at the revision.
 
-def cells(store, ctx: Context, predicate: int) -> DataFrame:
-    """Half-open cells of each slot between all endpoints that matter: (slot, cell_start, cell_end), open ends null.
-
-    Endpoints come from assertions that aren't archived, retracted ones included, and from their
-    closures.  Cells aren't merged, neighbours may have equal outcomes.
+    All policies are answered from one pass over the survivors.  A slot of a predicate that the schema
+    doesn't know yet has the outcome unknown_predicate.
     """
-    rows = as_of(partition(store.assertions.filter(F.col("predicate_id") == predicate), ctx), ctx)
-    hidden = archived(store.archive_transitions, ctx.as_of)
-    rows = rows.join(hidden, rows.assertion_id == hidden.target_id, "left_anti")
-    closed = rows.select(*SLOT, "assertion_id", "cutoff").join(store.assertion_closures, "assertion_id").filter(F.col("revision") <= F.col("cutoff"))
-    edges = rows.select(*SLOT, F.explode(F.array("valid_start", "valid_end")).alias("edge")).unionByName(closed.select(*SLOT, F.col("close_at").alias("edge")))
-    edges = edges.filter(F.col("edge").isNotNull()).distinct()
-    by_slot = Window.partitionBy(*SLOT).orderBy("edge")
-    ahead = edges.select(*SLOT, F.col("edge").alias("cell_start"), F.lead("edge").over(by_slot).alias("cell_end"))
-    leading = edges.groupBy(*SLOT).agg(F.min("edge").alias("cell_end")).select(*SLOT, F.lit(None).cast("long").alias("cell_start"), "cell_end")
-    return ahead.unionByName(leading)
-
-
-def all_times_single(store, ctx: Context, predicate: int = 0) -> DataFrame:
-    """Resolution of every slot in every cell of world time."""
-    timeless = ctx.at(world_time=None)
-    rows = M.apply_masks(candidates(store, timeless, predicate=predicate), M.active_masks(store, timeless))
-    own = as_of(store.assertions.filter(F.col("predicate_id") == predicate).select("assertion_id", "space_id", "revision"), ctx).select("assertion_id", "cutoff")
-    ends = own.join(store.assertion_closures, "assertion_id").filter(F.col("revision") <= F.col("cutoff")).groupBy("assertion_id").agg(F.min("close_at").alias("closed_at"))
-    rows = rows.join(ends, "assertion_id", "left").withColumn("until", F.least("valid_end", "closed_at"))
-    grid = cells(store, ctx, predicate)
-    # a cell never straddles an endpoint, so its start tells; the leading cell holds nothing that has a start
-    inside = grid.join(rows, SLOT).filter((F.col("cell_start").isNotNull() & (F.col("valid_start") <= F.col("cell_start")) & (F.col("until").isNull() | (F.col("cell_start") < F.col("until")))) | (F.col("cell_start").isNull() & F.col("valid_start").isNull()))
-    keyed = inside.withColumn("cell", F.coalesce("cell_start", F.lit(-(1 << 62))))
-    found = single_value(keyed, [*SLOT, "cell"])
-    out = grid.withColumn("cell", F.coalesce("cell_start", F.lit(-(1 << 62)))).join(found, [*SLOT, "cell"], "left")
-    return out.select(*SLOT, "cell_start", "cell_end", F.coalesce("outcome", F.lit("unknown")).alias("outcome"), "value", "polarity", "contributors")
-
-
-__all__ = ["all_times_single", "apply_boundaries", "boundary_cutoffs", "cells", "contains", "explain", "multi_outcome", "multi_value", "resolve_overlay", "resolve_replace", "resolve_single", "single_value", "slots", "surviving", "unretracted", "with_unknown"]
+    schema = F.broadcast(latest(store.schema_predicates, "predicate_id", ctx.as_of).select("predicate_id", "policy"))
+    cutoffs = boundary_cutoffs(store, ctx, rights)
+    rows = surviving(store, ctx, None, rights).join(schema, "predicate_id").join(cutoffs, SLOT, "left")
+    rows = rows.filter((F.col("policy") != "multi_value_replace") | F.col("boundary_prec").isNull() | (F.col("prec") >= F.col("boundary_prec")))
+    said = F.struct("value_canon", "polarity")
+    by_level = rows.groupBy(*SLOT, "prec").agg(F.min(said).alias("low"), F.max(said).alias("high"))
+    single = by_level.groupBy(*SLOT).agg(F.max_by(F.struct("low", "high"), "prec").alias("top")).select(*SLOT, (F.col("top.low") == F.col("top.high")).alias("agree"))
+    multi = multi_outcome(value_states(rows)).select(*SLOT, "n_conflicts")
+    out = slots(store, None, rights).join(schema, "predicate_id", "left").join(single, SLOT, "left").join(multi, SLOT, "left").join(cutoffs, SLOT, "left")
+    outcome = (
+        F.when(F.col("policy").isNull(), "unknown_predicate")
+        .when(F.col("agree").isNull() & (F.col("policy") == "multi_value_replace") & F.col("boundary_prec").isNotNull(), "known_empty")
+        .when(F.col("agree").isNull(), "unknown")
+        .when(F.col("policy") == "single_value_replace", F.when(F.col("agree"), "known").otherwise("conflict"))
+        .otherwise(F.when(F.col("n_conflicts") > 0, "conflict").otherwise("known"))
+    )
+    return out.select(*SLOT, "policy", outcome.alias("outcome"))
+
+
+def resolve_point(store, ctx: Context, subject: int, predicate: int, rights=None) -> DataFrame:
+    """One slot by the schema's policy, within the context's budgets."""
+    known = {r.predicate_id: r for r in latest(store.schema_predicates.filter(F.col("predicate_id") == predicate), "predicate_id", ctx.as_of).collect()}
+    if predicate not in known:
+        raise QueryError("the schema doesn't know the predicate at that revision")
+    within(candidates(store, ctx, subject=subject, predicate=predicate, allowed=rights.assertions() if rights else None), ctx.max_candidates, "candidates")
+    slot = store.spark.createDataFrame([(subject, predicate)], "subject_id long, predicate_id long")
+    rows = surviving(store, ctx, predicate, rights, subject)
+    policy = known[predicate].policy
+    if policy == "single_value_replace":
+        return with_unknown(slot, single_value(rows)).select(*SLOT, "outcome", "contributors")
+    cutoffs = boundary_cutoffs(store, ctx, rights).filter((F.col("subject_id") == subject) & (F.col("predicate_id") == predicate))
+    if policy == "multi_value_replace":
+        rows = apply_boundaries(rows, cutoffs)
+    out = multi_outcome(value_states(rows)).join(rows.groupBy(*SLOT).agg(joined_ids(F.col("assertion_id")).alias("contributors")), SLOT)
+    out = slot.join(out, SLOT, "left").join(cutoffs, SLOT, "left")
+    empty = F.when(F.col("boundary_prec").isNotNull() & F.lit(policy == "multi_value_replace"), "known_empty").otherwise("unknown")
+    return out.select(*SLOT, F.coalesce("outcome", empty).alias("outcome"), "contributors")
+
+
+#: Stages of an explanation, in order.
+STAGES = ("candidate_scan", "mask_projection", "replacement_boundary", "resolution")
+
+
+def _flagged(store, ctx: Context, predicate: int, rights=None) -> DataFrame:
+    """Candidates with the last stage that they came into: 1 masked, 2 cut off by a boundary, 3 kept out by nothing."""
+    rows = candidates(store, ctx, predicate=predicate, allowed=rights.assertions() if rights else None)
+    rows = flag_cut(M.flag_masked(rows, M.active_masks(store, ctx, rights)), boundary_cutoffs(store, ctx, rights))
+    return rows.withColumn("reached", F.when(F.col("masked"), 1).when(F.col("cut"), 2).otherwise(3))
+
+
+def explain(store, ctx: Context, predicate: int = 2, rights=None) -> DataFrame:
+    """(slot, stage_no, stage, n_in, n_out): what each stage of a resolution with boundaries let through; one pass over the candidates."""
+    if rights is not None:
+        rights.demand("query_explain")
+    rows = _flagged(store, ctx, predicate, rights)
+    totals = rows.groupBy(*SLOT).agg(F.count("*").alias("n0"), F.count(F.when(F.col("reached") > 1, 1)).alias("n1"), F.count(F.when(F.col("reached") > 2, 1)).alias("n2"))
+    sides = [("n0", "n0"), ("n0", "n1"), ("n1", "n2"), ("n2", "n2")]
+    stages = (F.struct(F.lit(k + 1).alias("stage_no"), F.lit(s).alias("stage"), F.col(a).alias("n_in"), F.col(b).alias("n_out")) for k, (s, (a, b)) in enumerate(zip(STAGES, sides, strict=True)))
+    return totals.select(*SLOT, F.inline(F.array(*stages)))
+
+
+def explain_records(store, ctx: Context, predicate: int = 2, rights=None) -> DataFrame:
+    """(slot, stage_no, role, family, id): the records that came into and out of each stage, and the masks and boundaries that it applied."""
+    if rights is not None:
+        rights.demand("query_explain")
+    rows = _flagged(store, ctx, predicate, rights)
+    fates = [F.struct(F.lit(k).alias("stage_no"), F.lit(role).alias("role"), F.lit(need).alias("need")) for k, role, need in ((1, "out", 0), (2, "in", 0), (2, "out", 2), (3, "in", 2), (3, "out", 3), (4, "in", 3), (4, "out", 3))]
+    moved = rows.select(*SLOT, "assertion_id", "reached", F.inline(F.array(*fates))).filter(F.col("reached") >= F.col("need"))
+    moved = moved.select(*SLOT, "stage_no", "role", F.lit("assertion").alias("family"), F.col("assertion_id").alias("id"))
+    masks = M.applied_masks(rows, M.active_masks(store, ctx, rights)).join(rows.select("assertion_id", *SLOT), "assertion_id")
+    masks = masks.select(*SLOT, F.lit(2).alias("stage_no"), F.lit("applied").alias("role"), F.lit("mask").alias("family"), F.col("mask_id").alias("id")).distinct()
+    active = M.active(store, ctx, "boundary", rights).join(rows.select(*SLOT).distinct(), SLOT, "left_semi")
+    cuts = active.join(boundary_cutoffs(store, ctx, rights), SLOT).filter(F.col("prec") == F.col("boundary_prec"))
+    cuts = cuts.select(*SLOT, F.lit(3).alias("stage_no"), F.lit("applied").alias("role"), F.lit("boundary").alias("family"), F.col("boundary_id").alias("id"))
+    return moved.unionByName(masks).unionByName(cuts)
+
+
+def check_stages(stages: list[dict]) -> None:
+    """Refuses an explanation whose stages are out of order, or whose stage puts out what didn't come in."""
+    order = [STAGES.index(s["stage"]) for s in stages]
+    if order != sorted(set(order)) or not stages or order[0] != 0 or order[-1] != 3:
+        raise QueryError("stages stand in order, each once, from the scan to the resolution")
+    before = None
+    for s in stages:
+        for name in ("in", "out", "applied"):
+            if len(set(s[name])) < len(s[name]) or list(s[name]) != sorted(s[name]):
+                raise QueryError("records of a stage are unique and in order")
+        if s["stage"] != "candidate_scan" and (not set(s["out"]) <= set(s["in"]) or list(s["in"]) != list(before)):
+            raise QueryError("a stage takes what the one before put out, and adds nothing")
+        before = s["out"]

@@ -72,6 +72,10 @@ class Context:
     def space_ids(self) -> list[int]:
         return [s for s, _, _ in self.ancestry()]
 
+    def levels(self) -> list[tuple[int, int]]:
+        """All precedences of the context, the lowest first: (nearness, layer rank)."""
+        return sorted({(-d, rank) for _, d, _ in self.ancestry() for _, rank in self.selected_layers()})
+
     def visible_spaces(self, spark: SparkSession) -> DataFrame:
         """The ancestry as a table of as many rows as the branch is deep."""
         return F.broadcast(spark.createDataFrame(self.ancestry(), "space_id long, distance int, cutoff long"))
@@ -89,6 +93,24 @@ def precedence(ctx: Context) -> Column:
     return F.when(distance.isNotNull() & rank.isNotNull(), F.struct((-distance).alias("nearness"), rank.alias("layer_rank")))
 
 
+def level(ctx: Context) -> Column:
+    """The place of the precedence among all of the context, as an integer; null where precedence is."""
+    place = {p: k for k, p in enumerate(ctx.levels())}
+    layers = [(layer, rank) for layer, rank in ctx.selected_layers()]
+    own = [F.create_map(*(F.lit(x).cast("long") for layer, rank in layers for x in (layer, place[-d, rank]))) for _, d, _ in ctx.ancestry()]
+    by_space = F.create_map(*(x for (s, _, _), m in zip(ctx.ancestry(), own, strict=True) for x in (F.lit(s).cast("long"), m)))
+    return by_space[F.col("space_id").cast("long")][F.col("layer_id").cast("long")]
+
+
+def catalog(store) -> dict:
+    """Branches and layers of a store, for a Context; refused where they are no small catalog."""
+    found = {}
+    for name, rows, columns in (("spaces", store.history_spaces, ("space_id", "parent_id", "base_revision")), ("layer_ranks", store.layers, ("layer_id", "layer_rank"))):
+        kept = rows.select(*columns).limit(MAX_CATALOG + 1).collect()
+        found[name] = tuple(sorted((tuple(r) for r in kept), key=lambda r: r[0]))
+    return found
+
+
 def joined_ids(column: Column) -> Column:
     """Ids of a group, ascending, as text."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda x: x.cast("string")), ",")

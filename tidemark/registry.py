@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,59 +16,92 @@ from tidemark.operators import graph as G
 from tidemark.operators import masks as M
 from tidemark.operators import movement as N
 from tidemark.operators import resolve as R
+from tidemark.operators import jobs as J
 from tidemark.operators import scan as S
 from tidemark.operators import search as K
 from tidemark.operators import security as L
-from tidemark.plans.context import Context, precedence
+from tidemark.operators import times as T
+from tidemark.operators import transactions as X
+from tidemark.operators.components import shared_folder
+from tidemark.plans.context import Context, catalog, precedence
 from tidemark.sources.derived import Store, ansi_views
+from tidemark.sources.tables import Database, DatabaseStore, write_store
 
 AS_OF, WORLD_DAY, SPACE = 6000, 10200, 4
 CTX = Context(as_of=AS_OF, space=SPACE, world_time=WORLD_DAY)
 FROM_US, TO_US = 1_710_000_000_000_000, 1_712_000_000_000_000
 BELIEVER = CTX.at(perspective=1, mode="believes")
+READING = ("project_read", "schema_read", "history_space_read", "layer_read", "assertion_read", "event_read", "mask_read", "event_mask_read", "replacement_boundary_read", "lifecycle_read", "source_read", "evidence_read", "provenance_read", "field_read", "relationship_read", "query_resolve", "query_search", "query_explain", "query_graph_traverse", "query_aggregate", "raw_history_read")
 POLICY = L.Policy(
-    rules=(L.Rule("allow", "read"), L.Rule("deny", "read", layer=2), L.Rule("deny", "read", space=1), L.Rule("deny", "read", record=13), L.Rule("allow", "resolve")),
-    roles=(("ann", "reader"), ("bob", "reader")),
-    inactive=("bob",),
+    principals=(("ann", "active"), ("bob", "disabled"), ("cat", "active")),
+    roles=(L.Role("reader", tuple((c, "allow") for c in READING)),),
+    assignments=tuple(L.Assignment(p, "reader") for p in ("ann", "bob", "cat")),
+    rules=(
+        L.Rule("deny", "layer_read", ("principal", "ann"), L.Scope(layer=2)),
+        L.Rule("deny", "history_space_read", ("principal", "ann"), L.Scope(space=1)),
+        L.Rule("deny", "assertion_read", ("principal", "ann"), L.Scope(record=("assertion", 13))),
+        L.Rule("deny", "source_read", ("principal", "ann"), L.Scope(record=("source", 3))),
+        L.Rule("deny", "relationship_read", ("principal", "ann"), L.Scope(relationship="evidence/contradicts")),
+        L.Rule("deny", "mask_read", ("principal", "cat"), L.Scope(space=4)),
+        L.Rule("deny", "field_read", ("principal", "cat"), L.Scope(field="replacement_boundary.validity")),
+        L.Rule("deny", "field_read", ("principal", "cat"), L.Scope(field="assertion.value/1")),
+        L.Rule("deny", "field_read", ("principal", "cat"), L.Scope(space=3, field="assertion.text")),
+        L.Rule("deny", "relationship_read", ("principal", "cat"), L.Scope(relationship="event/before")),
+    ),
 )
-COLUMNS = {"space": "space_id", "layer": "layer_id", "predicate": "predicate_id", "record": "assertion_id"}
+ANN, BOB, CAT = (L.Rights(POLICY, p) for p in ("ann", "bob", "cat"))
+#: What ann may see of assertions, and cat, for the oracle.
+ANN_SEES, CAT_SEES = "layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13", "predicate_id <> 1"
 
 #: Name -> (query, SQL after the common table expressions, or None).
 REGISTRY: dict = {}
 
 #: What the context above sees, for the oracle.
+LOW, HIGH = -(1 << 62), 1 << 62
 SEEN = f"""
 vis(space_id, distance, cutoff) AS (
   SELECT {SPACE}, 0, {AS_OF} UNION ALL
   SELECT s.parent_id, v.distance + 1, least(v.cutoff, s.base_revision) FROM vis v JOIN history_spaces s ON s.space_id = v.space_id WHERE s.parent_id IS NOT NULL),
 prec AS (SELECT v.space_id, v.cutoff, l.layer_id, -v.distance * 1000 + l.layer_rank AS prec, v.distance, l.layer_rank FROM vis v CROSS JOIN layers l),
-hidden AS (SELECT target_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1 AND action = 'archive'),
+hid AS (SELECT target_kind, target_id FROM (SELECT *, row_number() OVER (PARTITION BY target_kind, target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1 AND action = 'archive'),
+hidden AS (SELECT target_id FROM hid WHERE target_kind = 'assertion'),
 timeless AS (
   SELECT a.*, p.prec, p.cutoff FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id
   WHERE a.revision <= p.cutoff AND a.perspective_id = 0 AND a.mode = 'world_state' AND a.assertion_id NOT IN (SELECT target_id FROM hidden)
     AND NOT EXISTS (SELECT 1 FROM assertion_retractions r WHERE r.assertion_id = a.assertion_id AND r.revision <= p.cutoff)),
 cand AS (
-  SELECT * FROM timeless a WHERE valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})
+  SELECT * FROM timeless a WHERE (valid_start IS NULL OR valid_start <= {WORLD_DAY}) AND (valid_end IS NULL OR valid_end > {WORLD_DAY})
     AND NOT EXISTS (SELECT 1 FROM assertion_closures c WHERE c.assertion_id = a.assertion_id AND c.revision <= a.cutoff AND c.close_at <= {WORLD_DAY})),
-amask AS (
-  SELECT m.*, p.prec FROM masks m JOIN prec p ON p.space_id = m.space_id AND p.layer_id = m.layer_id
-  WHERE m.revision <= {AS_OF} AND m.perspective_id = 0 AND m.mode = 'world_state'
-    AND NOT EXISTS (SELECT 1 FROM mask_retractions r WHERE r.mask_id = m.mask_id AND r.revision <= {AS_OF})),
+kmask AS (
+  SELECT m.*, p.prec, coalesce(valid_start, {LOW}) AS since, least(coalesce(valid_end, {HIGH}), coalesce((SELECT min(close_at) FROM mask_closures c WHERE c.mask_id = m.mask_id AND c.revision <= {AS_OF}), {HIGH})) AS until
+  FROM masks m JOIN prec p ON p.space_id = m.space_id AND p.layer_id = m.layer_id
+  WHERE m.revision <= {AS_OF} AND m.perspective_id = 0 AND m.mode = 'world_state' AND m.mask_id NOT IN (SELECT target_id FROM hid WHERE target_kind = 'mask')),
+tmask AS (SELECT * FROM kmask m WHERE NOT EXISTS (SELECT 1 FROM mask_retractions r WHERE r.mask_id = m.mask_id AND r.revision <= {AS_OF})),
+amask AS (SELECT * FROM tmask WHERE since <= {WORLD_DAY} AND until > {WORLD_DAY}),
 hits AS (
   SELECT c.assertion_id, m.mask_id FROM timeless c JOIN amask m ON m.prec > c.prec AND (
     (m.selector = 'exact' AND m.assertion_id = c.assertion_id) OR
     (m.selector = 'proposition' AND m.subject_id = c.subject_id AND m.predicate_id = c.predicate_id AND m.value_canon = c.value_canon AND m.polarity = c.polarity) OR
     (m.selector = 'slot' AND m.subject_id = c.subject_id AND m.predicate_id = c.predicate_id))),
 surv AS (SELECT * FROM cand WHERE assertion_id NOT IN (SELECT assertion_id FROM hits)),
-bnd AS (
-  SELECT b.subject_id, b.predicate_id, max(p.prec) AS prec FROM boundaries b JOIN prec p ON p.space_id = b.space_id AND p.layer_id = b.layer_id
-  WHERE b.revision <= {AS_OF} AND b.perspective_id = 0 AND b.mode = 'world_state' GROUP BY 1, 2),
-ev AS (
+kbnd AS (
+  SELECT b.*, p.prec, coalesce(valid_start, {LOW}) AS since, least(coalesce(valid_end, {HIGH}), coalesce((SELECT min(close_at) FROM boundary_closures c WHERE c.boundary_id = b.boundary_id AND c.revision <= {AS_OF}), {HIGH})) AS until
+  FROM boundaries b JOIN prec p ON p.space_id = b.space_id AND p.layer_id = b.layer_id
+  WHERE b.revision <= {AS_OF} AND b.perspective_id = 0 AND b.mode = 'world_state' AND b.boundary_id NOT IN (SELECT target_id FROM hid WHERE target_kind = 'boundary')),
+tbnd AS (SELECT * FROM kbnd b WHERE NOT EXISTS (SELECT 1 FROM boundary_retractions r WHERE r.boundary_id = b.boundary_id AND r.revision <= {AS_OF})),
+abnd AS (SELECT * FROM tbnd WHERE since <= {WORLD_DAY} AND until > {WORLD_DAY}),
+bnd AS (SELECT subject_id, predicate_id, max(prec) AS prec FROM abnd GROUP BY 1, 2),
+ev0 AS (
   SELECT e.*, p.prec, p.distance, CASE WHEN e.is_span AND e.end_us IS NULL THEN (SELECT min(c.close_at) FROM event_span_closures c WHERE c.event_id = e.event_id AND c.revision <= {AS_OF}) ELSE e.end_us END AS effective_end
   FROM world_events e JOIN prec p ON p.space_id = e.space_id AND p.layer_id = e.layer_id
   WHERE e.revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_retractions r WHERE r.event_id = e.event_id AND r.revision <= {AS_OF})
-    AND NOT EXISTS (SELECT 1 FROM event_masks m JOIN prec q ON q.space_id = m.space_id AND q.layer_id = m.layer_id WHERE m.event_id = e.event_id AND m.revision <= {AS_OF} AND q.prec > p.prec)),
-rel AS (SELECT * FROM event_relations r WHERE revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_relation_retractions x WHERE x.relation_id = r.relation_id AND x.revision <= {AS_OF})),
+    AND e.event_id NOT IN (SELECT target_id FROM event_archive_transitions WHERE revision <= {AS_OF})),
+aemask AS (SELECT m.*, q.prec FROM event_masks m JOIN prec q ON q.space_id = m.space_id AND q.layer_id = m.layer_id
+  WHERE m.revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_mask_retractions r WHERE r.event_mask_id = m.event_mask_id AND r.revision <= {AS_OF})),
+ev AS (SELECT * FROM ev0 e WHERE NOT EXISTS (SELECT 1 FROM aemask m WHERE m.event_id = e.event_id AND m.prec > e.prec)),
+rel AS (SELECT relation_id, CASE kind WHEN 'after' THEN 'before' ELSE kind END AS kind, CASE kind WHEN 'after' THEN to_id WHEN 'same_time' THEN least(from_id, to_id) ELSE from_id END AS from_id,
+    CASE kind WHEN 'after' THEN from_id WHEN 'same_time' THEN greatest(from_id, to_id) ELSE to_id END AS to_id, revision
+  FROM event_relations r WHERE revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM event_relation_retractions x WHERE x.relation_id = r.relation_id AND x.revision <= {AS_OF})),
 vrel AS (SELECT * FROM rel WHERE from_id IN (SELECT event_id FROM ev) AND to_id IN (SELECT event_id FROM ev)),
 prov AS (SELECT * FROM provenance e WHERE revision <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM provenance_retractions x WHERE x.edge_id = e.edge_id AND x.revision <= {AS_OF}))
 """
@@ -108,7 +143,7 @@ def _(s):
     return S.raw_log(s.assertions, AS_OF).select("assertion_id", "revision")
 
 
-RAW_SQL = " UNION ALL ".join(f"SELECT {k} AS tag, '{f}' AS family, {key} AS id, revision FROM {t} WHERE revision <= {AS_OF}" for k, (f, t, key) in enumerate(S.RAW_FAMILIES))
+RAW_SQL = " UNION ALL ".join(f"SELECT {k} AS tag, '{f}' AS family, CAST({key} AS BIGINT) AS id, CAST(revision AS BIGINT) AS revision FROM {t} WHERE revision <= {AS_OF}" for k, (f, t, key, _) in enumerate(S.RAW_FAMILIES))
 
 
 @register("raw_history", RAW_SQL)
@@ -116,12 +151,16 @@ def _(s):
     return S.raw_history(s, AS_OF)
 
 
-@register("raw_history_authorized", f"SELECT family, count(*) AS n FROM ({RAW_SQL}) WHERE NOT (family = 'assertion' AND id IN (SELECT assertion_id FROM assertions WHERE layer_id = 2)) GROUP BY family")
+def _raw_sql(k: int, family: str, table: str, key: str, owner) -> str:
+    """What ann may read raw: nothing of branch 1, not assertion 13, not source 3."""
+    extra = {"assertion": " AND x.assertion_id <> 13", "source": " AND x.source_id <> 3"}.get(family, "")
+    branch = f" JOIN {owner[0]} o ON o.{owner[1]} = x.{key} AND o.space_id <> 1" if owner else ""
+    return f"SELECT {k} AS tag, '{family}' AS family, CAST(x.{key} AS BIGINT) AS id, CAST(x.revision AS BIGINT) AS revision FROM {table} x{branch} WHERE x.revision <= {AS_OF}{extra}"
+
+
+@register("raw_history_authorized", " UNION ALL ".join(_raw_sql(k, *family) for k, family in enumerate(S.RAW_FAMILIES)))
 def _(s):
-    allowed = s.assertions.filter(F.col("layer_id") != 2).select(F.col("assertion_id").alias("id"))
-    rows = S.raw_history(s, AS_OF)
-    own = rows.filter(F.col("family") == "assertion").join(allowed, "id", "left_semi").select(rows.columns)
-    return own.unionByName(rows.filter(F.col("family") != "assertion")).groupBy("family").agg(F.count("*").alias("n"))
+    return S.raw_history(s, AS_OF, ANN)
 
 
 @register("candidates", "SELECT c.assertion_id, c.subject_id, c.predicate_id, p.distance, CAST(p.layer_rank AS BIGINT) AS layer_rank FROM cand c JOIN prec p ON p.space_id = c.space_id AND p.layer_id = c.layer_id")
@@ -136,14 +175,14 @@ def _(s):
 
 @register("candidates_believed", f"""SELECT a.assertion_id FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id WHERE a.revision <= p.cutoff AND a.perspective_id = 1 AND a.mode = 'believes'
  AND a.assertion_id NOT IN (SELECT target_id FROM hidden) AND NOT EXISTS (SELECT 1 FROM assertion_retractions r WHERE r.assertion_id = a.assertion_id AND r.revision <= p.cutoff)
- AND valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY}) AND NOT EXISTS (SELECT 1 FROM assertion_closures c WHERE c.assertion_id = a.assertion_id AND c.revision <= p.cutoff AND c.close_at <= {WORLD_DAY})""")
+ AND (valid_start IS NULL OR valid_start <= {WORLD_DAY}) AND (valid_end IS NULL OR valid_end > {WORLD_DAY}) AND NOT EXISTS (SELECT 1 FROM assertion_closures c WHERE c.assertion_id = a.assertion_id AND c.revision <= p.cutoff AND c.close_at <= {WORLD_DAY})""")
 def _(s):
     return S.candidates(s, BELIEVER).select("assertion_id")
 
 
-@register("candidates_authorized", "SELECT assertion_id FROM cand WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13")
+@register("candidates_authorized", f"SELECT assertion_id FROM cand WHERE {ANN_SEES}")
 def _(s):
-    return S.candidates(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS)).select("assertion_id")
+    return S.candidates(s, CTX, allowed=ANN.assertions()).select("assertion_id")
 
 
 @register("base_layer_candidates", "SELECT assertion_id FROM cand WHERE layer_id = 0")
@@ -166,15 +205,55 @@ def _(s):
     return S.history(s, CTX, subject=7, predicate=1).select("assertion_id", "revision", "value_canon")
 
 
-@register("lifecycle_through", f"SELECT 'retraction' AS kind, assertion_id, revision FROM assertion_retractions WHERE revision <= {AS_OF} UNION ALL SELECT 'closure', assertion_id, revision FROM assertion_closures WHERE revision <= {AS_OF}")
+LIFECYCLE_SQL = f"SELECT 'retraction' AS kind, assertion_id, revision FROM assertion_retractions WHERE revision <= {AS_OF} UNION ALL SELECT 'closure', assertion_id, revision FROM assertion_closures WHERE revision <= {AS_OF}"
+
+
+@register("lifecycle_through", LIFECYCLE_SQL)
 def _(s):
-    parts = [S.raw_log(t, AS_OF).select(F.lit(k).alias("kind"), "assertion_id", "revision") for k, t in (("retraction", s.assertion_retractions), ("closure", s.assertion_closures))]
-    return parts[0].unionByName(parts[1])
+    return S.lifecycle(s, AS_OF)
+
+
+@register("lifecycle_of_target", f"SELECT * FROM ({LIFECYCLE_SQL}) WHERE assertion_id = 221")
+def _(s):
+    return S.lifecycle(s, AS_OF, 221)
 
 
 @register("record_lookup", "SELECT * FROM assertions WHERE assertion_id = 1234")
 def _(s):
-    return s.assertions.filter(F.col("assertion_id") == 1234)
+    return S.record(s, "assertion", 1234)
+
+
+@register("slot_history", f""", a AS (SELECT a.assertion_id, a.revision, v.cutoff FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff AND perspective_id = 0 AND mode = 'world_state' AND subject_id = 7 AND predicate_id = 2),
+m AS (SELECT mask_id, revision FROM masks WHERE revision <= {AS_OF} AND perspective_id = 0 AND mode = 'world_state' AND space_id IN (SELECT space_id FROM vis) AND CASE WHEN selector = 'exact' THEN assertion_id IN (SELECT assertion_id FROM a) ELSE subject_id = 7 AND predicate_id = 2 END),
+b AS (SELECT boundary_id, revision FROM boundaries WHERE revision <= {AS_OF} AND space_id IN (SELECT space_id FROM vis) AND subject_id = 7 AND predicate_id = 2)
+SELECT 'assertion' AS family, assertion_id AS id, revision FROM a UNION ALL SELECT 'assertion_retraction', r.assertion_id, r.revision FROM assertion_retractions r JOIN a ON a.assertion_id = r.assertion_id AND r.revision <= a.cutoff
+UNION ALL SELECT 'assertion_closure', r.assertion_id, r.revision FROM assertion_closures r JOIN a ON a.assertion_id = r.assertion_id AND r.revision <= a.cutoff
+UNION ALL SELECT 'mask', mask_id, revision FROM m UNION ALL SELECT 'mask_retraction', mask_id, revision FROM mask_retractions WHERE revision <= {AS_OF} AND mask_id IN (SELECT mask_id FROM m)
+UNION ALL SELECT 'mask_closure', mask_id, revision FROM mask_closures WHERE revision <= {AS_OF} AND mask_id IN (SELECT mask_id FROM m)
+UNION ALL SELECT 'boundary', boundary_id, revision FROM b UNION ALL SELECT 'boundary_retraction', boundary_id, revision FROM boundary_retractions WHERE revision <= {AS_OF} AND boundary_id IN (SELECT boundary_id FROM b)
+UNION ALL SELECT 'boundary_closure', boundary_id, revision FROM boundary_closures WHERE revision <= {AS_OF} AND boundary_id IN (SELECT boundary_id FROM b)""")
+def _(s):
+    return S.slot_history(s, CTX, 7, 2)
+
+
+@register("entity_catalog", f"SELECT e.entity_id, entity_type, r.retired_at FROM entities e LEFT JOIN (SELECT entity_id, min(revision) AS retired_at FROM entity_retirements WHERE revision <= {AS_OF} GROUP BY 1) r USING (entity_id) WHERE revision <= {AS_OF}")
+def _(s):
+    return S.entities(s, AS_OF)
+
+
+@register("perspective_catalog", f"SELECT p.perspective_id, label, coalesce(r.retired_at >= p.revision, false) AS retired FROM (SELECT *, row_number() OVER (PARTITION BY perspective_id ORDER BY revision DESC) AS k FROM perspectives WHERE revision <= {AS_OF}) p LEFT JOIN (SELECT perspective_id, max(revision) AS retired_at FROM perspective_retirements WHERE revision <= {AS_OF} GROUP BY 1) r USING (perspective_id) WHERE k = 1")
+def _(s):
+    return S.perspectives(s, AS_OF)
+
+
+@register("project_metadata", f"SELECT 'space' AS kind, CAST(space_id AS BIGINT) AS id, concat_ws(':', parent_id, base_revision) AS detail FROM history_spaces WHERE base_revision <= {AS_OF} UNION ALL SELECT 'layer', layer_id, CAST(layer_rank AS VARCHAR) FROM layers UNION ALL SELECT 'predicate', predicate_id, policy FROM (SELECT *, row_number() OVER (PARTITION BY predicate_id ORDER BY revision DESC) AS k FROM schema_predicates WHERE revision <= {AS_OF}) WHERE k = 1")
+def _(s):
+    return S.project(s, AS_OF)
+
+
+@register("facts_readable", f"SELECT 'assertion' AS family, assertion_id AS id FROM assertions WHERE revision <= {AS_OF} AND {ANN_SEES} UNION ALL SELECT 'mask', mask_id FROM masks WHERE revision <= {AS_OF} AND layer_id <> 2 AND space_id <> 1 UNION ALL SELECT 'boundary', boundary_id FROM boundaries WHERE revision <= {AS_OF} AND layer_id <> 2 AND space_id <> 1 UNION ALL SELECT 'event', event_id FROM world_events WHERE revision <= {AS_OF} AND layer_id <> 2 AND space_id <> 1")
+def _(s):
+    return S.facts(s, AS_OF, ANN)
 
 
 @register("schema_at", f"SELECT predicate_id, policy, lifecycle, revision FROM (SELECT *, row_number() OVER (PARTITION BY predicate_id ORDER BY revision DESC) AS r FROM schema_predicates WHERE revision <= {AS_OF}) WHERE r = 1")
@@ -184,17 +263,20 @@ def _(s):
 
 @register("schema_history", "SELECT predicate_id, revision, policy FROM schema_predicates WHERE predicate_id = 1")
 def _(s):
-    return s.schema_predicates.filter(F.col("predicate_id") == 1).select("predicate_id", "revision", "policy").orderBy("revision")
+    return S.definitions(s, 1).select("predicate_id", "revision", "policy")
+
 
+STAB = f"(valid_start IS NULL OR valid_start <= {WORLD_DAY}) AND (valid_end IS NULL OR valid_end > {WORLD_DAY})"
 
-@register("validity_stabbing", f"SELECT assertion_id FROM assertions WHERE valid_start <= {WORLD_DAY} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})")
+
+@register("validity_stabbing", f"SELECT 'assertion' AS family, assertion_id AS id FROM assertions WHERE {STAB} UNION ALL SELECT 'mask', mask_id FROM masks WHERE {STAB} UNION ALL SELECT 'boundary', boundary_id FROM boundaries WHERE {STAB}")
 def _(s):
-    return s.assertions.filter(S.contains("valid_start", "valid_end", F.lit(WORLD_DAY))).select("assertion_id")
+    return S.valid_at(s, WORLD_DAY)
 
 
-@register("archive_state", f"SELECT target_id, action, revision FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1")
+@register("archive_state", f"SELECT target_kind, target_id, action, revision FROM (SELECT *, row_number() OVER (PARTITION BY target_kind, target_id ORDER BY revision DESC) AS r FROM archive_transitions WHERE revision <= {AS_OF}) WHERE r = 1")
 def _(s):
-    return S.latest(s.archive_transitions, "target_id", AS_OF).select("target_id", "action", "revision")
+    return S.latest(s.archive_transitions, ["target_kind", "target_id"], AS_OF).select("target_kind", "target_id", "action", "revision")
 
 
 @register("ordinary_targets", f"SELECT assertion_id FROM assertions WHERE revision <= {AS_OF} AND assertion_id NOT IN (SELECT target_id FROM hidden)")
@@ -238,14 +320,22 @@ def _(s):
     return R.resolve_single(s, CTX)
 
 
-@register("secure_resolve", _single_sql("SELECT * FROM surv WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13"))
+@register("secure_resolve", _single_sql(f"SELECT * FROM cand WHERE {ANN_SEES}", slots=f"(SELECT * FROM assertions WHERE {ANN_SEES})"))
 def _(s):
-    return R.resolve_single(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS))
+    return R.resolve_single(s, CTX, rights=ANN)  # every mask is in a layer that ann may not read
 
 
-@register("secure_resolve_inactive", _single_sql("SELECT * FROM surv WHERE false"))
+@register("secure_resolve_inactive", _single_sql("SELECT * FROM surv WHERE false", slots="(SELECT * FROM assertions WHERE false)"))
 def _(s):
-    return R.resolve_single(s, CTX, allowed=L.authorized(POLICY, "bob", "read", COLUMNS))
+    return R.resolve_single(s, CTX, rights=BOB)
+
+
+CAT_SURVIVORS = f"SELECT * FROM cand WHERE {CAT_SEES} AND assertion_id NOT IN (SELECT h.assertion_id FROM hits h JOIN masks m USING (mask_id) WHERE m.space_id <> 4)"
+
+
+@register("secure_masks", f"SELECT assertion_id FROM ({CAT_SURVIVORS})")
+def _(s):
+    return R.surviving(s, CTX, rights=CAT).select("assertion_id")
 
 
 MULTI_SQL = """SELECT subject_id, predicate_id, value_canon AS value,
@@ -275,29 +365,105 @@ def _(s):
     return R.resolve_replace(s, CTX)
 
 
-@register("explain_stages", f""", kept AS ({AFTER_BOUNDARY}), n AS (SELECT subject_id, predicate_id, count(*) AS n0, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM surv)) AS n1, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM kept)) AS n2 FROM cand WHERE predicate_id = 2 GROUP BY 1, 2)
-SELECT subject_id, predicate_id, 1 AS stage_no, 'candidate_scan' AS stage, n0 AS n_in, n0 AS n_out FROM n UNION ALL SELECT subject_id, predicate_id, 2, 'mask_projection', n0, n1 FROM n UNION ALL SELECT subject_id, predicate_id, 3, 'replacement_boundary', n1, n2 FROM n""")
+@register("secure_replace", f""", v AS ({MULTI_SQL.format(f'({CAT_SURVIVORS})', 2)}), o AS (SELECT subject_id, predicate_id, count(*) AS nv, count(*) FILTER (state = 'conflict') AS nc FROM v GROUP BY 1, 2)
+SELECT s.subject_id, s.predicate_id, CASE WHEN nc > 0 THEN 'conflict' WHEN nv > 0 THEN 'known' ELSE 'unknown' END AS outcome, coalesce(nv, 0) AS n_values, coalesce(nc, 0) AS n_conflicts
+FROM (SELECT DISTINCT subject_id, predicate_id FROM assertions WHERE predicate_id = 2) s LEFT JOIN o USING (subject_id, predicate_id)""")
+def _(s):
+    return R.resolve_replace(s, CTX, rights=CAT)  # cat may not read the validity of boundaries, so none acts
+
+
+@register("resolve_by_schema", f""", kept AS ({AFTER_BOUNDARY}), pol AS (SELECT predicate_id, policy FROM (SELECT *, row_number() OVER (PARTITION BY predicate_id ORDER BY revision DESC) AS r FROM schema_predicates WHERE revision <= {AS_OF}) WHERE r = 1),
+best AS (SELECT subject_id, predicate_id, count(DISTINCT value_canon || '|' || polarity) AS kinds FROM (SELECT *, rank() OVER (PARTITION BY subject_id, predicate_id ORDER BY prec DESC) AS r FROM surv) WHERE r = 1 GROUP BY 1, 2),
+src AS (SELECT c.* FROM surv c JOIN pol USING (predicate_id) WHERE policy = 'multi_value_overlay' UNION ALL SELECT c.* FROM kept c JOIN pol USING (predicate_id) WHERE policy = 'multi_value_replace'),
+many AS (SELECT subject_id, predicate_id, count(*) FILTER (n = 2) AS nc FROM (SELECT subject_id, predicate_id, value_canon, count(DISTINCT polarity) AS n FROM src GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT s.subject_id, s.predicate_id, policy, CASE WHEN policy IS NULL THEN 'unknown_predicate' WHEN policy = 'single_value_replace' THEN CASE WHEN kinds IS NULL THEN 'unknown' WHEN kinds = 1 THEN 'known' ELSE 'conflict' END
+  WHEN nc > 0 THEN 'conflict' WHEN nc = 0 THEN 'known' WHEN policy = 'multi_value_replace' AND b.prec IS NOT NULL THEN 'known_empty' ELSE 'unknown' END AS outcome
+FROM (SELECT DISTINCT subject_id, predicate_id FROM assertions) s LEFT JOIN pol USING (predicate_id) LEFT JOIN best USING (subject_id, predicate_id) LEFT JOIN many USING (subject_id, predicate_id) LEFT JOIN bnd b USING (subject_id, predicate_id)""")
+def _(s):
+    return R.resolve_by_schema(s, CTX)
+
+
+@register("resolve_one_slot", _single_sql("SELECT * FROM surv").replace("CASE WHEN kinds = 1 THEN v END AS value, CASE WHEN kinds = 1 THEN p END AS polarity, ", "") + " WHERE s.subject_id = 7")
+def _(s):
+    return R.resolve_point(s, CTX, 7, 0)
+
+
+@register("single_contributors", "SELECT subject_id, predicate_id, assertion_id FROM (SELECT *, rank() OVER (PARTITION BY subject_id, predicate_id ORDER BY prec DESC) AS r FROM surv WHERE predicate_id = 0) WHERE r = 1")
+def _(s):
+    return R.single_contributors(R.surviving(s, CTX, 0))
+
+
+STAGES_SQL = f""", kept AS ({AFTER_BOUNDARY}), c AS (SELECT * FROM cand WHERE predicate_id = 2), s1 AS (SELECT * FROM surv WHERE predicate_id = 2), s2 AS (SELECT * FROM kept WHERE predicate_id = 2)"""
+
+
+@register("explain_stages", STAGES_SQL + """, n AS (SELECT subject_id, predicate_id, count(*) AS n0, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM s1)) AS n1, count(*) FILTER (assertion_id IN (SELECT assertion_id FROM s2)) AS n2 FROM c GROUP BY 1, 2)
+SELECT subject_id, predicate_id, 1 AS stage_no, 'candidate_scan' AS stage, n0 AS n_in, n0 AS n_out FROM n UNION ALL SELECT subject_id, predicate_id, 2, 'mask_projection', n0, n1 FROM n UNION ALL SELECT subject_id, predicate_id, 3, 'replacement_boundary', n1, n2 FROM n
+UNION ALL SELECT subject_id, predicate_id, 4, 'resolution', n2, n2 FROM n""")
 def _(s):
     return R.explain(s, CTX)
 
 
-CELLS_SQL = f""", kept AS (SELECT a.*, p.cutoff FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id WHERE a.revision <= p.cutoff AND perspective_id = 0 AND mode = 'world_state' AND predicate_id = 0 AND assertion_id NOT IN (SELECT target_id FROM hidden)),
-edges AS (SELECT subject_id, predicate_id, valid_start AS edge FROM kept UNION SELECT subject_id, predicate_id, valid_end FROM kept WHERE valid_end IS NOT NULL UNION SELECT k.subject_id, k.predicate_id, c.close_at FROM kept k JOIN assertion_closures c ON c.assertion_id = k.assertion_id AND c.revision <= k.cutoff),
-grid AS (SELECT subject_id, predicate_id, edge AS cell_start, lead(edge) OVER (PARTITION BY subject_id, predicate_id ORDER BY edge) AS cell_end FROM edges UNION ALL SELECT subject_id, predicate_id, NULL, min(edge) FROM edges GROUP BY 1, 2)"""
+@register("explain_records", STAGES_SQL + f""", m AS (SELECT assertion_id, min(mask_id) AS mask_id FROM hits WHERE assertion_id IN (SELECT assertion_id FROM c) GROUP BY 1)
+SELECT subject_id, predicate_id, n AS stage_no, role, 'assertion' AS family, assertion_id AS id FROM (
+  SELECT subject_id, predicate_id, assertion_id, 1 AS n, 'out' AS role FROM c UNION ALL SELECT subject_id, predicate_id, assertion_id, 2, 'in' FROM c UNION ALL SELECT subject_id, predicate_id, assertion_id, 2, 'out' FROM s1
+  UNION ALL SELECT subject_id, predicate_id, assertion_id, 3, 'in' FROM s1 UNION ALL SELECT subject_id, predicate_id, assertion_id, 3, 'out' FROM s2 UNION ALL SELECT subject_id, predicate_id, assertion_id, 4, 'in' FROM s2 UNION ALL SELECT subject_id, predicate_id, assertion_id, 4, 'out' FROM s2)
+UNION ALL SELECT DISTINCT c.subject_id, c.predicate_id, 2, 'applied', 'mask', m.mask_id FROM m JOIN c USING (assertion_id)
+UNION ALL SELECT b.subject_id, b.predicate_id, 3, 'applied', 'boundary', b.boundary_id FROM abnd b JOIN bnd t ON t.subject_id = b.subject_id AND t.predicate_id = b.predicate_id AND t.prec = b.prec WHERE EXISTS (SELECT 1 FROM c WHERE c.subject_id = b.subject_id AND c.predicate_id = b.predicate_id)""")
+def _(s):
+    return R.explain_records(s, CTX)
+
+
+# all of world time
+
+def _times_sql(predicate: int) -> str:
+    slot, big = "subject_id, predicate_id", HIGH
+    return f""", tk AS (SELECT a.*, p.cutoff FROM assertions a JOIN prec p ON p.space_id = a.space_id AND p.layer_id = a.layer_id WHERE a.revision <= p.cutoff AND perspective_id = 0 AND mode = 'world_state' AND predicate_id = {predicate} AND assertion_id NOT IN (SELECT target_id FROM hidden)),
+rm AS (SELECT DISTINCT k.subject_id, k.predicate_id, m.mask_id, m.valid_start, m.valid_end FROM kmask m JOIN tk k ON CASE WHEN m.selector = 'exact' THEN m.assertion_id = k.assertion_id ELSE m.subject_id = k.subject_id AND m.predicate_id = k.predicate_id END),
+tb AS (SELECT * FROM kbnd WHERE predicate_id = {predicate}),
+opened AS (SELECT {slot} FROM tk UNION SELECT {slot} FROM tb WHERE valid_start IS NOT NULL OR valid_end IS NOT NULL),
+edges AS (SELECT {slot}, edge FROM (
+  SELECT {slot}, valid_start AS edge FROM tk UNION SELECT {slot}, valid_end FROM tk UNION SELECT k.subject_id, k.predicate_id, c.close_at FROM tk k JOIN assertion_closures c ON c.assertion_id = k.assertion_id AND c.revision <= k.cutoff
+  UNION SELECT {slot}, valid_start FROM rm UNION SELECT {slot}, valid_end FROM rm UNION SELECT m.subject_id, m.predicate_id, c.close_at FROM rm m JOIN mask_closures c ON c.mask_id = m.mask_id AND c.revision <= {AS_OF}
+  UNION SELECT {slot}, valid_start FROM tb UNION SELECT {slot}, valid_end FROM tb UNION SELECT b.subject_id, b.predicate_id, c.close_at FROM tb b JOIN boundary_closures c ON c.boundary_id = b.boundary_id AND c.revision <= {AS_OF}) JOIN opened USING (subject_id, predicate_id) WHERE edge IS NOT NULL),
+grid AS (SELECT {slot}, edge AS cell_start, lead(edge) OVER (PARTITION BY {slot} ORDER BY edge) AS cell_end, edge AS pt FROM edges UNION ALL SELECT {slot}, NULL, min(edge), coalesce(min(edge) - 1, 0) FROM opened LEFT JOIN edges USING (subject_id, predicate_id) GROUP BY 1, 2),
+live AS (SELECT t.*, coalesce(valid_start, {LOW}) AS since, least(coalesce(valid_end, {big}), coalesce((SELECT min(close_at) FROM assertion_closures c WHERE c.assertion_id = t.assertion_id AND c.revision <= t.cutoff), {big})) AS until FROM timeless t WHERE predicate_id = {predicate}),
+shade AS (SELECT l.assertion_id, m.since, m.until FROM live l JOIN tmask m ON m.prec > l.prec AND ((m.selector = 'exact' AND m.assertion_id = l.assertion_id) OR (m.selector = 'slot' AND m.subject_id = l.subject_id AND m.predicate_id = l.predicate_id) OR
+  (m.selector = 'proposition' AND m.subject_id = l.subject_id AND m.predicate_id = l.predicate_id AND m.value_canon = l.value_canon AND m.polarity = l.polarity))),
+held AS (SELECT g.subject_id, g.predicate_id, g.pt, l.assertion_id, l.value_canon, l.polarity, l.prec FROM grid g JOIN live l ON l.subject_id = g.subject_id AND l.predicate_id = g.predicate_id AND l.since <= g.pt AND g.pt < l.until
+  WHERE NOT EXISTS (SELECT 1 FROM shade h WHERE h.assertion_id = l.assertion_id AND h.since <= g.pt AND g.pt < h.until))"""
+
+
+VALUES_SQL = """, v AS (SELECT subject_id, predicate_id, pt, value_canon, count(DISTINCT polarity) AS sides FROM {0} GROUP BY 1, 2, 3, 4), o AS (SELECT subject_id, predicate_id, pt, count(*) AS nv, count(*) FILTER (sides = 2) AS nc FROM v GROUP BY 1, 2, 3)"""
+
+
+for _predicate in range(3):
+    register(f"all_times_cells_{_predicate}" if _predicate else "all_times_cells", _times_sql(_predicate) + " SELECT subject_id, predicate_id, cell_start, cell_end FROM grid")(lambda s, p=_predicate: T.cells(s, CTX, p).drop("at"))
+
+
+@register("all_times_single", _times_sql(0) + f""",
+inside AS (SELECT *, rank() OVER (PARTITION BY subject_id, predicate_id, pt ORDER BY prec DESC) AS r FROM held),
+res AS (SELECT subject_id, predicate_id, pt, count(DISTINCT value_canon || '|' || polarity) AS kinds, min(value_canon) AS v, min(polarity) AS p, {IDS} AS contributors FROM inside WHERE r = 1 GROUP BY 1, 2, 3)
+SELECT subject_id, predicate_id, cell_start, cell_end, CASE WHEN kinds IS NULL THEN 'unknown' WHEN kinds = 1 THEN 'known' ELSE 'conflict' END AS outcome, CASE WHEN kinds = 1 THEN v END AS value, CASE WHEN kinds = 1 THEN p END AS polarity, contributors FROM grid LEFT JOIN res USING (subject_id, predicate_id, pt)""")
+def _(s):
+    return T.all_times_single(s, CTX)
+
+
+@register("all_times_overlay", _times_sql(1) + VALUES_SQL.format("held") + """
+SELECT subject_id, predicate_id, cell_start, cell_end, CASE WHEN nc > 0 THEN 'conflict' WHEN nv > 0 THEN 'known' ELSE 'unknown' END AS outcome, coalesce(nv, 0) AS n_values, coalesce(nc, 0) AS n_conflicts FROM grid LEFT JOIN o USING (subject_id, predicate_id, pt)""")
+def _(s):
+    return T.all_times_overlay(s, CTX)
 
 
-@register("all_times_cells", CELLS_SQL + " SELECT * FROM grid")
+@register("all_times_replace", _times_sql(2) + """, cut AS (SELECT g.subject_id, g.predicate_id, g.pt, max(b.prec) AS low FROM grid g JOIN tbnd b ON b.subject_id = g.subject_id AND b.predicate_id = g.predicate_id AND b.since <= g.pt AND g.pt < b.until GROUP BY 1, 2, 3),
+stay AS (SELECT h.* FROM held h LEFT JOIN cut USING (subject_id, predicate_id, pt) WHERE low IS NULL OR h.prec >= low)""" + VALUES_SQL.format("stay") + """
+SELECT subject_id, predicate_id, cell_start, cell_end, CASE WHEN nc > 0 THEN 'conflict' WHEN nv > 0 THEN 'known' WHEN low IS NOT NULL THEN 'known_empty' ELSE 'unknown' END AS outcome, coalesce(nv, 0) AS n_values, coalesce(nc, 0) AS n_conflicts FROM grid LEFT JOIN o USING (subject_id, predicate_id, pt) LEFT JOIN cut USING (subject_id, predicate_id, pt)""")
 def _(s):
-    return R.cells(s, CTX, 0)
+    return T.all_times_replace(s, CTX)
 
 
-@register("all_times_single", CELLS_SQL + f""",
-live AS (SELECT t.*, least(coalesce(valid_end, 1e15), coalesce((SELECT min(close_at) FROM assertion_closures c WHERE c.assertion_id = t.assertion_id AND c.revision <= t.cutoff), 1e15)) AS until FROM timeless t WHERE assertion_id NOT IN (SELECT assertion_id FROM hits)),
-inside AS (SELECT g.subject_id, g.predicate_id, g.cell_start, l.assertion_id, l.value_canon, l.polarity, rank() OVER (PARTITION BY g.subject_id, g.predicate_id, g.cell_start ORDER BY l.prec DESC) AS r FROM grid g JOIN live l ON l.subject_id = g.subject_id AND l.predicate_id = g.predicate_id AND l.valid_start <= g.cell_start AND g.cell_start < l.until),
-res AS (SELECT subject_id, predicate_id, cell_start, count(DISTINCT value_canon || '|' || polarity) AS kinds, min(value_canon) AS v, min(polarity) AS p, {IDS} AS contributors FROM inside WHERE r = 1 GROUP BY 1, 2, 3)
-SELECT g.*, CASE WHEN kinds IS NULL THEN 'unknown' WHEN kinds = 1 THEN 'known' ELSE 'conflict' END AS outcome, CASE WHEN kinds = 1 THEN v END AS value, CASE WHEN kinds = 1 THEN p END AS polarity, contributors FROM grid g LEFT JOIN res r ON r.subject_id = g.subject_id AND r.predicate_id = g.predicate_id AND r.cell_start = g.cell_start""")
+@register("all_times_complete_empty", _times_sql(2) + " SELECT DISTINCT subject_id, predicate_id FROM assertions WHERE predicate_id = 2 AND (subject_id, predicate_id) NOT IN (SELECT (subject_id, predicate_id) FROM grid)")
 def _(s):
-    return R.all_times_single(s, CTX)
+    return T.complete_empty(R.slots(s, 2), T.cells(s, CTX, 2))
 
 
 @register("context_precedence", "SELECT space_id, layer_id, CAST(prec AS BIGINT) AS prec FROM prec")
@@ -339,18 +505,20 @@ def _(s):
 
 @register("event_by_participant", "SELECT event_id, kind FROM ev WHERE participant_id = 42")
 def _(s):
-    return E.visible_events(s, CTX).filter(F.col("participant_id") == 42).select("event_id", "kind")
+    return E.of_participant(E.visible_events(s, CTX), 42).select("event_id", "kind")
 
 
-@register("event_masked", f"SELECT DISTINCT m.event_id FROM event_masks m JOIN prec q ON q.space_id = m.space_id AND q.layer_id = m.layer_id WHERE m.revision <= {AS_OF}")
+@register("event_masked", "SELECT DISTINCT event_id FROM aemask")
 def _(s):
-    masks = E.in_layers(S.raw_log(s.event_masks, AS_OF), CTX).withColumn("prec", precedence(CTX))
-    return masks.filter(F.col("prec").isNotNull()).select("event_id").distinct()
+    return E.event_masks(s, CTX).select("event_id").distinct()
+
+
+ANN_EVENTS = "SELECT * FROM ev0 WHERE layer_id <> 2 AND space_id <> 1"
 
 
-@register("events_authorized", "SELECT event_id FROM ev WHERE layer_id <> 2")
+@register("events_authorized", f"SELECT event_id FROM ({ANN_EVENTS})")
 def _(s):
-    return E.visible_events(s, CTX, allowed=F.col("layer_id") != 2).select("event_id")
+    return E.visible_events(s, CTX, rights=ANN).select("event_id")  # event masks are in a layer that ann may not read
 
 
 @register("event_relations_active", "SELECT relation_id, kind, from_id, to_id FROM rel")
@@ -365,7 +533,7 @@ def _(s):
 
 @register("event_relation_neighbours", "SELECT relation_id, kind FROM rel WHERE from_id = 40 OR to_id = 40")
 def _(s):
-    return E.active_relations(s, AS_OF).filter((F.col("from_id") == 40) | (F.col("to_id") == 40)).select("relation_id", "kind")
+    return E.neighbours(E.active_relations(s, AS_OF), 40).select("relation_id", "kind")
 
 
 @register("same_time_components", """, RECURSIVE_MARK reach(a, b) AS (SELECT from_id, to_id FROM rel WHERE kind = 'same_time' UNION SELECT to_id, from_id FROM rel WHERE kind = 'same_time' UNION SELECT r.a, e.to_id FROM reach r JOIN rel e ON e.kind = 'same_time' AND e.from_id = r.b)
@@ -379,9 +547,43 @@ def _(s):
     return E.before_residue(E.active_relations(s, AS_OF))
 
 
-@register("participant_counts", "SELECT event_id, role, count(*) AS n FROM world_events GROUP BY 1, 2")
+PLANTED_BEFORE = "(SELECT from_id AS a, to_id AS b FROM planted_relations WHERE kind = '{0}')"
+
+
+def _residue_sql(edges: str) -> str:
+    """Nodes that a node on a cycle reaches; ``edges`` is small."""
+    return f""", e AS {edges}, walk(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM walk w JOIN e ON e.a = w.b)
+SELECT DISTINCT b AS node FROM walk WHERE a IN (SELECT a FROM walk WHERE a = b)"""
+
+
+@register("before_cycle_planted", _residue_sql(PLANTED_BEFORE.format("before")))
+def _(s):
+    return E.before_residue(s.planted_relations)
+
+
+@register("causes_cycle_planted", _residue_sql(PLANTED_BEFORE.format("causes")))
+def _(s):
+    return E.causes_residue(s.planted_relations)
+
+
+@register("participant_errors", "SELECT event_id, role, count(*) AS n, 'unknown_role' AS reason FROM world_events WHERE kind <> 'click' GROUP BY 1, 2")
+def _(s):
+    return E.participant_errors(s.world_events, s.event_kinds.filter("kind = 'click'"))
+
+
+@register("event_graph_after", """, n AS (SELECT relation_id, kind, from_id, to_id FROM rel WHERE relation_id % 100 <> 15 UNION ALL SELECT relation_id + 1000000, kind, from_id, to_id FROM planted_relations WHERE kind = 'causes')
+SELECT 'repeated_relations' AS "check", count(*) AS n FROM (SELECT 1 FROM n GROUP BY kind, from_id, to_id HAVING count(*) > 1)
+UNION ALL SELECT 'relations_without_event', count(*) FROM (SELECT from_id AS x FROM n UNION ALL SELECT to_id FROM n) WHERE x NOT IN (SELECT event_id FROM world_events)
+UNION ALL SELECT 'before_cycle', 0 UNION ALL SELECT 'causes_cycle', count(*) FROM (WITH RECURSIVE c AS (SELECT from_id AS a, to_id AS b FROM n WHERE kind = 'causes'), reach(x) AS (SELECT 0 UNION SELECT c.b FROM reach JOIN c ON c.a = reach.x) SELECT x FROM reach)""")
+def _(s):
+    added = s.planted_relations.filter("kind = 'causes'").withColumn("relation_id", F.col("relation_id") + 1_000_000)
+    return X.relation_errors(s, CTX, added, E.active_relations(s, AS_OF).filter("relation_id % 100 = 15"))
+
+
+@register("event_corrections", "SELECT event_id + 1000000 AS from_id, event_id AS to_id, 'corrects' AS relation, CAST(9000 AS BIGINT) AS revision FROM world_events WHERE event_id % 40 = 0")
 def _(s):
-    return E.participant_counts(s.world_events)
+    changes = s.world_events.filter("event_id % 40 = 0").select("event_id", (F.col("start_us") + 1).alias("start_us"), "end_us")
+    return X.correct_events(s.world_events, changes, 9000, 1_000_000)[1]
 
 
 # evidence and provenance
@@ -393,9 +595,28 @@ def _(s):
     return I.evidence_history(s, CTX)
 
 
-@register("evidence_neighbours", "SELECT source_id, relation, count(*) AS n FROM evidence GROUP BY 1, 2")
+@register("evidence_neighbours", "SELECT evidence_id, source_id, target_id, relation FROM evidence WHERE source_id = 4 AND relation = 'supports'")
 def _(s):
-    return s.evidence.groupBy("source_id", "relation").agg(F.count("*").alias("n"))
+    return I.evidence_neighbours(s.evidence, source=4, relation="supports")
+
+
+@register("secure_evidence", f"""SELECT e.evidence_id, e.source_id, s.locator, e.target_id, e.relation, r.retracted_at, CASE WHEN r.retracted_at IS NULL THEN 'active' ELSE 'retracted' END AS state
+FROM evidence e JOIN sources s ON s.source_id = e.source_id AND s.revision <= {AS_OF} JOIN vis v ON v.space_id = e.target_space_id AND e.target_revision <= v.cutoff
+LEFT JOIN (SELECT evidence_id, min(revision) AS retracted_at FROM evidence_retractions WHERE revision <= {AS_OF} GROUP BY 1) r USING (evidence_id) WHERE e.revision <= {AS_OF} AND e.source_id <> 3 AND e.target_space_id <> 1 AND e.target_id <> 13 AND e.relation <> 'contradicts'""")
+def _(s):
+    return I.evidence_history(s, CTX, ANN)
+
+
+@register("secure_provenance", f"SELECT edge_id, from_id, to_id, relation FROM prov WHERE from_id IN (SELECT assertion_id FROM assertions WHERE {ANN_SEES}) AND to_id IN (SELECT assertion_id FROM assertions WHERE {ANN_SEES})")
+def _(s):
+    return I.visible_provenance(s, CTX, ANN).select("edge_id", "from_id", "to_id", "relation")
+
+
+@register("provenance_edge_rules", "SELECT edge_id, CASE WHEN from_id = to_id THEN 'self_loop' WHEN relation = 'corrects' THEN 'corrects_other_family' END AS reason FROM (SELECT edge_id, from_id, CASE WHEN edge_id % 3 = 0 THEN from_id ELSE to_id END AS to_id, relation, edge_id % 3 AS k FROM provenance) WHERE from_id = to_id OR (relation = 'corrects' AND k = 1)")
+def _(s):
+    k = F.col("edge_id") % 3
+    edges = s.provenance.select("edge_id", F.lit("assertion").alias("from_family"), "from_id", F.when(k == 1, "event").otherwise("assertion").alias("to_family"), F.when(k == 0, F.col("from_id")).otherwise(F.col("to_id")).alias("to_id"), "relation")
+    return I.edge_errors(edges)
 
 
 @register("provenance_active", "SELECT edge_id, from_id, to_id, relation FROM prov")
@@ -423,6 +644,18 @@ def _(s):
     return E.cycle_residue(I.dependencies(I.active_provenance(s, AS_OF)))
 
 
+@register("provenance_cycle_planted", _residue_sql("(SELECT to_id AS a, from_id AS b FROM planted_provenance)"))
+def _(s):
+    return E.cycle_residue(I.dependencies(s.planted_provenance))
+
+
+@register("provenance_graph_after", """SELECT 'repeated_edges' AS "check", count(*) AS n FROM (SELECT 1 FROM (SELECT from_id, to_id, relation FROM prov UNION ALL SELECT from_id, to_id, relation FROM prov WHERE edge_id % 70 = 3) GROUP BY from_id, to_id, relation HAVING count(*) > 1)
+UNION ALL SELECT 'self_loops', count(*) FROM prov WHERE from_id = to_id UNION ALL SELECT 'dependency_cycle', 0""")
+def _(s):
+    added = I.active_provenance(s, AS_OF).filter("edge_id % 70 = 3").select((F.col("edge_id") + 1_000_000).alias("edge_id"), "from_id", "to_id", "relation")
+    return X.provenance_errors(s, CTX, added)
+
+
 # graph
 
 def _bfs_sql(direction: str, depth: int) -> str:
@@ -451,6 +684,36 @@ def _(s):
     return _bfs(s, "both", 3)
 
 
+@register("bfs_edges", _bfs_sql("out", 2).replace("SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node", """, first AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), used AS (SELECT r.relation_id, r.kind, r.from_id, r.to_id, f.depth + 1 AS depth FROM vrel r JOIN first f ON f.node = r.from_id WHERE r.kind = 'before' AND f.depth < 2)
+SELECT relation_id AS edge_id, kind, from_id, to_id, CAST(depth AS INTEGER) AS depth FROM used""").replace("'before', 'same_time'", "'before'").replace("WHERE kind = 'same_time'", "WHERE false"))
+def _(s):
+    nodes = E.visible_events(s, CTX).select("event_id")
+    roots = nodes.filter("event_id % 500 = 0").select(F.col("event_id").alias("node"))
+    return G.traverse(nodes, E.visible_relations(s, CTX), G.GraphSpec(roots, ("before",), "outgoing", 2))[1]
+
+
+@register("secure_graph", f""", ok AS (SELECT * FROM ev), links AS (SELECT from_id AS a, to_id AS b FROM vrel WHERE kind = 'same_time' UNION SELECT to_id, from_id FROM vrel WHERE kind = 'same_time'), roots AS (SELECT event_id FROM ok WHERE event_id % 50 = 0),
+walk(node, depth) AS (SELECT event_id, 0 FROM roots UNION SELECT l.b, w.depth + 1 FROM walk w JOIN links l ON l.a = w.node WHERE w.depth < 2) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node""")
+def _(s):
+    nodes = E.visible_events(s, CTX, rights=CAT).select("event_id")
+    roots = nodes.filter("event_id % 50 = 0").select(F.col("event_id").alias("node"))
+    return G.traverse(nodes, E.visible_relations(s, CTX, CAT), G.GraphSpec(roots, ("before", "same_time"), "outgoing", 2))[0]
+
+
+@register("graph_over_facts", """, ok AS (SELECT a.assertion_id FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff),
+pe AS (SELECT from_id AS a, to_id AS b FROM prov WHERE from_id IN (SELECT assertion_id FROM ok) AND to_id IN (SELECT assertion_id FROM ok)),
+re AS (SELECT from_id AS a, to_id AS b FROM vrel WHERE kind = 'causes'),
+links AS (SELECT 'assertion' AS f, a, b FROM pe UNION SELECT 'assertion', b, a FROM pe UNION SELECT 'event', a, b FROM re UNION SELECT 'event', b, a FROM re),
+roots AS (SELECT 'assertion' AS f, assertion_id AS id FROM ok WHERE assertion_id % 7 = 3 UNION SELECT 'event', event_id FROM ev WHERE event_id % 40 = 0),
+walk(f, id, depth) AS (SELECT f, id, 0 FROM roots UNION SELECT w.f, l.b, w.depth + 1 FROM walk w JOIN links l ON l.a = w.id AND l.f = w.f WHERE w.depth < 2)
+SELECT f AS family, id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2""")
+def _(s):
+    nodes, edges = G.record_graph(s, CTX)
+    roots = nodes.filter("(node.family = 'assertion' AND node.id % 7 = 3) OR (node.family = 'event' AND node.id % 40 = 0)")
+    found = G.traverse(nodes, edges, G.GraphSpec(roots, ("corrects", "derived_from", "causes"), "both", 2))[0]
+    return found.select("node.family", "node.id", "depth")
+
+
 # search
 
 @register("token_all", r"SELECT result_key, 'text' AS matched_fields FROM search_documents WHERE len(list_intersect(regexp_split_to_array(text, '[\t\n\f\r ]+'), ['the', 'and'])) = 2")
@@ -463,6 +726,11 @@ def _(s):
     return K.search(s.search_documents, ["der", "las", "der"], every=False)
 
 
+@register("secure_search", r"SELECT result_key, 'text' AS matched_fields FROM search_documents WHERE space_id <> 3 AND len(list_intersect(regexp_split_to_array(text, '[\t\n\f\r ]+'), ['the', 'and'])) = 2")
+def _(s):
+    return K.search_records(s.search_documents, ["the", "and"], CAT)
+
+
 @register("fulltext_bool", r"SELECT result_key FROM (SELECT result_key, regexp_split_to_array(text, '[\t\n\f\r ]+') AS t FROM search_documents) WHERE (list_contains(t, 'the') OR list_contains(t, 'der')) AND NOT list_contains(t, 'and')")
 def _(s):
     return K.full_text(s.search_documents, ("all", ("any", "the", "der"), ("not", "and")))
@@ -497,10 +765,10 @@ def _(s):
     return A.grouped_count(s.assertions.join(used, "assertion_id", "left_semi"), ["polarity"])
 
 
-@register("secure_counts", "SELECT polarity, count(*) AS n FROM surv WHERE layer_id <> 2 AND space_id <> 1 AND assertion_id <> 13 GROUP BY 1")
+@register("secure_counts", f"SELECT polarity, count(*) AS n FROM cand WHERE {ANN_SEES} GROUP BY 1")
 def _(s):
-    rows = S.candidates(s, CTX, allowed=L.authorized(POLICY, "ann", "read", COLUMNS))
-    return A.grouped_count(M.apply_masks(rows, M.active_masks(s, CTX)), ["polarity"])
+    ANN.demand("query_aggregate")
+    return A.grouped_count(R.surviving(s, CTX, rights=ANN), ["polarity"])
 
 
 # filters, sorting, pages
@@ -516,7 +784,7 @@ def _(s):
     return s.assertions.filter(C.compile_filter(("not", ("exists", "valid_end")))).select("assertion_id")
 
 
-@register("filter_overlaps", f"SELECT assertion_id FROM assertions WHERE valid_start < {WORLD_DAY + 30} AND (valid_end IS NULL OR valid_end > {WORLD_DAY})")
+@register("filter_overlaps", f"SELECT assertion_id FROM assertions WHERE (valid_start IS NULL OR valid_start < {WORLD_DAY + 30}) AND (valid_end IS NULL OR valid_end > {WORLD_DAY})")
 def _(s):
     return s.assertions.filter(C.compile_filter(("overlaps", "valid_start", "valid_end", WORLD_DAY, WORLD_DAY + 30))).select("assertion_id")
 
@@ -526,9 +794,20 @@ def _(s):
     return C.project(s.assertions, ["assertion_id", "value_canon"], {"value_canon": F.col("layer_id") != 2})
 
 
-@register("sort_missing_last", "SELECT assertion_id, valid_end FROM assertions ORDER BY valid_end DESC NULLS LAST, assertion_id LIMIT 500")
+@register("filter_calendar_window", "SELECT assertion_id FROM assertions WHERE (valid_start IS NULL OR valid_start < date_diff('day', DATE '1970-01-01', DATE '1998-02-28')) AND (valid_end IS NULL OR valid_end > date_diff('day', DATE '1970-01-01', DATE '1997-12-31'))")
 def _(s):
-    return C.sort(s.assertions, [("valid_end", "desc", "last")], "assertion_id").limit(500).select("assertion_id", "valid_end")
+    return s.assertions.filter(C.compile_filter(("overlaps", "valid_start", "valid_end", *C.calendar_window("1997-12-31", months=2)))).select("assertion_id")
+
+
+@register("filter_instants", f"SELECT event_id FROM world_events WHERE NOT is_span AND start_us >= {FROM_US} AND start_us < {TO_US}")
+def _(s):
+    return s.world_events.filter("NOT is_span").filter(C.compile_filter(("instant_within", "start_us", FROM_US, TO_US))).select("event_id")
+
+
+@register("sort_missing_last", "SELECT assertion_id, valid_end FROM assertions ORDER BY valid_end DESC NULLS LAST, assertion_id")
+def _(s):
+    C.check_sort("candidates", [("valid_end", "desc", "last")])
+    return C.sort(s.assertions, [("valid_end", "desc", "last")], "assertion_id").select("assertion_id", "valid_end")
 
 
 @register("page_keyset", "SELECT assertion_id FROM surv WHERE assertion_id > 5000 ORDER BY assertion_id LIMIT 65")
@@ -543,6 +822,9 @@ UNION ALL SELECT 'repeated_events', count(*) FROM (SELECT event_id FROM world_ev
 UNION ALL SELECT 'retractions_without_assertion', count(*) FROM assertion_retractions WHERE assertion_id NOT IN (SELECT assertion_id FROM assertions)
 UNION ALL SELECT 'closures_without_assertion', count(*) FROM assertion_closures WHERE assertion_id NOT IN (SELECT assertion_id FROM assertions)
 UNION ALL SELECT 'mask_retractions_without_mask', count(*) FROM mask_retractions WHERE mask_id NOT IN (SELECT mask_id FROM masks)
+UNION ALL SELECT 'mask_closures_without_mask', count(*) FROM mask_closures WHERE mask_id NOT IN (SELECT mask_id FROM masks)
+UNION ALL SELECT 'boundary_closures_without_boundary', count(*) FROM boundary_closures WHERE boundary_id NOT IN (SELECT boundary_id FROM boundaries)
+UNION ALL SELECT 'boundary_retractions_without_boundary', count(*) FROM boundary_retractions WHERE boundary_id NOT IN (SELECT boundary_id FROM boundaries)
 UNION ALL SELECT 'evidence_without_source', count(*) FROM evidence WHERE source_id NOT IN (SELECT source_id FROM sources)
 UNION ALL SELECT 'relations_without_event', count(*) FROM event_relations WHERE to_id NOT IN (SELECT event_id FROM world_events)
 UNION ALL SELECT 'provenance_without_record', count(*) FROM provenance WHERE to_id NOT IN (SELECT assertion_id FROM assertions)""")
@@ -568,9 +850,27 @@ def _(s):
     return N.remap(s.assertions, ["subject_id"], mapping).select("assertion_id", "subject_id")
 
 
-@register("import_collisions", "SELECT assertion_id, 'exists' AS reason FROM assertions WHERE assertion_id % 10 = 3")
+INCOMING = "(SELECT assertion_id FROM assertions UNION ALL SELECT assertion_id + 1000000 FROM assertions UNION ALL SELECT assertion_id + 1000000 FROM assertions WHERE subject_id < 50)"
+
+
+def _incoming(s) -> DataFrame:
+    """All assertions, as they are and under new ids, some of these twice."""
+    moved = s.assertions.withColumn("assertion_id", F.col("assertion_id") + 1_000_000)
+    return s.assertions.unionByName(moved).unionByName(moved.filter("subject_id < 50"))
+
+
+@register("import_collisions", f"SELECT DISTINCT assertion_id, 'exists' AS reason FROM {INCOMING} WHERE assertion_id IN (SELECT assertion_id FROM assertions) UNION ALL SELECT assertion_id, 'repeated' FROM {INCOMING} GROUP BY 1 HAVING count(*) > 1")
+def _(s):
+    return N.import_collisions(_incoming(s), s.assertions, "assertion_id")
+
+
+@register("import_prepare", f""", inc AS (SELECT assertion_id FROM {INCOMING}), mapped AS (SELECT CASE WHEN assertion_id BETWEEN 1000010 AND 1000019 THEN 5000000 ELSE assertion_id END AS assertion_id FROM inc)
+SELECT 'repeated' AS reason, count(*) AS n FROM (SELECT 1 FROM inc GROUP BY assertion_id HAVING count(*) > 1) UNION ALL SELECT 'exists', count(*) FROM mapped WHERE assertion_id IN (SELECT assertion_id FROM assertions)
+UNION ALL SELECT 'mapped_together', count(*) FROM (SELECT assertion_id FROM mapped GROUP BY 1 HAVING count(*) > 1) WHERE assertion_id NOT IN (SELECT assertion_id FROM inc GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'dangling_predicate_id', 0""")
 def _(s):
-    return N.import_collisions(s.assertions.filter("assertion_id % 10 = 3"), s.assertions, "assertion_id")
+    mapping = s.spark.createDataFrame([(1_000_000 + k, 5_000_000) for k in range(10, 20)], "source_id long, target_id long")
+    return N.prepare_import(_incoming(s), s.assertions, "assertion_id", mapping, {"predicate_id": (s.schema_predicates, "predicate_id")})
 
 
 VISIBLE = f"SELECT a.*, v.cutoff FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff"
@@ -596,6 +896,23 @@ def _(s):
     return N.purge_closure(I.dependencies(I.active_provenance(s, AS_OF)), seeds)
 
 
+@register("transfer_lineage", "SELECT 'assertion' AS family, assertion_id AS source_id, assertion_id + 1000000000 AS copy_id, CAST(9001 AS BIGINT) AS revision FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff UNION ALL SELECT 'mask', mask_id, mask_id + 1000000000, 9001 FROM masks m JOIN vis v USING (space_id) WHERE m.revision <= v.cutoff UNION ALL SELECT 'boundary', boundary_id, boundary_id + 1000000000, 9001 FROM boundaries b JOIN vis v USING (space_id) WHERE b.revision <= v.cutoff UNION ALL SELECT 'event', event_id, event_id + 1000000000, 9001 FROM world_events e JOIN vis v USING (space_id) WHERE e.revision <= v.cutoff")
+def _(s):
+    return N.transfer_content(s, CTX, 9, 9001, 1_000_000_000)["transfer_lineage"]
+
+
+@register("visible_content", "SELECT 'assertion' AS family, assertion_id AS id, revision FROM assertions a JOIN vis v USING (space_id) WHERE a.revision <= v.cutoff UNION ALL SELECT 'mask', mask_id, revision FROM masks m JOIN vis v USING (space_id) WHERE m.revision <= v.cutoff UNION ALL SELECT 'boundary', boundary_id, revision FROM boundaries b JOIN vis v USING (space_id) WHERE b.revision <= v.cutoff UNION ALL SELECT 'event', event_id, revision FROM world_events e JOIN vis v USING (space_id) WHERE e.revision <= v.cutoff")
+def _(s):
+    return N.visible_content(s, CTX)
+
+
+@register("purge_report", """, gone AS (SELECT assertion_id FROM assertions WHERE assertion_id % 50 = 0) SELECT 'assertion' AS family, count(*) AS n FROM gone UNION ALL SELECT 'assertion_retraction', count(*) FROM assertion_retractions WHERE assertion_id IN (SELECT assertion_id FROM gone)
+UNION ALL SELECT 'assertion_closure', count(*) FROM assertion_closures WHERE assertion_id IN (SELECT assertion_id FROM gone) UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE target_id IN (SELECT assertion_id FROM gone)
+UNION ALL SELECT 'provenance', count(*) FROM provenance WHERE from_id IN (SELECT assertion_id FROM gone) OR to_id IN (SELECT assertion_id FROM gone)""")
+def _(s):
+    return N.purge_report(s, s.assertions.filter("assertion_id % 50 = 0").select(F.col("assertion_id").alias("node")))
+
+
 @register("purge_rewrite", "SELECT assertion_id FROM assertions WHERE assertion_id % 50 <> 0")
 def _(s):
     gone = s.assertions.filter("assertion_id % 50 = 0").select(F.col("assertion_id").alias("node"))
@@ -623,7 +940,7 @@ def _(s):
     return N.sharing_rows(s, CTX, 500, 3000, F.col("layer_id") != 2).select("assertion_id")
 
 
-@register("class_summary", " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n FROM {t} WHERE revision <= {AS_OF}" for f, t, _ in S.RAW_FAMILIES))
+@register("class_summary", " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n FROM {t} WHERE revision <= {AS_OF}" for f, t, _, _ in S.RAW_FAMILIES))
 def _(s):
     return N.class_summary(s, AS_OF)
 
@@ -633,6 +950,55 @@ def _(s):
     return N.alternation_errors(s.archive_transitions)
 
 
+@register("archive_alternation_planted", "SELECT target_id, action, revision FROM planted_transitions WHERE (target_id % 50 = 0 AND revision = 20) OR target_id % 50 = 1")
+def _(s):
+    return N.alternation_errors(s.planted_transitions)
+
+
+@register("mask_lifecycle_errors", "SELECT mask_id, 'closure_without_record' AS reason FROM mask_closures WHERE mask_id % 4 <> 1 UNION ALL SELECT mask_id, 'retraction_without_record' FROM mask_retractions WHERE mask_id % 4 <> 1")
+def _(s):
+    return X.lifecycle_errors(s.masks.filter("mask_id % 4 = 1"), "mask_id", s.mask_closures, s.mask_retractions)
+
+
+@register("write_rights", f"SELECT assertion_id FROM assertions WHERE layer_id <> 1 OR space_id = 1")
+def _(s):
+    writer = L.Policy((("eve", "active"),), (L.Role("writer", (("history_space_read", "allow"), ("assertion_create", "allow"))),), (L.Assignment("eve", "writer"),), (L.Rule("allow", "layer_write", ("role", "writer"), L.Scope(layer=1)), L.Rule("deny", "assertion_create", ("principal", "eve"), L.Scope(space=1))))
+    return X.unwritable(s.assertions, L.Rights(writer, "eve"))
+
+
+@register("schema_publish", "SELECT DISTINCT predicate_id, CAST(9000 AS BIGINT) AS revision, 'multi_value_overlay' AS policy, 'retired' AS lifecycle FROM schema_predicates")
+def _(s):
+    drafts = s.schema_predicates.select("predicate_id").distinct().select("predicate_id", F.lit("multi_value_overlay").alias("policy"), F.lit("retired").alias("lifecycle"))
+    return X.publish_schema(s.schema_predicates, drafts, 9000)
+
+
+@register("sources_superseded", "SELECT source_id + 1000000 AS source_id, kind, locator || '/2' AS locator, CAST(9000 AS BIGINT) AS revision FROM sources WHERE source_id % 2 = 0")
+def _(s):
+    changes = s.sources.filter("source_id % 2 = 0").select("source_id", F.concat("locator", F.lit("/2")).alias("locator"))
+    return X.supersede_sources(s.sources, changes, 9000, 1_000_000)[0]
+
+
+@register("migration_dry_run", "SELECT 0 AS step, count(*) AS n_before, count(*) AS n_after, count(*) FILTER (valid_start IS NOT NULL OR valid_end IS NOT NULL) AS n_changed FROM assertions")
+def _(s):
+    return J.dry_run(s, [J.Step("shift", "world_time_shift", "assertions", lambda rows: N.migrate_validity(rows, 1, 0, 0))])
+
+
+@register("resolve_from_database", _single_sql("SELECT * FROM surv"))
+def _(s):
+    """The store written as tables of a database, with its catalogs, and resolved from there."""
+    names = ("assertions", "assertion_retractions", "assertion_closures", "masks", "mask_retractions", "mask_closures", "archive_transitions", "history_spaces", "layers")
+    database = Database(s.spark, f"{shared_folder(s.spark)}/tidemark/{uuid.uuid4().hex}")
+    write_store(s, list(names), database)
+    own = DatabaseStore(database)
+    return R.resolve_single(own, CTX.at(**catalog(own)))
+
+
+@register("generated_corpus", """, g AS (SELECT i, (i * 2654435761) % 4294967296 AS m FROM (SELECT unnest(range(20000)) AS i))
+SELECT i AS assertion_id, CASE WHEN m % 5 < 4 THEN 1 + (m // 7) % 128 ELSE 129 + (m // 11) % 100000 END AS subject_id, CASE WHEN (m // 13) % 4 < 3 THEN 1 + (m // 17) % 16 ELSE 17 + (m // 19) % 500 END AS predicate_id, 1 + (m // 23) % 100 AS space_id, (m // 29) % 3 AS layer_id, (m // 31) % 5 = 0 AS masked FROM g""")
+def _(s):
+    return N.corpus(s.spark, 20_000)
+
+
 # scalars
 
 @register("scalar_decimal", """SELECT k AS id, CASE WHEN k % 2 = 0 THEN '-' ELSE '' END || CAST(k AS VARCHAR) || CASE WHEN k % 10 = 0 THEN '' ELSE '.' || CAST(k % 10 AS VARCHAR) END AS canonical FROM (SELECT o_orderkey AS k FROM orders) WHERE k > 0""")
