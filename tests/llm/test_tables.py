@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import rows_of, same
 from tidemark.llm import licenses, mixing, registry, sharding, topk
@@ -256,3 +257,59 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).isEmpty(), name
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Null ids, null and empty texts, repeated rows, copies under null ids, extra columns: every stage, then all together."""
+    import corpus_pipeline as p
+    from tidemark.llm.shared import stored
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 400").limit(60)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(6).collect()]
+    odd = [(None, texts[0], "en", None, 1), (None, texts[1] + " and more", "en", "s", 1), (None, "own words of no other text " * 3, "en", "s", 1), (None, None, None, None, None), (10**7, "", "en", "s", 0), (10**7, texts[2], "en", "s", 1), (10**7, texts[2], "en", "s", 1), (10**7 + 1, texts[3], None, "t", 1)]
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    odd = odd.withColumns({"kept": F.lit("x"), "quality_score": F.lit("y"), "taken": F.lit("z"), "ids": F.lit(1)})
+    columns = {"doc_id", "text", "lang", "source", "n_chars"}
+    for name, stage in p.STAGES[:-1]:
+        assert set(stored(stage(spark, odd, sf_dir)).columns) == columns, name
+    near = [(r.doc_id, r.text) for r in p.drop_near_copies(spark, odd, sf_dir).collect()]
+    # copies under null and larger ids go, what only shares the null id stays; nothing is empty but one
+    assert (None, texts[0]) not in near and (10**7, texts[2]) not in near and (None, "own words of no other text " * 3) in near
+    assert [t for _, t in near if not t] == [""]  # the null text's id is null, so it comes after the empty one's
+    cut = p.cut_repeats(spark, odd, sf_dir).collect()
+    assert all(r.text is None or len(r.text) == r.n_chars or r.n_chars in (0, 1) for r in cut)
+    assert p.STAGES[-1][1](spark, odd, sf_dir).count() == odd.count()
+
+
+def test_near_copies_against_brute_force(spark):
+    """Every pair of 0.8 or more is joined, nothing below it alone; chains join."""
+    from tidemark.llm import simhash
+
+    rng = random.Random(12)
+    words = ["w%03d" % k for k in range(400)]
+    rows = []
+    for k in range(25):
+        text = rng.choices(words, k=rng.randrange(30, 120))
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(rng.randrange(4)):
+            text = [w if rng.random() > rng.choice([0.005, 0.02, 0.05]) else rng.choice(words) for w in text]
+            rows.append((None if rng.random() < 0.2 else len(rows), " ".join(text)))
+    rows += [(3, ""), (None, None), (2, " \n")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (k, t) in enumerate(rows):
+        groups.setdefault(find(i), []).append((k is None, k, __import__("hashlib").md5((t or "").encode()).hexdigest()))
+    want = sorted(repr((k, d, min(g)[1], (e, k, d) == min(g))) for g in groups.values() for e, k, d in g)
+    assert sorted(repr((r.doc_id, r.digest, r.component_id, r.kept)) for r in got) == want

@@ -12,6 +12,7 @@ cut into blocks that meet pairwise in groups of their own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -263,7 +264,10 @@ def _blocks(key: Column, n: Column, block: int) -> Column:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id and text of ``docs`` -> doc_id, component_id: the smallest doc_id that links can reach.
+    """doc_id and text of ``docs`` -> doc_id, digest (of the text, as text_digest), component_id, kept.
+
+    component_id is the smallest doc_id that links can reach, kept tells the one document of a component
+    that stands for it: that of the smallest id, null last, then of the least digest.
 
     Nodes are the distinct sets of shingles.  Sets that share a MinHash key are candidates (at a
     similarity of 0.8 all but 5 in 100 million do): a distance of APART leaves no segment of the ring
@@ -272,23 +276,25 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     differ in at most APART bits of 256, and whose sets have a Jaccard similarity of 0.8 or more.
     Candidates are joined into components first; one of up to WHOLE sets is compared throughout, a larger
     one key by key.  Texts without words are copies of each other, null ones too; null ids are rows like
-    any other but never the smallest; repeated rows are one node; an empty table gives an empty table.
+    any other, told apart by their texts; rows that repeat id and text are one document, and kept or not
+    together; an empty table gives an empty table; other columns are not looked at.
     """
     ring = Ring(256, SEGMENTS, APART, None)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole, "text"):
-                yield described(batch, [np.unique(shingle_hashes(x, shingle)) for x in texts])
+                yield described(batch, texts, [np.unique(shingle_hashes(x, shingle)) for x in texts])
         tidy()
 
-    def described(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array([fingerprint(g, 4) for g in sets], pa.binary()), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp", "keys"])
+    def described(batch: pa.RecordBatch, texts: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([hashlib.md5(x).hexdigest() for x in texts]), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array([fingerprint(g, 4) for g in sets], pa.binary()), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "node", "fp", "keys"])
 
-    schema = docs.select("doc_id", F.lit(b"").alias("node"), F.lit(b"").alias("fp"), F.array().cast("array<long>").alias("keys")).schema
+    schema = docs.select("doc_id", F.lit("").alias("digest"), F.lit(b"").alias("node"), F.lit(b"").alias("fp"), F.array().cast("array<long>").alias("keys")).schema
     own = stored(docs.select("doc_id", "text").mapInArrow(describe, schema))
-    nodes = stored(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = stored(own.groupBy("node").agg(F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1")
     candidates = stored(connected_components(keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))))
@@ -305,9 +311,9 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g) for g in sets], pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
         tidy()
 
-    # one text a node; other rows with its id are told from it by the digest
-    wanted = nodes.join(candidates, "node", "left_semi").select(F.col("first").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    # one document a node
+    wanted = nodes.join(candidates, "node", "left_semi").select(F.col("first.doc_id").alias("wanted"), F.col("first.digest").alias("wanted_digest")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")) & (text_digest() == F.col("wanted_digest")), "left_semi").select("text")
     sets = stored(texts.mapInArrow(lay, "node binary, grams binary").join(candidates.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     rows = groups.join(nodes.select("node", "fp").join(sets, "node"), "node").select("group", "node", "fp", "grams")
 
@@ -351,7 +357,13 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         tidy()
 
     found = rows.repartition("group").sortWithinPartitions("group").mapInArrow(join, "a binary, b binary")
-    return _named(own, nodes, connected_components(found), "node").select("doc_id", "component_id")
+    named = _named(own.select("doc_id", "digest", "node"), nodes, connected_components(found), "node")
+    return named.select("doc_id", "digest", F.col("component_id.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("digest") == F.col("component_id.digest"))).alias("kept"))
+
+
+def text_digest(text: str = "text") -> Column:
+    """The digest by which near_copies tells documents of one id apart; null is empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
