@@ -273,9 +273,12 @@ def test_cycles_over_joined_events(spark):
     assert ids(E.cycle_residue(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 6)], "a long, b long")), "node") == [1, 2, 3]  # 3 is behind the cycle
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components(spark, monkeypatch, few):
+    from tidemark.operators import components
     from tidemark.operators.components import connected_components
 
+    monkeypatch.setattr(components, "BROADCAST_EDGES", few)
     path = [(k, k + 1) for k in range(40)] + [(100, 99), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99}

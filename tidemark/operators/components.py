@@ -29,13 +29,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+#: With up to so many edges the least neighbours travel as a broadcast; with more they are written, so that the engine can split a hot node's join.
+BROADCAST_EDGES = 500_000
+
+
+def _star(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
     """pairs (u, v) -> every kept v tied to the least neighbour of u, itself included.
 
-    The least neighbour is a partial aggregate, so a node with many neighbours isn't gathered in one
-    task; its pairs meet the aggregate in a join that the engine may split.
+    The least neighbour is a partial aggregate, so a node with many neighbours isn't gathered in one task.
     """
     least = pairs.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("low"))
+    least = F.broadcast(least) if few else stored(least)
     tied = pairs.join(least, F.col("u") == F.col("w")).withColumn("root", F.least("low", "u"))
     if large:
         return tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("root").alias("v"))
@@ -47,15 +51,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (a, b) of one orderable type -> (node, root): root is the least node that node can reach.
 
     Nodes without an edge to another node don't appear; self loops, nulls and repeated edges are
-    ignored.  A round takes two shuffles; a path of n nodes needs about log2(n) rounds.
+    ignored.  A round takes two aggregates; a path of n nodes needs about log2(n) rounds.
     """
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, last = stored(e), None
+    count = e.count()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True)
-        e = stored(_star(large, False).distinct())
+        # the large star has at most two pairs an edge
+        large = _star(both, True, count <= BROADCAST_EDGES)
+        e = stored(_star(large, False, count <= BROADCAST_EDGES).distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        count = state[0]
         if state == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = state
