@@ -178,7 +178,7 @@ def test_slots_without_endpoints_are_one_cell(spark):
     assert [(c.cell_start, c.cell_end, c.outcome, c.contributors) for c in T.all_times_single(s, CTX).collect()] == [(None, None, "known", "1")]
     assert sorted((c.subject_id, c.cell_start or 0, c.outcome) for c in T.all_times_replace(s, CTX).collect()) == [(9, 0, "unknown"), (9, 3, "known_empty")]
     every = spark.createDataFrame([(8, 2), (9, 2)], "subject_id long, predicate_id long")
-    assert ids(T.complete_empty(every, T.cells(s, CTX, 2)), "subject_id") == [8]
+    assert ids(T.complete_empty(every, T.cells(T.Known(s, CTX, 2))), "subject_id") == [8]
 
 
 @pytest.mark.parametrize("seed", range(3))

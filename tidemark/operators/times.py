@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import masks as M
-from tidemark.operators.scan import as_of, candidates, partition, raw_log, unarchived
+from tidemark.operators.components import stored
+from tidemark.operators.scan import as_of, partition, raw_log, unarchived, unretracted
 from tidemark.plans.context import Context, QueryError, joined_ids, level
 
 SLOT = ["subject_id", "predicate_id"]
@@ -50,15 +51,27 @@ def _hiding(rows: DataFrame, hiders: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(spans, keys).filter((F.col("above") > F.col("level")) & (F.col("from") < F.col("stop")) & (F.col("to") > F.col("start"))).drop("above")
 
 
-def live(store, ctx: Context, predicate: int, rights=None) -> DataFrame:
-    """Unretracted assertions of a predicate with the intervals in which no mask hides them."""
-    timeless = ctx.at(world_time=None)
-    allowed = rights.assertions() if rights else None
-    rows = candidates(store, timeless, predicate=predicate, allowed=allowed, cutoff=True)
+class Known:
+    """What the branch knows of a predicate's slots at a revision, written once: assertions that aren't archived, retracted ones included, and masks."""
+
+    def __init__(self, store, ctx: Context, predicate: int, rights=None):
+        self.store, self.ctx, self.predicate, self.rights = store, ctx.at(world_time=None), predicate, rights
+        rows = store.assertions.filter(F.col("predicate_id") == predicate)
+        rows = rows if rights is None else rows.filter(rights.assertions())
+        rows = as_of(partition(rows, ctx), ctx)
+        rows = unarchived(rows, "assertion_id", store.archive_transitions, ctx.as_of, "assertion").withColumn("level", level(ctx))
+        self.assertions = stored(rows.select("assertion_id", *SLOT, "value_canon", "polarity", "valid_start", "valid_end", "level", "cutoff"))
+        self.masks = stored(M.known(store, self.ctx, "mask", rights).drop("prec"))
+
+
+def live(known: Known) -> DataFrame:
+    """Unretracted assertions with the intervals in which no mask hides them."""
+    store, rows = known.store, unretracted(known.assertions, known.store.assertion_retractions, "assertion_id")
     closed = rows.select("assertion_id", "cutoff").join(store.assertion_closures, "assertion_id").filter(F.col("revision") <= F.col("cutoff"))
     rows = rows.join(closed.groupBy("assertion_id").agg(F.min("close_at").alias("closed_at")), "assertion_id", "left")
-    rows = intervals(rows.withColumn("level", level(ctx))).select("assertion_id", *SLOT, "value_canon", "polarity", "level", "start", "stop")
-    masks = intervals(M.active_masks(store, timeless, rights))
+    rows = intervals(rows).select("assertion_id", *SLOT, "value_canon", "polarity", "level", "start", "stop")
+    gone = raw_log(store.mask_retractions, known.ctx.as_of).select("mask_id").distinct()
+    masks = intervals(known.masks.join(gone, "mask_id", "left_anti"))
     hidden = None
     for selector, keys in M.SELECTORS.items():
         part = _hiding(rows, masks.filter(F.col("selector") == selector), keys).select(*rows.columns, "from", "to")
@@ -66,7 +79,7 @@ def live(store, ctx: Context, predicate: int, rights=None) -> DataFrame:
     return subtract(rows, hidden)
 
 
-def cells(store, ctx: Context, predicate: int, rights=None) -> DataFrame:
+def cells(known: Known) -> DataFrame:
     """Half-open cells of each slot between all endpoints that matter: (slot, cell_start, cell_end, at), open ends null.
 
     Endpoints come from assertions that aren't archived, retracted ones included, from masks that may
@@ -74,19 +87,14 @@ def cells(store, ctx: Context, predicate: int, rights=None) -> DataFrame:
     with a validity open a slot; masks and closures only divide it.  A slot without endpoints is one
     cell; cells aren't merged.  ``at`` is a point of the cell.
     """
-    own = F.col("predicate_id") == predicate
-    rows = store.assertions.filter(own)
-    rows = rows if rights is None else rows.filter(rights.assertions())
-    rows = as_of(partition(rows, ctx), ctx)
-    rows = unarchived(rows, "assertion_id", store.archive_transitions, ctx.as_of, "assertion")
-    rows = rows.select("assertion_id", *SLOT, "valid_start", "valid_end", "cutoff")
+    store, ctx, rows, masks = known.store, known.ctx, known.assertions, known.masks
+    own = F.col("predicate_id") == known.predicate
     closed = rows.select(*SLOT, "assertion_id", "cutoff").join(store.assertion_closures, "assertion_id").filter(F.col("revision") <= F.col("cutoff"))
-    masks = M.known(store, ctx, "mask", rights)
     exact = masks.filter(F.col("selector") == "exact").drop(*SLOT).join(rows.select("assertion_id", *SLOT), "assertion_id")
     wide = masks.filter((F.col("selector") != "exact") & own).join(rows.select(*SLOT).distinct(), SLOT, "left_semi")
     masks = exact.select("mask_id", *SLOT, "valid_start", "valid_end").unionByName(wide.select("mask_id", *SLOT, "valid_start", "valid_end"))
     mask_ends = raw_log(store.mask_closures, ctx.as_of).join(masks.select("mask_id", *SLOT), "mask_id")
-    boundaries = M.known(store, ctx, "boundary", rights).filter(own)
+    boundaries = M.known(store, ctx, "boundary", known.rights).filter(own)
     boundary_ends = raw_log(store.boundary_closures, ctx.as_of).join(boundaries.select("boundary_id", *SLOT), "boundary_id")
     valid = boundaries.filter("valid_start IS NOT NULL OR valid_end IS NOT NULL")
 
@@ -132,15 +140,17 @@ def all_times_single(store, ctx: Context, predicate: int = 0, rights=None) -> Da
     """Every slot of a single-valued predicate in every cell: the highest precedence decides, as at a point."""
     if len(ctx.levels()) > 62:
         raise QueryError("more than 62 levels of precedence")
-    grid, rows = cells(store, ctx, predicate, rights), live(store, ctx, predicate, rights)
+    known = Known(store, ctx, predicate, rights)
+    rows = stored(live(known))
     steps = _steps(union(rows, [*SLOT, "level"]), "held", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level").cast("int")))
-    inner = running(grid, steps, ["held"]).withColumn("level", F.when(F.col("held") > 0, F.length(F.bin("held")) - 1).cast("long"))
+    inner = running(cells(known), steps, ["held"]).withColumn("level", F.when(F.col("held") > 0, F.length(F.bin("held")) - 1).cast("long"))
+    inner = stored(inner.select(*SLOT, "at", "cell_start", "cell_end", "level"))
     said = F.struct("value_canon", "polarity")
     found = _met(inner.select(*SLOT, "at", "level"), rows, [*SLOT, "level"]).groupBy(*SLOT, "at").agg(F.min(said).alias("low"), F.max(said).alias("high"), joined_ids(F.col("assertion_id")).alias("contributors"))
-    known = F.col("low") == F.col("high")
-    out = inner.select(*SLOT, "at", "cell_start", "cell_end").join(found, [*SLOT, "at"], "left")
-    outcome = F.when(F.col("low").isNull(), "unknown").when(known, "known").otherwise("conflict")
-    return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), F.when(known, F.col("low.value_canon")).alias("value"), F.when(known, F.col("low.polarity")).alias("polarity"), "contributors")
+    same = F.col("low") == F.col("high")
+    out = inner.join(found, [*SLOT, "at"], "left")
+    outcome = F.when(F.col("low").isNull(), "unknown").when(same, "known").otherwise("conflict")
+    return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), F.when(same, F.col("low.value_canon")).alias("value"), F.when(same, F.col("low.polarity")).alias("polarity"), "contributors")
 
 
 def _value_steps(rows: DataFrame) -> DataFrame:
@@ -161,7 +171,8 @@ def _value_steps(rows: DataFrame) -> DataFrame:
 
 def all_times_overlay(store, ctx: Context, predicate: int = 1, rights=None) -> DataFrame:
     """Every slot of a multi-valued predicate in every cell: its numbers of values and of conflicts, over all precedences."""
-    out = running(cells(store, ctx, predicate, rights), _value_steps(live(store, ctx, predicate, rights)), ["n_values", "n_conflicts"])
+    known = Known(store, ctx, predicate, rights)
+    out = running(cells(known), _value_steps(live(known)), ["n_values", "n_conflicts"])
     outcome = F.when(F.col("n_conflicts") > 0, "conflict").when(F.col("n_values") > 0, "known").otherwise("unknown")
     return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), "n_values", "n_conflicts")
 
@@ -169,12 +180,13 @@ def all_times_overlay(store, ctx: Context, predicate: int = 1, rights=None) -> D
 def all_times_replace(store, ctx: Context, predicate: int = 2, rights=None) -> DataFrame:
     """As the overlay, but only what no active boundary of higher precedence cuts off; a boundary alone makes a cell known and empty."""
     boundaries = intervals(M.active(store, ctx.at(world_time=None), "boundary", rights).filter(F.col("predicate_id") == predicate)).select(*SLOT, "level", "start", "stop")
-    rows = live(store, ctx, predicate, rights)
+    known = Known(store, ctx, predicate, rights)
+    rows = live(known)
     rows = subtract(rows, _hiding(rows, boundaries, SLOT).select(*rows.columns, "from", "to"))
     steps = _value_steps(rows).withColumn("n_boundaries", F.lit(0).cast("long"))
     cuts = _steps(union(boundaries, SLOT), "n_boundaries").withColumns({"n_values": F.lit(0).cast("long"), "n_conflicts": F.lit(0).cast("long")})
     names = ["n_values", "n_conflicts", "n_boundaries"]
-    out = running(cells(store, ctx, predicate, rights), steps.select(*SLOT, "at", *names).unionByName(cuts.select(*SLOT, "at", *names)), names)
+    out = running(cells(known), steps.select(*SLOT, "at", *names).unionByName(cuts.select(*SLOT, "at", *names)), names)
     outcome = F.when(F.col("n_conflicts") > 0, "conflict").when(F.col("n_values") > 0, "known").when(F.col("n_boundaries") > 0, "known_empty").otherwise("unknown")
     return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), "n_values", "n_conflicts")
 

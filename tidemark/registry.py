@@ -437,7 +437,7 @@ VALUES_SQL = """, v AS (SELECT subject_id, predicate_id, pt, value_canon, count(
 
 
 for _predicate in range(3):
-    register(f"all_times_cells_{_predicate}" if _predicate else "all_times_cells", _times_sql(_predicate) + " SELECT subject_id, predicate_id, cell_start, cell_end FROM grid")(lambda s, p=_predicate: T.cells(s, CTX, p).drop("at"))
+    register(f"all_times_cells_{_predicate}" if _predicate else "all_times_cells", _times_sql(_predicate) + " SELECT subject_id, predicate_id, cell_start, cell_end FROM grid")(lambda s, p=_predicate: T.cells(T.Known(s, CTX, p)).drop("at"))
 
 
 @register("all_times_single", _times_sql(0) + f""",
@@ -463,7 +463,7 @@ def _(s):
 
 @register("all_times_complete_empty", _times_sql(2) + " SELECT DISTINCT subject_id, predicate_id FROM assertions WHERE predicate_id = 2 AND (subject_id, predicate_id) NOT IN (SELECT (subject_id, predicate_id) FROM grid)")
 def _(s):
-    return T.complete_empty(R.slots(s, 2), T.cells(s, CTX, 2))
+    return T.complete_empty(R.slots(s, 2), T.cells(T.Known(s, CTX, 2)))
 
 
 @register("context_precedence", "SELECT space_id, layer_id, CAST(prec AS BIGINT) AS prec FROM prec")
