@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import contains, partition, raw_log, unarchived
-from tidemark.plans.context import Context, level, precedence
+from tidemark.plans.context import Context, level
 
 #: Selector -> the columns that tie a mask to assertions.
 SELECTORS = {
@@ -28,8 +28,8 @@ def known(store, ctx: Context, family: str, rights=None) -> DataFrame:
         rows = rows.filter(getattr(rights, table)())
     rows = unarchived(rows, key, store.archive_transitions, ctx.as_of, name)
     closed = raw_log(getattr(store, f"{name}_closures"), ctx.as_of).groupBy(key).agg(F.min("close_at").alias("closed_at"))
-    rows = rows.join(closed, key, "left").withColumns({"prec": precedence(ctx), "level": level(ctx)})
-    return rows.filter(F.col("prec").isNotNull())
+    rows = rows.join(closed, key, "left").withColumn("level", level(ctx))
+    return rows.filter(F.col("level").isNotNull())
 
 
 def active(store, ctx: Context, family: str, rights=None) -> DataFrame:
@@ -47,31 +47,38 @@ def active_masks(store, ctx: Context, rights=None) -> DataFrame:
     return active(store, ctx, "mask", rights)
 
 
-def flag_masked(candidates: DataFrame, masks: DataFrame) -> DataFrame:
-    """Candidates with ``masked``: whether a mask hides them.
+def highest(masks: DataFrame) -> dict[str, DataFrame]:
+    """For each kind of selector: its keys, and ``above``, the highest precedence of masks on them.
 
-    For each kind of selector the highest precedence of a key decides, so each is one partial
-    aggregate and one equi join, whatever the number of masks on a key.
+    One partial aggregate serves all kinds, whatever the number of masks on a key.  The kind is taken
+    from the aggregate's result, so that the three uses share its shuffle.
     """
-    rows, hidden = candidates, F.lit(False)
-    for selector, keys in SELECTORS.items():
-        top = masks.filter(F.col("selector") == selector).groupBy(*keys).agg(F.max("prec").alias(f"_{selector}"))
-        rows = rows.join(top, keys, "left")
-        hidden = hidden | F.coalesce(F.col(f"_{selector}") > F.col("prec"), F.lit(False))
-    return rows.withColumn("masked", hidden).drop(*(f"_{x}" for x in SELECTORS))
+    used = {k: F.when(F.col("selector").isin([s for s, keys in SELECTORS.items() if k in keys]), F.col(k)) for keys in SELECTORS.values() for k in keys}
+    tops = masks.groupBy("selector", *(c.alias(f"_{k}") for k, c in used.items())).agg(F.max("level").alias("above"), F.max("selector").alias("kind"))
+    return {s: tops.filter(F.col("kind") == s).select(*(F.col(f"_{k}").alias(k) for k in keys), "above") for s, keys in SELECTORS.items()}
+
+
+def flag_masked(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """Candidates with ``masked``: whether a mask hides them."""
+    rows = candidates.withColumn("masked", F.lit(False))
+    for selector, tops in highest(masks).items():
+        rows = rows.join(tops, SELECTORS[selector], "left").withColumn("masked", F.col("masked") | F.coalesce(F.col("above") > F.col("level"), F.lit(False))).drop("above")
+    return rows
 
 
 def apply_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
     """Candidates that no mask hides."""
-    return flag_masked(candidates, masks).filter(~F.col("masked")).drop("masked")
+    for selector, tops in highest(masks).items():
+        candidates = candidates.join(tops, SELECTORS[selector], "left").filter(F.col("above").isNull() | (F.col("above") <= F.col("level"))).drop("above")
+    return candidates
 
 
 def matching_masks(candidates: DataFrame, masks: DataFrame) -> DataFrame:
     """(assertion_id, mask_id, wins): all masks that match each candidate, and whether they hide it."""
     out = None
     for selector, keys in SELECTORS.items():
-        m = masks.filter(F.col("selector") == selector).select(*keys, "mask_id", F.col("prec").alias("mask_prec"))
-        hits = candidates.join(m, keys).select("assertion_id", "mask_id", (F.col("mask_prec") > F.col("prec")).alias("wins"))
+        m = masks.filter(F.col("selector") == selector).select(*keys, "mask_id", F.col("level").alias("mask_level"))
+        hits = candidates.join(m, keys).select("assertion_id", "mask_id", (F.col("mask_level") > F.col("level")).alias("wins"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

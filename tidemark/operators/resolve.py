@@ -27,8 +27,8 @@ def single_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     wherever they lie; only one row for each precedence of a slot meets the others.
     """
     said = F.struct("value_canon", "polarity")
-    by_level = rows.groupBy(*keys, "prec").agg(F.min(said).alias("low"), F.max(said).alias("high"), F.collect_list("assertion_id").alias("ids"))
-    out = by_level.groupBy(*keys).agg(F.max_by(F.struct("low", "high", "ids"), "prec").alias("top")).select(*keys, "top.*")
+    by_level = rows.groupBy(*keys, "level").agg(F.min(said).alias("low"), F.max(said).alias("high"), F.collect_list("assertion_id").alias("ids"))
+    out = by_level.groupBy(*keys).agg(F.max_by(F.struct("low", "high", "ids"), "level").alias("top")).select(*keys, "top.*")
     known = F.col("low") == F.col("high")
     ids = F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",")
     return out.select(*keys, F.when(known, "known").otherwise("conflict").alias("outcome"), F.when(known, F.col("low.value_canon")).alias("value"), F.when(known, F.col("low.polarity")).alias("polarity"), ids.alias("contributors"))
@@ -36,8 +36,8 @@ def single_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
 
 def single_contributors(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     """(slot, assertion_id): the records that decide, as rows; no slot is gathered."""
-    top = rows.groupBy(*keys).agg(F.max("prec").alias("top"))
-    return rows.join(top, keys).filter(F.col("prec") == F.col("top")).select(*keys, "assertion_id")
+    top = rows.groupBy(*keys).agg(F.max("level").alias("top"))
+    return rows.join(top, keys).filter(F.col("level") == F.col("top")).select(*keys, "assertion_id")
 
 
 def multi_value(rows: DataFrame, keys: list[str] = SLOT) -> DataFrame:
@@ -68,12 +68,12 @@ def with_unknown(all_slots: DataFrame, resolved: DataFrame, keys: list[str] = SL
 
 def boundary_cutoffs(store, ctx: Context, rights=None) -> DataFrame:
     """Highest precedence of the boundaries of each slot that are active at the context's time."""
-    return M.active(store, ctx, "boundary", rights).groupBy(*SLOT).agg(F.max("prec").alias("boundary_prec"))
+    return M.active(store, ctx, "boundary", rights).groupBy(*SLOT).agg(F.max("level").alias("boundary_level"))
 
 
 def flag_cut(rows: DataFrame, cutoffs: DataFrame, keys: list[str] = SLOT) -> DataFrame:
     """Candidates with ``cut``: whether a boundary has a higher precedence."""
-    return rows.join(cutoffs, keys, "left").withColumn("cut", F.coalesce(F.col("prec") < F.col("boundary_prec"), F.lit(False))).drop("boundary_prec")
+    return rows.join(cutoffs, keys, "left").withColumn("cut", F.coalesce(F.col("level") < F.col("boundary_level"), F.lit(False))).drop("boundary_level")
 
 
 def apply_boundaries(rows: DataFrame, cutoffs: DataFrame, keys: list[str] = SLOT) -> DataFrame:
@@ -100,7 +100,7 @@ def resolve_replace(store, ctx: Context, predicate: int = 2, rights=None) -> Dat
     cutoffs = boundary_cutoffs(store, ctx, rights)
     left = apply_boundaries(surviving(store, ctx, predicate, rights), cutoffs)
     out = slots(store, predicate, rights).join(multi_outcome(value_states(left)), SLOT, "left").join(cutoffs, SLOT, "left")
-    outcome = F.coalesce("outcome", F.when(F.col("boundary_prec").isNotNull(), F.lit("known_empty")), F.lit("unknown"))
+    outcome = F.coalesce("outcome", F.when(F.col("boundary_level").isNotNull(), F.lit("known_empty")), F.lit("unknown"))
     return out.select(*SLOT, outcome.alias("outcome"), F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
@@ -113,15 +113,15 @@ def resolve_by_schema(store, ctx: Context, rights=None) -> DataFrame:
     schema = F.broadcast(latest(store.schema_predicates, "predicate_id", ctx.as_of).select("predicate_id", "policy"))
     cutoffs = boundary_cutoffs(store, ctx, rights)
     rows = surviving(store, ctx, None, rights).join(schema, "predicate_id").join(cutoffs, SLOT, "left")
-    rows = rows.filter((F.col("policy") != "multi_value_replace") | F.col("boundary_prec").isNull() | (F.col("prec") >= F.col("boundary_prec")))
+    rows = rows.filter((F.col("policy") != "multi_value_replace") | F.col("boundary_level").isNull() | (F.col("level") >= F.col("boundary_level")))
     said = F.struct("value_canon", "polarity")
-    by_level = rows.groupBy(*SLOT, "prec").agg(F.min(said).alias("low"), F.max(said).alias("high"))
-    single = by_level.groupBy(*SLOT).agg(F.max_by(F.struct("low", "high"), "prec").alias("top")).select(*SLOT, (F.col("top.low") == F.col("top.high")).alias("agree"))
+    by_level = rows.groupBy(*SLOT, "level").agg(F.min(said).alias("low"), F.max(said).alias("high"))
+    single = by_level.groupBy(*SLOT).agg(F.max_by(F.struct("low", "high"), "level").alias("top")).select(*SLOT, (F.col("top.low") == F.col("top.high")).alias("agree"))
     multi = multi_outcome(value_states(rows)).select(*SLOT, "n_conflicts")
     out = slots(store, None, rights).join(schema, "predicate_id", "left").join(single, SLOT, "left").join(multi, SLOT, "left").join(cutoffs, SLOT, "left")
     outcome = (
         F.when(F.col("policy").isNull(), "unknown_predicate")
-        .when(F.col("agree").isNull() & (F.col("policy") == "multi_value_replace") & F.col("boundary_prec").isNotNull(), "known_empty")
+        .when(F.col("agree").isNull() & (F.col("policy") == "multi_value_replace") & F.col("boundary_level").isNotNull(), "known_empty")
         .when(F.col("agree").isNull(), "unknown")
         .when(F.col("policy") == "single_value_replace", F.when(F.col("agree"), "known").otherwise("conflict"))
         .otherwise(F.when(F.col("n_conflicts") > 0, "conflict").otherwise("known"))
@@ -145,7 +145,7 @@ def resolve_point(store, ctx: Context, subject: int, predicate: int, rights=None
         rows = apply_boundaries(rows, cutoffs)
     out = multi_outcome(value_states(rows)).join(rows.groupBy(*SLOT).agg(joined_ids(F.col("assertion_id")).alias("contributors")), SLOT)
     out = slot.join(out, SLOT, "left").join(cutoffs, SLOT, "left")
-    empty = F.when(F.col("boundary_prec").isNotNull() & F.lit(policy == "multi_value_replace"), "known_empty").otherwise("unknown")
+    empty = F.when(F.col("boundary_level").isNotNull() & F.lit(policy == "multi_value_replace"), "known_empty").otherwise("unknown")
     return out.select(*SLOT, F.coalesce("outcome", empty).alias("outcome"), "contributors")
 
 
@@ -182,7 +182,7 @@ def explain_records(store, ctx: Context, predicate: int = 2, rights=None) -> Dat
     masks = M.applied_masks(rows, M.active_masks(store, ctx, rights)).join(rows.select("assertion_id", *SLOT), "assertion_id")
     masks = masks.select(*SLOT, F.lit(2).alias("stage_no"), F.lit("applied").alias("role"), F.lit("mask").alias("family"), F.col("mask_id").alias("id")).distinct()
     active = M.active(store, ctx, "boundary", rights).join(rows.select(*SLOT).distinct(), SLOT, "left_semi")
-    cuts = active.join(boundary_cutoffs(store, ctx, rights), SLOT).filter(F.col("prec") == F.col("boundary_prec"))
+    cuts = active.join(boundary_cutoffs(store, ctx, rights), SLOT).filter(F.col("level") == F.col("boundary_level"))
     cuts = cuts.select(*SLOT, F.lit(3).alias("stage_no"), F.lit("applied").alias("role"), F.lit("boundary").alias("family"), F.col("boundary_id").alias("id"))
     return moved.unionByName(masks).unionByName(cuts)
 

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.context import Context, QueryError, precedence
+from tidemark.plans.context import Context, QueryError, level, literal_map, precedence
+
+
+#: Ancestries of up to so many branches become literals of the expression; longer ones are joined.
+LITERAL_BRANCHES = 200
 
 
 def as_of(records: DataFrame, ctx: Context) -> DataFrame:
     """Records of the branch and its ancestors, each ancestor up to its cutoff; adds distance and cutoff."""
-    spark = records.sparkSession
-    return records.join(ctx.visible_spaces(spark), "space_id").filter(F.col("revision") <= F.col("cutoff"))
+    line = ctx.ancestry()
+    if len(line) > LITERAL_BRANCHES:
+        return records.join(ctx.visible_spaces(records.sparkSession), "space_id").filter(F.col("revision") <= F.col("cutoff"))
+    seen = records.filter(F.col("space_id").isin([s for s, _, _ in line]))
+    added = {"distance": literal_map([(s, d) for s, d, _ in line], F.col("space_id")).cast("int"), "cutoff": literal_map([(s, c) for s, _, c in line], F.col("space_id"))}
+    return seen.withColumns(added).filter(F.col("revision") <= F.col("cutoff"))
 
 
 def raw_log(records: DataFrame, revision: int) -> DataFrame:
@@ -40,7 +48,9 @@ def latest(records: DataFrame, key: str | list[str], revision: int) -> DataFrame
 def archived(transitions: DataFrame, revision: int, kind: str = "assertion") -> DataFrame:
     """Ids of a kind whose last transition at the revision archived them."""
     own = transitions.filter(F.col("target_kind") == kind) if "target_kind" in transitions.columns else transitions
-    return latest(own, "target_id", revision).filter(F.col("action") == "archive").select("target_id")
+    last = lambda action: F.max(F.when(F.col("action") == action, F.col("revision")))
+    ends = raw_log(own, revision).groupBy("target_id").agg(last("archive").alias("shut"), last("unarchive").alias("open"))
+    return ends.filter(F.col("shut").isNotNull() & (F.col("open").isNull() | (F.col("open") < F.col("shut")))).select("target_id")
 
 
 def unarchived(records: DataFrame, key: str, transitions: DataFrame, revision: int, kind: str) -> DataFrame:
@@ -60,14 +70,25 @@ def unretracted(records: DataFrame, retractions: DataFrame, key: str) -> DataFra
     return records.join(gone, key, "left").filter(F.col("retracted_at").isNull() | (F.col("retracted_at") > F.col("cutoff"))).drop("retracted_at")
 
 
+def with_closures(records: DataFrame, closures: DataFrame, key: str) -> DataFrame:
+    """Records with ``ends``, their closures as (revision, close_at): one for a record of a valid store, so they are few."""
+    ends = closures.groupBy(key).agg(F.collect_list(F.struct("revision", "close_at")).alias("ends"))
+    return records.join(ends, key, "left")
+
+
+def closed_at() -> Column:
+    """The earliest end that a visible closure gives a record ``with_closures``; null without any."""
+    return F.array_min(F.transform(F.filter("ends", lambda e: e["revision"] <= F.col("cutoff")), lambda e: e["close_at"]))
+
+
 def open_at(records: DataFrame, closures: DataFrame, key: str, t: Column) -> DataFrame:
     """Records whose validity no visible closure has ended at t."""
-    ends = records.select(key, "cutoff").join(closures, key).filter(F.col("revision") <= F.col("cutoff")).groupBy(key).agg(F.min("close_at").alias("closed_at"))
-    return records.join(ends, key, "left").filter(F.col("closed_at").isNull() | (t < F.col("closed_at"))).drop("closed_at")
+    rows = with_closures(records, closures, key)
+    return rows.filter(F.col("ends").isNull() | ~F.exists("ends", lambda e: (e["revision"] <= F.col("cutoff")) & (e["close_at"] <= t))).drop("ends")
 
 
 def candidates(store, ctx: Context, *, subject: int | None = None, predicate: int | None = None, allowed: Column | None = None, cutoff: bool = False) -> DataFrame:
-    """Assertions that may take part at the context's world time, with their precedence.
+    """Assertions that may take part at the context's world time, with their precedence and its level.
 
     Rights are a filter on the records themselves, so hidden ones influence nothing that follows.
     """
@@ -84,7 +105,7 @@ def candidates(store, ctx: Context, *, subject: int | None = None, predicate: in
         t = F.lit(ctx.world_time)
         rows = open_at(rows.filter(contains("valid_start", "valid_end", t)), store.assertion_closures, "assertion_id", t)
     rows = unarchived(rows, "assertion_id", store.archive_transitions, ctx.as_of, "assertion")
-    rows = rows.withColumn("prec", precedence(ctx))
+    rows = rows.withColumns({"prec": precedence(ctx), "level": level(ctx)})
     return rows if cutoff else rows.drop("cutoff")
 
 

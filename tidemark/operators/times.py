@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import masks as M
 from tidemark.operators.components import stored
-from tidemark.operators.scan import as_of, partition, raw_log, unarchived, unretracted
+from tidemark.operators.scan import as_of, closed_at, partition, raw_log, unarchived, unretracted, with_closures
 from tidemark.plans.context import Context, QueryError, joined_ids, level
 
 SLOT = ["subject_id", "predicate_id"]
@@ -61,14 +61,13 @@ class Known:
         rows = as_of(partition(rows, ctx), ctx)
         rows = unarchived(rows, "assertion_id", store.archive_transitions, ctx.as_of, "assertion").withColumn("level", level(ctx))
         self.assertions = stored(rows.select("assertion_id", *SLOT, "value_canon", "polarity", "valid_start", "valid_end", "level", "cutoff"))
-        self.masks = stored(M.known(store, self.ctx, "mask", rights).drop("prec"))
+        self.masks = stored(M.known(store, self.ctx, "mask", rights))
 
 
 def live(known: Known) -> DataFrame:
     """Unretracted assertions with the intervals in which no mask hides them."""
     store, rows = known.store, unretracted(known.assertions, known.store.assertion_retractions, "assertion_id")
-    closed = rows.select("assertion_id", "cutoff").join(store.assertion_closures, "assertion_id").filter(F.col("revision") <= F.col("cutoff"))
-    rows = rows.join(closed.groupBy("assertion_id").agg(F.min("close_at").alias("closed_at")), "assertion_id", "left")
+    rows = with_closures(rows, store.assertion_closures, "assertion_id").withColumn("closed_at", closed_at())
     rows = intervals(rows).select("assertion_id", *SLOT, "value_canon", "polarity", "level", "start", "stop")
     gone = raw_log(store.mask_retractions, known.ctx.as_of).select("mask_id").distinct()
     masks = intervals(known.masks.join(gone, "mask_id", "left_anti"))

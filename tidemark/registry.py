@@ -312,7 +312,8 @@ def _(s):
 
 @register("boundary_cutoffs", "SELECT subject_id, predicate_id, CAST(prec AS BIGINT) AS prec FROM bnd")
 def _(s):
-    return R.boundary_cutoffs(s, CTX).select("subject_id", "predicate_id", (F.col("boundary_prec.nearness") * 1000 + F.col("boundary_prec.layer_rank")).cast("long").alias("prec"))
+    steps = F.array(*(F.lit(near * 1000 + rank).cast("long") for near, rank in CTX.levels()))
+    return R.boundary_cutoffs(s, CTX).select("subject_id", "predicate_id", F.element_at(steps, (F.col("boundary_level") + 1).cast("int")).alias("prec"))
 
 
 @register("resolve_single_point", _single_sql("SELECT * FROM surv"))
