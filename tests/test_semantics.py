@@ -353,6 +353,9 @@ def test_pages_and_cursors(spark):
         if cursor is None:
             break
     assert got == list(range(7)) and pages == 3
+    _, cursor = C.read_page(rows, "k", 3, cursors, {"who": "ann"}, max_results=5)
+    with pytest.raises(QueryError):  # all pages together
+        C.read_page(rows, "k", 3, cursors, {"who": "ann"}, cursor, max_results=5)
     _, cursor = C.read_page(rows, "k", 3, cursors, {"who": "ann"})
     with pytest.raises(QueryError):
         cursors.redeem(cursor, {"who": "bob"})

@@ -151,9 +151,10 @@ class Cursors:
     def _seal(self, handle: str, binding: dict) -> str:
         return hmac.new(self._secret, (handle + json.dumps(binding, sort_keys=True)).encode(), hashlib.sha256).hexdigest()
 
-    def issue(self, binding: dict, last_key, limit: int) -> str:
+    def issue(self, binding: dict, last_key, limit: int, results: int = 0) -> str:
+        """A cursor for what follows ``last_key``; results: how many rows its query has given out so far."""
         handle = secrets.token_urlsafe(16)
-        self._held[handle] = _Held({"last_key": last_key, "limit": limit}, self.clock() + self.seconds)
+        self._held[handle] = _Held({"last_key": last_key, "limit": limit, "results": results}, self.clock() + self.seconds)
         return f"{handle}.{self._seal(handle, binding)}"
 
     def redeem(self, cursor: str, binding: dict) -> dict:
@@ -164,9 +165,12 @@ class Cursors:
         return held.state
 
 
-def read_page(rows: DataFrame, key: str, limit: int, cursors: Cursors, binding: dict, cursor: str | None = None) -> tuple[list, str | None]:
-    """Rows of a page, at most ``limit``, and the cursor of the next one."""
-    after = cursors.redeem(cursor, binding)["last_key"] if cursor else None
-    got = page(rows, key, limit, after).collect()
+def read_page(rows: DataFrame, key: str, limit: int, cursors: Cursors, binding: dict, cursor: str | None = None, max_results: int | None = None) -> tuple[list, str | None]:
+    """Rows of a page, at most ``limit``, and the cursor of the next one.  All pages of a query together stay within ``max_results``, or it fails."""
+    state = cursors.redeem(cursor, binding) if cursor else {"last_key": None, "results": 0}
+    got = page(rows, key, limit, state["last_key"]).collect()
+    results = state["results"] + min(limit, len(got))
+    if max_results is not None and results > max_results:
+        raise QueryError(f"more than {max_results} results")
     more = len(got) > limit
-    return got[:limit], cursors.issue(binding, got[limit - 1][key], limit) if more else None
+    return got[:limit], cursors.issue(binding, got[limit - 1][key], limit, results) if more else None

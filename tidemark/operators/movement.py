@@ -208,6 +208,26 @@ def sharing_rows(store, ctx: Context, first: int, last: int, allowed: Column) ->
     return rows.join(lacking, "assertion_id", "left_anti")
 
 
+def sharing_records(store, ctx: Context, first: int, last: int, rights) -> DataFrame:
+    """(family, id, revision) of an export that a caller may share: records of the branch in a range of revisions that may be read, and of which everything that they refer to is in the export too.
+
+    One pass, not a fixpoint: what a record refers to is held against the readable ones.  Nothing tells what was left out.
+    """
+    rows = stored(export_rows(store, ctx, first, last).filter(rights.assertions()).select("assertion_id", "revision"))
+    ids = rows.select("assertion_id")
+    between = F.col("revision").between(first, last)
+    masks = as_of(store.masks, ctx).filter(between & rights.masks())
+    exact = masks.filter(F.col("selector") == "exact").join(ids, "assertion_id", "left_semi").select("mask_id", "revision")
+    masks = exact.unionByName(masks.filter(F.col("selector") != "exact").select("mask_id", "revision"))
+    edges = store.provenance.filter(between & rights.provenance(ctx.space))
+    for end in ("from_id", "to_id"):
+        edges = edges.join(ids.select(F.col("assertion_id").alias(end)), end, "left_semi")
+    parts = {"assertion": (rows, "assertion_id"), "mask": (masks, "mask_id"), "provenance": (edges, "edge_id")}
+    for family, life, key, owner in (("assertion_retraction", store.assertion_retractions, "assertion_id", ids), ("assertion_closure", store.assertion_closures, "assertion_id", ids), ("mask_retraction", store.mask_retractions, "mask_id", masks), ("mask_closure", store.mask_closures, "mask_id", masks)):
+        parts[family] = (life.filter(between).join(owner.select(key), key, "left_semi"), key)
+    return reduce(DataFrame.unionByName, [r.select(F.lit(f).alias("family"), F.col(k).alias("id"), "revision") for f, (r, k) in parts.items()])
+
+
 def class_summary(store, revision: int) -> DataFrame:
     """(family, n) for every family, empty ones included."""
     return reduce(DataFrame.unionByName, [raw_log(getattr(store, t), revision).agg(F.lit(f).alias("family"), F.count("*").alias("n")) for f, t, _, _ in RAW_FAMILIES])

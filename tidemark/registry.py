@@ -941,6 +941,18 @@ def _(s):
     return N.sharing_rows(s, CTX, 500, 3000, F.col("layer_id") != 2).select("assertion_id")
 
 
+@register("sharing_records", f""", rows AS (SELECT * FROM ({VISIBLE}) WHERE revision BETWEEN 500 AND 3000 AND {CAT_SEES}),
+m AS (SELECT mask_id, revision FROM masks JOIN vis v USING (space_id) WHERE revision <= v.cutoff AND revision BETWEEN 500 AND 3000 AND space_id <> 4 AND (selector <> 'exact' OR assertion_id IN (SELECT assertion_id FROM rows)))
+SELECT 'assertion' AS family, assertion_id AS id, revision FROM rows UNION ALL SELECT 'mask', mask_id, revision FROM m
+UNION ALL SELECT 'provenance', edge_id, revision FROM provenance WHERE revision BETWEEN 500 AND 3000 AND from_id IN (SELECT assertion_id FROM rows) AND to_id IN (SELECT assertion_id FROM rows)
+UNION ALL SELECT 'assertion_retraction', assertion_id, revision FROM assertion_retractions WHERE revision BETWEEN 500 AND 3000 AND assertion_id IN (SELECT assertion_id FROM rows)
+UNION ALL SELECT 'assertion_closure', assertion_id, revision FROM assertion_closures WHERE revision BETWEEN 500 AND 3000 AND assertion_id IN (SELECT assertion_id FROM rows)
+UNION ALL SELECT 'mask_retraction', mask_id, revision FROM mask_retractions WHERE revision BETWEEN 500 AND 3000 AND mask_id IN (SELECT mask_id FROM m)
+UNION ALL SELECT 'mask_closure', mask_id, revision FROM mask_closures WHERE revision BETWEEN 500 AND 3000 AND mask_id IN (SELECT mask_id FROM m)""")
+def _(s):
+    return N.sharing_records(s, CTX, 500, 3000, CAT)
+
+
 @register("class_summary", " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n FROM {t} WHERE revision <= {AS_OF}" for f, t, _, _ in S.RAW_FAMILIES))
 def _(s):
     return N.class_summary(s, AS_OF)
