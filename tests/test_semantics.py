@@ -273,7 +273,7 @@ def test_cycles_over_joined_events(spark):
     assert ids(E.cycle_residue(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 6)], "a long, b long")), "node") == [1, 2, 3]  # 3 is behind the cycle
 
 
-@pytest.mark.parametrize("few", [500_000, 0])
+@pytest.mark.parametrize("few", [100_000, 0])
 def test_components(spark, monkeypatch, few):
     from tidemark.operators import components
     from tidemark.operators.components import connected_components

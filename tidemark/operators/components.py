@@ -30,7 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: With up to so many edges the least neighbours travel as a broadcast; with more they are written, so that the engine can split a hot node's join.
-BROADCAST_EDGES = 500_000
+BROADCAST_EDGES = 100_000
 
 
 def _star(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
