@@ -93,8 +93,8 @@ def shift_nanoseconds(t: Column, years: int, months: int, days: int) -> Column:
 
 
 def urlsafe(binary: Column) -> Column:
-    """Base64 for URLs, without padding."""
-    return F.rtrim(F.translate(F.base64(binary), "+/", "-_"), F.lit("="))
+    """Base64 for URLs, without padding and in one line, whatever the length."""
+    return F.rtrim(F.translate(F.base64(binary), "+/\r\n", "-_"), F.lit("="))
 
 
 def fingerprint(*columns: Column) -> Column:

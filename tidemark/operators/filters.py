@@ -81,6 +81,11 @@ def compile_filter(tree) -> Column:
     return walk(tree, 1)
 
 
+def among(rows: DataFrame, key: str, refs: DataFrame) -> DataFrame:
+    """Rows whose key a table of references names; the table may be of any size."""
+    return rows.join(refs.select(F.col(refs.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
 def calendar_window(anchor: str, years: int = 0, months: int = 0, days: int = 0) -> tuple[int, int]:
     """Days since 1970 of the window between an explicit anchor date and its calendar shift, in order; never "now"."""
     day = date.fromisoformat(anchor)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
@@ -805,6 +805,21 @@ def _(s):
     return s.world_events.filter("NOT is_span").filter(C.compile_filter(("instant_within", "start_us", FROM_US, TO_US))).select("event_id")
 
 
+@register("filter_event_kind", "SELECT event_id FROM world_events WHERE kind = 'click' AND NOT is_span")
+def _(s):
+    return s.world_events.filter(C.compile_filter(("all", ("is", "kind", "click"), ("not", ("is", "is_span", True))))).select("event_id")
+
+
+@register("filter_equals_of_a_kind", "SELECT assertion_id FROM assertions WHERE mode = 'believes' AND value_canon = 'O'")
+def _(s):
+    return s.assertions.filter(C.compile_filter(("equals", "mode", "value_canon", "believes", "O"))).select("assertion_id")
+
+
+@register("filter_refs", "SELECT assertion_id, revision FROM assertions WHERE assertion_id IN (SELECT target_id FROM evidence WHERE relation = 'supports')")
+def _(s):
+    return C.among(s.assertions, "assertion_id", s.evidence.filter("relation = 'supports'").select("target_id")).select("assertion_id", "revision")
+
+
 @register("sort_missing_last", "SELECT assertion_id, valid_end FROM assertions ORDER BY valid_end DESC NULLS LAST, assertion_id")
 def _(s):
     C.check_sort("candidates", [("valid_end", "desc", "last")])
@@ -1006,6 +1021,46 @@ def _(s):
     return R.resolve_single(own, CTX.at(**catalog(own)))
 
 
+def _database(s, *names: str) -> Database:
+    """A new database in the shared folder, with the named families as its first version."""
+    database = Database(s.spark, f"{shared_folder(s.spark)}/tidemark/{uuid.uuid4().hex}")
+    write_store(s, list(names), database)
+    return database
+
+
+@register("database_versions", "SELECT 1 AS version, count(*) AS n, sum(source_id) AS ids FROM sources UNION ALL SELECT 2, 2 * count(*), 2 * sum(source_id) + 1000000 * count(*) FROM sources UNION ALL SELECT 3, 2 * count(*), 2 * sum(source_id) + 1000000 * count(*) FROM sources")
+def _(s):
+    """Two segments, then one compacted segment: versions stay readable, and compaction changes nothing."""
+    database = _database(s, "sources")
+    database.append({"sources": s.sources.withColumn("source_id", F.col("source_id") + 1_000_000)}, 1)
+    database.compact("sources", ["source_id"], 2)
+    parts = [database.read("sources", v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.sum("source_id").alias("ids")) for v in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("candidates_indexed", "SELECT assertion_id, value_canon, polarity FROM cand WHERE subject_id = 7 AND predicate_id = 1")
+def _(s):
+    """The point scan over files clustered by slot, of which the reader opens those that can hold it."""
+    names = ("assertions", "assertion_retractions", "assertion_closures", "archive_transitions")
+    database = _database(s, *names)
+    database.replace("assertions", s.assertions.repartitionByRange(8, "subject_id", "predicate_id").sortWithinPartitions("subject_id", "predicate_id"), 1)
+    return S.candidates(DatabaseStore(database), CTX, subject=7, predicate=1).select("assertion_id", "value_canon", "polarity")
+
+
+@register("backup_differences", "SELECT 'sources' AS \"table\", count(*) AS n, CAST(NULL AS BIGINT) AS n_now FROM sources UNION ALL SELECT 'sources', NULL, count(*) FROM sources WHERE source_id % 2 = 0")
+def _(s):
+    """A summary kept of one version, held against a version whose rows were replaced."""
+    database = _database(s, "sources", "perspectives")
+    kept = database.summary(1)
+    database.replace("sources", s.sources.filter("source_id % 2 = 0"), 1)
+    return database.differences(kept, 2).select("table", "n", "n_now")
+
+
+@register("value_violations", "SELECT result_key, CASE WHEN strlen(text) > 2000 THEN 'max_bytes' ELSE 'pattern' END AS reason FROM search_documents WHERE text IS NOT NULL AND (strlen(text) > 2000 OR NOT regexp_matches(text, ' '))")
+def _(s):
+    return N.value_violations(s.search_documents, "text", max_bytes=2000, pattern=" ").select("result_key", "reason")
+
+
 @register("generated_corpus", """, g AS (SELECT i, (i * 2654435761) % 4294967296 AS m FROM (SELECT unnest(range(20000)) AS i))
 SELECT i AS assertion_id, CASE WHEN m % 5 < 4 THEN 1 + (m // 7) % 128 ELSE 129 + (m // 11) % 100000 END AS subject_id, CASE WHEN (m // 13) % 4 < 3 THEN 1 + (m // 17) % 16 ELSE 17 + (m // 19) % 500 END AS predicate_id, 1 + (m // 23) % 100 AS space_id, (m // 29) % 3 AS layer_id, (m // 31) % 5 = 0 AS masked FROM g""")
 def _(s):
@@ -1036,6 +1091,42 @@ def _(s):
     return s.assertions.select("assertion_id", V.world_nanoseconds(F.col("valid_start"), F.lit(V.NANOSECONDS_PER_DAY)).alias("ns"))
 
 
+@register("scalar_world_time_sum", "SELECT assertion_id, valid_start * 86400000000000 + 3600000000000 AS ns FROM assertions")
+def _(s):
+    ns = V.world_nanoseconds(F.col("valid_start"), F.lit(V.NANOSECONDS_PER_DAY))
+    return s.assertions.select("assertion_id", V.add_duration(ns, F.lit(3_600_000_000_000)).alias("ns"))
+
+
+@register("scalar_time_order", "SELECT assertion_id, CASE WHEN layer_id = 0 THEN CASE WHEN valid_start < valid_end THEN -1 WHEN valid_start > valid_end THEN 1 WHEN valid_start = valid_end OR valid_start IS NULL OR valid_end IS NULL THEN 0 END END AS sign FROM assertions WHERE valid_start IS NOT NULL AND valid_end IS NOT NULL")
+def _(s):
+    rows = s.assertions.filter("valid_start IS NOT NULL AND valid_end IS NOT NULL")
+    return rows.select("assertion_id", V.compare_on_timeline(F.col("layer_id"), F.col("valid_start"), F.lit(0), F.col("valid_end")).alias("sign"))
+
+
+@register("scalar_civil_days", "SELECT assertion_id, valid_start AS days FROM assertions WHERE valid_start IS NOT NULL")
+def _(s):
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("valid_start").cast("int"))
+    return s.assertions.filter("valid_start IS NOT NULL").select("assertion_id", V.days_from_civil(F.year(day), F.month(day), F.dayofmonth(day)).cast("long").alias("days"))
+
+
+@register("scalar_varint", "SELECT assertion_id, CASE WHEN assertion_id < 128 THEN lower(printf('%02x', assertion_id)) WHEN assertion_id < 16384 THEN lower(printf('%02x%02x', 128 + assertion_id % 128, assertion_id // 128)) ELSE lower(printf('%02x%02x%02x', 128 + assertion_id % 128, 128 + (assertion_id // 128) % 128, assertion_id // 16384)) END AS code FROM assertions WHERE assertion_id < 2097152")
+def _(s):
+    return s.assertions.filter("assertion_id < 2097152").select("assertion_id", V.varint(F.col("assertion_id")).alias("code"))
+
+
+@register("scalar_urlsafe", "SELECT result_key, rtrim(translate(to_base64(encode(text[1:60])), '+/', '-_'), '=') AS code FROM search_documents WHERE text IS NOT NULL")
+def _(s):
+    return s.search_documents.filter("text IS NOT NULL").select("result_key", V.urlsafe(F.encode(F.substring("text", 1, 60), "utf-8")).alias("code"))
+
+
+@register("scalar_decimal_order", "SELECT k AS id, row_number() OVER (ORDER BY v) AS place FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey + o_orderkey % 10 / 10.0) AS v FROM orders) WHERE k BETWEEN 1 AND 500")
+def _(s):
+    k = F.col("assertion_id")
+    text = V.decimal_canonical(F.concat(F.when(k % 2 == 0, "-").otherwise(""), k.cast("string"), F.lit("."), (k % 10).cast("string")))
+    rows = s.assertions.filter(k.between(1, 500)).select(k.alias("id"), V.decimal_key(text, 40).alias("key"))
+    return rows.select("id", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+
+
 @register("scalar_utf8_length", "SELECT result_key, CAST(strlen(text) AS INTEGER) AS n_bytes FROM search_documents")
 def _(s):
     return s.search_documents.select("result_key", V.utf8_length(F.col("text")).alias("n_bytes"))
