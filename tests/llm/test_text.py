@@ -206,6 +206,8 @@ def test_quality_learns_and_scores(spark):
     assert all((got[k] >= 0.7) == (k < 40) for k in held)
     assert len(got) == 80 + len(EDGE) and all(0 <= x <= 1 for x in got.values()) and got[1000] == got[1001]
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).isEmpty()
+    own = docs.withColumn("Quality_Score", F.lit("own"))
+    assert quality.score(own, quality.fit(own, labels)).columns == [*docs.columns, "quality_score"]
 
 
 def test_scorer_agrees_with_counted_features():
