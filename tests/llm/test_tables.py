@@ -313,3 +313,22 @@ def test_near_copies_against_brute_force(spark):
         groups.setdefault(find(i), []).append((k is None, k, __import__("hashlib").md5((t or "").encode()).hexdigest()))
     want = sorted(repr((k, d, min(g)[1], (e, k, d) == min(g))) for g in groups.values() for e, k, d in g)
     assert sorted(repr((r.doc_id, r.digest, r.component_id, r.kept)) for r in got) == want
+
+
+def test_no_name_of_a_column_clashes(spark):
+    """Kept columns may have any names, also those that operators use inside."""
+    from tidemark.llm import bpe, quality, suffix
+
+    names = ["doc", "th", "row", "kept0", "_digest", "_key", "_bucket", "_part", "_start", "spans", "key", "uses", "_text", "copy", "n", "h", "node", "sentence", "bucket", "target_source"]
+    docs = spark.createDataFrame([(k, "one two three " * (k % 3 + 10), "s", *("own" for _ in names)) for k in range(6)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    path, pattern = bpe.multilingual()
+    found = {
+        "mix": mixing.mix(docs, keep=tuple(names)),
+        "bpe": bpe.decode(bpe.encode(docs, path, pattern, ("doc_id", *names)), path),
+        "suffix": suffix.remove_repeats(docs),
+        "licences": licenses.scan(docs),
+        "quality": quality.score(docs, (__import__("numpy").zeros(quality.BUCKETS), 0.0)),
+    }
+    for what, out in found.items():
+        rows = out.collect()
+        assert len(rows) == 6 and len(set(out.columns)) == len(out.columns) and all(r[n] == "own" for r in rows for n in names), what

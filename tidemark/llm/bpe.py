@@ -222,17 +222,17 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     keep = tuple(c for c in keep if c.lower() != "ids")
-    narrow = docs.select(*keep, F.col("text").alias("_text"))
-    schema = narrow.drop("_text").withColumn("ids", F.array().cast("array<int>")).schema
+    narrow = docs.select(*(F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)), "text")  # names of kept columns are free
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep), F.array().cast("array<int>").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _coder(content.value, pattern)
         for batch in batches:
-            for part, texts in slices(batch, "_text", FLUSH):
+            for part, texts in slices(batch, "text", FLUSH):
                 out = encoder.encode([t.decode() for t in texts])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in out)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], names=schema.names)
         tidy()
 
     return narrow.mapInArrow(run, schema)

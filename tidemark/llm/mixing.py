@@ -90,7 +90,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: int =
     w = F.coalesce(quality if quality is not None else plain_quality(F.col("text"), size), F.lit(1.0))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     kept = [c for c in keep if c.lower() not in ("doc_id", "source", "size", "source_size", "target", "taken")]
-    drawn = docs.select(*kept, "doc_id", "source", size.alias("size"), digest.alias("_digest"), (-F.log(uniform(F.lit(seed), F.col("doc_id"), digest)) / w).alias("_key"))
+    drawn = docs.select(*(F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(kept)), "doc_id", "source", size.alias("size"), digest.alias("_digest"), (-F.log(uniform(F.lit(seed), F.col("doc_id"), digest)) / w).alias("_key"))
     # buckets of about equal share for keys of weight 1, and as many again for the long tail of light ones
     tail = F.lit(float(buckets)).cast("double")
     drawn = stored(drawn).withColumn("_bucket", F.when(F.col("_key") < F.log(tail), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).otherwise(buckets + F.floor((F.col("_key") - F.log(tail)) * 64)).cast("int"))
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), epochs: int =
     part = F.greatest(F.lit(0), F.least(gap, F.col("size"))) if split_last else F.when(gap * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     edge = joined.filter(at_end).withColumn("_part", part)
     out = rest.unionByName(edge)
-    return out.select(*kept, "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("rounds") + F.col("_part")).alias("taken"))
+    return out.select(*(F.col(f"kept{k}").alias(c) for k, c in enumerate(kept)), "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("rounds") + F.col("_part")).alias("taken"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -494,9 +494,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, characters: bool =
     docs = replacing(docs, "kept", "removed")
     names, at = docs.columns, docs.columns.index("text")
     schema = docs.withColumns({"kept": F.lit(b""), "removed": F.array().cast("array<struct<start: int, stop: int>>")}).schema
-    keyed = docs.withColumns({"_own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_own_th": F.xxhash64("text")})
-    spans = spans.select(F.col("doc").alias("_span_doc"), F.col("th").alias("_span_th"), F.col("spans").alias("_spans"))
-    joined = packed(keyed).join(spans, (F.col("_own_doc") == F.col("_span_doc")) & (F.col("_own_th") == F.col("_span_th")), "left").select(*(F.col(f"`{c}`") for c in names), "_spans")
+    # under the join all columns have names of our own, so those of the input are free
+    plain = [F.col(f"`{c}`").alias("text" if k == at else f"kept{k}") for k, c in enumerate(names)]
+    keyed = docs.select(*plain, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"))
+    joined = packed(keyed).join(spans, ["doc", "th"], "left").drop("doc", "th")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
