@@ -43,8 +43,8 @@ PAD, END = b"\xff" * ORDER, b"\xff"
 END_TOKEN = b"\n"  # no word has white space
 #: Texts are read in blocks of up to so many bytes, and so many bytes of blocks at once.  A block knows
 #: the context before it; what a document's own contexts predict is remembered within a block.
-BLOCK = CHUNK = 1 << 19
-HELD_WORDS, HELD_LEAVES = 100_000, 1_000_000
+BLOCK, CHUNK = 1 << 19, 1 << 18
+HELD_WORDS, HELD_LEAVES = 100_000, 500_000
 
 
 def blocks(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
@@ -112,25 +112,31 @@ class Table:
             self.index[slot[free]] = free  # the last of several stays
             left = left[self.index[slot[left]] != left]
             slot[left] = slot[left] + 1 & (1 << self.bits) - 1
-        self.slots = np.where(self.index >= 0, keys[self.index], np.uint64((1 << 64) - 1)) if len(keys) else np.full(1 << self.bits, (1 << 64) - 1, np.uint64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key; -1: absent."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
         slot = self._slot(keys)
-        out = np.where(self.slots[slot] == keys, self.index[slot], -2)
+        own = self.index[slot]
+        out = np.where(own < 0, -1, np.where(self.keys[own] == keys, own, -2))
         left = np.flatnonzero(out == -2)
         while len(left):
-            at = slot[left]
-            own = self.index[at]
-            out[left] = np.where(own < 0, -1, np.where(self.slots[at] == keys[left], own, -2))
-            left = left[out[left] == -2]
             slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            own = self.index[slot[left]]
+            out[left] = np.where(own < 0, -1, np.where(self.keys[own] == keys[left], own, -2))
+            left = left[out[left] == -2]
         return out
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes where they fit."""
+    return counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+
+
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
@@ -190,7 +196,7 @@ class Trie:
             if k:
                 below, fewer = _grouped(gram & np.uint64((1 << 8 * k) - 1), n)
                 mass = _grouped(gram >> np.uint64(8), fewer[np.searchsorted(below, gram & np.uint64((1 << 8 * k) - 1))])[1]
-            self.levels.append((Table(gram), n, Table(contexts), total, kinds, mass, left_out(total, kinds, single)))
+            self.levels.append((Table(gram), _small(n), Table(contexts), _small(total), kinds.astype(np.int16), _small(mass), left_out(total, kinds, single)))
             if k:
                 gram, n = below, fewer
         table_, n, contexts, total, kinds, _, escape = self.levels[0]
@@ -234,6 +240,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     """text -> (gram, word, n): counts of trie leaves (word null) and of words (gram null), summed within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _TRIES.clear()  # of an earlier model
+        tidy()
         words, held = Counter(), []
         guessed = right = 0
 
