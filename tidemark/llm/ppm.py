@@ -44,7 +44,7 @@ END_TOKEN = b"\n"  # no word has white space
 #: Texts are read in blocks of up to so many bytes, and so many bytes of blocks at once.  A block knows
 #: the context before it; what a document's own contexts predict is remembered within a block.
 BLOCK, CHUNK = 1 << 19, 1 << 18
-HELD_WORDS, HELD_LEAVES = 100_000, 500_000
+HELD_WORDS, HELD_LEAVES = 100_000, 1_500_000
 
 
 def blocks(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
