@@ -14,18 +14,27 @@ training texts; after an escape that symbol is excluded from the trie's predicti
 
 Byte 0xFF, which UTF-8 never has, stands for the start (as context) and for the end of a text.
 
+The trie is built once, piece by piece, into a file that executors get from the driver and map: its pages
+are shared by their workers and given back when memory is short, so it costs a task no memory of its own.
+
 A word unigram model with add-half smoothing is scored beside it.  Its counts are kept as a table: the
 most frequent words travel to the executors, the others are joined.
 """
 
 from __future__ import annotations
 
+import atexit
+import mmap
+import os
+import shutil
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +44,10 @@ from tidemark.llm.shared import slices, stored, table, tidy
 ORDER = 5
 #: Bytes of the document's own contexts (8 to 16).
 RECALL = 16
-#: A trie of up to so many leaves (16 bytes each) is broadcast; a larger one is joined level by level.
-BROADCAST_LEAVES = 4_000_000
+#: A trie of up to so many leaves (about 60 bytes each) is sent as a file; a larger one is joined level by level.
+MAPPED_LEAVES = 1 << 26
+#: Leaves that the trie's builder holds in memory at once.
+PIECE = 1 << 18
 #: So many of the most frequent words are broadcast; all others are joined.
 HEAD_WORDS = 100_000
 PAD, END = b"\xff" * ORDER, b"\xff"
@@ -100,18 +111,32 @@ def recalled(own: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarra
     return found, symbols
 
 
+Room = Callable[[str, type, int], np.ndarray]
+
+
+def _memory(name: str, kind: type, size: int) -> np.ndarray:
+    return np.empty(size, kind)
+
+
 class Table:
     """Unsigned 64-bit keys -> index, by open addressing; looked up for many keys at once."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, index: np.ndarray | None = None, *, room: Room = _memory, name: str = ""):
+        self.keys = keys
+        if index is not None:  # built before
+            self.index, self.bits = index, len(index).bit_length() - 1
+            return
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.keys, self.index = keys, np.full(1 << self.bits, -1, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.index[slot[left]] < 0]
-            self.index[slot[free]] = free  # the last of several stays
-            left = left[self.index[slot[left]] != left]
-            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+        self.index = room(name, np.int32, 1 << self.bits)
+        self.index[:] = -1
+        for at in range(0, len(keys), PIECE):
+            left = np.arange(at, min(at + PIECE, len(keys)))
+            slot = self._slot(keys[left])
+            while len(left):
+                free = self.index[slot] < 0
+                self.index[slot[free]] = left[free]  # the last of several stays
+                open_ = self.index[slot] != left
+                left, slot = left[open_], slot[open_] + 1 & (1 << self.bits) - 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -132,11 +157,6 @@ class Table:
         return out
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts in 4 bytes where they fit."""
-    return counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
-
-
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
@@ -174,34 +194,159 @@ def escapes(escaped: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.clip((escaped + PRIOR * guess) / (seen + PRIOR), 1e-6, 1 - 1e-6)
 
 
-def left_out(total: np.ndarray, kinds: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Escape probabilities learned from contexts: their totals, numbers of symbols, and of symbols that occur once."""
+def tallies(total: np.ndarray, kinds: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """What escapes() takes, of contexts: their totals, numbers of symbols, and of symbols that occur once."""
     size = TOTALS * KINDS
     fewer, same = class_of(total - 1, kinds - 1), class_of(total - 1, kinds)
     escaped = np.bincount(fewer, single, size)
-    return escapes(escaped, escaped + np.bincount(same, total - single, size))
+    return np.stack([escaped, escaped + np.bincount(same, total - single, size)])
+
+
+def left_out(total: np.ndarray, kinds: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Escape probabilities learned from contexts."""
+    return escapes(*tallies(total, kinds, single))
+
+
+class Parts:
+    """Arrays that are written piece by piece, as files of a folder."""
+
+    def __init__(self, folder: str):
+        self.folder, self.kinds = folder, {}
+
+    def add(self, name: str, piece: np.ndarray) -> None:
+        self.kinds[name] = piece.dtype
+        with open(os.path.join(self.folder, name), "ab") as f:
+            f.write(np.ascontiguousarray(piece))
+
+    def room(self, name: str, kind: type, size: int) -> np.ndarray:
+        """An array of any content, to be filled in place."""
+        self.kinds[name] = np.dtype(kind)
+        with open(os.path.join(self.folder, name), "wb") as f:
+            f.truncate(size * self.kinds[name].itemsize)
+        return self.get(name)
+
+    def get(self, name: str, kind: type = np.int64) -> np.ndarray:
+        """The array, mapped; one that nothing was added to is empty."""
+        path = os.path.join(self.folder, name)
+        if name not in self.kinds:
+            self.add(name, np.zeros(0, kind))
+        if not os.path.getsize(path):
+            return np.zeros(0, self.kinds[name])
+        with open(path, "r+b") as f:
+            return np.frombuffer(mmap.mmap(f.fileno(), 0), self.kinds[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            del self.kinds[name]
+            os.remove(os.path.join(self.folder, name))
+
+    def pack(self, path: str) -> dict[str, tuple[str, int, int]]:
+        """All arrays in one file; returns kind, offset and length of each."""
+        layout = {}
+        with open(path, "wb") as out:
+            for name, kind in self.kinds.items():
+                out.seek(-out.tell() % 64, os.SEEK_CUR)
+                with open(os.path.join(self.folder, name), "rb") as f:
+                    size = os.fstat(f.fileno()).st_size
+                    layout[name] = kind.str, out.tell(), size // kind.itemsize
+                    shutil.copyfileobj(f, out, 1 << 20)
+        return layout
+
+
+def _summed(parts: Parts, gram: np.ndarray, n: np.ndarray, bits: int, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``n`` by the lowest ``bits`` of ``gram``, in ascending order; ranges of them are sorted one by one."""
+    mask = np.uint64((1 << bits) - 1)
+    pieces = len(gram) // PIECE + 1
+    sample = np.sort(gram[:: max(1, len(gram) >> 16)] & mask)
+    edges = np.unique(sample[np.arange(1, pieces) * len(sample) // pieces])
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        held = []
+        for at in range(0, len(gram), PIECE):
+            g = gram[at : at + PIECE] & mask
+            own = np.ones(len(g), bool) if low is None else g >= low
+            own &= True if high is None else g < high
+            held.append((g[own], n[at : at + PIECE][own]))
+        keys, sums = _grouped(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])) if held else (gram, n)
+        parts.add(names[0], keys.astype(np.uint64))
+        parts.add(names[1], sums.astype(np.int64))
+    return parts.get(names[0]), parts.get(names[1])
+
+
+def _shrunk(parts: Parts, name: str, into: str) -> None:
+    """Counts in 4 bytes where they fit."""
+    counts = parts.get(name)
+    kind = np.int32 if counts.max(initial=0) < 1 << 31 else np.int64
+    for at in range(0, max(1, len(counts)), PIECE):
+        parts.add(into, counts[at : at + PIECE].astype(kind))
+    parts.drop(name)
+
+
+def build(parts: Parts, leaves: np.ndarray, counts: np.ndarray) -> None:
+    """Writes all levels of the trie; a few arrays of PIECE leaves are all that is in memory."""
+    gram, n = _summed(parts, leaves, counts, 64 - 1, (f"gram{ORDER}", f"sum{ORDER}"))
+    for k in range(ORDER, -1, -1):
+        below = fewer = None
+        if k:
+            below, fewer = _summed(parts, gram, n, 8 * k, (f"gram{k - 1}", f"sum{k - 1}"))
+        tally, at = np.zeros((2, TOTALS * KINDS)), 0
+        while at < len(gram):
+            end = min(at + PIECE, len(gram))
+            end += int((gram[end : end + 256] >> np.uint64(8) == gram[end - 1] >> np.uint64(8)).sum())  # whole contexts
+            g, own = gram[at:end], n[at:end]
+            context = g >> np.uint64(8)
+            firsts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            total, kinds = np.add.reduceat(own, firsts), np.diff(np.append(firsts, len(g)))
+            mass = np.add.reduceat(fewer[np.searchsorted(below, g & np.uint64((1 << 8 * k) - 1))], firsts) if k else np.zeros(len(firsts), np.int64)
+            tally += tallies(total, kinds, np.add.reduceat((own == 1).astype(np.int64), firsts))
+            for name, piece in (("context", context[firsts]), ("all", total), ("kinds", kinds.astype(np.int16)), ("mass", mass)):
+                parts.add(f"{name}{k}", piece)
+            at = end
+        escape = escapes(*tally)
+        parts.add(f"escape{k}", escape)
+        contexts, total, kinds = parts.get(f"context{k}", np.uint64), parts.get(f"all{k}"), parts.get(f"kinds{k}", np.int16)
+        if k == ORDER:  # all that is looked up of the longest contexts' symbols is their cost
+            at = 0
+            for c in range(0, len(contexts), PIECE // 16):
+                t, d = total[c : c + PIECE // 16], kinds[c : c + PIECE // 16].astype(np.int64)
+                own = n[at : at + int(d.sum())]
+                parts.add("top", np.log10(own / np.repeat(t, d) * (1 - np.repeat(escape[class_of(t, d)], d))))
+                at += len(own)
+            parts.get("top", np.float64)
+        Table(gram, room=parts.room, name=f"gram_index{k}")
+        Table(contexts, room=parts.room, name=f"context_index{k}")
+        parts.get(f"mass{k}")
+        _shrunk(parts, f"all{k}", f"total{k}")
+        _shrunk(parts, f"mass{k}", f"below{k}")
+        if k < ORDER:
+            _shrunk(parts, f"sum{k}", f"n{k}")
+        else:
+            parts.drop(f"sum{k}")
+        gram, n = below, fewer
 
 
 class Trie:
-    """All levels of a context trie in memory, from the counts of its leaves."""
+    """All levels of a context trie, from the counts of its leaves or from a file of them."""
 
     def __init__(self, leaves: np.ndarray, counts: np.ndarray):
-        self.levels = []
-        gram, n = _grouped(leaves.astype(np.uint64), counts.astype(np.int64))
-        for k in range(ORDER, -1, -1):
-            contexts, total = _grouped(gram >> np.uint64(8), n)
-            _, kinds = _grouped(gram >> np.uint64(8), np.ones(len(gram), np.int64))
-            single = _grouped(gram >> np.uint64(8), (n == 1).astype(np.int64))[1]
-            below, mass = None, np.zeros(len(contexts), np.int64)
-            if k:
-                below, fewer = _grouped(gram & np.uint64((1 << 8 * k) - 1), n)
-                mass = _grouped(gram >> np.uint64(8), fewer[np.searchsorted(below, gram & np.uint64((1 << 8 * k) - 1))])[1]
-            self.levels.append((Table(gram), _small(n), Table(contexts), _small(total), kinds.astype(np.int16), _small(mass), left_out(total, kinds, single)))
-            if k:
-                gram, n = below, fewer
-        table_, n, contexts, total, kinds, _, escape = self.levels[0]
-        at = np.searchsorted(contexts.keys, table_.keys >> np.uint64(8))
-        self.top = np.log10(n / total[at] * (1 - escape[class_of(total[at], kinds[at])])) if len(n) else np.zeros(0)
+        with tempfile.TemporaryDirectory() as folder:  # what is mapped outlives its name
+            parts = Parts(folder)
+            build(parts, leaves.astype(np.uint64), counts.astype(np.int64))
+            self._levels({name: parts.get(name) for name in list(parts.kinds)})
+
+    @classmethod
+    def mapped(cls, path: str, layout: dict[str, tuple[str, int, int]]) -> Trie:
+        with open(path, "rb") as f:
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        out = cls.__new__(cls)
+        out._levels({name: np.frombuffer(whole, kind, size, offset) if size else np.zeros(0, kind) for name, (kind, offset, size) in layout.items()})
+        return out
+
+    def _levels(self, a: dict[str, np.ndarray]) -> None:
+        self.top = a["top"]
+        self.levels = [
+            (Table(a[f"gram{k}"], a[f"gram_index{k}"]), a.get(f"n{k}"), Table(a[f"context{k}"], a[f"context_index{k}"]), a[f"total{k}"], a[f"kinds{k}"], a[f"below{k}"], a[f"escape{k}"])
+            for k in range(ORDER, -1, -1)
+        ]
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each symbol in its context."""
@@ -223,7 +368,8 @@ class Trie:
             own = leaves.find(gram)
             hit = own >= 0
             chance = escape[class_of(left, other)]
-            out[rest[hit]] += np.log10(n[own[hit]] / left[hit] * (1 - chance[hit]))
+            if n is not None:  # what the longest contexts hold is found by now
+                out[rest[hit]] += np.log10(n[own[hit]] / left[hit] * (1 - chance[hit]))
             escaped = ~hit & (other > 0)
             out[rest[escaped]] += np.log10(chance[escaped])
             mass, kinds = (np.where(known, below[at], mass), np.where(known, distinct[at], kinds)) if len(total) else (mass, kinds)
@@ -298,10 +444,24 @@ class Model:
         self.kinds, self.tokens = row.v, row.n or 0
         self.denominator = self.tokens + 0.5 * (self.kinds + 1)
 
-    def trie(self) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves and their counts, for Trie."""
-        rows = self.leaves.toArrow()
-        return rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    def trie(self) -> tuple[str, dict[str, tuple[str, int, int]]]:
+        """The trie as a file on the driver's disk, and its layout; the leaves come partition by partition."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in range(2)], names=["gram", "n"])
+
+        folder = tempfile.mkdtemp(prefix="tidemark-trie-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may come for the file as long as the driver lives
+        path = os.path.realpath(os.path.join(folder, uuid.uuid4().hex))
+        with tempfile.TemporaryDirectory(dir=folder) as scratch:
+            parts = Parts(scratch)
+            for row in self.leaves.select("gram", "n").mapInArrow(run, "gram binary, n binary").toLocalIterator():
+                parts.add("leaves", np.frombuffer(row.gram, np.uint64))
+                parts.add("counts", np.frombuffer(row.n, np.int64))
+            build(parts, parts.get("leaves", np.uint64), parts.get("counts"))
+            parts.drop("leaves", "counts")
+            return path, parts.pack(path)
 
     def head(self) -> dict[bytes, float]:
         rows = self.words.orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).toArrow()
@@ -352,18 +512,18 @@ def _joined_score(model: Model, uses: DataFrame) -> DataFrame:
     return whole.groupBy("key").agg(F.sum(F.col("own") - left).alias("trie_score"))
 
 
-_TRIES: dict[int, Trie | None] = {}
+_TRIES: dict[str, Trie] = {}
 
 
-def _trie(number: int, leaves: tuple | None) -> Trie | None:
-    """The trie of a broadcast, built once by each worker."""
-    if number not in _TRIES:
+def _trie(name: str, layout: dict) -> Trie:
+    """The trie of a file that executors were sent, mapped once by each worker."""
+    if name not in _TRIES:
         _TRIES.clear()
-        _TRIES[number] = Trie(*leaves) if leaves else None
-    return _TRIES[number]
+        _TRIES[name] = Trie.mapped(SparkFiles.get(name), layout)
+    return _TRIES[name]
 
 
-def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, leaves_limit: int = MAPPED_LEAVES) -> DataFrame:
     """doc_id and text of ``docs`` -> doc_id, n_tokens, n_known, base_score, score (log10 probabilities of the lower-cased text).
 
     Null texts are empty; an empty text has one token, its end.  Rows are told apart by their place,
@@ -373,20 +533,26 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
     """
     spark = docs.sparkSession
     small = model.leaves.count() <= leaves_limit
-    shared = spark.sparkContext.broadcast((model.trie() if small else None, model.head()))
-
-    number, miss = shared._jbroadcast.id(), model.miss
+    path, layout = model.trie() if small else ("", {})
+    if small:
+        spark.sparkContext.addFile(path)
+    shared = spark.sparkContext.broadcast(model.head())
+    name, miss, id_kind = os.path.basename(path), model.miss, dict(docs.dtypes)["doc_id"]
+    fields = {"key": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "gram": pa.int64(), "uses": pa.int64(), "item": pa.int64(), "role": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, head = shared.value
-        trie = _trie(number, leaves)
-        get = head.get
+        trie = _trie(name, layout) if small else None
+        get = shared.value.get
         row = TaskContext.get().partitionId() << 40
+
+        def rows(ids: pa.Array, **columns) -> pa.RecordBatch:
+            """Rows with these columns, the others null."""
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(columns[c], k) if c in columns else pa.nulls(len(ids), k) for c, k in fields.items())], names=["doc_id", *fields])
+
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 texts = [t.lower() for t in texts]
                 scores = np.zeros(len(texts))
-                uses: list = [None if trie else [] for _ in texts]
                 first = 0  # symbols of the blocks before
                 for own in blocks(texts):
                     codes = grams(own)
@@ -402,12 +568,17 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
                         logs[wrong] -= np.log10(1 - 10 ** trie.log10(other))
                     else:
                         # symbols after an escape are looked up one by one, with the excluded symbol; the others by kind
-                        item = np.full(len(codes), -1, np.int64)
-                        item[wrong] = first + wrong
-                        table_ = Counter(zip(owner[open_].tolist(), codes[open_].tolist(), item[open_].tolist(), [0] * int(open_.sum()), strict=True))
-                        table_.update(zip(owner[wrong].tolist(), other.tolist(), item[wrong].tolist(), [1] * len(wrong), strict=True))
-                        for (k, g, i, role), n in table_.items():
-                            uses[k].append({"gram": g, "uses": n, "item": i, "role": role})
+                        after = np.zeros(len(codes), bool)
+                        after[wrong] = True
+                        plain = np.flatnonzero(open_ & ~after)
+                        plain = plain[np.lexsort((codes[plain], owner[plain]))]
+                        one = np.flatnonzero(np.append(True, (codes[plain][1:] != codes[plain][:-1]) | (owner[plain][1:] != owner[plain][:-1]))[: len(plain)])
+                        picked = np.concatenate([plain[one], wrong, wrong])
+                        role = np.repeat([0, 1], [len(picked) - len(wrong), len(wrong)])
+                        item = np.concatenate([np.full(len(one), -1), first + wrong, first + wrong])
+                        gram = np.concatenate([codes[plain[one]], codes[wrong], other]).astype(np.int64)
+                        times = np.concatenate([np.diff(np.append(one, len(plain))), np.ones(2 * len(wrong), np.int64)])
+                        yield rows(pa.nulls(len(picked), part.column(0).type), key=row + owner[picked], gram=gram, uses=times, item=item, role=role)
                     scores += np.bincount(owner, logs, len(texts))
                     first += len(codes)
                 tokens, known, base, tails, counts = [], [], [], [], []
@@ -421,22 +592,20 @@ def score(docs: DataFrame, model: Model, *, leaves_limit: int = BROADCAST_LEAVES
                     base.append(sum(found))
                     tails.append(list(tail))
                     counts.append(list(tail.values()))
-                keys = np.arange(row, row + len(texts))
+                yield rows(part.column(0), key=np.arange(row, row + len(texts)), n_tokens=tokens, known=known, base=base, score=scores, tail=tails, counts=counts)
                 row += len(texts)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.struct([("gram", pa.int64()), ("uses", pa.int64()), ("item", pa.int64()), ("role", pa.int64())])))
-                columns = (keys, tokens, known, base, scores, tails, counts, uses)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "key", "n_tokens", "known", "base", "score", "tail", "counts", "grams"])
         tidy()
 
-    kinds = "key long, n_tokens long, known long, base double, score double, tail array<binary>, counts array<long>, grams array<struct<gram: long, uses: long, item: long, role: long>>"
-    scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}"))
+    kinds = "key long, n_tokens long, known long, base double, score double, tail array<binary>, counts array<long>, gram long, uses long, item long, role long"
+    whole = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, {kinds}"))
+    uses = whole.filter("gram IS NOT NULL").select("key", "gram", "uses", "item", "role")  # where levels are joined
+    scored = whole.filter("gram IS NULL").drop("gram", "uses", "item", "role")
     tail = scored.select("key", F.explode(F.arrays_zip("tail", "counts")).alias("t")).select("key", F.col("t.tail").alias("word"), F.col("t.counts").alias("uses"))
     tail = tail.join(model.words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.denominator))
     tail = tail.groupBy("key").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("uses")).otherwise(0)).alias("tail_known"), F.sum(F.col("uses") * log).alias("tail_base"))
     out = scored.drop("tail", "counts").join(tail, "key", "left")
     if not small:
-        uses = scored.select("key", F.explode("grams").alias("g")).select("key", "g.gram", "g.uses", "g.item", "g.role")
         out = out.join(_joined_score(model, uses), "key", "left").withColumn("score", F.col("score") + F.coalesce("trie_score", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score")
 
