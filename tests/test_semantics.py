@@ -316,6 +316,18 @@ def test_traversal_takes_all_roots(spark, monkeypatch):
     assert [r.node for r in got.filter("depth = 1").collect()] == [1]
 
 
+def test_graph_over_facts_has_no_cap(spark, sf_dir, monkeypatch):
+    from tidemark import registry
+
+    n = 100_050
+    nodes = spark.range(n).selectExpr("id * 7 + 3 AS id").unionByName(spark.range(2, 3)).select(G.typed("assertion", "id").alias("node"))
+    edges = relations(spark, [(1, "corrects", 3, 2)]).select(F.col("relation_id").cast("string").alias("relation_id"), "kind", G.typed("assertion", "from_id").alias("from_id"), G.typed("assertion", "to_id").alias("to_id"))
+    monkeypatch.setattr(G, "record_graph", lambda s, ctx: (nodes, edges))
+    got = registry.queries()["graph_over_facts"](spark, sf_dir)
+    assert got.filter("depth = 0").count() == n
+    assert [r.id for r in got.filter("depth = 1").collect()] == [2]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "a b", "c"), (2, "a\x0bb", None), (3, "A b", ""), (4, None, "b")], "result_key long, text string, title string")
     assert ids(K.search(docs, ["a", "b"]), "result_key") == [1]

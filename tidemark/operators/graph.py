@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,15 +21,15 @@ class GraphSpec:
     kinds: tuple[str, ...]
     direction: str = "outgoing"  # incoming, both
     max_depth: int = 3
-    max_nodes: int = 100_000
-    max_edges: int = 1_000_000
+    max_nodes: int | None = None  # None: as many as there are
+    max_edges: int | None = None
     emit_repeated: bool = True  # else edges to nodes that were reached before are left out
 
     def __post_init__(self):
         listed = not isinstance(self.roots, DataFrame)
         if listed and (not self.roots or len(set(self.roots)) < len(self.roots)) or not self.kinds or len(set(self.kinds)) < len(self.kinds):
             raise QueryError("roots and kinds: at least one, each once")
-        if self.max_nodes <= 0 or self.max_edges <= 0 or self.max_depth < 0 or self.direction not in ("outgoing", "incoming", "both"):
+        if any(cap is not None and cap <= 0 for cap in (self.max_nodes, self.max_edges)) or self.max_depth < 0 or self.direction not in ("outgoing", "incoming", "both"):
             raise QueryError("caps are positive, depth isn't negative")
 
 
@@ -55,6 +56,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, spec: GraphSpec) -> tuple[DataF
     emitted once, at its first use.  Caps that are exceeded, by the roots or by any level, fail the query.
     """
     spark = nodes.sparkSession
+    most_nodes, most_edges = (math.inf if cap is None else cap for cap in (spec.max_nodes, spec.max_edges))
     ids = nodes.select(F.col("event_id" if "event_id" in nodes.columns else "node").alias("node"))
     links = adjacency(edges, spec).join(ids, "node", "left_semi").join(ids.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi")
     links = stored(links)
@@ -69,7 +71,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, spec: GraphSpec) -> tuple[DataF
     roots = roots.join(ids, "node", "left_semi")
     reached = frontier = stored(roots.select("node", F.lit(0).alias("depth"), F.array(first).alias("place")))
     n_reached, n_walked = frontier.count(), 0
-    if n_reached > spec.max_nodes:
+    if n_reached > most_nodes:
         raise QueryError("the traversal exceeds its caps")
     walked = None
     for depth in range(1, spec.max_depth + 1):
@@ -93,8 +95,8 @@ def traverse(nodes: DataFrame, edges: DataFrame, spec: GraphSpec) -> tuple[DataF
         frontier = stored(fresh.select("node", F.lit(depth).alias("depth"), F.concat("parent", F.array(turn)).alias("place")))
         reached = reached.unionByName(frontier)
         fresh_count = frontier.count()
-        n_reached, n_walked = n_reached + fresh_count, n_walked + level.count()
-        if n_reached > spec.max_nodes or n_walked > spec.max_edges:
+        n_reached, n_walked = n_reached + fresh_count, n_walked + (0 if spec.max_edges is None else level.count())
+        if n_reached > most_nodes or n_walked > most_edges:
             raise QueryError("the traversal exceeds its caps")
         if not fresh_count:
             break
