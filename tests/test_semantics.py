@@ -285,6 +285,22 @@ def test_components(spark, monkeypatch, few):
     assert connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def leaves(frame):
+    """How many tables the plan reads; a copy of a step counts again."""
+    return frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_live_rows_are_written_once(spark, monkeypatch):
+    rows = [assertion(1, start=0, end=40, revision=5), assertion(2, start=20, value="b", revision=6), assertion(3, start=30, end=60, value="c", space=2), assertion(4, start=None, end=33, value="c", space=2)]
+    s = store(spark, rows, MASKING, closures=[(2, 7, 80)])
+    assert leaves(T.live(T.Known(s, CTX, 0))) == 1
+    whole = T.all_times_single(s, CTX)
+    # cells, the rows that they pick from, and which of these cells ask for: no join back to the cells
+    assert leaves(whole) == 4
+    monkeypatch.setattr(T, "SPAN", 7)
+    assert sorted(map(str, T.all_times_single(s, CTX).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_traversal(spark):
     nodes = spark.createDataFrame([(k,) for k in range(6)], "event_id long")
     edges = relations(spark, [(1, "before", 0, 1), (2, "before", 1, 2), (3, "before", 2, 0), (4, "same_time", 3, 1), (5, "before", 2, 9), (6, "causes", 0, 5)])

@@ -2,7 +2,8 @@
 
 Every step is linear in the intervals: assertions lose the stretches in which masks or boundaries hide
 them, unions of intervals give steps up and down, and running sums over a slot's endpoints tell what each
-cell holds.  Only the assertions of a cell's highest precedence are joined with it, for their ids.
+cell holds.  Only the assertions of a cell's highest precedence are put beside it, for their ids.  What several
+steps read is written once, so no task holds the sorts of many copies of a plan, and no stage sends their counters.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import masks as M
 from tidemark.operators.components import stored
 from tidemark.operators.scan import as_of, closed_at, partition, raw_log, unarchived, unretracted, with_closures
-from tidemark.plans.context import Context, QueryError, joined_ids, level
+from tidemark.plans.context import Context, QueryError, level
 
 SLOT = ["subject_id", "predicate_id"]
 LOW, HIGH = -(1 << 62), 1 << 62
@@ -65,17 +66,17 @@ class Known:
 
 
 def live(known: Known) -> DataFrame:
-    """Unretracted assertions with the intervals in which no mask hides them."""
+    """Unretracted assertions with the intervals in which no mask hides them, written once."""
     store, rows = known.store, unretracted(known.assertions, known.store.assertion_retractions, "assertion_id")
     rows = with_closures(rows, store.assertion_closures, "assertion_id").withColumn("closed_at", closed_at())
-    rows = intervals(rows).select("assertion_id", *SLOT, "value_canon", "polarity", "level", "start", "stop")
+    rows = stored(intervals(rows).select("assertion_id", *SLOT, "value_canon", "polarity", "level", "start", "stop"))
     gone = raw_log(store.mask_retractions, known.ctx.as_of).select("mask_id").distinct()
     masks = intervals(known.masks.join(gone, "mask_id", "left_anti"))
     hidden = None
     for selector, keys in M.SELECTORS.items():
         part = _hiding(rows, masks.filter(F.col("selector") == selector), keys).select(*rows.columns, "from", "to")
         hidden = part if hidden is None else hidden.unionByName(part)
-    return subtract(rows, hidden)
+    return stored(subtract(rows, hidden))
 
 
 def cells(known: Known) -> DataFrame:
@@ -127,12 +128,21 @@ def _steps(spans: DataFrame, name: str, size: Column | int = 1) -> DataFrame:
     return spans.select(*SLOT, F.inline(F.array(F.struct(F.col("start").alias("at"), size.cast("long").alias(name)), F.struct(F.col("stop").alias("at"), (-size).cast("long").alias(name)))))
 
 
-def _met(inner: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
-    """Cells with the rows that hold their point: they meet by slot and stretch of time, not by slot alone."""
+def _held(inner: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells with ``held``: the rows of their level that hold their point, by id; null without a level.
+
+    They meet by slot, level and stretch of time.  The rows of such a stretch are one array that its cells pick from,
+    so pairs of cells and rows are never written, sorted or sent.
+    """
+    on = [*SLOT, "level", "stretch"]
+    inner = inner.withColumn("stretch", F.floor(F.col("at") / SPAN))
     bounds = inner.groupBy(*SLOT).agg(F.min("at").alias("first"), F.max("at").alias("final"))
     low, high = F.floor(F.greatest("start", "first") / SPAN), F.floor(F.least(F.col("stop") - 1, F.col("final")) / SPAN)
-    spread = rows.join(bounds, SLOT).filter((F.col("start") <= F.col("final")) & (F.col("stop") > F.col("first"))).withColumn("stretch", F.explode(F.sequence(low, high))).drop("first", "final")
-    return inner.withColumn("stretch", F.floor(F.col("at") / SPAN)).join(spread, [*on, "stretch"]).filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("stop")))
+    spread = rows.join(bounds, SLOT).filter((F.col("start") <= F.col("final")) & (F.col("stop") > F.col("first"))).withColumn("stretch", F.explode(F.sequence(low, high)))
+    spread = spread.join(inner.select(*on).distinct(), on, "left_semi")
+    groups = spread.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("assertion_id", "value_canon", "polarity", "start", "stop"))).alias("told"))
+    holds = F.filter("told", lambda x: (x["start"] <= F.col("at")) & (F.col("at") < x["stop"]))
+    return inner.join(groups.hint("merge"), on, "left").withColumn("held", holds).drop("stretch", "told")
 
 
 def all_times_single(store, ctx: Context, predicate: int = 0, rights=None) -> DataFrame:
@@ -140,16 +150,16 @@ def all_times_single(store, ctx: Context, predicate: int = 0, rights=None) -> Da
     if len(ctx.levels()) > 62:
         raise QueryError("more than 62 levels of precedence")
     known = Known(store, ctx, predicate, rights)
-    rows = stored(live(known))
+    rows = live(known)
     steps = _steps(union(rows, [*SLOT, "level"]), "held", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level").cast("int")))
     inner = running(cells(known), steps, ["held"]).withColumn("level", F.when(F.col("held") > 0, F.length(F.bin("held")) - 1).cast("long"))
     inner = stored(inner.select(*SLOT, "at", "cell_start", "cell_end", "level"))
-    said = F.struct("value_canon", "polarity")
-    found = _met(inner.select(*SLOT, "at", "level"), rows, [*SLOT, "level"]).groupBy(*SLOT, "at").agg(F.min(said).alias("low"), F.max(said).alias("high"), joined_ids(F.col("assertion_id")).alias("contributors"))
+    said = F.transform("held", lambda x: F.struct(x["value_canon"].alias("value_canon"), x["polarity"].alias("polarity")))
+    ids = F.array_join(F.transform("held", lambda x: x["assertion_id"].cast("string")), ",")
+    out = _held(inner, rows).withColumns({"low": F.array_min(said), "high": F.array_max(said), "contributors": ids})
     same = F.col("low") == F.col("high")
-    out = inner.join(found, [*SLOT, "at"], "left")
     outcome = F.when(F.col("low").isNull(), "unknown").when(same, "known").otherwise("conflict")
-    return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), F.when(same, F.col("low.value_canon")).alias("value"), F.when(same, F.col("low.polarity")).alias("polarity"), "contributors")
+    return out.select(*SLOT, "cell_start", "cell_end", outcome.alias("outcome"), F.when(same, F.col("low.value_canon")).alias("value"), F.when(same, F.col("low.polarity")).alias("polarity"), F.when(F.col("low").isNotNull(), F.col("contributors")).alias("contributors"))
 
 
 def _value_steps(rows: DataFrame) -> DataFrame:
