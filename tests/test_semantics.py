@@ -301,6 +301,13 @@ def test_live_rows_are_written_once(spark, monkeypatch):
     assert sorted(map(str, T.all_times_single(s, CTX).collect())) == sorted(map(str, whole.collect()))
 
 
+def test_all_times_with_values_share_their_steps(spark):
+    s = store(spark, [assertion(1, start=0, end=40, revision=5, predicate=2)], masks=[mask(7, "slot", 1, layer=1, start=20, end=30, predicate=2)], boundaries=[boundary(1, start=10, end=35)])
+    grid = leaves(T.cells(T.Known(s, CTX, 2)))
+    assert leaves(T.all_times_overlay(s, CTX, 2)) == grid + 1
+    assert leaves(T.all_times_replace(s, CTX)) <= grid + 10
+
+
 def test_traversal(spark):
     nodes = spark.createDataFrame([(k,) for k in range(6)], "event_id long")
     edges = relations(spark, [(1, "before", 0, 1), (2, "before", 1, 2), (3, "before", 2, 0), (4, "same_time", 3, 1), (5, "before", 2, 9), (6, "causes", 0, 5)])

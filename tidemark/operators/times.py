@@ -164,13 +164,10 @@ def all_times_single(store, ctx: Context, predicate: int = 0, rights=None) -> Da
 
 def _value_steps(rows: DataFrame) -> DataFrame:
     """Where the numbers of values and of values with both polarities change: (slot, at, n_values, n_conflicts)."""
-    sides = None
-    for name, other in (("positive", "negative"), ("negative", "positive")):
-        spans = union(rows.filter(F.col("polarity") == name), [*SLOT, "value_canon"])
-        ends = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias(name), F.lit(0).alias(other)), F.struct(F.col("stop").alias("at"), F.lit(-1).alias(name), F.lit(0).alias(other))))
-        part = spans.select(*SLOT, "value_canon", ends)
-        sides = part if sides is None else sides.unionByName(part)
-    changes = sides.groupBy(*SLOT, "value_canon", "at").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    spans = union(rows, [*SLOT, "value_canon", "polarity"])
+    ends = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("by"))))
+    side = lambda name: F.sum(F.when(F.col("polarity") == name, F.col("by")).otherwise(0)).alias(name)
+    changes = spans.select(*SLOT, "value_canon", "polarity", ends).groupBy(*SLOT, "value_canon", "at").agg(side("positive"), side("negative"))
     line = Window.partitionBy(*SLOT, "value_canon").orderBy("at")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     held = changes.withColumns({"p": F.sum("positive").over(upto), "n": F.sum("negative").over(upto)})
@@ -191,7 +188,7 @@ def all_times_replace(store, ctx: Context, predicate: int = 2, rights=None) -> D
     boundaries = intervals(M.active(store, ctx.at(world_time=None), "boundary", rights).filter(F.col("predicate_id") == predicate)).select(*SLOT, "level", "start", "stop")
     known = Known(store, ctx, predicate, rights)
     rows = live(known)
-    rows = subtract(rows, _hiding(rows, boundaries, SLOT).select(*rows.columns, "from", "to"))
+    rows = stored(subtract(rows, _hiding(rows, boundaries, SLOT).select(*rows.columns, "from", "to")))
     steps = _value_steps(rows).withColumn("n_boundaries", F.lit(0).cast("long"))
     cuts = _steps(union(boundaries, SLOT), "n_boundaries").withColumns({"n_values": F.lit(0).cast("long"), "n_conflicts": F.lit(0).cast("long")})
     names = ["n_values", "n_conflicts", "n_boundaries"]
